@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = (
-    "op01_lm_scoring", "op02_jaccard_join", "op03_url_filter", "op04_decontamination", "op05_quality_rules",
-    "op06_pii", "op07_quality_classifier", "op08_packing", "op09_language_id", "op10_token_counts",
-)
+MODULES = ("op03_url_filter", "op05_quality_rules")
 
 
 def queries() -> dict:
@@ -16,9 +13,7 @@ def queries() -> dict:
     for name in MODULES:
         module = import_module(f"quillspark.llm.{name}")
         found |= {k: v for k, v in vars(module).items() if k.startswith(f"op{int(name[2:4])}_") and callable(v)}
-    import corpus_pipeline
-
-    return found | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:

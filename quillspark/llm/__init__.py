@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op03_url_filter", "op05_quality_rules")
+MODULES = (
+    "op03_url_filter", "op05_quality_rules", "op07_quality_classifier", "op08_packing", "op10_token_counts",
+)
 
 
 def queries() -> dict:

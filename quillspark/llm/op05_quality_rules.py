@@ -84,12 +84,11 @@ def exploded(df: DataFrame, text: str, buckets: int) -> DataFrame:
 def fit(df: DataFrame, text: str, trusted: Column, buckets: int = 16384) -> list[float]:
     """Log ratios of the buckets: share among rows where ``trusted`` holds over share among all rows, add-one smoothed."""
     grams = exploded(df.select(F.coalesce(trusted, F.lit(False)).alias("trusted"), F.col(text).alias("text")), "text", buckets)
+    both = grams.select("trusted", F.stack(F.lit(2), "b1", "b2").alias("bucket")).where("bucket is not null")
     raw, target = [1.0] * buckets, [1.0] * buckets
-    for column in ("b1", "b2"):
-        for r in grams.groupBy(column).agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target")).collect():
-            if r[0] is not None:
-                raw[r[0]] += r["raw"]
-                target[r[0]] += r["target"]
+    for r in both.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target")).collect():
+        raw[r["bucket"]] += r["raw"]
+        target[r["bucket"]] += r["target"]
     if sum(target) == buckets:
         return [0.0] * buckets
     shift = math.log(sum(raw)) - math.log(sum(target))
@@ -111,6 +110,8 @@ def with_ratio(df: DataFrame, text: str, ratios: list[float]) -> DataFrame:
     return rows.groupBy("__row", *keep).agg(mean.alias("log_ratio")).drop("__row")
 
 
+#: The trusted target is at most so many labelled documents, those with the smallest hash; its keys are broadcast.
+MAX_TRUSTED = 20_000
 #: Mean log ratio below which a document fails.
 THRESHOLD = -0.25
 
@@ -118,8 +119,9 @@ THRESHOLD = -0.25
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with base counts and the verdict; trusted are the documents that labels mark as good."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    ratios = fit(docs.join(good, "doc_id", "left"), "text", F.col("good"))
+    good = read(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good = good.orderBy(F.xxhash64(F.lit("trusted"), "doc_id"), "doc_id").limit(MAX_TRUSTED).withColumn("good", F.lit(True))
+    ratios = fit(docs.join(F.broadcast(good), "doc_id", "left"), "text", F.col("good"))
     scored = with_ratio(base_columns(docs, "text"), "text", ratios)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).select(

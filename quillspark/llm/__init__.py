@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "op02_jaccard_join", "op03_url_filter", "op04_decontamination", "op05_quality_rules", "op06_pii", "op07_quality_classifier", "op08_packing", "op10_token_counts",
+    "op02_jaccard_join", "op03_url_filter", "op04_decontamination", "op05_quality_rules", "op06_pii", "op07_quality_classifier", "op08_packing", "op09_language_id", "op10_token_counts",
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "op02_jaccard_join", "op03_url_filter", "op04_decontamination", "op05_quality_rules", "op06_pii", "op07_quality_classifier", "op08_packing", "op09_language_id", "op10_token_counts",
+    "op01_lm_scoring", "op02_jaccard_join", "op03_url_filter", "op04_decontamination", "op05_quality_rules", "op06_pii", "op07_quality_classifier", "op08_packing", "op09_language_id", "op10_token_counts",
 )
 
 
@@ -15,7 +15,9 @@ def queries() -> dict:
     for name in MODULES:
         module = import_module(f"quillspark.llm.{name}")
         found |= {k: v for k, v in vars(module).items() if k.startswith(f"op{int(name[2:4])}_") and callable(v)}
-    return found
+    import corpus_pipeline
+
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,3 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Up to this number, keys to drop are broadcast to the scan (8 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(df: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """The rows whose key is not among the dropped ones (one column, written); rows with a null key stay."""
+    few = dropped.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(dropped) if few else dropped, key, "left_anti")

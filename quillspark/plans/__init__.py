@@ -1 +1,6 @@
-QUERIES, ORACLES = {}, {}
+"""Registered queries over the tables, by topic."""
+
+from quillspark.plans import pages  # noqa: F401
+from quillspark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,6 +1,6 @@
 """Registered queries over the tables, by topic."""
 
-from quillspark.plans import layout, pages, text  # noqa: F401
+from quillspark.plans import layout, optimize, pages, text, usage  # noqa: F401
 from quillspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

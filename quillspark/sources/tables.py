@@ -11,7 +11,7 @@ runs        words of the lines placed on a page grid
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
@@ -68,3 +68,9 @@ def runs(spark: SparkSession, sf_dir: str, lines_per_page: int = 50) -> DataFram
         F.round("x", 4).alias("x"), F.round((F.col("line_no") % lines_per_page + 1) * 20.0 + F.when(F.col("k") % 5 == 4, 1.5).otherwise(0.0), 4).alias("y"),
         F.round(F.length("text") * 0.5 * F.col("size"), 4).alias("w"), "size", (F.col("k") % 4 == 0).alias("bold"),
     )
+
+
+def sheet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as rows of sheets: sheet is the order, row counts from 0."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return read(spark, sf_dir, "lineitem").withColumns({"sheet": F.col("l_orderkey"), "row": (F.row_number().over(w) - 1).cast("long")})

@@ -1,0 +1,390 @@
+"""Operators against brute-force versions on odd tables; empty tables; held-out accuracy on given ones."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import pyarrow as pa
+import public_tokenizers
+import pytest
+
+import corpus_pipeline
+from quillspark import llm
+from quillspark.llm import op01_lm_scoring, op02_jaccard_join, op03_url_filter, op04_decontamination, op06_pii, op08_packing, op09_language_id, op10_token_counts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+QUERIES = llm.queries()
+
+
+def fold(key, n):
+    return None if key is None else zlib.crc32(str(key).encode()) % n
+
+
+def collect(spark, name, folder):
+    return [r.asDict() for r in QUERIES[name](spark, folder).collect()]
+
+
+def by_text(rows):
+    return Counter(map(repr, rows))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_empty_tables(spark, empty, name):
+    assert collect(spark, name, empty) == []
+
+
+def shingle_set(text, n=5):
+    w = WORD.findall(text or "")
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def test_lm_scores(spark, odd, odd_docs):
+    got = collect(spark, "op1_lm_scoring", odd)
+    assert len(got) == len(odd_docs)
+    fold_case = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    tokens = lambda t: [*WORD.findall(fold_case(t or "")), None]
+    train = [tokens(d["text"]) for d in odd_docs if fold(d["doc_id"], 7) != 2]
+    c, pairs, before, after = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["<s>", *t], t)), Counter(), defaultdict(list)
+    for (v, w), n in pairs.items():
+        before[w] += 1
+        after[v].append(n)
+    n_all, kinds = sum(c.values()), len(c)
+    cut = lambda counts: op01_lm_scoring.discounts([sum(x == k for x in counts.values()) for k in (1, 2, 3, 4)])
+    d2, d1 = cut(pairs), cut(before)
+    rest = sum(d1[min(x, 3) - 1] for x in before.values()) / len(pairs)
+
+    def word(w):
+        return (before[w] - d1[min(before[w], 3) - 1] if before[w] else 0) / len(pairs) + rest / (kinds + 1)
+
+    def follow(v, w):
+        if v not in after:
+            return word(w)
+        total, x = sum(after[v]), pairs[v, w]
+        return (x - d2[min(x, 3) - 1] if x else 0) / total + sum(d2[min(k, 3) - 1] for k in after[v]) / total * word(w)
+
+    assert sum(follow("the", w) for w in c) + follow("the", object()) == pytest.approx(1)
+    expected = defaultdict(list)
+    for d in odd_docs:
+        t = tokens(d["text"])
+        expected[d["doc_id"]].append((len(t), sum(c[w] > 0 for w in t), sum(math.log10((c[w] + 1) / (n_all + kinds + 1)) for w in t), sum(math.log10(follow(v, w)) for v, w in zip(["<s>", *t], t))))
+    for r in got:
+        e = next(x for x in expected[r["doc_id"]] if x[0] == r["n_tokens"])
+        assert (r["n_tokens"], r["n_known"]) == e[:2] and r["train_tokens"] == n_all and r["held_out"] == (fold(r["doc_id"], 7) == 2)
+        assert (r["base_score"], r["score"]) == pytest.approx(e[2:], rel=1e-9)
+
+
+def test_jaccard_join(spark, odd, odd_docs):
+    got = collect(spark, "op2_jaccard_join", odd)
+    assert len(got) == len(odd_docs)
+    sets = {d["doc_id"]: shingle_set(d["text"]) for d in odd_docs if d["doc_id"] is not None}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["class_id"] == find(r["doc_id"])
+    assert op02_jaccard_join.prefix_depth() == 4
+
+
+def test_jaccard_recall_of_near_copies(spark):
+    import random
+
+    r = random.Random(2)
+    rows, links = [], set()
+    for g in range(60):
+        words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(r.randint(60, 300))]
+        for k in range(3):
+            own = words.copy()
+            for _ in range(k * len(own) // 120):
+                own[r.randrange(len(own))] = "edit"
+            rows.append((3 * g + k, " ".join(own)))
+    by_set = {}
+    for i, t in rows:
+        by_set.setdefault(shingle_set(t), i)
+    sets = {i: s for s, i in by_set.items()}
+    for i in sets:
+        for j in (x for x in range(i + 1, 3 * (i // 3) + 3) if x in sets):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links.add((i, j))
+    _, found = op02_jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    found = {tuple(x) for x in found.collect()}
+    assert len(links) > 50 and found <= links and len(found) >= 0.99 * len(links)
+
+
+def test_url_rules(spark, odd):
+    got = {r["page_id"]: r for r in collect(spark, "op3_url_filter", odd)}
+    rule = lambda i: (got[i]["host"], got[i]["path"], got[i]["rule"])
+    assert rule(0) == rule(1) == rule(2) == rule(3) == ("", "", None)
+    assert rule(4) == ("example.net", "/en/1", "example.net/en/") and got[4]["verdict"] == "allow"
+    assert rule(5) == ("a.example.com", "/de/9", "example.com/de/") and got[5]["verdict"] == "block"
+    assert rule(6) == ("x.org", "/fr/3", "org/fr/") and rule(7) == ("net", "", None) and rule(8) == ("net", "/", "net/") and rule(9) == ("b.net", "", None)
+    assert {r["verdict"] for r in got.values()} <= {"allow", "block"} and len(got) == 93
+
+
+def test_url_ratio_learns_hosts(spark):
+    df = spark.createDataFrame([(f"http://{'good' if k % 2 else 'spam'}-{k % 5}.example.com/p/{k}", k % 2 == 1) for k in range(200)], "url string, ok boolean")
+    from pyspark.sql import functions as F
+
+    model = op03_url_filter.fit(df, "url", F.col("ok"))
+    new = spark.createDataFrame([("http://good-9.example.com/p/1",), ("http://spam-9.example.com/p/1",)], "url string")
+    good, spam = (r[0] for r in new.select(op03_url_filter.url_score(new, "url", model)).collect())
+    assert good >= model.threshold > spam
+
+
+@pytest.mark.parametrize("folder", ["odd", "sf_dir"])
+def test_decontamination(spark, request, folder):
+    folder = request.getfixturevalue(folder)
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    docs, items = (db.execute(f"select * from {t}").fetchall() for t in ("documents", "benchmark"))
+    expected = []
+    for i, q in ((r[0], shingle_set(r[1])) for r in items):
+        for d in docs:
+            n = len(q & shingle_set(d[1]))
+            if q and n >= 0.8 * len(q):
+                expected.append({"doc_id": d[0], "item_id": i, "n_shared": n, "n_shingles": len(q), "containment": n / len(q)})
+    assert by_text(collect(spark, "op4_decontamination", folder)) == by_text(expected)
+    if "odd" not in folder:
+        assert len(db.execute(op04_decontamination.ORACLE_SQL["op4_decontamination"]).fetchall()) == len(expected)
+
+
+def test_quality_rules(spark, odd, odd_docs):
+    expected = []
+    for d in odd_docs:
+        t = d["text"] or ""
+        w = WORD.findall(t)
+        windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        covered = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        expected.append((d["doc_id"], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed))
+    got = collect(spark, "op5_quality_rules", odd)
+    keys = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert by_text(tuple(r[k] for k in keys) for r in got) == by_text(expected)
+    assert not any(r["kept"] and r["base_failed"] for r in got)
+
+
+def test_quality_rules_keep_good_documents(spark, sf_dir):
+    import pyarrow.parquet as pq
+
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf_dir}/labels.parquet").to_pylist()}
+    judged = [(labels[r["doc_id"]], r["kept"]) for r in collect(spark, "op5_quality_rules", sf_dir) if r["doc_id"] in labels and not r["base_failed"]]
+    good, bad = [k for y, k in judged if y], [k for y, k in judged if not y]
+    assert sum(good) >= 0.99 * len(good) and (not bad or sum(bad) <= 0.2 * len(bad))
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def base_spans(t):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out = [f"email:{m.start()}:{m.end()}" for m in EMAIL.finditer(t)]
+    out += [f"ip:{m.start()}:{m.end()}" for m in IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [f"card:{m.start()}:{m.end()}" for m in CARD.finditer(t) if 13 <= len(digits(m)) <= 19 and op06_pii.luhn(digits(m))]
+    return out + [f"phone:{m.start()}:{m.end()}" for m in PHONE.finditer(t) if 9 <= len(digits(m)) <= 15]
+
+
+def test_personal_data(spark, odd, odd_docs):
+    expected = Counter()
+    for d in odd_docs:
+        spans = base_spans(d["text"] or "")
+        expected[(d["doc_id"], *(sum(s.startswith(k) for s in spans) for k in op06_pii.KINDS), hashlib.sha256(",".join(spans).encode()).hexdigest())] += 1
+    got = collect(spark, "op6_pii", odd)
+    assert Counter((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in got) == expected
+    text = next(d["text"] for d in odd_docs if d["text"] and d["text"].startswith("mail"))
+    spans = next(r["spans"] for r in got if r["n_email"])
+    assert f"card:{text.index('9000426309966109')}:{text.index('9000426309966109') + 16}" in spans and set(base_spans(text)) <= set(spans.split(","))
+
+
+@pytest.mark.parametrize("text", ["a@b@c.d", "x@@y.z a@b.c@d.e", ".@a.b", "a@b..c", "1.2.3.4.5.6.7.8", "999.1.1.1 1.1.1", "4111-1111 1111 1111 1", "+12 34567890-", "++1234567890", "1.2.3.4@x.y"])
+def test_personal_data_patterns(text):
+    assert op06_pii.written_out(op06_pii.base_spans(text)) == ",".join(base_spans(text))
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    n = len(op06_pii.LABELS)
+    model = op06_pii.ChainModel(r.normal(size=(op06_pii.N_FEATURES, n)).astype(np.float32), r.normal(size=(n, n)).astype(np.float32), r.normal(size=n).astype(np.float32))
+    lines = [op06_pii.word_features(w.split()) for w in ("a 12 b@c", "x", "1 2 3 4", "+1 (2) y.")]
+    for f, path in zip(lines, model.viterbi(lines, batch=7), strict=True):
+        e = model.scores(f)
+        score = lambda p, e=e: model.first[p[0]] + sum(e[t, y] for t, y in enumerate(p)) + sum(model.steps[a, b] for a, b in itertools.pairwise(p))
+        assert score(list(path)) == pytest.approx(max(score(p) for p in itertools.product(range(n), repeat=len(f))), rel=1e-5)
+
+
+def test_quality_classifier(spark, odd, odd_docs, sf_dir):
+    import pyarrow.parquet as pq
+
+    got = collect(spark, "op7_quality_classifier", odd)
+    assert len(got) == len(odd_docs) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (fold(r["doc_id"], 3) == 1) for r in got)
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf_dir}/labels.parquet").to_pylist()}
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in collect(spark, "op7_quality_classifier", sf_dir) if r["held_out"] and r["doc_id"] in labels]
+    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
+def token_ids(text):
+    from tokenizers import Tokenizer
+
+    return [*Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def test_packing(spark, odd, odd_docs):
+    import struct
+
+    got = collect(spark, "op8_packing", odd)
+    expected = Counter()
+    for d in odd_docs:
+        ids = token_ids(d["text"])
+        for a in range(0, len(ids), 4096):
+            own = ids[a : a + 4096]
+            expected[d["doc_id"], a, len(own), zlib.crc32(struct.pack(f"<{len(own)}I", *own)), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == expected
+    windows = defaultdict(list)
+    for r in got:
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in windows.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(windows) <= -(-sum(r["length"] for r in got) // 4096) + 1
+
+
+def test_best_fit_is_the_tightest_window():
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    lengths = sorted((r.randint(1, 64) for _ in range(400)), reverse=True)
+    where, offset = op08_packing.best_fit(np.array(lengths), 64)
+    room = []
+    for n, w, o in zip(lengths, where, offset, strict=True):
+        fits = [x for x in room if x >= n]
+        if fits:
+            assert room[w] == min(fits) and o == 64 - room[w]
+        else:
+            assert w == len(room)
+            room.append(64)
+        room[w] -= n
+
+
+def test_language_id(spark, odd, odd_docs, sf_dir):
+    import pyarrow.parquet as pq
+
+    got = collect(spark, "op9_language_id", odd)
+    assert len(got) == len(odd_docs)
+    bare = {d["doc_id"] for d in odd_docs if not any(c.isalpha() for c in d["text"] or "")}
+    assert all((r["lang_pred"] == "und" and r["score"] == 0) if r["doc_id"] in bare else r["lang_pred"] in ("en", "fr") for r in got)
+    lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "lang"]).to_pylist()}
+    held = [(r["lang_pred"], lang[r["doc_id"]]) for r in collect(spark, "op9_language_id", sf_dir) if r["held_out"]]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
+def test_gradients():
+    import numpy as np
+
+    m = op09_language_id.ByteGru.fresh(["a", "b", "c"], hidden=3)
+    for n in ("w", "u", "b", "v", "c"):
+        setattr(m, n, getattr(m, n).astype(np.float64))
+    x = np.random.default_rng(0).integers(0, 5, (6, 4)).astype(np.uint8)
+    live = np.ones((6, 4), bool)
+    live[4:, 3] = False
+    y = np.array([0, 1, 2, 1])
+    _, grads = m.gradients(x, live, y)
+    for name, g in zip(("w", "u", "b", "v", "c"), grads, strict=True):
+        a = getattr(m, name)
+        at = np.unravel_index(int(np.abs(g).argmax()), a.shape)
+        a[at] += 1e-3
+        up = m.gradients(x, live, y)[0]
+        a[at] -= 2e-3
+        down = m.gradients(x, live, y)[0]
+        a[at] += 1e-3
+        assert (up - down) / 2e-3 == pytest.approx(g[at], rel=0.02, abs=1e-4)
+
+
+def test_token_counts(spark, odd, odd_docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    expected = Counter()
+    for d in odd_docs:
+        n = len(model.encode(d["text"] or ""))
+        expected[d["doc_id"], len((d["text"] or "").encode()), n, n > 4096] += 1
+    assert Counter(tuple(r.values()) for r in collect(spark, "op10_token_counts", odd)) == expected
+
+
+def test_splicing_is_exact():
+    import random
+
+    model = op10_token_counts.processor(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(1)
+    parts = ["a", "the", " ", "  ", "\n", "é", "中", "🙂", "word", "un ", "\t", "ing", "x" * 9, "▁", "<s>", "鿿"]
+    for _ in range(200):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 300)))
+        assert op10_token_counts.spliced(model, t, r.choice([5, 20, 60]), r.choice([1, 4, 16])) == model.encode(t)
+
+
+def test_packed_texts_match_the_tokenizer():
+    t = op08_packing.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", "It's a <|endoftext|> x", "ÀÉ don't 12 x²", "İstanbul 中文 é", "a\xa0b\x1cc", "x\x85y", " \n ", "THERE'S 'LL'S''s", "Straße µ ª"]
+    assert [x.tolist() for x in t(texts)] == [token_ids(x) for x in texts]
+
+
+def test_pipeline_stages(spark, odd, odd_docs):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    columns = docs.columns
+    kept = []
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        path = corpus_pipeline.scratch(spark, name)
+        stage(spark, docs, odd).write.parquet(path)
+        after = spark.read.parquet(path)
+        before, rows = docs.collect(), after.collect()
+        kept.append(len(rows))
+        if n < 4:
+            assert after.columns == columns
+        if n == 1:
+            ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+            sets = [shingle_set(r["text"]) for r in rows if r["doc_id"] is not None and shingle_set(r["text"])]
+            assert len(ids) == len(set(ids))
+            assert not any(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+        if n == 2:
+            items = [shingle_set(r["text"]) for r in spark.read.parquet(f"{odd}/benchmark.parquet").collect()]
+            leaks = lambda t: any(q and len(q & shingle_set(t)) >= 0.8 * len(q) for q in items)
+            assert by_text(r for r in before if r["doc_id"] is None or not leaks(r["text"])) == by_text(rows)
+        if n == 3:
+            assert len(rows) == len(before) and not any(base_spans(r["text"] or "") for r in rows)
+        docs = after
+    assert kept[0] >= kept[1] >= kept[2] == kept[3]
+    assert sum(r["length"] for r in rows) == sum(len(token_ids(r["text"])) for r in before)
+
+
+def test_features_do_not_depend_on_the_batch():
+    import numpy as np
+
+    from quillspark.llm.op07_quality_classifier import features
+
+    texts = ["a b c\nd e", None, "", "X!! Y!!\nX!! Y!!", "ü" * 50]
+    whole = features(pa.array(texts))
+    assert np.allclose(whole, np.concatenate([features(pa.array([t], pa.string())) for t in texts]))

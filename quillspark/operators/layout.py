@@ -123,9 +123,13 @@ def heading_levels(blocks: DataFrame, body: DataFrame) -> DataFrame:
     return big.withColumn("level", F.least(F.lit(3), F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size")))))
 
 
-def classified(blocks: DataFrame, body: DataFrame, levels: DataFrame) -> DataFrame:
-    """Adds kind (heading, list, paragraph), level, marker and ordered to blocks of text, size, bold and n_segments."""
-    joined = blocks.join(body, "doc_id", "left").join(levels, ["doc_id", "size"], "left")
+def classified(blocks: DataFrame, body: DataFrame) -> DataFrame:
+    """Adds kind (heading, list, paragraph), level, marker and ordered to blocks of text, size, bold and n_segments.
+
+    Sizes above the body's come first by falling size, so the rank of a size among all of them is its heading level.
+    """
+    level = F.least(F.lit(3), F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))
+    joined = blocks.join(body, "doc_id", "left").withColumn("level", level)
     base = F.coalesce("body", F.lit(11.0))
     listed = F.col("text").rlike(BULLET)
     large = F.col("size") >= base * 1.15

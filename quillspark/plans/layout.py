@@ -99,8 +99,14 @@ blocks as (select doc_id, page, line, segment, kind, case when kind = 'heading'
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as blocks, classified."""
     segs = L.segment_text(_segments(spark, sf_dir)).withColumn("n_segments", F.lit(1))
-    body = L.body_size(runs(spark, sf_dir))
-    return L.classified(segs, body, L.heading_levels(segs, body))
+    return L.classified(segs, L.body_size(runs(spark, sf_dir)))
+
+
+@query(_RUNS + _BODY + "select distinct doc_id, r.size, least(3, dense_rank() over (partition by doc_id order by r.size desc))::bigint as level from (select distinct doc_id, size from runs) r join body using (doc_id) where r.size >= body * 1.15")
+def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of the sizes above the body's."""
+    r = runs(spark, sf_dir)
+    return L.heading_levels(r, L.body_size(r)).withColumn("level", F.col("level").cast("long"))
 
 
 @query(_BLOCKS + "select doc_id, page, line, segment::bigint as segment, kind, level::bigint as level, ordered, md5(text) as digest from blocks")

@@ -146,12 +146,12 @@ def stacked_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.stacked(s, "l_returnflag", "series", "v")
 
 
-@query("""with t as (select o_orderkey, o_totalprice as v from orders) select o_orderkey, regexp_replace(regexp_replace(format('{:.2f}', round(v / 1000, 2)), '0+$', ''), '\\.$', '') as plain,
+@query("""with t as (select o_orderkey, o_totalprice as v from orders) select o_orderkey, regexp_replace(regexp_replace(format('{:.2f}', floor(v / 10 + 0.5) / 100), '0+$', ''), '\\.$', '') as plain,
     case when v >= 1000 then format('{:,d}', trunc(v)::bigint) else regexp_replace(regexp_replace(format('{:.2f}', v), '0+$', ''), '\\.$', '') end as thousands from t""")
 def chart_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of axis values."""
     v = F.col("o_totalprice")
-    return read(spark, sf_dir, "orders").select("o_orderkey", N.tick(F.round(v / 1000, 2), "0").alias("plain"), N.tick(v, "#,##0").alias("thousands"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", N.tick(F.floor(v / 10 + 0.5) / 100, "0").alias("plain"), N.tick(v, "#,##0").alias("thousands"))
 
 
 @query("""with k as (select c_custkey, case c_custkey % 5 when 0 then 'arabicPeriod' when 1 then 'arabicParenBoth' when 2 then 'alphaUcPeriod' when 3 then 'alphaLcParenR' else 'arabicPlain' end as kind, (c_custkey % 300 + 1)::int as n from customer),

@@ -1,8 +1,10 @@
 """Every registered query runs; those with SQL give the rows that DuckDB gives."""
 
 import decimal
+import numbers
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -22,8 +24,10 @@ def db(sf_dir):
 def plain(v):
     if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return None
-    if isinstance(v, float | decimal.Decimal):
-        return float(v)
+    if isinstance(v, bool | np.bool_):
+        return bool(v)
+    if isinstance(v, float | decimal.Decimal | numbers.Integral):
+        return float(v)  # pandas reads integers with gaps as floats
     return tuple(v) if hasattr(v, "__len__") and not isinstance(v, str | bytes) else v
 
 

@@ -176,3 +176,28 @@ def test_over_limit_needs_an_unbroken_hour(spark, tmp_path):
 def test_ladder_has_means_between_rungs(spark):
     rungs = ladder(spark).orderBy("rung").collect()
     assert len(rungs) == 29 and (rungs[1]["dpi"], rungs[1]["quality"]) == (275.0, 0.88)
+
+
+def test_html_blocks(spark):
+    from quillspark.sources.files import html_blocks
+
+    page = "<html><head><title>t</title></head><body><nav><ul><li>menu</li></ul></nav><h1>Head &amp; line</h1><p>one<br>two <b>bold</b><p>open<ul><li>a</li><li>b</ul><script>x()</script><footer>f</footer></body>"
+    df = spark.createDataFrame([(1, page), (2, None)], "id int, html string")
+    got = [(r["kind"], r["level"], r["text"]) for r in html_blocks(df, "id", "html").orderBy("block").collect()]
+    assert got == [("heading", 1, "Head & line"), ("paragraph", 0, "one two bold"), ("paragraph", 0, "open"), ("item", 0, "a"), ("item", 0, "b")]
+
+
+def test_reading_order_goes_down_columns():
+    from quillspark.operators.order import reading_order
+
+    title = (0.0, 0.0, 400.0, 20.0, 0)
+    left = [(0.0, 40.0 + 12 * k, 150.0, 51.9 + 12 * k, 1 + k) for k in range(3)]
+    right = [(220.0, 44.0 + 12 * k, 380.0, 55.9 + 12 * k, 4 + k) for k in range(3)]
+    assert reading_order([*right, *left, title], 11.0) == [0, 1, 2, 3, 4, 5, 6]
+
+
+def test_marker_on_even_places_only(spark):
+    from quillspark.sources.files import starts_with_marker
+
+    df = spark.createDataFrame([(bytearray(b"xx%PDF"),), (bytearray(b"\x02\x55\x04\x44\x60"),), (bytearray(b"x" * 1021 + b"%PDF"),), (bytearray(b"%PD"),)], "c binary")
+    assert [r[0] for r in df.select(starts_with_marker(F.col("c"))).collect()] == [True, False, False, False]

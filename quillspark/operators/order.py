@@ -51,7 +51,7 @@ def ordered(blocks: DataFrame, key: list[str], number: str, unit: str) -> DataFr
     def order(boxes: pa.Array, units: pa.Array) -> pa.Array:
         return pa.array([reading_order([(*b.values(), i) for i, b in enumerate(own)], u) for own, u in zip(boxes.to_pylist(), units.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
-    boxes = F.sort_array(F.collect_list(F.struct(number, F.struct("x0", "y0", "x1", "y1").alias("box"))))
+    boxes = F.sort_array(F.collect_list(F.struct(F.col(number).alias("n"), F.struct("x0", "y0", "x1", "y1").alias("at"))))
     pages = blocks.groupBy(*key).agg(boxes.alias("b"), F.max(unit).alias("u"))
-    placed = pages.withColumn("o", order(F.col("b.box"), F.col("u")))
-    return placed.select(*key, "b", F.posexplode("o").alias("place", "k")).select(*key, F.get(F.col(f"b.{number}"), F.col("k")).alias(number), "place")
+    placed = pages.withColumn("o", order(F.col("b.at"), F.col("u")))
+    return placed.select(*key, "b", F.posexplode("o").alias("place", "k")).select(*key, F.get(F.col("b.n"), F.col("k")).alias(number), "place")

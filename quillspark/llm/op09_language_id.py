@@ -4,8 +4,8 @@ Two GRUs read windows of bytes in either direction; at every byte a softmax over
 document's probabilities are the means over all its bytes.  The network is trained in numpy by backpropagation through
 time with Adam.  Windows of a batch run in step, feature-major, so that each step is a few operations on wide arrays.
 
-Training uses at most ``MAX_DOCS`` rows per language, those with the smallest hash, and windows drawn from all of their
-bytes; prediction reads every byte of every text in windows of ``WINDOW``.
+Training uses at most ``MAX_DOCS`` rows per language, those with the smallest hash, and of each an excerpt of at most
+``MAX_CHARS / MAX_DOCS`` characters at a hashed place; prediction reads every byte of every text in windows of ``WINDOW``.
 
 Defined results: ``und`` and score 0.0 for null texts and texts without a letter; also where nothing was learned; with
 one learned language it is always that one.
@@ -29,6 +29,8 @@ WINDOW = 128
 BATCH = 4096
 MAX_DOCS = 400
 MAX_CHARS = 1_000_000
+#: The most frequent languages are learned, so that what is broadcast has at most MAX_LANGUAGES * MAX_DOCS rows.
+MAX_LANGUAGES = 1000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -185,11 +187,16 @@ def fit(texts: list[str], languages: list[str], updates: int = 300, window: int
 
 
 def train(docs: DataFrame, text: str, lang: str, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> ByteGru | None:
-    """Learns from the rows with a language: ``max_docs`` of each at most, and ``max_chars`` from all of them."""
+    """Learns from the rows with a language: ``max_docs`` of each at most, and ``max_chars`` characters of each language."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("t"), F.col(lang).alias("g"))
     mixed = labelled.withColumn("h", F.xxhash64("t"))
-    smallest = mixed.select("g", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("n") <= max_docs)
-    chosen = mixed.join(F.broadcast(smallest.select("g", "h")), ["g", "h"]).dropDuplicates(["g", "h"]).orderBy("g", "h").select("g", F.substring("t", 1, max(1, max_chars // max_docs)).alias("t"))
+    # Hashes below a bound that leaves several times the rows wanted, so that ranking sees few rows of large languages.
+    number = mixed.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "g").limit(MAX_LANGUAGES)
+    few = mixed.select("g", "h").join(F.broadcast(number), "g").where(F.col("h") / 2.0**63 + 1 <= 2 * F.least(F.lit(1.0), 8.0 * max_docs / F.col("rows")))
+    smallest = few.select("g", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("n") <= max_docs)
+    size = max(1, max_chars // max_docs)
+    start = 1 + F.pmod(F.col("h"), F.greatest(F.length("t") - size, F.lit(0)) + 1)
+    chosen = mixed.join(F.broadcast(smallest.select("g", "h")), ["g", "h"]).dropDuplicates(["g", "h"]).orderBy("g", "h").select("g", F.substring("t", start.cast("int"), F.lit(size)).alias("t"))
     rows = chosen.collect()
     return fit([r["t"] for r in rows], [r["g"] for r in rows]) if rows else None
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import BULLET
 from quillspark.operators import layout as L
+from quillspark.operators.tables import page_blocks, page_tables
 from quillspark.plans.registry import query
 from quillspark.sources.tables import doc_lines, read, runs
 
@@ -178,3 +179,19 @@ def page_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = rows.groupBy("doc_id").agg(F.bool_or("is_row").alias("has"))
     kept = rows.join(has, "doc_id").where("is_row or not has")
     return kept.select("doc_id", "line_no", F.when(F.col("has"), F.col("cells")).otherwise(F.array(F.array_join("cells", "|"))).alias("cells"))
+
+
+def _short_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.segment_text(_segments(spark, sf_dir)).select("doc_id", "page", "line", "x0", "x1", "y", "size", "text")
+
+
+@query()
+def detected_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the tables found on all pages."""
+    return page_tables(_short_segments(spark, sf_dir), ["doc_id", "page"])
+
+
+@query()
+def built_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text blocks of all pages."""
+    return page_blocks(_short_segments(spark, sf_dir), ["doc_id", "page"])

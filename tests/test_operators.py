@@ -201,3 +201,32 @@ def test_marker_on_even_places_only(spark):
 
     df = spark.createDataFrame([(bytearray(b"xx%PDF"),), (bytearray(b"\x02\x55\x04\x44\x60"),), (bytearray(b"x" * 1021 + b"%PDF"),), (bytearray(b"%PD"),)], "c binary")
     assert [r[0] for r in df.select(starts_with_marker(F.col("c"))).collect()] == [True, False, False, False]
+
+
+def _segment(line, x0, text, size=11.0):
+    return {"line": line, "x0": x0, "x1": x0 + 5.5 * len(text), "y": 20.0 * line, "size": size, "text": text}
+
+
+def test_one_table_between_prose(spark):
+    from quillspark.operators.tables import detect_tables, page_tables
+
+    prose = [_segment(0, 72.0, "A paragraph of prose that is wide and has one segment only on its line.")]
+    table = [_segment(1, x, t) for x, t in zip((90, 185, 250, 312), ("Region", "Units", "Revenue", "Growth"), strict=True)]
+    table += [_segment(2, x, t) for x, t in zip((90, 193, 268, 320), ("South", "980", "5", "-12%"), strict=True)]
+    rows = detect_tables([*prose, *table])
+    assert len(rows) == 1 and [[s["text"] for s in r] for r in rows[0][0]] == [["Region", "Units", "Revenue", "Growth"], ["South", "980", "5", "-12%"]]
+    two_columns = [_segment(k, x, "some words of a running text") for k in range(4) for x in (72.0, 330.0)]
+    assert detect_tables(two_columns) == []
+    df = spark.createDataFrame([(1, s["line"], float(s["x0"]), float(s["x1"]), s["y"], s["size"], s["text"]) for s in [*prose, *table]], "id int, line int, x0 double, x1 double, y double, size double, text string")
+    got = {(r["row"], r["column"]): r["text"] for r in page_tables(df, ["id"]).collect()}
+    assert got[1, 3] == "-12%" and got[0, 0] == "Region" and len(got) == 8
+
+
+def test_text_blocks_split_lists_and_columns():
+    from quillspark.operators.tables import text_blocks
+
+    segs = [_segment(1, 72.0, "First line of a para-"), _segment(2, 72.0, "graph goes on here"), _segment(1, 330.0, "Other column text"), _segment(2, 330.0, "and its second line"), _segment(3, 72.0, "- item one"), _segment(4, 72.0, "- item two")]
+    for s in segs:
+        s["y"] = s["line"] * 14.0
+    texts = sorted(tuple(s["text"] for s in b) for b in text_blocks(segs))
+    assert texts == [("- item one", "- item two"), ("First line of a para-", "graph goes on here"), ("Other column text", "and its second line")]

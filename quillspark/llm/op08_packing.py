@@ -31,6 +31,7 @@ from quillspark.llm.wordhash import slices
 WINDOW = 4096
 END_ID = 2
 GROUP_PIECES = 16_384
+SLICE = 3 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _PART = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
@@ -44,31 +45,38 @@ class WordTokenizer:
     ids in a row.  That is used for texts of Latin-1 characters without special strings; all others are encoded whole.
     """
 
-    WORDS = 700_000
+    WORDS, PARTS = 400_000, 900_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encode_all = Tokenizer.from_file(path).encode_batch_fast
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self._clear_parts()
         self._clear()
 
     def _clear(self) -> None:
+        """Words as places in arrays: the ids of word k end at ends[k]."""
         self.words: dict[str | None, int] = {None: 0}
         self.ids, self.ends = array("I", [END_ID]), array("q", [1])
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.parts) > self.WORDS:
-            self.parts = {}
+    def _clear_parts(self) -> None:
+        self.parts: dict[str, int] = {}
+        self.part_ids, self.part_ends = array("I"), array("q", [0])
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.parts) > self.PARTS:
+            self._clear_parts()
         split = {w: _PART.findall(w) for w in new}
-        unknown = list({p for parts in split.values() for p in parts if p not in self.parts})
-        if unknown:
-            for p, e in zip(unknown, self.encode_all(unknown, add_special_tokens=False), strict=True):
-                self.parts[p] = tuple(e.ids)
+        unknown = list({p for parts in split.values() for p in parts}.difference(self.parts))
+        for p, e in zip(unknown, self.encode_all(unknown, add_special_tokens=False), strict=True):
+            self.parts[p] = len(self.part_ends) - 1
+            self.part_ids.extend(e.ids)
+            self.part_ends.append(len(self.part_ids))
         for w, parts in split.items():
             self.words[w] = len(self.ends)
             for p in parts:
-                self.ids.extend(self.parts[p])
+                k = self.parts[p]
+                self.ids.extend(self.part_ids[self.part_ends[k] : self.part_ends[k + 1]])
             self.ends.append(len(self.ids))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
@@ -87,7 +95,7 @@ class WordTokenizer:
             else:
                 other.append(k)
         known = self.words
-        new = [w for w in dict.fromkeys(flat) if w not in known]
+        new = set(flat).difference(known)
         if new:
             self._learn(new)
         if plain:
@@ -118,7 +126,7 @@ def tokenized(df: DataFrame, key: str, text: str, path: str, window: int = WINDO
         encode = tokenizer(path)
         for b in batches:
             keys = b.column(0).to_pylist()
-            for lo, hi in slices(b.column(1)):
+            for lo, hi in slices(b.column(1), SLICE):
                 rows: list[tuple] = []
                 for k, ids in zip(keys[lo:hi], encode(b.column(1).slice(lo, hi - lo).to_pylist()), strict=True):
                     rows += [(k, a, len(p := ids[a : a + window]), zlib.crc32(p.tobytes()), len(ids)) for a in range(0, len(ids), window)]

@@ -3,13 +3,13 @@
 Documents with the same set of five-word shingles are one class and enter the join once.  A class has ``TREES`` times
 ``DEPTH`` minima; a tree is a prefix trie of one group of them, held as sorted rows.  Matches start at full depth and
 their prefix is shortened until all trees together reach the target recall at the similarity asked for
-(``prefix_depth``); classes under the same shortened prefix are candidates of each other.  Large prefixes (more than
-``SMALL`` classes) are read in trie order: a class meets its nearest neighbours there, those with the longest common
-prefix, in every tree.  Candidates are verified exactly on their sets of shingles.  Verified links make components by
-alternating star contraction; only ids move there.
+(``prefix_depth``); classes under the same shortened prefix are candidates of each other, all of them.  Under prefixes
+of up to ``SMALL`` classes the pairs are listed and joined with their sets of shingles.  Larger prefixes are cut into
+blocks of about ``BLOCK`` classes, every pair of blocks is one row group that carries the sets, and all its pairs are
+verified there by products of incidence matrices; a pair that shares several large prefixes counts under the first.
+Verification is exact in both.  Verified links make components by alternating star contraction; only ids move there.
 
-Rows are dealt by range of (tree, prefix, rest, id), so that a prefix that holds a third of all rows is spread over
-as many tasks as any other third.  A prefix cut by a border of two ranges loses pairs across it in that tree only.
+Work in a large prefix grows with the square of its classes, as the links do, but is spread by pairs of blocks.
 
 Defined results: null and empty texts have no shingles, link to nothing and are their own class; a text of fewer than
 five words is one shingle; repeated texts share class and links and are counted in n_copies; a null key never
@@ -32,8 +32,11 @@ from quillspark.llm.wordhash import mix, shingles, slices, words
 TREES, DEPTH = 16, 8
 RECALL = 0.999
 SMALL = 24
-NEAR = 2
-RANGE_ROWS = 100_000
+#: Classes, and shingles, of a block of a large prefix.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Columns of an incidence matrix at a time.
+COLUMNS = 8192
+TASK_ROWS = 100_000
 
 
 def prefix_depth(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -78,22 +81,16 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among sorted rows (id, tree and signature): pairs of ids under a common prefix."""
-    table = pa.Table.from_batches(list(batches), pa.schema([("k", pa.int64()), ("b", pa.binary())]))
-    n = table.num_rows
-    if n < 2:
+    """All pairs of ids under a common prefix, of rows (id, tree, hash of the prefix) sorted by tree and hash."""
+    own = list(batches)
+    if sum(b.num_rows for b in own) < 2:
         return
-    k = table["k"].to_numpy()
-    column = table["b"].combine_chunks()
-    wide = 1 + 4 * DEPTH
-    cells = np.frombuffer(column.buffers()[2], np.uint8)[column.offset * wide : (column.offset + n) * wide].reshape(n, wide)
-    shared = 1 + 4 * prefix_depth()
-    same = (cells[1:, :shared] == cells[:-1, :shared]).all(axis=1)
-    bucket = np.concatenate(([0], np.cumsum(~same)))
-    size = np.bincount(bucket)[bucket]
+    table = pa.Table.from_batches(own)
+    k, tree, p = (table[c].to_numpy() for c in ("k", "tree", "p"))
+    bucket = np.concatenate(([0], np.cumsum((tree[1:] != tree[:-1]) | (p[1:] != p[:-1]))))
     found = []
-    for d in range(1, SMALL):
-        near = np.flatnonzero((bucket[d:] == bucket[:-d]) & ((size[d:] <= SMALL) | (d <= NEAR)))
+    for d in range(1, len(k)):
+        near = np.flatnonzero(bucket[d : len(k)] == bucket[: len(k) - d])
         if not len(near):
             break
         found.append(np.column_stack((k[near], k[near + d])))
@@ -103,6 +100,63 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered ``x`` with those numbered ``y``."""
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    left, right = ([sets[i] for i in rows] for rows in (x, y))
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for part in (left, right):
+        hashes, row = np.concatenate(part), np.repeat(np.arange(len(part)), [len(h) for h in part])
+        at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
+        own = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
+        order = np.argsort(at[own], kind="stable")
+        sides.append((at[own][order], row[own][order], len(part)))
+    for lo in range(0, len(common), COLUMNS):
+        wide = min(COLUMNS, len(common) - lo)
+        ones = []
+        for at, row, n in sides:
+            f, t = np.searchsorted(at, (lo, lo + wide))
+            m = np.zeros((n, wide), dtype=np.float32)
+            m[row[f:t], at[f:t] - lo] = 1
+            ones.append(m)
+        out += ones[0] @ ones[1].T
+    return out
+
+
+def _block_links(least: float):
+    """Of two blocks of a large prefix, every linked class with its partners and the least class of its part."""
+
+    def links(table: pa.Table) -> pa.Table:
+        k, side = table["k"].to_numpy(), table["side"].to_numpy()
+        tree, within = table["tree"][0].as_py(), table["i"][0] == table["j"][0]
+        at = table["at"].combine_chunks().flatten().fill_null(0).to_numpy().reshape(len(k), TREES)
+        sets = [np.frombuffer(h, np.uint64) for c in table["set"].chunks for h in (v.as_buffer() for v in c)]
+        n = np.array([len(h) for h in sets])
+        x, y = (np.arange(len(k)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        open_ = k[x][:, None] < k[y] if within else k[x][:, None] != k[y]
+        for t in range(tree):
+            open_ &= (at[x, t][:, None] != at[y, t]) | (at[x, t] == 0)[:, None]
+        open_ &= np.minimum(n[x][:, None], n[y]) >= least * np.maximum(n[x][:, None], n[y]) - 1e-9
+        rows, columns = open_.any(axis=1), open_.any(axis=0)
+        x, y, open_ = x[rows], y[columns], open_[rows][:, columns]
+        if not len(x):
+            return pa.table({"v": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64())), "low": pa.array([], pa.int64())})
+        shared = _shared(sets, x, y).astype(np.float64)
+        i, j = np.nonzero(open_ & (shared >= least * (n[x][:, None] + n[y] - shared) - 1e-9))
+        a, b = np.concatenate((x[i], y[j])), np.concatenate((y[j], x[i]))
+        low, before = k.copy(), None
+        while before is None or (low != before).any():
+            before = low.copy()
+            np.minimum.at(low, a, before[b])
+        order = np.argsort(a, kind="stable")
+        own, first = np.unique(a[order], return_index=True)
+        near = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.array(k[b[order]]))
+        return pa.table({"v": pa.array(k[own]), "near": near, "low": pa.array(low[own])})
+
+    return links
+
+
 def _similar(least: float):
     @F.arrow_udf("boolean")
     def similar(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -147,13 +201,19 @@ def jaccard_join(docs: DataFrame, key: str, text: str, least: float = SIMILARITY
     classes = written(
         signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("s").alias("s")), "classes"
     )
-    wide = 4 * DEPTH
-    rows = classes.where("rep is not null").select("rep", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "s")
-    cell = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.substring("s", F.col("tree") * wide + 1, F.lit(wide)))
-    ranges = max(1, -(-classes.count() * TREES // RANGE_ROWS), docs.sparkSession.sparkContext.defaultParallelism)
-    trees = rows.select(F.col("rep").alias("k"), cell.alias("b")).repartitionByRange(ranges, "b", "k").sortWithinPartitions("b", "k")
-    pairs = written(trees.mapInArrow(_neighbours, "a long, b long").distinct(), "candidates")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "candidate-keys")
+    wide, deep = 4 * DEPTH, 4 * prefix_depth(least)
+    rows = classes.where("rep is not null").select("rep", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "s")
+    cells = rows.select(F.col("rep").alias("k"), "n", "tree", F.xxhash64("tree", F.substring("s", F.col("tree") * wide + 1, F.lit(deep))).alias("p"))
+    counted = cells.groupBy("tree", "p").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where(F.col("members") > SMALL)
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    large = written(counted.select("tree", "p", blocks.alias("blocks")), "large-prefixes")
+    held = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
+    tasks = max(1, -(-classes.count() * TREES // TASK_ROWS), docs.sparkSession.sparkContext.defaultParallelism)
+    small = cells.join(held, ["tree", "p"], "left_anti").select("k", "tree", "p").repartition(tasks, "tree", "p").sortWithinPartitions("tree", "p", "k")
+    pairs = written(small.mapInArrow(_neighbours, "a long, b long").distinct(), "candidates")
+    places = cells.join(held, ["tree", "p"]).select("k", "tree", "p", "blocks").dropDuplicates(["k", "tree"])
+    places = written(places.groupBy("k").agg(F.collect_list(F.struct("tree", "p", "blocks")).alias("places")), "places")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("k")).union(places.select("k")).distinct(), "candidate-keys")
     few = wanted.count() <= BROADCAST_KEYS
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(wanted) if few else wanted, "k", "left_semi")
 
@@ -165,11 +225,23 @@ def jaccard_join(docs: DataFrame, key: str, text: str, least: float = SIMILARITY
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["k", "set"])
 
     sets = written(texts.mapInArrow(collect_sets, "k long, set binary"), "sets").dropDuplicates(["k"])
+    by_tree = F.map_from_entries(F.transform("places", lambda x: F.struct(x["tree"], x["p"])))
+    at = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.try_element_at(by_tree, t)).alias("at")
     left, right = sets.select(F.col("k").alias("a"), F.col("set").alias("x")), sets.select(F.col("k").alias("b"), F.col("set").alias("y"))
-    checked = pairs.join(left, "a").join(right, "b")
-    links = written(checked.where(_similar(least)("x", "y")).select("a", "b"), "links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(links).withColumnRenamed("v", "rep")
+    # Pairs that share a large prefix are verified in its blocks.
+    met = places.select("k", F.transform("places", lambda x: x["p"]).alias("p"))
+    open_ = pairs.join(met.select(F.col("k").alias("a"), F.col("p").alias("p_a")), "a", "left").join(met.select(F.col("k").alias("b"), F.col("p").alias("p_b")), "b", "left")
+    open_ = open_.where(~F.coalesce(F.arrays_overlap("p_a", "p_b"), F.lit(False))).select("a", "b")
+    checked = open_.join(left, "a").join(right, "b")
+    listed = written(checked.where(_similar(least)("x", "y")).select("a", "b"), "links")
+    dealt = places.select("k", at, F.explode("places").alias("place")).join(sets, "k").select("k", "at", "set", "place.*")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("tree", "p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "k", "at", "set")
+    packed = written(dealt.groupBy("tree", "p", "i", "j").applyInArrow(_block_links(least), "v long, near array<long>, low long"), "block-links")
+    links = listed.unionAll(packed.select(F.col("v").alias("a"), F.explode(F.filter("near", lambda x: x > F.col("v"))).alias("b")))
+    number = listed.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).alias("n")).unionAll(packed.select(F.col("v").alias("rep"), F.size("near").alias("n")))
+    degree = number.groupBy("rep").agg(F.sum("n").alias("n_links"))
+    roots = components(listed.unionAll(packed.where("v != low").select(F.col("v").alias("a"), F.col("low").alias("b")))).withColumnRenamed("v", "rep")
     known = classes.drop("s").join(roots, "rep", "left").join(degree, "rep", "left")
     known = known.select("d1", "d2", "n", "n_copies", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     member = signed.drop("s").join(known, ["d1", "d2", "n"], "left").select(

@@ -123,6 +123,32 @@ def test_jaccard_recall_of_near_copies(spark):
     assert len(links) > 50 and found <= links and len(found) >= 0.99 * len(links)
 
 
+def test_jaccard_links_in_large_groups(spark):
+    """Every link counts in groups of hundreds of near copies: all alike, and some alike, in one block and in two."""
+    import random
+
+    r = random.Random(5)
+    rows = []
+    for size, edits in ((700, 2), (200, 5)):
+        words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(220)]
+        for k in range(size):
+            own = words.copy()
+            for _ in range(1 + k % edits):
+                own[r.randrange(len(own))] = f"edit{k}"
+            rows.append((len(rows), " ".join(own)))
+    by_set = {}
+    for i, t in rows:
+        by_set.setdefault(frozenset(shingle_set(t)), i)
+    sets = {i: s for s, i in by_set.items()}
+    links = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    member, found = op02_jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    found = [tuple(x) for x in found.collect()]
+    assert len(set(found)) == len(found) and set(found) <= links and len(found) >= 0.999 * len(links)
+    degree = Counter(i for pair in found for i in pair)
+    got = {x["doc_id"]: x["n_links"] for x in member.collect()}
+    assert all(got[i] == degree[i] for i in sets) and max(got.values()) >= 690
+
+
 def test_url_rules(spark, odd):
     got = {r["page_id"]: r for r in collect(spark, "op3_url_filter", odd)}
     rule = lambda i: (got[i]["host"], got[i]["path"], got[i]["rule"])

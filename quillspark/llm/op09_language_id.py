@@ -4,7 +4,7 @@ Two GRUs read windows of bytes in either direction; at every byte a softmax over
 document's probabilities are the means over all its bytes.  The network is trained in numpy by backpropagation through
 time with Adam.  Windows of a batch run in step, feature-major, so that each step is a few operations on wide arrays.
 
-Training uses at most ``MAX_DOCS`` rows per language, those with the smallest hash, and of each an excerpt of at most
+Training uses at most ``MAX_DOCS`` distinct texts per language, those with the smallest hash, and of each an excerpt of at most
 ``MAX_CHARS / MAX_DOCS`` characters at a hashed place; prediction reads every byte of every text in windows of ``WINDOW``.
 
 Defined results: ``und`` and score 0.0 for null texts and texts without a letter; also where nothing was learned; with
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, read
+from quillspark.llm.common import fold, read, written
 from quillspark.llm.wordhash import buffers, slices
 
 HIDDEN = 8
@@ -159,14 +159,14 @@ def _capitals(data: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], languages: list[str], updates: int = 300, window: int = 64, batch: int = 192, rate: float = 0.02, seed: int = 9) -> ByteGru:
-    """Trains on windows drawn evenly by language from the given texts."""
+    """Trains on windows drawn in turn by language from the given texts."""
     names = sorted(set(languages))
     model = ByteGru.fresh(names)
     pool = [np.frombuffer("\n".join(t for t, g in zip(texts, languages, strict=True) if g == name).encode(), np.uint8) for name in names]
     r = np.random.Generator(np.random.PCG64(seed))
     moments = None
     for step in range(1, updates + 1):
-        y = np.arange(batch) % len(names)
+        y = ((step - 1) * batch + np.arange(batch)) % len(names)
         x = np.zeros((window, batch), dtype=np.uint8)
         live = np.zeros((window, batch), dtype=bool)
         for k in range(batch):
@@ -190,10 +190,11 @@ def train(docs: DataFrame, text: str, lang: str, max_docs: int = MAX_DOCS, max_c
     """Learns from the rows with a language: ``max_docs`` of each at most, and ``max_chars`` characters of each language."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("t"), F.col(lang).alias("g"))
     mixed = labelled.withColumn("h", F.xxhash64("t"))
-    # Hashes below a bound that leaves several times the rows wanted, so that ranking sees few rows of large languages.
-    number = mixed.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "g").limit(MAX_LANGUAGES)
-    few = mixed.select("g", "h").join(F.broadcast(number), "g").where(F.col("h") / 2.0**63 + 1 <= 2 * F.least(F.lit(1.0), 8.0 * max_docs / F.col("rows")))
-    smallest = few.select("g", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("n") <= max_docs)
+    texts = written(mixed.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")), "language-texts")
+    # Hashes below a bound that leaves eight times the texts wanted, so that ranking sees few texts of large languages.
+    number = texts.groupBy("g").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("texts")).orderBy(F.desc("rows"), "g").limit(MAX_LANGUAGES)
+    few = texts.select("g", "h").join(F.broadcast(number), "g").where(F.col("h") / 2.0**63 + 1 <= 2 * F.least(F.lit(1.0), 8.0 * max_docs / F.col("texts")))
+    smallest = few.select("g", "h").withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("n") <= max_docs)
     size = max(1, max_chars // max_docs)
     start = 1 + F.pmod(F.col("h"), F.greatest(F.length("t") - size, F.lit(0)) + 1)
     chosen = mixed.join(F.broadcast(smallest.select("g", "h")), ["g", "h"]).dropDuplicates(["g", "h"]).orderBy("g", "h").select("g", F.substring("t", start.cast("int"), F.lit(size)).alias("t"))

@@ -328,6 +328,18 @@ def test_language_id(spark, odd, odd_docs, sf_dir):
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
+def test_languages_of_many_copies_are_learned(spark):
+    rows = [(f"{g} " * 30, g) for g in ("aa", "bb", "cc", "dd") for _ in range(200)]
+    model = op09_language_id.train(spark.createDataFrame(rows, "t string, g string"), "t", "g", max_docs=1)
+    assert model is not None and model.languages == ["aa", "bb", "cc", "dd"]
+
+
+def test_all_languages_take_their_turn():
+    names = ["a", "b", "c"]
+    model = op09_language_id.fit([n * 200 for n in names], names, updates=60, batch=2)
+    assert model.predict(pa.array([n * 50 for n in names])).argmax(axis=1).tolist() == [0, 1, 2]
+
+
 def test_gradients():
     import numpy as np
 

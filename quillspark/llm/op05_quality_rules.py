@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read
+from quillspark.llm.common import BROADCAST_KEYS, read, written
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^\p{L}\p{N}_\x20\x09-\x0D]+"
@@ -81,20 +82,42 @@ def exploded(df: DataFrame, text: str, buckets: int) -> DataFrame:
     return df.withColumns({"b1": F.when(a.isNotNull(), of(a)), "b2": F.when(b.isNotNull(), of(a, b))}).drop("__pair")
 
 
-def fit(df: DataFrame, text: str, trusted: Column, buckets: int = 16384) -> list[float]:
-    """Log ratios of the buckets: share among rows where ``trusted`` holds over share among all rows, add-one smoothed."""
+def counts(df: DataFrame, text: str, trusted: Column, buckets: int) -> dict[int, tuple[int, int]]:
+    """By bucket the number of n-grams among all rows and among those where ``trusted`` holds."""
     grams = exploded(df.select(F.coalesce(trusted, F.lit(False)).alias("trusted"), F.col(text).alias("text")), "text", buckets)
     both = grams.select("trusted", F.stack(F.lit(2), "b1", "b2").alias("bucket")).where("bucket is not null")
+    rows = both.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target")).collect()
+    return {r["bucket"]: (r["raw"], r["target"]) for r in rows}
+
+
+def fit(parts: Iterable[DataFrame], text: str, trusted: Column, buckets: int = 16384) -> list[float]:
+    """Log ratios of the buckets: share among rows where ``trusted`` holds over share among all rows, add-one smoothed.
+
+    The rows come in parts, each counted by itself, whose counts are summed.
+    """
     raw, target = [1.0] * buckets, [1.0] * buckets
-    for r in both.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target")).collect():
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["target"]
+    for df in parts:
+        for bucket, (n, good) in counts(df, text, trusted, buckets).items():
+            raw[bucket] += n
+            target[bucket] += good
     if sum(target) == buckets:
         return [0.0] * buckets
     shift = math.log(sum(raw)) - math.log(sum(target))
     return [math.log(a) - math.log(b) + shift for a, b in zip(target, raw, strict=True)]
 
 
+def marked(docs: DataFrame, good: DataFrame, key: str) -> Iterator[DataFrame]:
+    """The documents in parts, with ``good`` where their key is among the given distinct keys, which are written.
+
+    A part has the rows and the keys of one hash value, so that about ``BROADCAST_KEYS`` keys are broadcast at a time,
+    every row belongs to exactly one part, and no text is shuffled.
+    """
+    parts = max(1, -(-good.count() // BROADCAST_KEYS))
+    of = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(parts))
+    for k in range(parts):
+        yield docs.where(of == k).join(F.broadcast(good.where(of == k).withColumn("good", F.lit(True))), key, "left")
+
+
 def with_ratio(df: DataFrame, text: str, ratios: list[float]) -> DataFrame:
     """Adds ``log_ratio``, the mean log ratio over a text's n-grams (0.0 without any), and drops the text.
 
@@ -110,8 +133,6 @@ def with_ratio(df: DataFrame, text: str, ratios: list[float]) -> DataFrame:
     return rows.groupBy("__row", *keep).agg(mean.alias("log_ratio")).drop("__row")
 
 
-#: The trusted target is at most so many labelled documents, those with the smallest hash; its keys are broadcast.
-MAX_TRUSTED = 20_000
 #: Mean log ratio below which a document fails.
 THRESHOLD = -0.25
 
@@ -119,9 +140,8 @@ THRESHOLD = -0.25
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with base counts and the verdict; trusted are the documents that labels mark as good."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64(F.lit("trusted"), "doc_id"), "doc_id").limit(MAX_TRUSTED).withColumn("good", F.lit(True))
-    ratios = fit(docs.join(F.broadcast(good), "doc_id", "left"), "text", F.col("good"))
+    good = written(read(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "good")
+    ratios = fit(marked(docs, good, "doc_id"), "text", F.col("good"))
     scored = with_ratio(base_columns(docs, "text"), "text", ratios)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).select(

@@ -13,7 +13,7 @@ import pytest
 
 import corpus_pipeline
 from quillspark import llm
-from quillspark.llm import op01_lm_scoring, op02_jaccard_join, op03_url_filter, op04_decontamination, op06_pii, op08_packing, op09_language_id, op10_token_counts
+from quillspark.llm import op01_lm_scoring, op02_jaccard_join, op03_url_filter, op04_decontamination, op05_quality_rules, op06_pii, op08_packing, op09_language_id, op10_token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 QUERIES = llm.queries()
@@ -218,6 +218,18 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+def test_quality_rules_count_all_good_documents(spark, tmp_path, monkeypatch):
+    """Where all documents are good, target and raw counts are equal, also beyond 20,000 and in parts."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(op05_quality_rules, "BROADCAST_KEYS", 6000, raising=False)
+    ids = spark.range(20_500).select(F.col("id").alias("doc_id"))
+    ids.withColumn("text", F.concat(F.lit("w"), "doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    ids.withColumn("quality", F.lit(1)).write.parquet(f"{tmp_path}/labels.parquet")
+    got = collect(spark, "op5_quality_rules", str(tmp_path))
+    assert len(got) == 20_500 and all(r["log_ratio"] == 0 for r in got)
+
+
 def base_spans(t):
     digits = lambda m: re.sub("[^0-9]", "", m.group())
     out = [f"email:{m.start()}:{m.end()}" for m in EMAIL.finditer(t)]

@@ -1,8 +1,8 @@
 """Packing by best-fit decreasing.
 
-Texts become token ids with an end id; a document longer than the window is first cut into full windows, and what is
-left of it is one more piece.  Pieces are dealt by hash into groups of about ``group_pieces`` and every group is packed
-by itself: longest piece first, each into the open window with the least room that still holds it, found by a segment
+Texts become token ids with an end id, through a cache of parts that is bounded in bytes; a document longer than the window is first cut into full windows, and what is
+left of it is one more piece.  Pieces are dealt by hash, with their place among the rows so that equal rows do not meet,
+into groups of about ``group_pieces`` and every group is packed by itself: longest piece first, each into the open window with the least room that still holds it, found by a segment
 tree over the remaining capacities.  A group is bounded, so no task sees more than its share; with thousands of pieces
 in a group the waste differs little from that of one group.
 
@@ -12,8 +12,10 @@ rows.  Sequence ids are unique, not gapless: the group in the high 32 bits, the
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,89 +36,140 @@ GROUP_PIECES = 16_384
 SLICE = 3 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
-_PART = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 _PLAIN = re.compile(r"[\t-\r -~¡-ÿ]*")
+#: How a tokenizer file must normalise and split for texts to be encoded by parts.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts longer than this are cut behind white space; no token crosses it.
+LONG = 1 << 20
+_CUT = re.compile(r"[ \n](?=[!-~])")
 
+GAP, LETTER, DIGIT, OTHER = range(4)
 
-class WordTokenizer:
-    """Ids of whole texts through a cache of words.
 
-    The tokenizer lower-cases, drops white space and never lets a token span a word, so that a text's ids are its words'
-    ids in a row.  That is used for texts of Latin-1 characters without special strings; all others are encoded whole.
-    """
+def _kinds() -> np.ndarray:
+    """GAP, LETTER, DIGIT or OTHER for every character of Latin-1."""
+    of = lambda c: GAP if c.isspace() else LETTER if c.isalpha() else DIGIT if unicodedata.category(c)[0] == "N" else OTHER
+    return np.array([of(chr(c)) for c in range(256)], dtype=np.uint8)
+
+
+_KIND = _kinds()
+_FOLD = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], dtype=np.uint8)
 
-    WORDS, PARTS = 400_000, 900_000
 
-    def __init__(self, path: str):
+def split_parts(texts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Lower-case parts of texts of Latin-1 characters, and ``first``: those of text i are ``first[i]:first[i + 1]``.
+
+    A part is a contraction such as 's, a run of letters, one digit, or a run of other marks.
+    """
+    blob = "\n".join([*texts, "\n\n"]).encode()
+    data = _FOLD[np.frombuffer(blob, np.uint8)]
+    lead = np.flatnonzero(data >= 0xC2)
+    follow = data[lead + 1]
+    data[lead + 1] = np.where((data[lead] == 0xC3) & (follow < 0x9F) & (follow != 0x97), follow + 0x20, follow)
+    kind = _KIND[data]
+    kind[lead] = kind[lead + 1] = _KIND[((data[lead] & 3) << 6) | (data[lead + 1] & 63)]
+    start = np.empty(len(data), dtype=bool)
+    start[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == DIGIT
+    start &= (kind != GAP) & ((data & 0xC0) != 0x80)
+    mark = np.flatnonzero(data[:-3] == 0x27)
+    mark = mark[(mark == 0) | (kind[mark - 1] != OTHER)]
+    a, b = data[mark + 1], data[mark + 2]
+    one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+    two = ((b == ord("e")) & ((a == ord("r")) | (a == ord("v")))) | ((a == ord("l")) & (b == ord("l")))
+    start[mark[one | two] + 1] = False
+    behind = np.concatenate((mark[one] + 2, mark[two] + 3))
+    start[behind] |= kind[behind] == LETTER
+    solid = kind != GAP
+    places = np.flatnonzero(start[solid])
+    offsets = np.append(places, np.count_nonzero(solid)).astype(np.int64)
+    parts = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(offsets), pa.py_buffer(data[solid]))
+    edges = np.cumsum([0, *(len(t.encode()) + 1 for t in texts)])
+    return parts, np.searchsorted(np.flatnonzero(start), edges)
+
+
+class PartTokenizer:
+    """Ids of whole texts through a cache of parts, bounded in bytes.
+
+    The tokenizer lower-cases, drops white space and never lets a token span two parts, so that a text's ids are its
+    parts' ids in a row.  That is used for texts of Latin-1 characters without special strings, where the file's own
+    rules are the ones known here; all others are encoded whole.
+    """
+
+    def __init__(self, path: str, cache_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.encode_all = Tokenizer.from_file(path).encode_batch_fast
-        self._clear_parts()
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_parts = (rules.get("normalizer") or {}).get("normalizers") == _NORMALIZER and steps[0].get("pattern") == {"Regex": _SPLIT} and not rules.get("post_processor")
+        self.cache_bytes = cache_bytes
         self._clear()
 
     def _clear(self) -> None:
-        """Words as places in arrays: the ids of word k end at ends[k]."""
-        self.words: dict[str | None, int] = {None: 0}
-        self.ids, self.ends = array("I", [END_ID]), array("q", [1])
-
-    def _clear_parts(self) -> None:
-        self.parts: dict[str, int] = {}
-        self.part_ids, self.part_ends = array("I"), array("q", [0])
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.parts) > self.PARTS:
-            self._clear_parts()
-        split = {w: _PART.findall(w) for w in new}
-        unknown = list({p for parts in split.values() for p in parts}.difference(self.parts))
-        for p, e in zip(unknown, self.encode_all(unknown, add_special_tokens=False), strict=True):
-            self.parts[p] = len(self.part_ends) - 1
-            self.part_ids.extend(e.ids)
-            self.part_ends.append(len(self.part_ids))
-        for w, parts in split.items():
-            self.words[w] = len(self.ends)
-            for p in parts:
-                k = self.parts[p]
-                self.ids.extend(self.part_ids[self.part_ends[k] : self.part_ends[k + 1]])
+        """Parts as places in an array of ids: those of part k end at ends[k]; part 0 is the end id."""
+        self.places: dict[str | None, int] = {None: 0}
+        self.ids, self.ends, self.held = array("I", [END_ID]), array("q", [1]), 0
+
+    def _learn(self, parts: list[str]) -> None:
+        for p, e in zip(parts, self.encode_all(parts, add_special_tokens=False), strict=True):
+            self.places[p] = len(self.ends)
+            self.ids.extend(e.ids)
             self.ends.append(len(self.ids))
+            self.held += 170 + len(p) + 4 * len(e.ids)
+
+    def _by_parts(self, texts: list[str]) -> list[np.ndarray]:
+        parts, first = split_parts(texts)
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if self.held > self.cache_bytes:
+            self._clear()
+        if new := [p for p in names if p not in self.places]:
+            self._learn(new)
+        place = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))
+        at = np.insert(place[coded.indices.to_numpy()], first[1:], 0)
+        first = first + np.arange(len(first))
+        ends = np.frombuffer(self.ends, np.int64)
+        begins = np.concatenate(([0], ends[:-1]))
+        size = (ends - begins)[at]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(begins[at] - total[:-1], size) + np.arange(total[-1])].astype("<u4")
+        cut = total[first]
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _one(self, text: str) -> np.ndarray:
+        """A long text in pieces that end with white space."""
+        out, at = [], 0
+        while at < len(text):
+            found = _CUT.search(text, at + LONG)
+            to = found.end() if found else len(text)
+            out.append(self([text[at:to]])[0][:-1])
+            at = to
+        return np.concatenate([*out, np.array([END_ID], "<u4")])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, with the end id."""
-        if len(self.words) > self.WORDS:
-            self._clear()
         out: list[np.ndarray | None] = [None] * len(texts)
-        flat: list[str | None] = []
-        bounds, plain, other = [0], [], []
+        plain, other = [], []
         for k, t in enumerate(texts):
-            if _PLAIN.fullmatch(t) and "<|" not in t:
-                flat += t.lower().split()
-                flat.append(None)
-                bounds.append(len(flat))
-                plain.append(k)
+            if len(t) > LONG and _CUT.search(t, LONG):
+                out[k] = self._one(t)
             else:
-                other.append(k)
-        known = self.words
-        new = set(flat).difference(known)
-        if new:
-            self._learn(new)
-        if plain:
-            at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-            ends = np.array(self.ends)
-            begins = np.concatenate(([0], ends[:-1]))
-            size = (ends - begins)[at]
-            total = np.concatenate(([0], np.cumsum(size)))
-            ids = np.array(self.ids, dtype="<u4")[np.repeat(begins[at] - total[:-1], size) + np.arange(total[-1])]
-            cut = total[np.array(bounds)]
-            for n, k in enumerate(plain):
-                out[k] = ids[cut[n] : cut[n + 1]]
+                (plain if self.by_parts and _PLAIN.fullmatch(t) and "<|" not in t else other).append(k)
+        for k, ids in zip(plain, self._by_parts([texts[k] for k in plain]), strict=True):
+            out[k] = ids
         for k, e in zip(other, self.encode_all([texts[k] for k in other], add_special_tokens=False), strict=True):
             out[k] = np.array([*e.ids, END_ID], dtype="<u4")
         return out
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
+@lru_cache(maxsize=1)
+def tokenizer(path: str) -> PartTokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordTokenizer(path)
+    return PartTokenizer(path)
 
 
 def tokenized(df: DataFrame, key: str, text: str, path: str, window: int = WINDOW) -> DataFrame:
@@ -190,7 +243,7 @@ def packed(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PI
         where, offset = best_fit(rows["length"].to_numpy(), window)
         return rows.assign(sequence_id=(rows["grp"].to_numpy().astype(np.int64) << 32) + where, offset=offset).drop(columns="grp")
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(pack, PIECES + ", sequence_id long, offset long")
 
 

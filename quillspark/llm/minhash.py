@@ -21,6 +21,9 @@ def row_minima(hashes: np.ndarray, starts: np.ndarray, factors: np.ndarray) -> n
 
 def distinct_per_row(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of every row, and their ``first``."""
+    if len(first) == 2:
+        h = np.unique(hashes)
+        return h, np.array([0, len(h)])
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     order = np.lexsort((hashes, row))
     h, r = hashes[order], row[order]

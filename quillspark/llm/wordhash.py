@@ -57,19 +57,14 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
-    data: np.ndarray
 
     @property
     def rows(self) -> int:
         return len(self.first) - 1
 
 
-def words(column: pa.Array, fold: bool = False) -> Words:
-    """Splits every row; ``fold`` lower-cases A-Z before hashing."""
-    data, offsets = buffers(column)
-    if not len(data):
-        none = np.empty(0, np.int64)
-        return Words(np.empty(0, np.uint64), none, none, np.zeros(len(offsets), np.int64), data)
+def _words_of(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of some bytes; a row starts at every offset."""
     if fold:
         data = _FOLD[data]
     solid = ~_SPACE[data]
@@ -85,16 +80,45 @@ def words(column: pa.Array, fold: bool = False) -> Words:
     after |= edge[1:]
     starts = np.flatnonzero(solid & before)
     ends = np.flatnonzero(solid & after) + 1
-    first = np.searchsorted(starts, offsets)
     if not len(starts):
-        return Words(np.empty(0, np.uint64), starts, ends, first, data)
+        return np.empty(0, np.uint64), starts, ends
     lengths = ends - starts
     heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     inside = (np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(heads, lengths)) & 4095
     with np.errstate(over="ignore"):
         value = _BYTE[data[solid]] * _POWERS[inside]
-        hashes = mix(np.add.reduceat(value, heads) + lengths.astype(np.uint64))
-    return Words(hashes, starts, ends, first, data)
+        return mix(np.add.reduceat(value, heads) + lengths.astype(np.uint64)), starts, ends
+
+
+def _space_from(data: np.ndarray, at: int) -> int:
+    """The first white space at or after ``at``, else the end."""
+    step = 1 << 16
+    while at < len(data):
+        found = np.flatnonzero(_SPACE[data[at : at + step]])
+        if len(found):
+            return at + int(found[0])
+        at += step
+    return len(data)
+
+
+def words(column: pa.Array, fold: bool = False) -> Words:
+    """Splits every row; ``fold`` lower-cases A-Z before hashing.
+
+    Rows beyond SLICE_BYTES are cut at white space and worked on in parts, so that a text of any length takes some
+    bytes for each of its words besides a fixed amount.
+    """
+    data, offsets = buffers(column)
+    parts, at = [], 0
+    while at < len(data):
+        to = _space_from(data, at + 2 * SLICE_BYTES) if len(data) - at > 4 * SLICE_BYTES else len(data)
+        own = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to, side="right")] - at
+        hashes, starts, ends = _words_of(data[at:to], own, fold)
+        parts.append((hashes, starts + at, ends + at))
+        at = to
+    if not parts:
+        parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    hashes, starts, ends = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
 def combine(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -123,6 +147,8 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     A row with at least one word but fewer than ``size`` has one shingle: all its words.
     """
     count = np.diff(w.first)
+    if len(count) == 1 and count[0] >= size:
+        return combine(w.hashes, size), np.array([0, count[0] - size + 1])
     number = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     first = np.concatenate(([0], np.cumsum(number)))
     long = count >= size

@@ -6,9 +6,11 @@ numbers of followers met once, twice and more often by context; the numbers of d
 from the merged bigrams.  Shards are ranges of a 64-bit hash, as many as the bytes of the input ask for.  Contexts that
 make up more than 1/256 of all tokens (so at most 256, and the start of a text) are salted over 64 places.
 
-Each shard is a set of sorted hash arrays in the shared folder, written once under a temporary name and renamed, so
-that a retried task does no harm.  Scoring tasks map these files into memory and look up the sorted distinct words and
-bigrams of some megabytes of text at a time; nothing of the model is broadcast but shard numbers and a few totals.
+Each shard is one file of sorted hash arrays for each of three tables in the shared folder, written once under a
+temporary name and renamed, so that a retried task does no harm.  Scoring tasks map these files into memory, at most
+``OPEN_FILES`` at a time, and look up the sorted distinct words and bigrams of some megabytes of text at a time; nothing
+of the model is broadcast but a few totals and the hot contexts.  Totals are summed in Spark; the driver gets three rows
+of them and at most 256 hot words.
 
 Order 2 is what the disk budget holds; see the README.  Defined results: a null or empty text is its end alone; with
 no training rows every count is 0 and both scores are those of the uniform distribution over the unknown token.
@@ -16,9 +18,11 @@ no training rows every count is 0 and both scores are those of the uniform distr
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -28,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, read, scratch
+from quillspark.llm.common import fold, read, scratch, written
 from quillspark.llm.wordhash import mix, slices, words
 
 SHARD_BYTES = 16 << 20
 SALTS = 64
 HOT_PARTS = 256
 FLUSH_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_000_000
+#: Files of the model that a worker holds open.
+OPEN_FILES = 128
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 START = np.uint64(0x57A2757A2757A271)
 
@@ -101,6 +108,16 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k[head], np.add.reduceat(counts[order], head) if len(head) else counts[:0], order[head]
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    most = counts.max(initial=0)
+    return counts.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint64)
+
+
+def _kinds(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3, 4, and more than 2."""
+    return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts > 2).sum())]
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens, of the tokens before them, and ``first`` of every row: its words, then its end."""
     w = words(texts, fold=True)
@@ -114,7 +131,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Store:
-    """Arrays by name in the shared folder; other than local paths are fetched to an unlinked file and mapped there."""
+    """Files of arrays in the shared folder; other than local ones are fetched once for each host and mapped there."""
 
     folder: str
 
@@ -125,31 +142,54 @@ class Store:
             path = "/" + path[5:].lstrip("/")
         return path if path.startswith("/") else None
 
-    def save(self, name: str, values: np.ndarray) -> None:
+    def save(self, name: str, columns: dict[str, np.ndarray]) -> None:
+        """The names, types and lengths of the arrays as JSON, then the arrays, each from a multiple of 8 bytes."""
+        head = json.dumps([[c, a.dtype.str, len(a)] for c, a in columns.items()]).encode()
+        head += b" " * (-len(head) % 8)
+        blobs = [np.uint64(len(head)).tobytes(), head, *(x for a in columns.values() for x in (a.tobytes(), b"\0" * (-a.nbytes % 8)))]
         if self.local:
             os.makedirs(self.local, exist_ok=True)
-            own = f"{self.local}/.{uuid.uuid4().hex}.npy"
-            np.save(own, values)
-            os.replace(own, f"{self.local}/{name}.npy")
+            own = f"{self.local}/.{uuid.uuid4().hex}"
+            with open(own, "wb") as out:
+                out.writelines(blobs)
+            os.replace(own, f"{self.local}/{name}")
             return
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(self.folder)
-        with system.open_output_stream(f"{path}/{name}.{uuid.uuid4().hex}.tmp") as out:
-            np.save(out, values)
-        system.move(out.name, f"{path}/{name}.npy")
+        own = f"{path}/{name}.{uuid.uuid4().hex}.tmp"
+        with system.open_output_stream(own) as out:
+            for blob in blobs:
+                out.write(blob)
+        system.move(own, f"{path}/{name}")
+
+    def load(self, name: str) -> dict[str, np.ndarray]:
+        """The mapped arrays of a file; none for a shard that got nothing."""
+        path = f"{self.local}/{name}" if self.local else self._fetched(name)
+        if not os.path.exists(path):
+            return {}
+        data = np.memmap(path, np.uint8, "r")
+        at = 8 + int(data[:8].view(np.uint64)[0])
+        out = {}
+        for column, kind, n in json.loads(bytes(data[8:at])):
+            size = n * np.dtype(kind).itemsize
+            out[column] = data[at : at + size].view(kind)
+            at += size + -size % 8
+        return out
 
-    def load(self, name: str) -> np.ndarray:
-        if self.local:
-            return np.load(f"{self.local}/{name}.npy", mmap_mode="r")
+    def _fetched(self, name: str) -> str:
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(self.folder)
-        with tempfile.NamedTemporaryFile(suffix=".npy") as own, system.open_input_stream(f"{path}/{name}.npy") as source:
-            while part := source.read(8 << 20):
-                own.write(part)
-            own.flush()
-            return np.load(own.name, mmap_mode="r")
+        own = f"{tempfile.gettempdir()}/{self.folder.rstrip('/').rsplit('/', 1)[-1]}"
+        os.makedirs(own, exist_ok=True)
+        if not os.path.exists(f"{own}/{name}") and system.get_file_info(f"{path}/{name}").is_file:
+            part = f"{own}/.{uuid.uuid4().hex}"
+            with open(part, "wb") as out, system.open_input_stream(f"{path}/{name}") as source:
+                while block := source.read(8 << 20):
+                    out.write(block)
+            os.replace(part, f"{own}/{name}")
+        return f"{own}/{name}"
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -174,30 +214,37 @@ class KneserNey:
     pair_types: int
     word_kinds: list[int]
     start_total: int
-    _open: dict = field(default_factory=dict, repr=False)
+    _open: OrderedDict = field(default_factory=OrderedDict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_open": {}}
-
-    def _array(self, name: str) -> np.ndarray:
-        if name not in self._open:
+        return self.__dict__ | {"_open": OrderedDict()}
+
+    def _shard(self, name: str) -> dict[str, np.ndarray]:
+        """The arrays of a file; the file used longest ago is closed for it."""
+        if name in self._open:
+            self._open.move_to_end(name)
+        else:
+            while len(self._open) >= OPEN_FILES:
+                self._open.popitem(last=False)
             self._open[name] = Store(self.folder).load(name)
         return self._open[name]
 
-    def _find(self, places: np.ndarray, keys: np.ndarray, table: str, columns: tuple[str, ...]) -> np.ndarray:
+    def _find(self, places: np.ndarray, keys: np.ndarray, table: str, columns: tuple[str, ...], key: str = "keys") -> np.ndarray:
         """Columns of the given keys, 0 where there is none; keys are sorted within their shard's range."""
         out = np.zeros((len(columns), len(keys)), dtype=np.uint64)
         shard = shard_of(places, self.shards)
         order = np.lexsort((keys, shard))
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(cuts)):
-            own = order[cuts[s] : cuts[s + 1]]
-            known = self._array(f"{table}-{s}-keys")
+        in_order = shard[order]
+        cuts = np.append(np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), in_order[1:] != in_order[:-1]))), len(keys))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[lo:hi]
+            arrays = self._shard(f"{table}-{in_order[lo]}")
+            known = arrays.get(key, keys[:0])
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
                 hit = known[at] == keys[own]
                 for c, name in enumerate(columns):
-                    out[c, own[hit]] = self._array(f"{table}-{s}-{name}")[at[hit]]
+                    out[c, own[hit]] = arrays[name][at[hit]]
         return out
 
     @cached_property
@@ -208,8 +255,18 @@ class KneserNey:
         return sum(d * n for d, n in zip(self.word_discounts, self.word_kinds, strict=True)) / self.pair_types
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
-        """n_tokens, n_known, base_score and score of every row."""
+        """n_tokens, n_known, base_score and score of every row; a row of many tokens is scored in blocks of them."""
         token, before, first = tokens(texts)
+        out = np.zeros((3, len(first) - 1))
+        for lo in range(0, len(token), BLOCK_TOKENS):
+            hi = min(lo + BLOCK_TOKENS, len(token))
+            a, b = np.searchsorted(first, lo, side="right") - 1, np.searchsorted(first, hi)
+            own = np.array(self._token_scores(token[lo:hi], before[lo:hi]))
+            out[:, a:b] += np.add.reduceat(own, np.maximum(first[a:b], lo) - lo, axis=1)
+        return {"n_tokens": np.diff(first), "n_known": out[0].astype(np.int64), "base_score": out[1], "score": out[2]}
+
+    def _token_scores(self, token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every token whether it is known, the logarithm of its share, and that of its probability."""
         w, w_at = np.unique(token, return_inverse=True)
         count = self._find(w, w, "words", ("counts",))[0].astype(np.int64)
         before_count = self._find(w, w, "before", ("counts",))[0].astype(np.int64)
@@ -220,19 +277,17 @@ class KneserNey:
         v, own = before[pair_first], token[pair_first]
         c = self._find(route(v, own, self.hot), pair, "pairs", ("counts",))[0].astype(np.int64)
         v_known, v_at = np.unique(v, return_inverse=True)
-        kinds = self._find(v_known, v_known, "contexts", ("once", "twice", "more")).astype(np.float64)
+        kinds = self._find(v_known, v_known, "pairs", ("once", "twice", "more"), "contexts").astype(np.float64)
         at = np.minimum(np.searchsorted(self.hot, v_known), len(self.hot) - 1)
         is_hot = self.hot[at] == v_known
         kinds[:, is_hot] = self.hot_kinds[:, at[is_hot]]
-        total = count[np.minimum(np.searchsorted(w, v_known), len(w) - 1)] * (w[np.minimum(np.searchsorted(w, v_known), len(w) - 1)] == v_known)
+        total = self._find(v_known, v_known, "words", ("counts",))[0].astype(np.int64)
         total = np.where(v_known == START, self.start_total, total)
         back = np.where(total > 0, (np.array(self.pair_discounts) @ kinds) / np.maximum(total, 1), 1.0)
         seen = np.maximum(total, 1)[v_at]
         p = (c - take(c, self.pair_discounts)) / seen + back[v_at] * p_word[np.searchsorted(w, own)]
         base = np.log10((count + 1) / (self.n_tokens + self.n_words + 1))
-        by_row = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.empty(0)
-        known = (count > 0).astype(np.int64)
-        return {"n_tokens": np.diff(first), "n_known": by_row(known[w_at]), "base_score": by_row(base[w_at]), "score": by_row(np.log10(p)[pair_at])}
+        return (count > 0)[w_at], base[w_at], np.log10(p)[pair_at]
 
 
 def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
@@ -277,29 +332,26 @@ def train(docs: DataFrame, text: str) -> KneserNey:
         def merge(key: tuple, group: pa.Table) -> pa.Table:
             s = key[0].as_py()
             parts = [_unpack_words(memoryview(b.as_buffer())) for b in group["block"].combine_chunks() if b.is_valid]
-            stats = [b.as_py() for b in group["stats"] if b.is_valid] if "stats" in group.column_names else []
-            if s < 0:
-                return pa.table({"kind": pa.array(["pairs"] * len(stats)), "stats": pa.array(stats, pa.list_(pa.int64()))})
+            if s < 0:  # what the merged pairs told about themselves
+                return group.select(["kind", "stats"])
             keys, counts, _ = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-            store = Store(folder)
-            store.save(f"{table}-{s}-keys", keys)
-            store.save(f"{table}-{s}-counts", counts)
-            out = [[len(keys), int(counts.sum()), *(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts > 2).sum()), s]]
-            kinds = [table]
-            if table == "words":
-                top = np.argsort(counts)[-HOT_PARTS:]
-                out.append(np.column_stack((keys[top].view(np.int64), counts[top].astype(np.int64))).reshape(-1).tolist())
-                kinds.append("top")
-            return pa.table({"kind": pa.array(kinds), "stats": pa.array(out, pa.list_(pa.int64()))})
+            Store(folder).save(f"{table}-{s}", {"keys": keys, "counts": _narrow(counts)})
+            out = [[len(keys), int(counts.sum()), *_kinds(counts)]]
+            top = np.flatnonzero(counts * HOT_PARTS > counts.sum()) if table == "words" else []  # hot ones are among these, 256 at most
+            out += [[int(keys[k].view(np.int64)), int(counts[k])] for k in top]
+            return pa.table({"kind": pa.array([table] + ["top"] * len(top)), "stats": pa.array(out, pa.list_(pa.int64()))})
 
         return merge
 
-    counted = rows.mapInArrow(count_words, "shard int, block binary").groupBy("shard").applyInArrow(merged_words("words"), "kind string, stats array<long>").collect()
-    own = [r["stats"] for r in counted if r["kind"] == "words"]
-    n_words, n_tokens = sum(s[0] for s in own), sum(s[1] for s in own)
-    written = {"words": {s[-1] for s in own}}
-    top = [(s[i], s[i + 1]) for r in counted if r["kind"] == "top" for s in [r["stats"]] for i in range(0, len(s), 2)]
-    hot = np.unique(np.array([START, *(np.int64(k).view(np.uint64) for k, c in top if c * HOT_PARTS > n_tokens)], dtype=np.uint64))
+    def totals(found: DataFrame) -> dict[str, list[int]]:
+        sums = found.where("kind in ('words', 'before', 'pairs')").groupBy("kind").agg(*(F.sum(F.get("stats", F.lit(k))).alias(f"s{k}") for k in range(7)))
+        return {r[0]: list(r[1:]) for r in sums.collect()}
+
+    counted = rows.mapInArrow(count_words, "shard int, block binary").groupBy("shard").applyInArrow(merged_words("words"), "kind string, stats array<long>")
+    counted = written(counted, "word-totals")
+    n_words, n_tokens = totals(counted).get("words", [0, 0])[:2]
+    top = counted.where("kind = 'top'").select(F.get("stats", F.lit(0)).alias("k"), F.get("stats", F.lit(1)).alias("n")).where(F.col("n") * HOT_PARTS > n_tokens).collect()
+    hot = np.unique(np.array([START, *(np.int64(r["k"]).view(np.uint64) for r in top)], dtype=np.uint64))
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, before in _gathered(batches, True):
@@ -317,45 +369,34 @@ def train(docs: DataFrame, text: str) -> KneserNey:
         del parts
         keys, counts, at = _summed(bigram_hash(v, w), c)
         v, w = v[at], w[at]
-        store = Store(folder)
-        store.save(f"pairs-{s}-keys", keys)
-        store.save(f"pairs-{s}-counts", counts.astype(np.uint8 if counts.max() < 256 else np.uint16 if counts.max() < 65536 else np.uint64))
         contexts, index = np.unique(v, return_inverse=True)
-        kinds = np.array([np.bincount(index[counts == 1], minlength=len(contexts)), np.bincount(index[counts == 2], minlength=len(contexts)), np.bincount(index[counts > 2], minlength=len(contexts))])
+        kinds = np.array([np.bincount(index[x], minlength=len(contexts)) for x in (counts == 1, counts == 2, counts > 2)]).astype(np.uint32)
         is_hot = hot[np.minimum(np.searchsorted(hot, contexts), len(hot) - 1)] == contexts
-        store.save(f"contexts-{s}-keys", contexts[~is_hot])
-        for name, values in zip(("once", "twice", "more"), kinds, strict=True):
-            store.save(f"contexts-{s}-{name}", values[~is_hot].astype(np.uint32))
-        hot_rows = np.column_stack((contexts[is_hot].view(np.int64), kinds[:, is_hot].T)).reshape(-1).tolist()
-        stats = [s, len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4)), *hot_rows]
+        columns = {"keys": keys, "counts": _narrow(counts), "contexts": contexts[~is_hot]} | dict(zip(("once", "twice", "more"), kinds[:, ~is_hot], strict=True))
+        Store(folder).save(f"pairs-{s}", columns)
+        stats = [[len(keys), int(counts.sum()), *_kinds(counts)], *np.column_stack((contexts[is_hot].view(np.int64), kinds[:, is_hot].T)).tolist()]
         word, n = np.unique(w, return_counts=True)
         blocks = [(t, _pack_words(word[x], n[x])) for t, x in _by_shard(word, shards)]
+        none = [None] * len(blocks)
         return pa.table({
-            "shard": pa.array([-1 - s % 8, *(t for t, _ in blocks)], pa.int32()), "block": pa.array([None, *(b for _, b in blocks)], pa.binary()),
-            "stats": pa.array([stats, *([None] * len(blocks))], pa.list_(pa.int64())),
+            "shard": pa.array([-1 - s] * len(stats) + [t for t, _ in blocks], pa.int32()), "block": pa.array([None] * len(stats) + [b for _, b in blocks], pa.binary()),
+            "kind": pa.array(["pairs", *["hot"] * (len(stats) - 1), *none], pa.string()), "stats": pa.array([*stats, *none], pa.list_(pa.int64())),
         })
 
-    pairs = rows.mapInArrow(count_pairs, "shard int, block binary").groupBy("shard").applyInArrow(merge_pairs, "shard int, block binary, stats array<long>")
-    counted = pairs.groupBy("shard").applyInArrow(merged_words("before"), "kind string, stats array<long>").collect()
-    own, of_pairs = [r["stats"] for r in counted if r["kind"] == "before"], [r["stats"] for r in counted if r["kind"] == "pairs"]
-    written |= {"before": {s[-1] for s in own}, "pairs": {s[0] for s in of_pairs}, "contexts": {s[0] for s in of_pairs}}
-    for table, done in written.items():  # shards that got nothing
-        for s in set(range(shards)) - done:
-            for name in ("keys", "counts", "once", "twice", "more"):
-                Store(folder).save(f"{table}-{s}-{name}", np.empty(0, np.uint64))
+    pairs = rows.mapInArrow(count_pairs, "shard int, block binary").groupBy("shard").applyInArrow(merge_pairs, "shard int, block binary, kind string, stats array<long>")
+    found = written(pairs.groupBy("shard").applyInArrow(merged_words("before"), "kind string, stats array<long>"), "pair-totals")
     hot_kinds = np.zeros((3, len(hot)))
-    for s in of_pairs:
-        for i in range(6, len(s), 4):
-            hot_kinds[:, np.searchsorted(hot, np.int64(s[i]).view(np.uint64))] += s[i + 1 : i + 4]
-    total = lambda rows, k: sum(r[k] for r in rows)
+    for r in found.where("kind = 'hot'").groupBy(F.get("stats", F.lit(0)).alias("k")).agg(*(F.sum(F.get("stats", F.lit(k))) for k in (1, 2, 3))).collect():
+        hot_kinds[:, np.searchsorted(hot, np.int64(r[0]).view(np.uint64))] = r[1:]
+    total = totals(found)
+    of_pairs, before = total.get("pairs", [0] * 7), total.get("before", [0] * 7)
     return KneserNey(
-        folder, shards, n_tokens, n_words, hot, hot_kinds, discounts([total(of_pairs, k) for k in (2, 3, 4, 5)]), discounts([total(own, k) for k in (2, 3, 4, 5)]),
-        total(of_pairs, 1), [total(own, 2), total(own, 3), total(own, 6)], n_rows,
+        folder, shards, n_tokens, n_words, hot, hot_kinds, discounts(of_pairs[2:6]), discounts(before[2:6]), of_pairs[0], [before[2], before[3], before[6]], n_rows,
     )
 
 
 def scored(df: DataFrame, text: str, model: KneserNey) -> DataFrame:
-    """Adds n_tokens, n_known, base_score and score."""
+    """Adds n_tokens, n_known, base_score and score, in place of columns of these names."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<n_tokens: bigint, n_known: bigint, base_score: double, score: double>")
@@ -366,7 +407,9 @@ def scored(df: DataFrame, text: str, model: KneserNey) -> DataFrame:
             arrays = [pa.array(np.concatenate([o[k] for o in own]) if own else [], t) for k, t in kinds.items()]
             yield pa.StructArray.from_arrays(arrays, list(kinds))
 
-    return df.withColumn("__scored", score(F.coalesce(F.col(text), F.lit("")))).select("*", "__scored.*").drop("__scored")
+    new = ["n_tokens", "n_known", "base_score", "score"]
+    found = df.withColumn("__scored", score(F.coalesce(F.col(text), F.lit(""))))
+    return found.withColumns({c: F.col("__scored")[c] for c in new}).drop("__scored")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

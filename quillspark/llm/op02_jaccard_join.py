@@ -34,6 +34,9 @@ from quillspark.llm.wordhash import mix, shingles, slices, words
 
 TREES, DEPTH = 16, 8
 RECALL = 0.9995
+#: The estimated share of missed pairs must be that many times less than the recall allows: the pairs of a group are
+#: missed together, so their number varies more than that of single pairs.
+SAFETY = 5
 SMALL = 24
 #: Classes, and shingles, of a block of a large prefix.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
@@ -58,12 +61,13 @@ def shortened(similar: DataFrame, least: float, recall: float) -> int:
     """The longest prefix that reaches the recall on the pairs there are, judged by those (j) found at full depth.
 
     One pair of the least similarity is added to them, so that where little was found the bound for any data decides.
+    The estimated share of missed pairs is multiplied by SAFETY.
     """
     floor, prior = prefix_depth(least, recall), [1 - (1 - least**d) ** TREES for d in range(DEPTH + 1)]
     full = found_at(F.col("j"), DEPTH)
     sums = similar.agg(F.sum(1 / full).alias("all"), *(F.sum(found_at(F.col("j"), d) / full).alias(f"at_{d}") for d in range(floor, DEPTH + 1))).first()
     total = (sums["all"] or 0) + 1 / prior[DEPTH]
-    reached = [d for d in range(floor, DEPTH + 1) if ((sums[f"at_{d}"] or 0) + prior[d] / prior[DEPTH]) / total >= recall]
+    reached = [d for d in range(floor, DEPTH + 1) if ((sums[f"at_{d}"] or 0) + prior[d] / prior[DEPTH]) / total >= 1 - (1 - recall) / SAFETY]
     return max(reached, default=floor)
 
 

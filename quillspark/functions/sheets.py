@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from quillspark.functions.geometry import roman
 
 
+#: Room for all digits of any double.
+WIDE = Context(prec=1100)
+
+
 def fixed(places: int):
     """Text with so many decimals of the exact binary value, halves away from zero: 1.005 gives 1.00 with two."""
     unit = Decimal(1).scaleb(-places)
 
     @F.arrow_udf("string")
     def text(x: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else str(Decimal(v).quantize(unit, ROUND_HALF_UP)) for v in x.to_pylist()], pa.string())
+        return pa.array([None if v is None else f"{Decimal(v).quantize(unit, ROUND_HALF_UP, WIDE):f}" for v in x.to_pylist()], pa.string())
 
     return text
 
@@ -55,17 +59,23 @@ def column_number(letters: Column) -> Column:
     return value - 1
 
 
+def day_and_second(serial: Column) -> tuple[Column, Column]:
+    """Whole days and seconds of a serial number; the last ten-thousandth of a second is rounded up, into the next day if need be."""
+    seconds = (serial - F.floor(serial)) * 86400
+    whole = F.floor(seconds) + (seconds - F.floor(seconds) > 0.9999).cast("int")
+    return (F.floor(serial) + (whole == 86400).cast("int")).cast("int"), F.when(whole == 86400, 0).otherwise(whole).cast("int")
+
+
 def serial_date(serial: Column) -> Column:
     """The day of a serial number as text, yyyy-mm-dd; day 60 is 1900-02-29, which does not exist, and day 0 is 1900-01-00."""
-    day = F.floor(serial).cast("int")
+    day, _ = day_and_second(serial)
     real = F.when(day > 60, F.date_add(F.lit("1899-12-30").cast("date"), day)).otherwise(F.date_add(F.lit("1899-12-31").cast("date"), day))
     return F.when((serial < 0) | (serial > 2958465), F.lit(None)).when(day == 60, "1900-02-29").when(day == 0, "1900-01-00").otherwise(F.date_format(real, "yyyy-MM-dd"))
 
 
 def serial_time(serial: Column) -> Column:
-    """The time of day of a serial number, hh:mm:ss; the last ten-thousandth of a second is rounded up."""
-    seconds = F.floor((serial - F.floor(serial)) * 86400 + 0.0001).cast("int")
-    s = F.when(seconds == 86400, 0).otherwise(seconds)
+    """The time of day of a serial number, hh:mm:ss."""
+    _, s = day_and_second(serial)
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("int"), F.floor(F.pmod(s, F.lit(3600)) / 60).cast("int"), F.pmod(s, F.lit(60)))
 
 

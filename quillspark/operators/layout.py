@@ -1,14 +1,20 @@
 """Operators that recover the structure of pages from text runs.
 
 runs: doc_id, page, run_no, text, x, y, w, size, bold.  Sorts always end with run_no, so results do not depend on the
-order in which rows arrive.  Lines are anchored on their first run, which a lag window cannot express: a fold over the
-sorted runs of a page does it.  All else is windows and aggregates.
+order in which rows arrive.  Lines are anchored on their first run, which a lag window cannot express: a walk over the
+sorted runs of a page does it.  All else is windows and aggregates, all by doc_id first, so that runs that come
+partitioned by it are not shuffled again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import pairwise
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quillspark.functions.text import BULLET, collapsed, escape_markdown
 
@@ -20,29 +26,31 @@ def upper_median(values: Column) -> Column:
     return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _anchored(ys: pa.Array, sizes: pa.Array) -> pa.Array:
+    """The line of every run of a page, runs being sorted; a line goes by its first run."""
+    ends, out = ys.offsets.to_pylist(), []
+    y, size = (a.flatten().to_pylist() for a in (ys, sizes))
+    for lo, hi in pairwise(ends):
+        line, first_y, first_size = -1, 0.0, 0.0
+        for own_y, own_size in zip(y[lo - ends[0] : hi - ends[0]], size[lo - ends[0] : hi - ends[0]], strict=True):
+            large, small = (first_size, own_size) if first_size > own_size else (own_size, first_size)
+            if line < 0 or abs(first_y - own_y) >= large * (0.6 if small < large * 0.8 else 0.4):
+                line, first_y, first_size = line + 1, own_y, own_size
+            out.append(line)
+    return pa.ListArray.from_arrays(pa.array([e - ends[0] for e in ends], pa.int32()), pa.array(out, pa.int32()))
+
+
 def lines(runs: DataFrame) -> DataFrame:
     """Adds line: runs within 0.4 sizes of the first run of the line before, 0.6 where one is much smaller.
 
-    The rows of a page are gathered and folded once; a page is a physical unit of bounded size.
+    The rows of a page, a physical unit of bounded size, are gathered and walked once, many pages in an Arrow batch.
     """
-    key = F.struct("y", "x", "run_no")
-    rows = F.sort_array(F.collect_list(F.struct(key.alias("o"), "y", "size", F.struct("run_no", "text", "x", "y", "w", "size", "bold").alias("run"))))
-    pages = runs.groupBy(*PAGE).agg(rows.alias("rows"))
-    start = F.struct(F.lit(0).alias("k"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("size"), F.array().cast("array<int>").alias("starts"))
-
-    def step(s: Column, r: Column) -> Column:
-        large, small = F.greatest(s["size"], r["size"]), F.least(s["size"], r["size"])
-        near = F.abs(s["y"] - r["y"]) < large * F.when(small < large * 0.8, 0.6).otherwise(0.4)
-        same, k = F.coalesce(near, F.lit(False)), s["k"] + 1
-        return F.struct(
-            k.alias("k"), F.when(same, s["y"]).otherwise(r["y"]).alias("y"), F.when(same, s["size"]).otherwise(r["size"]).alias("size"),
-            F.when(same, s["starts"]).otherwise(F.concat(s["starts"], F.array(k))).alias("starts"),
-        )
-
-    folded = pages.withColumn("starts", F.aggregate("rows", start, step)["starts"])
-    end = lambda i: F.coalesce(F.get(F.col("starts"), i + 1), F.size("rows") + 1)
-    cut = F.transform("starts", lambda s, i: F.struct(i.alias("line"), F.slice("rows", s, end(i) - s).alias("own")))
-    return folded.select(*PAGE, F.inline(cut)).select(*PAGE, "line", F.explode("own.run").alias("run")).select(*PAGE, "line", "run.*")
+    run = F.struct("y", "x", "run_no", "text", "w", "size", "bold")
+    pages = runs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(run)).alias("r"))
+    placed = pages.withColumn("line", _anchored(F.col("r.y"), F.col("r.size")))
+    rows = placed.select(*PAGE, F.inline(F.arrays_zip("r", "line"))).select(*PAGE, "line", "r.*")
+    return rows.select(*PAGE, "line", "run_no", "text", "x", "y", "w", "size", "bold")
 
 
 def line_boxes(lined: DataFrame) -> DataFrame:
@@ -84,6 +92,28 @@ def style_runs(segmented: DataFrame) -> DataFrame:
     return g.select(*PAGE, "line", "segment", "style", "bold", F.array_join(F.col("t.text"), " ").alias("text"))
 
 
+def emphasis(text: Column, bold: Column, italic: Column, mono: Column) -> Column:
+    """A run as Markdown: code, or escaped with stars for italic and bold; white space at its ends stays outside."""
+    core = F.regexp_replace(text, r"^\s+|\s+$", "")
+    starred = F.concat(F.when(bold, "**").otherwise(""), F.when(italic, "*").otherwise(""))
+    shown = F.when(mono, F.concat(F.lit("`"), F.replace(core, F.lit("`"), F.lit("")), F.lit("`"))).otherwise(F.concat(starred, escape_markdown(core), F.reverse(starred)))
+    return F.when(core == "", text).otherwise(F.concat(F.regexp_extract(text, r"^\s*", 0), shown, F.regexp_extract(text, r"\s*$", 0)))
+
+
+def emphasized(segmented: DataFrame) -> DataFrame:
+    """(doc_id, page, line, segment, text): segments as Markdown, neighbouring runs of one emphasis as one."""
+    key = (*PAGE, "line", "segment")
+    order = Window.partitionBy(*key).orderBy("x", "run_no")
+    end = F.max(F.col("x") + F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = (F.col("x") - end > F.col("size") * 0.15) & ~F.lag("text").over(order).rlike(r"\s$") & ~F.col("text").rlike(r"^\s")
+    changed = F.lag("bold").over(order) != F.col("bold")
+    rows = segmented.withColumns({"piece": F.concat(F.when(F.coalesce(apart, F.lit(False)), " ").otherwise(""), F.col("text")), "c": F.coalesce(changed, F.lit(False)).cast("int")}).withColumn("style", F.sum("c").over(order))
+    runs = rows.groupBy(*key, "style").agg(F.array_join(F.sort_array(F.collect_list(F.struct("x", "run_no", "piece")))["piece"], "").alias("text"), F.first("bold").alias("bold"))
+    runs = runs.withColumn("t", emphasis(F.col("text"), F.col("bold"), F.lit(False), F.lit(False)))
+    joined = runs.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("style", "t")))["t"], "").alias("text"))
+    return joined.withColumn("text", collapsed(F.col("text")))
+
+
 def merged_spans(spans: DataFrame, key: list[str]) -> DataFrame:
     """Spans x0..x1 that overlap as one; spans that only touch stay apart."""
     order = Window.partitionBy(*key).orderBy("x0", "x1")
@@ -117,20 +147,32 @@ def body_size(runs: DataFrame) -> DataFrame:
     return reached.where("before <= middle and middle < upto").select("doc_id", F.col("size").alias("body"))
 
 
+def _half(size: Column) -> Column:
+    return F.floor(size * 2 + 0.5) / 2
+
+
+def heading_sizes(blocks: DataFrame, body: DataFrame) -> DataFrame:
+    """(doc_id, body, sizes): the distinct sizes, to the half point, of 1.15 bodies and more, largest first; bodies of 11 where unknown."""
+    rows = blocks.select("doc_id", _half(F.col("size")).alias("size")).distinct().join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(11.0)))
+    large = F.collect_set(F.when(F.col("size") >= F.col("body") * 1.15, F.col("size")))
+    return rows.groupBy("doc_id").agg(F.first("body").alias("body"), F.sort_array(large, asc=False).alias("sizes"))
+
+
+def heading_level(size: Column, sizes: Column) -> Column:
+    """1 to 3: the place of the first size less than 0.6 away, 1 where there is none."""
+    return F.least(F.greatest(F.array_position(F.transform(sizes, lambda s: F.abs(s - size) < 0.6), True), F.lit(1)), F.lit(3))
+
+
 def heading_levels(blocks: DataFrame, body: DataFrame) -> DataFrame:
-    """(doc_id, size, level): distinct sizes of 1.15 bodies and more, largest first, three levels at most."""
-    big = blocks.join(body, "doc_id").where("size >= body * 1.15").select("doc_id", "size").distinct()
-    return big.withColumn("level", F.least(F.lit(3), F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size")))))
+    """(doc_id, size, level) of the sizes of headings."""
+    found = heading_sizes(blocks, body)
+    return found.select("doc_id", "sizes", F.explode("sizes").alias("size")).select("doc_id", "size", heading_level(F.col("size"), F.col("sizes")).alias("level"))
 
 
 def classified(blocks: DataFrame, body: DataFrame) -> DataFrame:
-    """Adds kind (heading, list, paragraph), level, marker and ordered to blocks of text, size, bold and n_segments.
-
-    Sizes above the body's come first by falling size, so the rank of a size among all of them is its heading level.
-    """
-    level = F.least(F.lit(3), F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))
-    joined = blocks.join(body, "doc_id", "left").withColumn("level", level)
-    base = F.coalesce("body", F.lit(11.0))
+    """Adds kind (heading, list, paragraph), level, marker and ordered to blocks of text, size, bold and n_segments."""
+    joined = blocks.join(heading_sizes(blocks, body), "doc_id", "left")
+    base = F.col("body")
     listed = F.col("text").rlike(BULLET)
     large = F.col("size") >= base * 1.15
     short = (F.col("n_segments") <= 3) & (F.length("text") < 160) & ~F.col("text").rlike("[.:;,]$")
@@ -139,9 +181,9 @@ def classified(blocks: DataFrame, body: DataFrame) -> DataFrame:
     marker = F.when(listed, F.trim(F.regexp_extract("text", BULLET, 1)))
     bare = F.regexp_replace(marker, "[.()]", "")
     return joined.withColumns({
-        "kind": kind, "level": F.when(kind == "heading", F.when(large, F.col("level")).otherwise(3)), "marker": marker,
+        "kind": kind, "level": F.when(kind == "heading", F.when(large, heading_level(F.col("size"), F.col("sizes"))).otherwise(3)), "marker": marker,
         "ordered": F.when(listed, bare.rlike("[0-9]|^[a-zA-Z]$|^[ivxIVX]+$")), "text": F.when(listed, F.regexp_replace("text", BULLET, "")).otherwise(F.col("text")),
-    }).drop("body")
+    }).drop("body", "sizes")
 
 
 def alignment(segs: DataFrame, key: list[str], page_width: float) -> DataFrame:
@@ -174,28 +216,30 @@ def chained_lines(runs: DataFrame, band: float = 0.6) -> DataFrame:
 
 
 def distinct_boxes(boxes: DataFrame, key: list[str], order: str, least: float = 24.0, near: float = 1.0) -> DataFrame:
-    """Boxes of ``least`` points both ways, without those that repeat an earlier one within ``near`` on all sides."""
+    """Boxes of ``least`` points both ways, in order, without those within ``near`` of a kept one on all sides.
+
+    What is kept depends on what was kept before, so the boxes of a page, a unit of bounded size, are folded.
+    """
+    sides = ("x0", "y0", "x1", "y1")
     large = boxes.where((F.col("x1") - F.col("x0") >= least) & (F.col("y1") - F.col("y0") >= least))
-    other = large.select(*key, *(F.col(c).alias(f"o_{c}") for c in (order, "x0", "y0", "x1", "y1")))
-    close = [F.abs(F.col(c) - F.col(f"o_{c}")) < near for c in ("x0", "y0", "x1", "y1")]
-    condition = F.col(f"o_{order}") < F.col(order)
-    for c in close:
-        condition &= c
-    keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
-    for k in keys:
-        condition &= k
-    return large.alias("a").join(other.alias("b"), condition, "left_anti")
+    pages = large.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(order, *sides))).alias("all"))
+
+    def step(kept: Column, b: Column) -> Column:
+        close = F.exists(kept, lambda k: reduce(Column.__and__, (F.abs(k[s] - b[s]) < near for s in sides)))
+        return F.when(close, kept).otherwise(F.concat(kept, F.array(b)))
+
+    return pages.select(*key, F.inline(F.aggregate("all", F.slice("all", 1, 0), step)))
 
 
 def markdown(blocks: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Markdown of classified blocks in order: #-headings, lists, paragraphs; a list ends with an empty line."""
+    """Markdown of classified blocks in order: #-headings, lists, paragraphs, tables as they are; a list ends with an empty line."""
     w = Window.partitionBy(key).orderBy(*order)
     in_list = F.when(F.col("kind") == "list", 1).otherwise(0)
     islands = blocks.withColumn("island", F.sum(F.when((in_list == 1) & (F.lag(in_list, 1, 0).over(w) == 1), 0).otherwise(1)).over(w))
     numbered = islands.withColumns({"nth": F.row_number().over(Window.partitionBy(key, "island").orderBy(*order)), "goes_on": (F.lead("kind").over(w) == "list") & (F.col("kind") == "list")})
     text = escape_markdown(F.col("text"))
     mark = F.when(F.col("ordered"), F.concat(F.col("nth").cast("string"), F.lit(". "))).otherwise("- ")
-    piece = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(3)).cast("int")), F.lit(" "), text)).when(F.col("kind") == "list", F.concat(mark, text)).otherwise(text)
+    piece = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(3)).cast("int")), F.lit(" "), text)).when(F.col("kind") == "list", F.concat(mark, text)).when(F.col("kind") == "table", F.col("text")).otherwise(text)
     ended = F.concat(piece, F.when(F.coalesce("goes_on", F.lit(False)), "\n").otherwise("\n\n"))
     rows = numbered.select(key, F.struct(*order, ended.alias("t")).alias("s")).groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("s"))
     whole = F.concat(F.rtrim(F.regexp_replace(F.array_join(F.col("s.t"), ""), "\n{3,}", "\n\n"), F.lit("\n")), F.lit("\n"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+from itertools import pairwise, zip_longest
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.geometry import half_up
@@ -40,15 +43,10 @@ def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[st
     return nodes.join(done, [*key, "id"], "left_semi")
 
 
-def ladder(spark: SparkSession) -> DataFrame:
-    """Rungs (rung, dpi, quality): the coarse ones and the means of neighbours between them."""
-    rows = []
-    for k, (d, q) in enumerate(COARSE):
-        rows.append((2 * k, d, q))
-        if k + 1 < len(COARSE):
-            e, r = COARSE[k + 1]
-            rows.append((2 * k + 1, float(int((d + e) / 2 + 0.5)), int((q + r) / 2 * 100 + 0.5) / 100))
-    return spark.createDataFrame(rows, "rung int, dpi double, quality double")
+def ladder() -> list[tuple[float, float]]:
+    """Rungs (dpi, quality): the coarse ones and, between neighbours, their means to the whole dpi and hundredth."""
+    means = [(float(math.floor((d + e) / 2 + 0.5)), math.floor((q + r) * 50 + 0.5) / 100) for (d, q), (e, r) in pairwise(COARSE)]
+    return [rung for both in zip_longest(COARSE, means) for rung in both if rung]
 
 
 def target_dims(w: Column, h: Column, shown_w: Column, shown_h: Column, dpi: Column, graphic: Column) -> tuple[Column, Column]:
@@ -70,51 +68,43 @@ def image_jobs(images: DataFrame) -> DataFrame:
     return sized.where("not stencil and not color_key and w >= 32 and h >= 32 and n_bytes >= 8000")
 
 
-def custom_level(images: DataFrame, rungs: DataFrame, key: str, target: Column) -> DataFrame:
+def kept_if_smaller(images: DataFrame, file: str) -> DataFrame:
+    """Adds kept, the encoded bytes if below 97 % of the original ones, and whether the images' file gets smaller by it."""
+    kept = F.when(F.col("encoded") < F.col("n_bytes") * KEEP_BELOW, F.col("encoded")).otherwise(F.col("n_bytes"))
+    done = images.withColumn("kept", kept)
+    files = done.groupBy(file).agg(F.when(F.sum("kept") < F.sum("n_bytes"), "smaller").otherwise("unchanged").alias("file"))
+    return done.join(files, file)
+
+
+def custom_level(images: DataFrame, rungs: list[tuple[float, float]], key: str, target: Column) -> DataFrame:
     """The first rung at which the images' estimated bytes and the rest of a document fit its target; the last rung if none does.
 
     images: key, n_bytes, pixels, other_bytes.  An encoded image has pixels * (dpi / 300)^2 * quality / 2 bytes, kept
     if below 97 % of the original; that falls from rung to rung, so the first fit is what a binary search finds.
-    The ladder has 29 rungs, so exploding it multiplies the rows by 29 before they are summed in place.
+    Every rung is one sum of the same aggregate, which shuffles one partial row for each document.
     """
-    size = F.floor(F.col("pixels") * (F.col("r.dpi") / 300) * (F.col("r.dpi") / 300) * F.col("r.quality") / 2)
-    table = F.array(*[F.struct(F.lit(r["rung"]).alias("rung"), F.lit(r["dpi"]).alias("dpi"), F.lit(r["quality"]).alias("quality")) for r in rungs.orderBy("rung").collect()])
-    each = images.withColumn("target", target).withColumn("r", F.explode(table))
-    kept = F.when(size < F.col("n_bytes") * KEEP_BELOW, size).otherwise(F.col("n_bytes"))
-    total = each.withColumn("kept", kept).groupBy(key, "r.rung").agg((F.sum("kept") + F.max("other_bytes")).alias("total"), F.max("target").alias("target"))
-    fits = F.min(F.when(F.col("total") <= F.col("target"), F.col("rung")))
-    found = total.groupBy(key).agg(fits.alias("fit"), F.max("rung").alias("last"), F.map_from_entries(F.collect_list(F.struct("rung", "total"))).alias("totals"))
-    rung = F.coalesce("fit", "last")
-    return found.select(key, rung.alias("rung"), F.element_at("totals", rung).cast("long").alias("n_bytes"), F.col("fit").isNotNull().alias("reached"))
 
+    def kept(dpi: float, quality: float) -> Column:
+        size = F.floor(F.col("pixels") * F.lit(dpi / 300) * F.lit(dpi / 300) * F.lit(quality) / 2)
+        return F.when(size < F.col("n_bytes") * KEEP_BELOW, size).otherwise(F.col("n_bytes"))
 
-def size_text(n: Column) -> Column:
-    return F.when(n >= 1048576, F.concat(F.format_string("%.2f", n / 1048576), F.lit(" MB"))).otherwise(F.concat(half_up(n / 1024).cast("string"), F.lit(" KB")))
-
+    sums = [F.sum(kept(*r)).alias(f"r{k}") for k, r in enumerate(rungs)]
+    found = images.withColumn("target", target).groupBy(key).agg(F.max("other_bytes").alias("other"), F.max("target").alias("target"), *sums)
+    totals = F.array(*(F.col(f"r{k}") + F.col("other") for k in range(len(rungs))))
+    fit = F.array_position(F.transform("totals", lambda x: x <= F.col("target")), True)
+    rung = F.when(fit > 0, fit - 1).otherwise(len(rungs) - 1).cast("int")
+    return found.select(key, totals.alias("totals"), "target").select(key, rung.alias("rung"), F.get("totals", rung).cast("long").alias("n_bytes"), (fit > 0).alias("reached"))
 
-GB = 1 << 30
 
-
-def memory_budget(total: Column) -> Column:
-    """Half of the memory, but 3 GB of it left free and 16 GB at most; 1 GB at least."""
-    return F.greatest(F.least(total * 0.5, F.greatest(total - 3 * GB, F.lit(0)), F.lit(16.0 * GB)), F.lit(float(GB))).cast("long")
-
-
-def memory_level(growth: Column, budget: Column, limit: Column, low: Column, over_ms: Column) -> Column:
-    """normal, high (from 0.7 of the limit), over, or critical: 8 s over the limit, twice the budget, or a short system."""
-    return (
-        F.when(low & (growth > 128 << 20), "critical").when(growth > budget * 2.0, "critical")
-        .when(growth > limit, F.when(over_ms >= 8000, "critical").otherwise("over")).when((growth > limit * 0.7) | low, "high").otherwise("normal")
-    )
+def size_text(n: Column) -> Column:
+    return F.when(n >= 1048576, F.concat(F.format_string("%.2f", n / 1048576), F.lit(" MB"))).otherwise(F.concat(half_up(n / 1024).cast("string"), F.lit(" KB")))
 
 
-#: Bits of what a protected document allows.
-PERMISSION_BITS = {"print": 4, "modify": 8, "copy": 16, "annotate": 32, "fill": 256, "assemble": 1024, "print_high": 2048}
+#: The pair of bits that each permission of a protected document has.
+PERMISSION_BITS = {"printing": 4 + 2048, "modifying": 8 + 1024, "copying": 16 + 512, "annotating": 32 + 256}
 
 
 def permission_bits(allowed: dict[str, Column]) -> Column:
-    """The signed 32-bit number of permissions; reserved bits are set."""
-    bits = F.lit(-3904)
-    for name, bit in PERMISSION_BITS.items():
-        bits = bits.bitwiseOR(F.when(allowed[name], bit).otherwise(0))
-    return bits
+    """The signed 32-bit number of permissions: all bits but the two lowest, less the pairs of what is refused."""
+    refused = [F.when(allowed[name], 0).otherwise(bits) for name, bits in PERMISSION_BITS.items()]
+    return F.lit(-4) - sum(refused, F.lit(0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.geometry import MM
 
+# Fixed value: the pattern of one item of a list of page ranges.
 RANGE = r"(?i)^(\d*)\s*(?:(-|–|to)\s*(\d*))?$"
 
 
@@ -23,7 +24,7 @@ def parse_ranges(spec: Column, n_pages: Column) -> tuple[Column, Column]:
     def parsed(t: Column) -> Column:
         a, dash, b = (F.regexp_extract(t, RANGE, k) for k in (1, 2, 3))
         start = F.when(a != "", a.try_cast("int")).otherwise(1)
-        end = F.when(dash == "", start).when(b != "", b.cast("int")).otherwise(n_pages)
+        end = F.when(dash == "", start).when(b != "", b.try_cast("int")).otherwise(n_pages)
         bad = ~t.rlike(RANGE) | ((a == "") & (b == ""))
         outside = start.isNull() | end.isNull() | (start < 1) | (end < 1) | (start > n_pages) | (end > n_pages)
         error = F.when(bad, "not a range").when(outside, "outside").when(start > end, "backwards")

@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import BULLET
+from quillspark.functions.text import BULLET, escape_markdown
+from quillspark.operators.layout import classified
+from quillspark.operators.order import ordered
 
 _NUMERIC = re.compile(r"[\s$€£¥₹%()+\-.,0-9]+")
 _BULLET = re.compile(BULLET)
@@ -109,38 +111,84 @@ def _pages(segments: DataFrame, key: list[str]) -> DataFrame:
 
 
 def page_tables(segments: DataFrame, key: list[str], strict: bool = False) -> DataFrame:
-    """(key, table, row, column, text): cells of all tables; cells of a column and row are joined by spaces."""
+    """(key, table, row, line, column, text): cells of all tables; cells of a column and row are joined by spaces."""
 
-    @F.arrow_udf("array<struct<table: int, row: int, column: int, text: string>>")
+    @F.arrow_udf("array<struct<table: int, row: int, line: int, column: int, text: string, x0: double, x1: double, y: double, size: double>>")
     def find(pages: pa.Array) -> pa.Array:
         out = []
         for own in pages.to_pylist():
-            cells: dict[tuple[int, int, int], list[str]] = {}
+            cells: dict[tuple[int, int, int, int], list[dict]] = {}
             for t, (rows, columns) in enumerate(detect_tables(own, strict)):
                 for r, row in enumerate(rows):
                     for s in row:
                         overlap = [min(s["x1"], b) - max(s["x0"], a) for a, b in columns]
                         score = [o if o > 0 else -abs((s["x0"] + s["x1"] - a - b) / 2) for o, (a, b) in zip(overlap, columns, strict=True)]
-                        cells.setdefault((t, r, score.index(max(score))), []).append(s["text"])
-            out.append([{"table": t, "row": r, "column": c, "text": " ".join(x)} for (t, r, c), x in sorted(cells.items())])
-        return pa.array(out, pa.list_(pa.struct([("table", pa.int32()), ("row", pa.int32()), ("column", pa.int32()), ("text", pa.string())])))
+                        cells.setdefault((t, r, s["line"], score.index(max(score))), []).append(s)
+            out.append([
+                {"table": t, "row": r, "line": n, "column": c, "text": " ".join(s["text"] for s in x), "x0": min(s["x0"] for s in x), "x1": max(s["x1"] for s in x), "y": x[0]["y"], "size": x[0]["size"]}
+                for (t, r, n, c), x in sorted(cells.items())
+            ])
+        numbers, reals = (("table", pa.int32()), ("row", pa.int32()), ("line", pa.int32()), ("column", pa.int32())), [(c, pa.float64()) for c in ("x0", "x1", "y", "size")]
+        return pa.array(out, pa.list_(pa.struct([*numbers, ("text", pa.string()), *reals])))
 
     return _pages(segments, key).select(*key, F.inline(find("s")))
 
 
+def all_tables(segments: DataFrame, fine: DataFrame, key: list[str]) -> DataFrame:
+    """Cells of the tables of wide gaps, then of those of the lines left over that are set tightly, found in finely cut segments."""
+    wide = page_tables(segments, key).withColumn("pass", F.lit(0))
+    left = fine.join(wide.select(*key, "line").distinct(), [*key, "line"], "left_anti")
+    return wide.unionByName(page_tables(left, key, strict=True).withColumn("pass", F.lit(1)))
+
+
 def page_blocks(segments: DataFrame, key: list[str]) -> DataFrame:
-    """(key, block, n_segments, text, x0, y0, x1, y1): text joined with hyphens at line ends undone."""
+    """(key, block, n_segments, text, size, bold, x0, y0, x1, y1): text joined with hyphens at line ends undone."""
 
-    @F.arrow_udf("array<struct<block: int, n_segments: int, text: string, x0: double, y0: double, x1: double, y1: double>>")
+    @F.arrow_udf("array<struct<block: int, n_segments: int, text: string, size: double, bold: boolean, x0: double, y0: double, x1: double, y1: double>>")
     def find(pages: pa.Array) -> pa.Array:
         out = []
         for own in pages.to_pylist():
             rows = []
             for k, b in enumerate(text_blocks(own)):
                 text = re.sub(r"([A-Za-z])-\n([a-z])", r"\1\2", "\n".join(s["text"] for s in b)).replace("\n", " ")
-                rows.append({"block": k, "n_segments": len(b), "text": text, "x0": min(s["x0"] for s in b), "y0": b[0]["y"] - b[0]["size"], "x1": max(s["x1"] for s in b), "y1": b[-1]["y"] + b[-1]["size"] * 0.25})
+                size, bold = sorted(s["size"] for s in b)[len(b) // 2], all(s.get("bold") for s in b)
+                rows.append({"block": k, "n_segments": len(b), "text": text, "size": size, "bold": bold, "x0": min(s["x0"] for s in b), "y0": b[0]["y"] - b[0]["size"], "x1": max(s["x1"] for s in b), "y1": b[-1]["y"] + b[-1]["size"] * 0.25})
             out.append(rows)
-        kind = pa.struct([("block", pa.int32()), ("n_segments", pa.int32()), ("text", pa.string()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))])
+        kind = pa.struct([("block", pa.int32()), ("n_segments", pa.int32()), ("text", pa.string()), ("size", pa.float64()), ("bold", pa.bool_()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))])
         return pa.array(out, pa.list_(kind))
 
-    return _pages(segments, key).select(*key, F.inline(find("s")))
+    bold = [c for c in ("bold",) if c in segments.columns]
+    pages = segments.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*_SEGMENT, *bold))).alias("s"))
+    return pages.select(*key, F.inline(find("s")))
+
+
+def table_markdown(cells: DataFrame, key: list[str]) -> DataFrame:
+    """(key, pass, table, text, x0, y0, x1, y1): tables as Markdown with bars, the first row as head, and their boxes."""
+    table = [*key, "pass", "table"]
+    wide = cells.groupBy(*table).agg((F.max("column") + 1).alias("wide"))
+    by_row = cells.groupBy(*table, "row").agg(
+        F.map_from_entries(F.collect_list(F.struct("column", escape_markdown(F.col("text"))))).alias("m"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y"), F.max("size").alias("size"),
+    ).join(wide, table)
+    columns = F.sequence(F.lit(0), F.col("wide") - 1)
+    line = F.concat(F.lit("| "), F.array_join(F.transform(columns, lambda c: F.coalesce(F.try_element_at("m", c), F.lit(""))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("\n| "), F.array_join(F.transform(columns, lambda c: F.lit("---")), " | "), F.lit(" |"))
+    rows = by_row.select(*table, "row", F.concat(line, F.when(F.col("row") == 0, rule).otherwise("")).alias("line"), "x0", "x1", "y", "size")
+    return rows.groupBy(*table).agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("row", "line")))["line"], "\n").alias("text"), F.min("x0").alias("x0"), F.min(F.col("y") - F.col("size")).alias("y0"), F.max("x1").alias("x1"), (F.max("y") + 2).alias("y1"),
+    )
+
+
+def page_layout(segments: DataFrame, fine: DataFrame, body: DataFrame, key: list[str]) -> DataFrame:
+    """(key, place, kind, level, ordered, text): headings, lists, paragraphs and tables of all pages in reading order.
+
+    Lines that tables use take no part in blocks.  Tables come as Markdown.
+    """
+    cells = all_tables(segments, fine, key)
+    left = segments.join(cells.select(*key, "line").distinct(), [*key, "line"], "left_anti")
+    blocks = classified(page_blocks(left, key).where("text <> ''"), body)
+    box, told = ("x0", "y0", "x1", "y1"), ("kind", "level", "ordered", "text")
+    items = blocks.select(*key, *box, *told, F.concat(F.lit("1-"), F.format_string("%06d", "block")).alias("item"))
+    tables = table_markdown(cells, key).select(*key, *box, F.lit("table").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("ordered"), "text", F.format_string("0-%d-%06d", "pass", "table").alias("item"))
+    every = items.unionByName(tables).join(body, "doc_id", "left").withColumn("unit", F.coalesce("body", F.lit(11.0)))
+    placed = ordered(every, key, "item", "unit")
+    return placed.join(every.select(*key, "item", *told), [*key, "item"]).drop("item")

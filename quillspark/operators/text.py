@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,12 @@ def search_counts(df: DataFrame, key: str, text: str, presets: dict[str, str] =
     return df.select(key, F.inline(found)).where("n > 0")
 
 
+def literal(query: str, match_case: bool = False) -> str | None:
+    """A pattern for the words of a search box, its marks escaped; null for a blank one."""
+    escaped = re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", query.strip())
+    return ("" if match_case else "(?iu)") + escaped if escaped else None
+
+
 def masked(df: DataFrame, text: str, presets: dict[str, str] = PRESETS, mark: str = "█") -> DataFrame:
     """Every match replaced by the mark."""
     t = F.col(text)
@@ -71,64 +78,84 @@ def common_affixes(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 MOST_EDITS = 2500
 
 
-def shortest_edits(a: list[str], b: list[str], most: int = MOST_EDITS) -> list[tuple[str, int, int]] | None:
-    """Runs (op, start, number) of a shortest edit script, eq and ins counted in ``b`` and del in ``a``; None beyond ``most`` edits.
+def _forward(a: np.ndarray, b: np.ndarray, most: int) -> list[np.ndarray] | None:
+    """After every number of edits the furthest place in ``a`` on each diagonal that so many edits reach; None beyond ``most``.
 
-    The greedy furthest-reaching search: after d edits, ``reach`` holds the furthest place in ``a`` on every diagonal.
+    All diagonals of a step move together; those with odd distance from the step's number can't be reached by it.
     """
     n, m = len(a), len(b)
-    reach, steps = {1: 0}, []
+    steps: list[np.ndarray] = []
     for d in range(min(n + m, most) + 1):
-        steps.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x, y = x + 1, y + 1
-            reach[k] = x
-            if x >= n and y >= m:
-                break
-        else:
-            continue
-        break
-    else:
-        return None
-    ops, x, y = [], n, m
-    for d in range(len(steps) - 1, -1, -1):
-        k, v = x - y, steps[d]
-        down = d > 0 and (k == -d or (k != d and v.get(k - 1, -1) < v.get(k + 1, -1)))
-        px = v[k + 1] if down else v[k - 1] if d else 0
-        py = px - (k + 1 if down else k - 1) if d else 0
-        sx, sy = (px, py + 1) if down else (px + 1, py) if d else (0, 0)
-        if x > sx:
-            ops.append(("eq", sy, x - sx))
+        x = np.zeros(d + 1, dtype=np.int32)
         if d:
-            ops.append(("ins", py, 1) if down else ("del", px, 1))
+            last = steps[-1]
+            x[:-1] = last
+            x[-1] = last[-1] + 1
+            x[1:-1] = np.where(last[:-1] < last[1:], last[1:], last[:-1] + 1)
+        y = x - np.arange(-d, d + 1, 2, dtype=np.int32)
+        live = np.flatnonzero((x < n) & (y < m))
+        while len(live):
+            live = live[a[x[live]] == b[y[live]]]
+            x[live] += 1
+            y[live] += 1
+            live = live[(x[live] < n) & (y[live] < m)]
+        steps.append(x)
+        if ((x >= n) & (y >= m)).any():
+            return steps
+    return None
+
+
+def shortest_edits(a: list[str], b: list[str], most: int = MOST_EDITS) -> list[tuple[str, int, int]] | None:
+    """Runs (op, start, number) of a shortest edit script, eq and ins counted in ``b`` and del in ``a``; None beyond ``most`` edits.
+
+    What both have in common at the start and at the end is set aside before the greedy furthest-reaching search.
+    """
+    head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    left = min(len(a), len(b)) - head
+    tail = next((i for i in range(left) if a[-1 - i] != b[-1 - i]), left)
+    numbers: dict[str, int] = {}
+    own = [np.array([numbers.setdefault(w, len(numbers)) for w in t[head : len(t) - tail]], dtype=np.int32) for t in (a, b)]
+    steps = _forward(*own, most)
+    if steps is None:
+        return None
+    ops, x, y = [("eq", len(b) - tail, tail)], len(own[0]), len(own[1])
+    for d in range(len(steps) - 1, 0, -1):
+        last, i = steps[d - 1], (x - y + d) // 2
+        inserted = i == 0 or (i != d and last[i - 1] < last[i])
+        px = int(last[i] if inserted else last[i - 1])
+        py = px - (x - y) + (-1 if inserted else 1)
+        same = x - px if inserted else x - px - 1
+        ops.append(("eq", head + y - same, same))
+        ops.append(("ins", head + py, 1) if inserted else ("del", head + px, 1))
         x, y = px, py
+    ops += [("eq", head, x), ("eq", 0, head)]
     runs: list[tuple[str, int, int]] = []
     for op, at, size in reversed(ops):
         if runs and runs[-1][0] == op:
             runs[-1] = (op, runs[-1][1], runs[-1][2] + size)
-        else:
+        elif size:
             runs.append((op, at, size))
     return runs
 
 
-def word_diff(pairs: DataFrame, key: list[str], most: int = MOST_EDITS) -> DataFrame:
-    """Runs of the word comparison of columns a and b: (key, run, op, n_words, text); one row with op null if too different."""
+def word_diff(pairs: DataFrame, key: list[str], most: int = MOST_EDITS, texts: bool = True) -> DataFrame:
+    """Runs of the word comparison of columns a and b: (key, run, op, n_words, text); one row with op null if too different.
+
+    Without ``texts``, the column text is null.
+    """
     schema = pairs.select(*key).schema.simpleString()[7:-1].replace(":", " ") + ", run int, op string, n_words int, text string"
+    marks = {0x2018: "'", 0x2019: "'", 0x201C: '"', 0x201D: '"', 0xAD: None}
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for *k, a, b in p[[*key, "a", "b"]].itertuples(index=False, name=None):
                 a, b = [re.findall(r"[^ \t-\r]+", t or "") for t in (a, b)]
-                plain = lambda w: [x.translate({0x2018: "'", 0x2019: "'", 0x201C: '"', 0x201D: '"', 0xAD: None}) for x in w]
-                runs = shortest_edits(plain(a), plain(b), most)
+                runs = shortest_edits(*([x.translate(marks) for x in w] for w in (a, b)), most)
                 if runs is None:
                     rows.append((*k, 0, None, None, None))
                 for i, (op, at, n) in enumerate(runs or []):
-                    rows.append((*k, i, op, n, " ".join((a if op == "del" else b)[at : at + n])))
+                    rows.append((*k, i, op, n, " ".join((a if op == "del" else b)[at : at + n]) if texts else None))
             out = pd.DataFrame(rows, columns=[*key, "run", "op", "n_words", "text"])
             yield out.astype({"n_words": "Int32"})
 

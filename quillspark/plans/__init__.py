@@ -1,6 +1,6 @@
 """Registered queries over the tables, by topic."""
 
-from quillspark.plans import files, glyphs, layout, optimize, pages, sheets, stamp, text, usage  # noqa: F401
+from quillspark.plans import files, formats, glyphs, layout, optimize, pages, sheets, stamp, text, usage  # noqa: F401
 from quillspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

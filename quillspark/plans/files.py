@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.layout import markdown
@@ -12,12 +12,12 @@ from quillspark.sources.files import accepted, folder_size, html_blocks
 from quillspark.sources.tables import read
 
 
-@query("""with f as (select doc_id, case when doc_id % 3 = 0 then '%PDF-1.7 ' || text when doc_id % 3 = 1 then left(text, 1000) || '%PDF' else text end as t from documents)
+@query("""with f as (select doc_id, case when doc_id % 3 = 0 then '%PDF-1.7 ' || text when doc_id % 3 = 1 then text || '%PDF' else text end as t from documents)
     select doc_id, case when strlen(t) = 0 then 'empty' when strlen(t) > 8000 then 'too large' when instr(hex(t[1:1024]), '25504446') = 0 or (doc_id % 3 = 1 and strlen(left(t, length(t) - 4)) > 1020) then 'not a document' end as reason from f""")
 def ingest_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files that are accepted or refused."""
     k = F.col("doc_id") % 3
-    t = F.when(k == 0, F.concat(F.lit("%PDF-1.7 "), "text")).when(k == 1, F.concat(F.left("text", F.lit(1000)), F.lit("%PDF"))).otherwise(F.col("text"))
+    t = F.when(k == 0, F.concat(F.lit("%PDF-1.7 "), "text")).when(k == 1, F.concat("text", F.lit("%PDF"))).otherwise(F.col("text"))
     files = read(spark, sf_dir, "documents").select("doc_id", F.encode(t, "UTF-8").alias("content"))
     return accepted(files, "content", 8000).select("doc_id", "reason")
 
@@ -48,6 +48,6 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as boxes of a page in reading order."""
     left, top = (F.col("l_suppkey") % 3) * 200.0, (F.col("l_partkey") % 40) * 18.0
     boxes = read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.monotonically_increasing_id().alias("box"), left.alias("x0"), top.alias("y0"), (left + 40 + F.col("l_quantity") * 2).alias("x1"), (top + 11).alias("y1"), F.lit(11.0).alias("body")
+        "l_orderkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("box"), left.alias("x0"), top.alias("y0"), (left + 40 + F.col("l_quantity") * 2).alias("x1"), (top + 11).alias("y1"), F.lit(11.0).alias("body")
     )
     return ordered(boxes, ["l_orderkey"], "box", "body")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import BULLET
 from quillspark.operators import layout as L
-from quillspark.operators.tables import page_blocks, page_tables
+from quillspark.operators.tables import page_blocks, page_layout, page_tables
 from quillspark.plans.registry import query
 from quillspark.sources.tables import doc_lines, read, runs
 
@@ -50,30 +49,30 @@ def styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "page", *(F.col(c).cast("long").alias(c) for c in ("line", "segment", "style")), "bold", "text")
 
 
-_COLUMNS = _RUNS + """, o as (select *, case when x0 >= max(x1) over (partition by doc_id, page order by x0, x1 rows between unbounded preceding and 1 preceding) then 1 else 0 end as n from seg where line % 5 = 0 and x1 < 400),
+_COLUMNS = _RUNS + """, o as (select *, case when x0 >= max(x1) over (partition by doc_id, page order by x0, x1 rows between unbounded preceding and 1 preceding) then 1 else 0 end as n from seg),
 m as (select *, sum(n) over (partition by doc_id, page order by x0, x1 rows between unbounded preceding and current row) as col from o),
 cols as (select doc_id, page, col::bigint as col, min(x0) as c0, max(x1) as c1 from m group by 1, 2, 3)
 """
 
 
-def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.segment_text(_segments(spark, sf_dir)).where("line % 5 = 0 and x1 < 400")
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.segment_text(_segments(spark, sf_dir))
 
 
 @query(_COLUMNS + 'select doc_id, page, col as "column", round(c0, 3) as x0, round(c1, 3) as x1 from cols')
 def merged_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns: the merged spans of a page's segments."""
-    c = L.merged_spans(_narrow(spark, sf_dir), ["doc_id", "page"])
+    c = L.merged_spans(_cells(spark, sf_dir), ["doc_id", "page"])
     return c.select("doc_id", "page", F.col("column").cast("long").alias("column"), F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"))
 
 
 @query(_COLUMNS + """, f as (select c.doc_id, c.page, line, segment, text, col, case when least(x1, c1) - greatest(x0, c0) > 0 then least(x1, c1) - greatest(x0, c0) else -abs((x0 + x1) / 2 - (c0 + c1) / 2) end as score
-      from seg c join cols on c.doc_id = cols.doc_id and c.page = cols.page where line % 5 = 0 and x1 < 400),
+      from seg c join cols on c.doc_id = cols.doc_id and c.page = cols.page),
     p as (select *, row_number() over (partition by doc_id, page, line, segment order by score desc, col) as r from f)
     select doc_id, page, line, col as "column", string_agg(text, ' ' order by segment) as text from p where r = 1 group by 1, 2, 3, 4""")
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells placed in the columns they overlap most, joined by line."""
-    cells = _narrow(spark, sf_dir)
+    cells = _cells(spark, sf_dir)
     placed = L.cell_columns(cells, L.merged_spans(cells, ["doc_id", "page"]), ["doc_id", "page"])
     rows = L.table_rows(placed, ["doc_id", "page"])
     return rows.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"), "text")
@@ -89,12 +88,15 @@ def body_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.body_size(runs(spark, sf_dir))
 
 
-_BLOCKS = _RUNS + _BODY + """, levels as (select doc_id, size, least(3, dense_rank() over (partition by doc_id order by size desc)) as level from (select distinct s.doc_id, s.size from seg s join body using (doc_id) where s.size >= body * 1.15)),
-j as (select s.*, body, level, size >= body * 1.15 as large, regexp_matches(text, '{b}') as listed from (select *, 1 as n from seg) s left join body using (doc_id) left join levels using (doc_id, size)),
+_ITEM = r"^\s*([•◦▪▫‣⁃●○■□–—\-*·►➢✓✔]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)]|[ivxIVX]{1,4}[.)])\s+"
+_SIZES = """, sizes as (select doc_id, list_reverse_sort(list(distinct floor(size * 2 + 0.5) / 2)) as sizes from seg join body using (doc_id) where size >= body * 1.15 group by 1)
+"""
+_BLOCKS = _RUNS + _BODY + _SIZES + """, j as (select s.*, body, greatest(1, least(3, coalesce(list_position(list_transform(sizes, lambda x: abs(x - size) < 0.6), true), 1))) as level, size >= body * 1.15 as large, regexp_matches(text, '{b}') as listed
+  from seg s left join body using (doc_id) left join sizes using (doc_id)),
 c as (select *, case when listed then 'list' when length(text) < 160 and not regexp_matches(text, '[.:;,]$') and (large or (bold and size >= body * 0.95 and length(text) < 90)) then 'heading' else 'paragraph' end as kind from j),
 blocks as (select doc_id, page, line, segment, kind, case when kind = 'heading' then case when large then level else 3 end end as level, case when listed then regexp_replace(text, '{b}', '') else text end as text,
   case when listed then regexp_matches(regexp_replace(trim(regexp_extract(text, '{b}', 1)), '[.()]', '', 'g'), '[0-9]|^[a-zA-Z]$|^[ivxIVX]+$') end as ordered from c)
-""".replace("{b}", BULLET)
+""".replace("{b}", _ITEM)
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +105,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.classified(segs, L.body_size(runs(spark, sf_dir)))
 
 
-@query(_RUNS + _BODY + "select distinct doc_id, r.size, least(3, dense_rank() over (partition by doc_id order by r.size desc))::bigint as level from (select distinct doc_id, size from runs) r join body using (doc_id) where r.size >= body * 1.15")
+@query(_RUNS + _BODY + _SIZES + "select doc_id, s.size, least(3, list_position(list_transform(sizes, lambda x: abs(x - s.size) < 0.6), true))::bigint as level from sizes, unnest(sizes) s(size)")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of the sizes above the body's."""
     r = runs(spark, sf_dir)
@@ -155,15 +157,17 @@ def chained_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.md5("text").alias("digest"), F.round("y", 3).alias("y"), "size", F.round("x", 3).alias("x"))
 
 
-@query("""with b as (select l_orderkey, l_linenumber, (l_suppkey % 5) * 30.0 as x0, (l_linenumber % 3) * 0.4 as y0, (l_suppkey % 5) * 30.0 + 10 + l_quantity as x1, 10 + l_quantity::int % 7 * 10.0 as y1 from lineitem),
-    g as (select * from b where x1 - x0 >= 24 and y1 - y0 >= 24)
-    select l_orderkey, l_linenumber, x0::double as x0, x1 from g a where not exists (select 1 from g b where a.l_orderkey = b.l_orderkey and b.l_linenumber < a.l_linenumber
-      and abs(a.x0 - b.x0) < 1 and abs(a.y0 - b.y0) < 1 and abs(a.x1 - b.x1) < 1 and abs(a.y1 - b.y1) < 1)""")
+@query("""with recursive b as (select l_orderkey, l_linenumber, (l_suppkey % 2) * 30.0 as x0, (l_linenumber % 7) * 0.4 as y0, (l_suppkey % 2) * 30.0 + 30 + l_linenumber * 0.3 as x1, 10 + (l_quantity::int % 3 + 2) * 10.0 as y1 from lineitem),
+    n as (select *, row_number() over (partition by l_orderkey order by l_linenumber, x0, y0, x1, y1) as n from b where x1 - x0 >= 24 and y1 - y0 >= 24),
+    f as (select l_orderkey, 0::bigint as n, []::struct(x0 double, y0 double, x1 double, y1 double)[] as kept, true as is_new from (select distinct l_orderkey from n)
+      union all select o.l_orderkey, o.n, case when o.is_new then list_append(o.kept, o.box) else o.kept end, o.is_new from (select f.l_orderkey, n.n, f.kept, {'x0': n.x0::double, 'y0': n.y0::double, 'x1': n.x1::double, 'y1': n.y1::double} as box,
+        len(list_filter(f.kept, lambda k: abs(k.x0 - n.x0) < 1 and abs(k.y0 - n.y0) < 1 and abs(k.x1 - n.x1) < 1 and abs(k.y1 - n.y1) < 1)) = 0 as is_new from f join n on n.l_orderkey = f.l_orderkey and n.n = f.n + 1) o)
+    select l_orderkey, l_linenumber, x0::double as x0, x1::double as x1 from n join f using (l_orderkey, n) where is_new""")
 def distinct_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes large enough that repeat no earlier box of their order."""
-    left = (F.col("l_suppkey") % 5) * 30.0
+    """Boxes large enough that repeat no kept box of their order."""
+    left, top = (F.col("l_suppkey") % 2) * 30.0, (F.col("l_linenumber") % 7) * 0.4
     b = read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", left.alias("x0"), ((F.col("l_linenumber") % 3) * 0.4).alias("y0"), (left + 10 + F.col("l_quantity")).alias("x1"), (F.lit(10) + F.col("l_quantity").cast("int") % 7 * 10.0).alias("y1")
+        "l_orderkey", "l_linenumber", left.alias("x0"), top.alias("y0"), (left + 30 + F.col("l_linenumber") * 0.3).alias("x1"), (F.lit(10) + (F.col("l_quantity").cast("int") % 3 + 2) * 10.0).alias("y1")
     )
     return L.distinct_boxes(b, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "x0", "x1")
 
@@ -195,3 +199,44 @@ def detected_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def built_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text blocks of all pages."""
     return page_blocks(_short_segments(spark, sf_dir), ["doc_id", "page"])
+
+
+_FINE = _RUNS.replace(">= 1.6 * size", ">= 0.5 * size")
+
+
+def _fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.segment_text(L.segments(L.lines(runs(spark, sf_dir)), 0.5))
+
+
+@query(_FINE + "select doc_id, page, line, segment::bigint as segment, text, round(x0, 3) as x0, round(x1, 3) as x1 from seg")
+def fine_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut at every gap of half a size: the cells of tables that are set tightly."""
+    s = _fine(spark, sf_dir)
+    return s.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.col("segment").cast("long").alias("segment"), "text", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"))
+
+
+@query()
+def tight_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the tables that only finely cut lines show."""
+    return page_tables(_fine(spark, sf_dir).select("doc_id", "page", "line", "x0", "x1", "y", "size", "text"), ["doc_id", "page"], strict=True)
+
+
+@query(_RUNS + r""", c as (select *, case when lag(bold) over (partition by doc_id, page, line, segment order by k) <> bold then 1 else 0 end as c from segs),
+    t as (select *, sum(c) over (partition by doc_id, page, line, segment order by k) as style, case when lag(text) over (partition by doc_id, page, line, segment order by k) is null then '' else ' ' end || text as piece from c),
+    r as (select doc_id, page, line, segment, style, any_value(bold) as bold, string_agg(piece, '' order by k) as text from t group by 1, 2, 3, 4, 5),
+    m as (select *, case when style > 0 then ' ' else '' end as lead, regexp_replace(trim(text), '([\\`*_\[\]#|<>])', '\\\1', 'g') as core from r)
+    select doc_id, page, line, segment::bigint as segment, md5(string_agg(lead || case when bold then '**' || core || '**' else core end, '' order by style)) as digest from m group by 1, 2, 3, 4""")
+def emphasized_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as Markdown with bold runs marked."""
+    e = L.emphasized(_segments(spark, sf_dir))
+    return e.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.col("segment").cast("long").alias("segment"), F.md5("text").alias("digest"))
+
+
+@query()
+def layout_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown of all documents by pages: tables with bars, headings, lists and paragraphs in reading order."""
+    r = runs(spark, sf_dir)
+    lined = L.lines(r)
+    cut = lambda gap: L.segment_text(L.segments(lined, gap)).select("doc_id", "page", "line", "x0", "x1", "y", "size", "text", "bold")
+    placed = page_layout(cut(1.6), cut(0.5), L.body_size(r), ["doc_id", "page"])
+    return L.markdown(placed, "doc_id", ["page", "place"])

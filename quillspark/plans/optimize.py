@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import optimize as O
 from quillspark.plans.registry import query
+from quillspark.sources.shared import shared_dir
 from quillspark.sources.tables import doc_lines, read, streams
 
 
@@ -16,20 +17,13 @@ def same_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.same_streams(streams(spark, sf_dir), "doc_id", "content")
 
 
-def _checkpointed(spark: SparkSession) -> SparkSession:
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspark-"))
-    return spark
-
-
 @query("""with recursive e as (select conv_id, turn as a, (turn * 3 + 1) % 7 as b from conversations union all select conv_id, turn, (turn + conv_id) % 5 from conversations where turn % 2 = 0),
     r as (select conv_id, 0::bigint as id from conversations group by 1 union select e.conv_id, e.b from r join e on r.conv_id = e.conv_id and r.id = e.a)
     select c.conv_id, c.turn as id from conversations c join r on c.conv_id = r.conv_id and c.turn = r.id""")
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that references lead to from the first one; references may be cyclic."""
-    c = read(_checkpointed(spark), sf_dir, "conversations")
+    shared_dir(spark)
+    c = read(spark, sf_dir, "conversations")
     a = c.select("conv_id", F.col("turn").alias("a"), ((F.col("turn") * 3 + 1) % 7).alias("b"))
     b = c.where("turn % 2 = 0").select("conv_id", F.col("turn").alias("a"), ((F.col("turn") + F.col("conv_id")) % 5).alias("b"))
     nodes = c.select("conv_id", F.col("turn").alias("id"))
@@ -74,18 +68,13 @@ def image_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("image_id", w.cast("long").alias("target_w"), h.cast("long").alias("target_h"))
 
 
-@query(_IMAGES + """select image_id, n_bytes, e as encoded, case when e < n_bytes * 0.97 then e else n_bytes end as kept, case when sum(case when e < n_bytes * 0.97 then e else n_bytes end) over (partition by image_id % 7) >= sum(n_bytes) over (partition by image_id % 7) then 'unchanged' else 'smaller' end as file
-    from (select *, (n_bytes * (85 + image_id % 30)) // 100 as e from i)""")
+@query(_IMAGES + """, e as (select *, (image_id - 1) // 40 as file_id, (n_bytes * (85 + image_id % 30)) // 100 as e from i), k as (select *, case when e < n_bytes * 0.97 then e else n_bytes end as kept from e),
+    f as (select file_id, sum(kept) < sum(n_bytes) as smaller from k group by 1)
+    select image_id, file_id, n_bytes, e as encoded, kept, case when smaller then 'smaller' else 'unchanged' end as file from k join f using (file_id)""")
 def keep_if_smaller(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded images kept below 97 % of the original, and files that did not get smaller."""
-    from pyspark.sql import Window
-
-    i = _images(spark, sf_dir).withColumn("encoded", F.expr("(n_bytes * (85 + image_id % 30)) div 100"))
-    kept = F.when(F.col("encoded") < F.col("n_bytes") * O.KEEP_BELOW, F.col("encoded")).otherwise(F.col("n_bytes"))
-    w = Window.partitionBy(F.col("image_id") % 7)
-    done = i.withColumn("kept", kept)
-    file = F.when(F.sum("kept").over(w) >= F.sum("n_bytes").over(w), "unchanged").otherwise("smaller")
-    return done.select("image_id", "n_bytes", "encoded", "kept", file.alias("file"))
+    """Encoded images kept below 97 % of the original, and files (of forty images) that did not get smaller."""
+    i = _images(spark, sf_dir).withColumn("file_id", F.expr("(image_id - 1) div 40")).withColumn("encoded", F.expr("(n_bytes * (85 + image_id % 30)) div 100"))
+    return O.kept_if_smaller(i, "file_id").select("image_id", "file_id", "n_bytes", "encoded", "kept", "file")
 
 
 _RUNGS = ", ".join(f"({2 * k}, {d}::double, {q}::double)" for k, (d, q) in enumerate(O.COARSE)) + ", " + ", ".join(
@@ -101,7 +90,7 @@ _RUNGS = ", ".join(f"({2 * k}, {d}::double, {q}::double)" for k, (d, q) in enume
 def custom_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best rung of the ladder with which every order, as a document of images, fits its target."""
     i = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_quantity") * 20000).alias("n_bytes"), (F.col("l_extendedprice") * 40).alias("pixels"), F.lit(5000).alias("other_bytes"))
-    return O.custom_level(i, O.ladder(spark), "l_orderkey", 60000 + F.col("l_orderkey") % 100 * 20000)
+    return O.custom_level(i, O.ladder(), "l_orderkey", 60000 + F.col("l_orderkey") % 100 * 20000)
 
 
 @query("""select doc_id, case when n >= 1048576 then format('{:.2f}', n / 1048576) || ' MB' else floor(n / 1024 + 0.5)::bigint || ' KB' end as size from (select doc_id, strlen(text) * 100 as n from documents)""")
@@ -110,23 +99,13 @@ def size_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", O.size_text(F.octet_length("text") * 100).alias("size"))
 
 
-@query("""with b as (select event_id, value, (1 + event_id % 64) * 1073741824::bigint as total from events),
-    g as (select *, greatest(least(total * 0.5, greatest(total - 3221225472, 0), 17179869184.0), 1073741824.0)::bigint as budget, (value * 100000000)::bigint as growth, event_id % 17 = 0 as low, event_id % 20000 as over_ms from b)
-    select event_id, budget, case when low and growth > 134217728 then 'critical' when growth > budget * 2.0 then 'critical' when growth > budget then case when over_ms >= 8000 then 'critical' else 'over' end
-    when growth > budget * 0.7 or low then 'high' else 'normal' end as level from g""")
-def memory_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memory budgets and levels."""
-    e = read(spark, sf_dir, "events").select("event_id", F.col("value"), ((1 + F.col("event_id") % 64) * O.GB).alias("total")).withColumn("budget", O.memory_budget(F.col("total")))
-    growth = F.round(F.col("value") * 100000000).cast("long")
-    return e.select("event_id", "budget", O.memory_level(growth, F.col("budget"), F.col("budget"), F.col("event_id") % 17 == 0, F.col("event_id") % 20000).alias("level"))
-
-
-@query("""select c_custkey, (-3904::int) | (case when c_custkey % 2 = 0 then 4 else 0 end) | (case when c_custkey % 3 = 0 then 8 else 0 end) | (case when c_custkey % 5 = 0 then 16 else 0 end) | (case when c_custkey % 7 = 0 then 32 else 0 end)
-    | (case when c_custkey % 11 = 0 then 256 else 0 end) | (case when c_custkey % 13 = 0 then 1024 else 0 end) | (case when c_custkey % 17 = 0 then 2048 else 0 end) as bits from customer""")
+@query("""with p as (select c_custkey, c_custkey % 2 = 0 as a, c_custkey % 3 = 0 as b, c_custkey % 5 = 0 as c, c_custkey % 7 = 0 as d from customer),
+    m as (select *, case when a then 4095 else 4095 - 4 - 2048 end as x, case when b then 4095 else 4095 - 8 - 1024 end as y, case when c then 4095 else 4095 - 16 - 512 end as z, case when d then 4095 else 4095 - 32 - 256 end as w from p)
+    select c_custkey, ((-4::int) & ((-4096::int) | (x & y & z & w)))::int as bits from m""")
 def permission_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permissions as bits."""
     k = F.col("c_custkey")
-    allowed = {n: k % d == 0 for n, d in zip(O.PERMISSION_BITS, (2, 3, 5, 7, 11, 13, 17), strict=True)}
+    allowed = {n: k % d == 0 for n, d in zip(O.PERMISSION_BITS, (2, 3, 5, 7), strict=True)}
     return read(spark, sf_dir, "customer").select("c_custkey", O.permission_bits(allowed).alias("bits"))
 
 

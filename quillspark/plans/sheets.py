@@ -103,12 +103,14 @@ def column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "letters", N.column_number(F.col("letters")).cast("long").alias("back"))
 
 
-@query("""with s as (select l_orderkey, l_linenumber, l_partkey * 37 % 60000 + l_linenumber / 8.0 as serial from lineitem), d as (select *, floor(serial)::int as d, floor((serial - floor(serial)) * 86400 + 0.0001)::int as t from s)
+@query("""with s as (select l_orderkey, l_linenumber, l_partkey * 37 % 60000 + case when l_linenumber = 7 then 0.9999999999 else l_linenumber / 8.0 end::double as serial from lineitem),
+    f as (select *, floor(serial)::bigint as whole, (serial - floor(serial)) * 86400 as sec from s), r as (select *, case when sec - floor(sec) > 0.9999 then floor(sec) + 1 else floor(sec) end::int as up from f),
+    d as (select *, (whole + up // 86400)::int as d, up % 86400 as t from r)
     select l_orderkey, l_linenumber, case when d = 60 then '1900-02-29' when d = 0 then '1900-01-00' when d > 60 then strftime(date '1899-12-30' + d, '%Y-%m-%d') else strftime(date '1899-12-31' + d, '%Y-%m-%d') end as day,
     format('{:02d}:{:02d}:{:02d}', t // 3600, t % 3600 // 60, t % 60) as time from d""")
 def serial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days and times of serial numbers."""
-    serial = F.col("l_partkey") * 37 % 60000 + F.col("l_linenumber") / 8
+    serial = F.col("l_partkey") * 37 % 60000 + F.when(F.col("l_linenumber") == 7, 0.9999999999).otherwise(F.col("l_linenumber") / 8)
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.serial_date(serial).alias("day"), N.serial_time(serial).alias("time"))
 
 

@@ -39,13 +39,13 @@ def word_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with w as (select unnest(list_filter(string_split_regex(replace(replace(text, 'th', '’'), 'on', '“'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) as t from documents),
     n as (select translate(t, '‘’“”' || chr(173), '''''""') as word from w)
-    select word, count(*) as n from n group by 1 having count(*) > 20""")
+    select word, count(*) as n from n group by 1""")
 def comparable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent words after normalisation of quotes."""
+    """Words after normalisation of quotes, with their numbers."""
     text = F.replace(F.replace(F.col("text"), F.lit("th"), F.lit("’")), F.lit("on"), F.lit("“"))
     split = F.filter(F.split(text, r"[ \t\n\x0B\f\r]+", -1), lambda x: x != "")
     words = read(spark, sf_dir, "documents").select(F.explode(split).alias("t")).select(T.comparable(F.col("t")).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 20")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _versions(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
@@ -77,7 +77,7 @@ def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def word_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes, words inserted and deleted of every pair of versions."""
-    return O.diff_stats(O.word_diff(_versions(spark, sf_dir), ["conv_id", "turn"]), ["conv_id", "turn"])
+    return O.diff_stats(O.word_diff(_versions(spark, sf_dir), ["conv_id", "turn"], texts=False), ["conv_id", "turn"])
 
 
 @query()
@@ -113,6 +113,14 @@ def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("doc_id", "line_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *(F.round(c, 3).alias(c) for c in ("box_x", "box_y", "box_w", "box_h")))
 
 
+@query("""select doc_id, a::bigint as with_case, b::bigint as without_case from (select doc_id, (length(text) - length(replace(text, 'The.', ''))) // 4 as a, (length(text) - length(replace(replace(lower(text), chr(775), ''), 'the.', ''))) // 4 as b from documents) where b > 0""")
+def literal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of words that are typed in, marks meant as they are, with and without regard to case."""
+    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
+    found = read(spark, sf_dir, "documents").select("doc_id", count(O.literal(" The. ", True)).alias("with_case"), count(O.literal("The.")).alias("without_case"))
+    return found.where("without_case > 0")
+
+
 @query(f"select distinct conv_id, turn from conversations where regexp_matches(text, '{_NUMBER}')")
 def redacted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that have anything to redact."""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import usage as U
 from quillspark.plans.registry import query
+from quillspark.sources.shared import scratch
 from quillspark.sources.tables import read, usage
 from quillspark.streaming import usage as S
 
@@ -51,28 +49,34 @@ def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("files").alias("files"))
 
 
-def _folder(spark: SparkSession, sf_dir: str, parts: int) -> str:
-    """The events in order of time as files of a folder in the shared place, for a stream to read."""
-    top = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspark-")).rstrip("/")
-    path = f"{top}/events-{uuid.uuid4().hex}"
-    read(spark, sf_dir, "events").repartitionByRange(parts, "ts").write.parquet(f"{path}/in")
-    return path
+def _ranges(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The events in ranges of time, one after the other, of which each is about RANGE_ROWS rows; three at least."""
+    events = read(spark, sf_dir, "events")
+    parts = max(3, -(-events.count() // RANGE_ROWS))
+    moment = F.unix_micros(F.col("ts").cast("timestamp"))
+    edges = [int(x) for x in events.select(moment.alias("m")).approxQuantile("m", [k / parts for k in range(1, parts)], 0.01)]
+    lows, highs = [None, *edges], [*edges, None]
+    return [events.where((F.lit(True) if a is None else moment >= a) & (F.lit(True) if b is None else moment < b)) for a, b in zip(lows, highs, strict=True)]
+
+
+RANGE_ROWS = 50_000_000
 
 
 @query("select time_bucket(interval '1 hour', ts) as start, event_type as tool, count(*) as jobs from events group by 1, 2")
 def usage_stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs by hour and tool, read as a stream with a watermark wide enough for all files."""
-    path = _folder(spark, sf_dir, 4)
-    jobs = S.hourly(S.read_events(spark, f"{path}/in", 10), "0 seconds")
-    table = "hourly_" + path.rsplit("-", 1)[-1]
-    q = jobs.writeStream.format("memory").queryName(table).outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(table)
+    """Jobs by hour and tool: a stream that is fed range by range, its watermark dropping the state of hours gone by."""
+    path = scratch(spark, "hourly")
+    for k, events in enumerate(_ranges(spark, sf_dir)):
+        events.write.parquet(f"{path}/in/range={k}")
+        S.write_updates(S.hourly(S.read_events(spark, f"{path}/in/range=*", 1000), "2 hours"), f"{path}/out", f"{path}/checkpoint")
+    return S.latest(spark.read.parquet(f"{path}/out"), ["start", "tool"])
 
 
 @query()
 def usage_stream_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose value stayed over the limit for an hour, by state kept in a stream."""
-    path = _folder(spark, sf_dir, 1)
-    S.write(U.over_limit(S.read_events(spark, f"{path}/in", 10), 20.0, 3_600_000), f"{path}/out", f"{path}/checkpoint")
+    """Users whose value stayed over the limit for an hour, by state that a stream keeps from range to range of time."""
+    path = scratch(spark, "over-limit")
+    for k, events in enumerate(_ranges(spark, sf_dir)):
+        events.write.parquet(f"{path}/in/range={k}")
+        S.write(U.over_limit(S.read_events(spark, f"{path}/in/range=*", 1000), 20.0, 3_600_000), f"{path}/out", f"{path}/checkpoint")
     return spark.read.schema("user_id long, ts timestamp, held_ms long").parquet(f"{path}/out")

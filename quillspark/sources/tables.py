@@ -57,7 +57,7 @@ def runs(spark: SparkSession, sf_dir: str, lines_per_page: int = 50) -> DataFram
 
     Sizes and small shifts depend on the line and the word, so that bands, segments and headings have work to do.
     """
-    lines = doc_lines(spark, sf_dir).where("text <> ''")
+    lines = doc_lines(spark, sf_dir).where("text <> ''").repartition("doc_id")  # what follows groups by document first
     size = F.when(F.col("line_no") % 7 == 0, 16.0).otherwise(11.0)
     found = lines.select("doc_id", "line_no", size.alias("size"), F.posexplode(F.filter(F.split("text", " ", -1), lambda w: w != "")).alias("k", "text"))
     by_line = "partition by doc_id, line_no order by k rows between unbounded preceding and 1 preceding"

@@ -31,3 +31,20 @@ def write(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     query = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def write_updates(df: DataFrame, path: str, checkpoint: str):
+    """Writes what changed in every batch, with the batch's number; a batch that is repeated replaces what it wrote."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = df.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def latest(updates: DataFrame, key: list[str]) -> DataFrame:
+    """The last state of every key of written updates."""
+    rest = [c for c in updates.columns if c not in (*key, "batch")]
+    return updates.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")

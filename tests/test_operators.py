@@ -27,7 +27,7 @@ def one(spark, *columns):
     ("spec", "expected"),
     [
         ("1-3, 5; 8-", ([1, 2, 3, 5, 8, 9, 10], None)), ("-4", ([1, 2, 3, 4], None)), ("2 to 4", ([2, 3, 4], None)), ("2–3,2", ([2, 3, 2], None)), ("1 - 3", ([1, 2, 3], None)),
-        ("", (None, "empty")), (" , ;", (None, "empty")), ("x", (None, "not a range")), ("-", (None, "not a range")), ("0", (None, "outside")), ("9-11", (None, "outside")), ("5-2", (None, "backwards")),
+        ("", (None, "empty")), (" , ;", (None, "empty")), ("x", (None, "not a range")), ("-", (None, "not a range")), ("0", (None, "outside")), ("9-11", (None, "outside")), ("5-2", (None, "backwards")), ("1-99999999999", (None, "outside")), ("99999999999", (None, "outside")),
     ],
 )
 def test_page_ranges(spark, spec, expected):
@@ -111,10 +111,10 @@ def test_exact_decimals(spark):
 
 
 def test_serial_dates(spark):
-    df = spark.createDataFrame([(float(v),) for v in (0, 1, 59, 60, 61, 0.75, 2958465, -1)], "v double")
+    df = spark.createDataFrame([(float(v),) for v in (0, 1, 59, 60, 61, 0.75, 2958465, -1, 1.9999999999, 59.9999999999, 1.99998)], "v double")
     got = [(r[0], r[1]) for r in df.select(N.serial_date(F.col("v")), N.serial_time(F.col("v"))).collect()]
-    assert [g[0] for g in got] == ["1900-01-00", "1900-01-01", "1900-02-28", "1900-02-29", "1900-03-01", "1900-01-00", "9999-12-31", None]
-    assert got[5][1] == "18:00:00"
+    assert [g[0] for g in got] == ["1900-01-00", "1900-01-01", "1900-02-28", "1900-02-29", "1900-03-01", "1900-01-00", "9999-12-31", None, "1900-01-02", "1900-02-29", "1900-01-01"]
+    assert [got[k][1] for k in (5, 8, 9, 10)] == ["18:00:00", "00:00:00", "00:00:00", "23:59:58"]
 
 
 def test_roman_and_letters(spark):
@@ -173,9 +173,10 @@ def test_over_limit_needs_an_unbroken_hour(spark, tmp_path):
     assert [(str(r["ts"]), r["held_ms"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("2024-01-01 01:00:00", 3600000)]
 
 
-def test_ladder_has_means_between_rungs(spark):
-    rungs = ladder(spark).orderBy("rung").collect()
-    assert len(rungs) == 29 and (rungs[1]["dpi"], rungs[1]["quality"]) == (275.0, 0.88)
+def test_ladder_has_means_between_rungs():
+    rungs = ladder()
+    assert len(rungs) == 29 and rungs[0] == (300.0, 0.9) and rungs[1] == (275.0, 0.88) and rungs[-1] == (30.0, 0.16)
+    assert rungs == sorted(rungs, reverse=True)
 
 
 def test_html_blocks(spark):
@@ -230,3 +231,135 @@ def test_text_blocks_split_lists_and_columns():
         s["y"] = s["line"] * 14.0
     texts = sorted(tuple(s["text"] for s in b) for b in text_blocks(segs))
     assert texts == [("- item one", "- item two"), ("First line of a para-", "graph goes on here"), ("Other column text", "and its second line")]
+
+
+def test_permission_bits(spark):
+    from quillspark.operators.optimize import permission_bits
+
+    names = ("printing", "modifying", "copying", "annotating")
+    bits = lambda *allowed: one(spark, permission_bits({n: F.lit(n in allowed) for n in names}).alias("b"))["b"]
+    assert bits(*names) == -4 and bits() == -3904 - 4 + 4 and bits("modifying", "copying", "annotating") == -4 & ~(4 | 2048)
+    for name, pair in zip(names, ((2, 11), (3, 10), (4, 9), (5, 8)), strict=True):
+        assert bits(*(n for n in names if n != name)) == -4 & ~(1 << pair[0]) & ~(1 << pair[1])
+
+
+def test_boxes_are_compared_with_kept_ones(spark):
+    boxes = [(1, k, 0.8 * k, 0.0, 30.0 + 0.8 * k, 30.0) for k in range(3)] + [(1, 3, 0.0, 0.0, 23.9, 30.0), (2, 0, 0.0, 0.0, 30.0, 30.0)]
+    df = spark.createDataFrame(boxes, "id int, n int, x0 double, y0 double, x1 double, y1 double")
+    assert sorted((r["id"], r["n"]) for r in L.distinct_boxes(df, ["id"], "n").collect()) == [(1, 0), (1, 2), (2, 0)]
+
+
+@pytest.mark.parametrize(("text", "is_item"), [("■ x", True), ("✓ x", True), ("➢ x", True), ("(12. x", True), ("(a) x", True), ("iv) x", True), ("xviii) x", False), ("a x", False), ("12 x", False), ("·x", False), ("3.  x", True)])
+def test_bullets(spark, text, is_item):
+    assert one(spark, F.lit(text).rlike(T.BULLET).alias("b"))["b"] == is_item
+
+
+def test_heading_levels_within_a_tolerance(spark):
+    df = spark.createDataFrame([(1, s) for s in (24.0, 23.6, 18.0, 16.0, 14.0, 11.0)], "doc_id int, size double")
+    body = spark.createDataFrame([(1, 11.0)], "doc_id int, body double")
+    got = {r["size"]: r["level"] for r in L.heading_levels(df, body).collect()}
+    assert got == {24.0: 1, 23.5: 1, 18.0: 3, 16.0: 3, 14.0: 3}
+
+
+def test_search_words_are_meant_as_they_are(spark):
+    from quillspark.operators.text import literal
+
+    df = spark.createDataFrame([("a.b A.B axb (x) [1]",)], "t string")
+    n = lambda q, case=False: df.select(F.size(F.regexp_extract_all("t", F.lit(literal(q, case)), F.lit(0)))).first()[0]
+    assert n(" a.b ") == 2 and n("A.B", True) == 1 and n("(x)") == 1 and n("[1]") == 1 and literal("  ") is None
+
+
+@pytest.mark.parametrize(
+    ("code", "x", "text"),
+    [
+        ("General", 1234.5, "1234.5"), ("General", 123456789012.5, "1.23457E+11"), ("General", 1e20, "1E+20"), ("General", 0.00012345, "0.00012345"), ("General", 1 / 3, "0.333333333"), ("General", -5.0, "-5"),
+        ("General", 12345678901.25, "12345678901"), ("General", 1e-11, "1E-11"), ("0.00", 1.005, "1.00"), ("0.00", 1.015, "1.01"), ("0.00", 2.675, "2.68"), ("0", -0.4, "0"), ("#,##0.00", -1234567.891, "-1,234,567.89"), ("0%", 0.125, "13%"), ("0.0#", 2.5, "2.5"), ("0.0#", 2.25, "2.25"),
+        ("00000", 42.0, "00042"), ("#", 0.0, ""), ("#,##0,", 1234567.0, "1,235"), ("0.0,,", 1500000.0, "1.5"), ("0.00E+00", 1234.5, "1.23E+03"), ("0.0E-0", 1234.5, "1.2E3"), ("??0.0?", 1.5, "  1.5 "),
+        ("0;(0);zero", -3.0, "(3)"), ("0;(0);zero", 0.0, "zero"), ('0 "a;b"', 2.0, "2 a;b"), ("\\x0", 2.0, "x2"), ("[>100]0.0;0", 150.0, "150.0"), ("[>100]0.0;0", 50.0, "50"), ("[Red]0", 3.0, "3"), ("# ?/?", 0.5, None),
+        ("yyyy-mm-dd", 45123.75, "2023-07-16"), ("d-mmm-yy", 61.0, "1-Mar-00"), ("mmm d", 60.0, "Feb 29"), ("h:mm AM/PM", 0.5, "12:00 PM"), ("h:mm:ss A/P", 0.25, "6:00:00 A"), ("[h]:mm", 1.5, "36:00"), ("[mm]:ss", 0.0625, "90:00"),
+        ("mm:ss.00", 0.000012, "00:01.04"), ("dddd", 1.0, "Sunday"), ("ddd", 60.0, "Wed"), ("mmmmm", 45123.0, "J"), ("yyyy", -1.0, None), ("yy", 2958465.0, "99"), ("hh:mm", 45123.9999999999, "00:00"),
+    ],
+)
+def test_number_formats(spark, code, x, text):
+    from quillspark.functions.formats import formatted
+
+    assert spark.createDataFrame([(x,)], "x double").select(formatted(F.col("x"), code)).first()[0] == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.floats(allow_nan=False, allow_infinity=False), st.integers(1, 17))
+def test_digits_of_the_exact_value(x, n):
+    from quillspark.functions.formats import _exponential, _precise
+
+    head, power = f"{x:.{n - 1}e}".split("e")
+    exact = Decimal(x)
+    if exact and (abs(exact).scaleb(n - 1 - abs(exact).adjusted()) % 1) != Decimal("0.5"):  # ties go up here, to even there
+        assert _exponential(x, n - 1) == f"{head}e{power[0]}{int(power[1:])}"
+        assert Decimal(_precise(x, n)) == Decimal(f"{head}e{power}")
+
+
+def test_workbooks_of_other_writers(spark):
+    import io
+    import zipfile
+
+    from quillspark.sources.workbooks import workbook_cells, workbooks
+
+    blob = io.BytesIO()
+    with zipfile.ZipFile(blob, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook><sheets><sheet name="B&amp;C" sheetId="2" r:id="rId7"/><sheet name="Empty" sheetId="3" r:id="rId8"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId8" Target="worksheets/s2.xml"/><Relationship Target="/xl/worksheets/s1.xml" Id="rId7"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>plain &amp; <![CDATA[]]></t></si><si><r><rPr/><t>ri</t></r><r><t xml:space='preserve'>ch </t></r><rPh sb='0'><t>no</t></rPh></si></sst>".replace("<![CDATA[]]>", "x"))
+        z.writestr("xl/styles.xml", '<styleSheet><cellStyleXfs><xf numFmtId="9"/></cellStyleXfs><cellXfs count="3"><xf numFmtId="0"/><xf numFmtId="10" fontId="0"/><xf applyNumberFormat="1" numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/s2.xml", "<worksheet><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/s1.xml", """<worksheet><cols><col min="1"/></cols><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" s="1"><v>0.125</v></c><c r="D1" s="2"><v>45123</v></c></row>
+            <row r="10"><c r="AA10" t="b"><v>1</v></c><c r="AB10" t="e"><v>#N/A</v></c><c r="AC10" t="str"><f>A1</f><v>sum</v></c><c r="AD10" t="inlineStr"><is><t>in</t></is></c><c r="AE10"/><c r="AF10"><f>1/3</f><v>2.5</v></c></row></sheetData></worksheet>""")
+    files = spark.createDataFrame([(1, bytearray(blob.getvalue())), (2, bytearray(b"PK no zip")), (3, None)], "id int, content binary")
+    got = {(r["id"], r["sheet"], r["row"], r["col"]): (r["kind"], r["text"]) for r in workbook_cells(files, ["id"], "content").collect()}
+    sheet = "B&amp;C"
+    assert got == {
+        (1, sheet, 0, 0): ("s", "plain & x"), (1, sheet, 0, 1): ("s", "rich "), (1, sheet, 0, 2): ("n", "12.50%"), (1, sheet, 0, 3): ("n", "7/16/23"), (1, sheet, 9, 26): ("b", "TRUE"), (1, sheet, 9, 27): ("e", "#N/A"),
+        (1, sheet, 9, 28): ("str", "sum"), (1, sheet, 9, 29): ("inlineStr", "in"), (1, sheet, 9, 31): ("n", "2.5"),
+    }
+    wide = spark.createDataFrame([(1, 0, 0, "a", None), (1, 3_000_000, 20, "b", None), (2, 0, 0, None, 1.5)], "id int, row int, col int, text string, number double")
+    assert [r["id"] for r in workbooks(wide, ["id"]).collect()] == [2]
+
+
+def test_page_layout_in_reading_order(spark):
+    from quillspark.operators.tables import page_layout
+
+    def seg(line, x0, text, size=11.0, bold=False):
+        return (1, 0, line, x0, x0 + 5.5 * len(text), 16.0 * line, size, text, bold)
+
+    rows = [seg(1, 72.0, "A Title", 20.0), seg(3, 72.0, "First line of a para-"), seg(4, 72.0, "graph goes on here."), seg(6, 72.0, "- item one"), seg(7, 72.0, "- item_two")]
+    table = [seg(9 + k, x, t) for k, r in enumerate((("Region", "Units", "Rev|enue"), ("South", "980", "5"))) for x, t in zip((90.0, 185.0, 250.0), r, strict=True)]
+    schema = "doc_id int, page int, line int, x0 double, x1 double, y double, size double, text string, bold boolean"
+    df = spark.createDataFrame([*rows, *table], schema)
+    tight = [seg(14 + k, 72.0 + 40 * c, t) for k in range(3) for c, t in enumerate(("aa", "bb", "cc"))]
+    whole = spark.createDataFrame([*rows, *table, *(seg(14 + k, 72.0, "aa bb cc") for k in range(3))], schema)
+    fine = spark.createDataFrame([*rows, *table, *tight], schema)
+    body = spark.createDataFrame([(1, 11.0)], "doc_id int, body double")
+    got = [(r["kind"], r["text"]) for r in page_layout(whole, fine, body, ["doc_id", "page"]).orderBy("place").collect()]
+    assert got[0] == ("heading", "A Title") and got[1] == ("paragraph", "First line of a paragraph goes on here.")
+    assert ("table", "| Region | Units | Rev\\|enue |\n| --- | --- | --- |\n| South | 980 | 5 |") in got
+    assert ("table", "| aa | bb | cc |\n| --- | --- | --- |\n| aa | bb | cc |\n| aa | bb | cc |") in got
+    placed = page_layout(df, df, body, ["doc_id", "page"])
+    text = L.markdown(placed, "doc_id", ["page", "place"]).first()["markdown"]
+    assert text.startswith("# A Title\n\nFirst line") and text.endswith("| South | 980 | 5 |\n") and "item\\_two" in text
+
+
+@pytest.mark.parametrize(("run", "expected"), [((" a*b ", True, False, False), " **a\\*b** "), (("x", True, True, False), "***x***"), (("a`b ", False, True, True), "`ab` "), (("  ", True, False, False), "  "), (("p", False, False, False), "p")])
+def test_emphasis(spark, run, expected):
+    text, *flags = run
+    assert one(spark, L.emphasis(F.lit(text), *map(F.lit, flags)).alias("t"))["t"] == expected
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(usage, "CLASSES", 8)
+    r = random.Random(3)
+    rows = [(r.choice("abc"), float(r.choice([r.randrange(5), r.randrange(1000), r.random()]))) for _ in range(997)] + [("one", 7.0), ("none", None), (None, 3.0)]
+    got = {(x["all"], x["tool"]): (x["m"], x["p"], x["q"]) for x in usage.quantiles(spark.createDataFrame(rows, "tool string, ms double"), "tool", "ms", {"m": 0.5, "p": 0.95, "q": 1.0}).collect()}
+    by = lambda keep: [v for t, v in rows if v is not None and keep(t)]
+    expected = {(False, t): tuple(np.quantile(by(lambda x, t=t: x == t), [0.5, 0.95, 1.0])) for t in ("a", "b", "c", "one", None)} | {(True, None): tuple(np.quantile(by(lambda _: True), [0.5, 0.95, 1.0]))}
+    assert set(got) == set(expected) and all(got[k] == pytest.approx(expected[k]) for k in got)

@@ -52,23 +52,27 @@ def prefix_depth(similarity: float = SIMILARITY, recall: float = RECALL, trees:
     return depth
 
 
-def found_at(j: Column, depth: int) -> Column:
+def found_at(j, depth: int):
     """The probability that a prefix of that depth finds a pair of similarity ``j`` in any tree."""
-    return 1 - F.pow(1 - F.pow(j, F.lit(depth)), F.lit(TREES))
+    return 1 - (1 - j**depth) ** TREES
 
 
-def shortened(similar: DataFrame, least: float, recall: float) -> int:
-    """The longest prefix that reaches the recall on the pairs there are, judged by those (j) found at full depth.
+def _weights(j: np.ndarray) -> list[float]:
+    """What pairs found at full depth tell: how many there are in all, and how many of them prefixes of 1 to DEPTH find."""
+    full = found_at(j, DEPTH)
+    return [float((found_at(j, d) / full).sum()) if d else float((1 / full).sum()) for d in range(DEPTH + 1)]
+
+
+def shortened(weights: DataFrame, least: float, recall: float) -> int:
+    """The longest prefix that reaches the recall on the pairs there are, judged by ``weights`` of those found at full depth.
 
     One pair of the least similarity is added to them, so that where little was found the bound for any data decides.
     The estimated share of missed pairs is multiplied by SAFETY.
     """
-    floor, prior = prefix_depth(least, recall), [1 - (1 - least**d) ** TREES for d in range(DEPTH + 1)]
-    full = found_at(F.col("j"), DEPTH)
-    sums = similar.agg(F.sum(1 / full).alias("all"), *(F.sum(found_at(F.col("j"), d) / full).alias(f"at_{d}") for d in range(floor, DEPTH + 1))).first()
-    total = (sums["all"] or 0) + 1 / prior[DEPTH]
-    reached = [d for d in range(floor, DEPTH + 1) if ((sums[f"at_{d}"] or 0) + prior[d] / prior[DEPTH]) / total >= 1 - (1 - recall) / SAFETY]
-    return max(reached, default=floor)
+    sums = weights.where("weights is not null").agg(*(F.sum(F.get("weights", F.lit(d))) for d in range(DEPTH + 1))).first()
+    total, *found = [(s or 0.0) + w for s, w in zip(sums, _weights(np.array([least])), strict=True)]
+    floor = prefix_depth(least, recall)
+    return max((d for d in range(floor, DEPTH + 1) if found[d - 1] / total >= 1 - (1 - recall) / SAFETY), default=floor)
 
 
 def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +159,7 @@ def _shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _block_links(least: float, again: bool):
-    """Of two blocks of a large prefix, every linked class with its partners, their similarities and the least class of its part."""
+    """Of two blocks of a large prefix, every linked class with its partners and the least class of its part; the first one has the weights."""
 
     def links(table: pa.Table) -> pa.Table:
         c, side = table["c"].to_numpy(), table["side"].to_numpy()
@@ -176,10 +180,10 @@ def _block_links(least: float, again: bool):
         rows, columns = open_.any(axis=1), open_.any(axis=0)
         x, y, open_ = x[rows], y[columns], open_[rows][:, columns]
         if not len(x):
-            return pa.table({"v": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64())), "alike": pa.array([], pa.list_(pa.float32())), "low": pa.array([], pa.int64())})
+            return pa.table({"v": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64())), "weights": pa.array([], pa.list_(pa.float64())), "low": pa.array([], pa.int64())})
         shared = _shared(sets, x, y).astype(np.float64)
         i, j = np.nonzero(open_ & (shared >= least * (n[x][:, None] + n[y] - shared) - 1e-9))
-        alike = (shared[i, j] / (n[x[i]] + n[y[j]] - shared[i, j])).astype(np.float32)
+        weights = _weights(shared[i, j] / (n[x[i]] + n[y[j]] - shared[i, j]))
         a, b = np.concatenate((x[i], y[j])), np.concatenate((y[j], x[i]))
         low, before = c.copy(), None
         while before is None or (low != before).any():
@@ -187,15 +191,14 @@ def _block_links(least: float, again: bool):
             np.minimum.at(low, a, before[b])
         order = np.argsort(a, kind="stable")
         own, first = np.unique(a[order], return_index=True)
-        ends = pa.array(np.append(first, len(a)), pa.int32())
-        near, alike = (pa.ListArray.from_arrays(ends, pa.array(values[order])) for values in (c[b], np.concatenate((alike, alike))))
-        return pa.table({"v": pa.array(c[own]), "near": near, "alike": alike, "low": pa.array(low[own])})
+        near = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.array(c[b[order]]))
+        return pa.table({"v": pa.array(c[own]), "near": near, "weights": pa.array([weights, *[None] * (len(own) - 1)][: len(own)], pa.list_(pa.float64())), "low": pa.array(low[own])})
 
     return links
 
 
 def _similarity(least: float):
-    """Of pairs (a, b) with their sets, those that are similar, with their similarity."""
+    """Of pairs (a, b) with their sets, those that are similar; the first of a batch has the weights."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +208,8 @@ def _similarity(least: float):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 alike[k] = shared / (len(x) + len(y) - shared)
             own = np.flatnonzero(alike >= least - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(alike[own].astype(np.float32))], ["a", "b", "j"])
+            weights = pa.array([_weights(alike[own]), *[None] * (len(own) - 1)][: len(own)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), weights], ["a", "b", "weights"])
 
     return similar
 
@@ -269,7 +273,7 @@ class _Forest:
         return self.sets
 
     def met_at(self, depth: int, before: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(listed, packed, pairs): similar pairs (a, b, j), similar pairs by class from large prefixes, and the pairs looked at.
+        """(listed, packed, pairs): similar pairs (a, b), similar pairs by class from large prefixes, and the pairs looked at.
 
         ``before`` has the pairs listed at full depth, which are left out.
         """
@@ -292,7 +296,7 @@ class _Forest:
         open_ = pairs.join(met.select(F.col("c").alias("a"), F.col("p").alias("p_a")), "a", "left").join(met.select(F.col("c").alias("b"), F.col("p").alias("p_b")), "b", "left")
         open_ = open_.where(~F.coalesce(F.arrays_overlap("p_a", "p_b"), F.lit(False))).select("a", "b")
         checked = open_.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        listed = written(checked.mapInArrow(_similarity(self.least), "a long, b long, j float"), "links")
+        listed = written(checked.mapInArrow(_similarity(self.least), "a long, b long, weights array<double>"), "links")
         every = F.sequence(F.lit(0), F.lit(TREES - 1))
         by_tree = F.map_from_entries(F.transform("places", lambda x: F.struct(x["tree"], x["p"])))
         at = F.transform(every, lambda t: F.try_element_at(by_tree, t)).alias("at")
@@ -304,7 +308,7 @@ class _Forest:
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = (F.col("own") > F.col("other")).cast("int").alias("side")
         dealt = dealt.select("tree", "p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side, "c", "at", "deep", "set")
-        found = dealt.groupBy("tree", "p", "i", "j").applyInArrow(_block_links(self.least, before is not None), "v long, near array<long>, alike array<float>, low long")
+        found = dealt.groupBy("tree", "p", "i", "j").applyInArrow(_block_links(self.least, before is not None), "v long, near array<long>, weights array<double>, low long")
         return listed, written(found, "block-links"), pairs
 
 
@@ -319,7 +323,7 @@ def jaccard_join(docs: DataFrame, key: str, text: str, least: float = SIMILARITY
     classes = written(same.withColumn("c", F.monotonically_increasing_id()), "classes")
     forest = _Forest(docs, key, text, classes, least)
     listed, packed, pairs = forest.met_at(DEPTH, None)
-    depth = shortened(listed.select("j").unionAll(packed.select(F.explode("alike").alias("j"))), least, recall)
+    depth = shortened(listed.select("weights").unionAll(packed.select("weights")), least, recall)
     if depth < DEPTH:
         more, more_packed, _ = forest.met_at(depth, pairs)
         listed, packed = listed.unionAll(more), packed.unionAll(more_packed)

@@ -8,7 +8,8 @@ A table of counts has ``2 * (order + 1) * 2**context_bits * 64`` cells whatever
 its broadcast is bounded; its counts come from all labelled URLs, summed in Spark before they reach the driver.
 
 Defined results: a null or empty URL scores 0.0; without labelled URLs of both kinds every score is 0.0 and the
-threshold 0.0, so everything is accepted; repeated rows are counted and judged one by one; other columns pass.
+threshold 0.0, so everything is accepted; repeated rows are counted and judged one by one; other columns pass; a URL
+of any length is worked on in blocks of characters.
 """
 
 from __future__ import annotations
@@ -34,27 +35,32 @@ for _i, _c in enumerate("/.:-_?&=#%+~,;@!$*()[]'\"|<> "):
     _SYMBOL[ord(_c)] = 28 + _i
 
 
-def _cells(urls: pa.Array, order: int, context_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every character and every order the cell of (context, character); offsets of rows; lengths.
+def _cells(urls: pa.Array, order: int, context_bits: int, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cells, rows) for blocks of characters: for every order the cell of (context, character), and the rows they are in.
 
-    Contexts start with the boundary symbol 0, so the first characters have contexts too.
+    Contexts start with the boundary symbol 0, so the first characters have contexts too.  A block sees the characters
+    before it, so that long URLs, however they are cut, give the same cells.
     """
     data, offsets = buffers(urls)
-    symbol = _SYMBOL[data].astype(np.uint64)
-    n = len(symbol)
-    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    out = np.empty((order + 1, n), dtype=np.int64)
-    context = np.zeros(n, dtype=np.uint64)
-    for k in range(order + 1):
-        if k:
-            before = np.zeros(n, dtype=np.uint64)
-            before[k:] = symbol[: n - k] if k < n else 0
-            before[place < k] = 0
-            with np.errstate(over="ignore"):
-                context = mix(context * np.uint64(ALPHABET) + before + np.uint64(k * 1000))
-        bins = context >> np.uint64(64 - context_bits)
-        out[k] = (bins * np.uint64(ALPHABET) + symbol).astype(np.int64)
-    return out, offsets, np.diff(offsets)
+    for lo in range(0, len(data), block):
+        hi = min(lo + block, len(data))
+        at = np.arange(lo, hi)
+        row = np.searchsorted(offsets, at, side="right") - 1
+        place = at - offsets[row]
+        symbol = _SYMBOL[data[max(0, lo - order) : hi]].astype(np.uint64)
+        own = symbol[lo - max(0, lo - order) :]
+        out = np.empty((order + 1, len(own)), dtype=np.int64)
+        context = np.zeros(len(own), dtype=np.uint64)
+        for k in range(order + 1):
+            if k:
+                before = np.zeros(len(own), dtype=np.uint64)
+                inside = place >= k
+                before[inside] = symbol[np.flatnonzero(inside) + (len(symbol) - len(own)) - k]
+                with np.errstate(over="ignore"):
+                    context = mix(context * np.uint64(ALPHABET) + before + np.uint64(k * 1000))
+            bins = context >> np.uint64(64 - context_bits)
+            out[k] = (bins * np.uint64(ALPHABET) + own).astype(np.int64)
+        yield out, row
 
 
 @dataclass(frozen=True)
@@ -82,17 +88,16 @@ class UrlRatioModel:
         usable = bool(self.counts[0].any() and self.counts[1].any())
 
         def score(urls: pa.Array) -> np.ndarray:
-            cells, offsets, lengths = _cells(urls, order, bits)
-            if not usable or not cells.shape[1]:
-                return np.zeros(len(lengths))
-            log = []
-            for label in (0, 1):
-                p = np.full(cells.shape[1], 1.0 / ALPHABET)
-                for k in range(order + 1):
-                    p = share[label, k][cells[k]] + back[label, k][cells[k] // ALPHABET] * p
-                log.append(np.log(p))
-            sums = np.concatenate(([0.0], np.cumsum(log[1] - log[0])))
-            return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(lengths, 1)
+            total = np.zeros(len(urls))
+            for cells, row in _cells(urls, order, bits) if usable else ():
+                log = []
+                for label in (0, 1):
+                    p = np.full(cells.shape[1], 1.0 / ALPHABET)
+                    for k in range(order + 1):
+                        p = share[label, k][cells[k]] + back[label, k][cells[k] // ALPHABET] * p
+                    log.append(np.log(p))
+                total += np.bincount(row, log[1] - log[0], len(total))
+            return total / np.maximum(np.diff(buffers(urls)[1]), 1)
 
         return score
 
@@ -128,12 +133,12 @@ def fit(df: DataFrame, url: str, accepted: Column, order: int = 5, context_bits:
                 own = b.column(0).filter(pa.array(b.column(1).to_numpy(zero_copy_only=False) == label))
                 if not len(own):
                     continue
-                cells, _, _ = _cells(own, order, context_bits)
-                cells = cells + (np.arange(order + 1) << (context_bits + 6))[:, None] + label * per_label
-                key, n = np.unique(cells, return_counts=True)
-                both = np.concatenate((held[0], key))
-                key, at = np.unique(both, return_inverse=True)
-                held = key, np.bincount(at, np.concatenate((held[1], n)), len(key)).astype(np.int64)
+                for cells, _ in _cells(own, order, context_bits):
+                    cells = cells + (np.arange(order + 1) << (context_bits + 6))[:, None] + label * per_label
+                    key, n = np.unique(cells, return_counts=True)
+                    both = np.concatenate((held[0], key))
+                    key, at = np.unique(both, return_inverse=True)
+                    held = key, np.bincount(at, np.concatenate((held[1], n)), len(key)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["cell", "n"])
 
     table = labelled.where("not held").select("url", "label").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()

@@ -5,10 +5,11 @@ document is covered by windows of 2u shingles, u apart, so that a passage of an
 size is at most four times its own, however long the document is.  At containment 0.8 the item and that window have
 Jaccard similarity of 0.19 at least, and with ``minhashes`` bands of one row the pair is missed with probability
 below 0.81 ** minhashes (4e-5 for 48).  Minima of the smallest blocks are merged pairwise into those of larger ones.
-Each candidate is verified on all shingles of the document.
+Items of up to ``FEW`` shingles must be contained whole, so that their least shingle is looked up itself.  Each candidate
+is verified on all shingles of the document; very long documents are searched in parts that overlap by a window.
 
-The searched items are a stated query set: they are read in blocks of bounded size, each broadcast on its own; the
-documents are never shuffled.
+The searched items are a stated query set: they are read in blocks of bounded size, each broadcast on its own and
+released before the next one where there are several; the documents are never shuffled.
 
 Defined results: null and empty texts match nothing; an item of fewer than five words is one shingle and is found only
 in documents of exactly these words; repeated documents and items give one row for each pair of rows; rows without a
@@ -23,15 +24,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SHINGLE_WORDS, SIMILARITY, read
+from quillspark.llm.common import SHINGLE_WORDS, SIMILARITY, read, written
 from quillspark.llm.minhash import multipliers, row_minima
 from quillspark.llm.wordhash import shingles, slices, words
 
 MINHASHES = 48
 LEAST = 8
+#: At the similarity asked for, items of so few shingles must be there whole.
+FEW = 4
+#: Shingles of a document that are searched at a time.
+PART = 1 << 18
 BLOCK_BYTES = 16 << 20
 _BITS = 20
 
@@ -45,15 +51,20 @@ class ContainmentIndex:
     keys: dict[int, np.ndarray]
     owners: dict[int, np.ndarray]
     filters: dict[int, np.ndarray]
+    few: np.ndarray
+    few_owners: np.ndarray
 
     @classmethod
-    def build(cls, texts: pa.Array, minhashes: int = MINHASHES) -> ContainmentIndex:
+    def build(cls, texts: pa.Array, minhashes: int = MINHASHES, least: float = SIMILARITY) -> ContainmentIndex:
         hashes, first = shingles(words(texts), SHINGLE_WORDS)
         sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
         factors = multipliers(minhashes)
         classes: dict[int, list[int]] = {}
+        whole = [k for k, s in enumerate(sets) if 0 < len(s) <= FEW and (len(s) - 1) < least * len(s) - 1e-9]
+        whole.sort(key=lambda k: sets[k][0])
+        few = set(whole)
         for k, s in enumerate(sets):
-            if len(s):
+            if len(s) and k not in few:
                 classes.setdefault(max(LEAST, 1 << (len(s) - 1).bit_length()), []).append(k)
         keys, owners, filters = {}, {}, {}
         for u, members in sorted(classes.items()):
@@ -64,12 +75,24 @@ class ContainmentIndex:
             keys[u], owners[u] = key[order], np.tile(np.array(members), minhashes)[order]
             filters[u] = np.zeros((minhashes, 1 << _BITS), dtype=bool) if len(members) > 4096 else np.zeros((1, 1 << _BITS), dtype=bool)
             filters[u][(np.arange(minhashes) % len(filters[u]))[:, None], minima >> np.uint32(32 - _BITS)] = True
-        return cls(sets, factors, keys, owners, filters)
+        return cls(sets, factors, keys, owners, filters, np.array([sets[k][0] for k in whole], np.uint64), np.array(whole, np.int64))
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Pairs (row, item) that share a minimum; rows are ``hashes[first[i]:first[i + 1]]``."""
+        """Pairs (row, item) that may match; rows are ``hashes[first[i]:first[i + 1]]``."""
+        if len(first) == 2 and len(hashes) > 2 * PART:
+            wide = 2 * max(self.keys, default=0)
+            step = max(PART, wide)
+            return np.unique(np.concatenate([self._candidates(own, np.array([0, len(own)])) for at in range(0, len(hashes), step) for own in [hashes[at : at + step + wide]]]), axis=0)
+        return self._candidates(hashes, first)
+
+    def _candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         number = np.diff(first)
         found = [np.empty((0, 2), dtype=np.int64)]
+        if len(self.few):
+            at = np.flatnonzero(np.isin(hashes, self.few))
+            lo, hi = (np.searchsorted(self.few, hashes[at], side) for side in ("left", "right"))
+            rows = np.searchsorted(first, at, side="right") - 1
+            found += [np.column_stack((np.full(b - a, r), self.few_owners[a:b])) for r, a, b in zip(rows, lo, hi, strict=True)]
         blocks = -(-number // LEAST)
         ends = np.cumsum(blocks)
         row = np.repeat(np.arange(len(number)), blocks)
@@ -110,16 +133,22 @@ class ContainmentIndex:
         return out
 
 
+def _indexes(items: DataFrame, key: str, text: str, least: float) -> Iterator[tuple[int, tuple[list, ContainmentIndex]]]:
+    """(number of blocks, (keys, index)) for every block of items."""
+    size = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64(key, text), F.lit(blocks)) == block).select(F.col(key).cast("long").alias("i"), F.col(text).alias("t")).toArrow()
+        yield blocks, (own["i"].to_pylist(), ContainmentIndex.build(own["t"].combine_chunks(), least=least))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, least: float = SIMILARITY) -> DataFrame:
     """Pairs (key, item_key) with n_shared, n_shingles and containment of the item in the document."""
     spark = docs.sparkSession
-    size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t is not null")
     parts = []
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(blocks)) == block).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).toArrow()
-        held = spark.sparkContext.broadcast((own["i"].to_pylist(), ContainmentIndex.build(own["t"].combine_chunks())))
+    for blocks, own in _indexes(items, item_key, item_text, least):
+        held = spark.sparkContext.broadcast(own)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, index = held.value
@@ -132,12 +161,39 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str, text: str, item
                         columns = [keys.take(pa.array(r)), pa.array([ids[x] for x in i], pa.int64()), pa.array(n, pa.int64()), pa.array([len(index.sets[x]) for x in i], pa.int64())]
                         yield pa.RecordBatch.from_arrays(columns, ["k", "i", "n", "m"])
 
-        parts.append(rows.mapInArrow(search, "k long, i long, n long, m long"))
+        part = rows.mapInArrow(search, "k long, i long, n long, m long")
+        if blocks > 1:
+            part = written(part, "contained")
+            held.destroy()
+        parts.append(part)
     return reduce(DataFrame.unionAll, parts).select(
         F.col("k").alias(key), F.col("i").alias(item_key), F.col("n").alias("n_shared"), F.col("m").alias("n_shingles"), (F.col("n") / F.col("m")).alias("containment")
     )
 
 
+def _leaks(held: Broadcast, least: float):
+    @F.arrow_udf("boolean")
+    def leaks(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in parts:
+            out = np.zeros(len(column), dtype=bool)
+            for lo, hi in slices(column):
+                out[[lo + r for r, _, _ in held.value.verified(*shingles(words(column.slice(lo, hi - lo)), SHINGLE_WORDS), least)]] = True
+            yield pa.array(out)
+
+    return leaks
+
+
+def without_items(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, least: float = SIMILARITY) -> DataFrame:
+    """The rows that contain none of the items; each row is judged by itself, whatever its key."""
+    for blocks, (_, index) in _indexes(items, item_key, item_text, least):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.where(~_leaks(held, least)(F.col(text)))
+        if blocks > 1:
+            docs = written(docs, "free-of-items")
+            held.destroy()
+    return docs
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items that any document contains."""
     return contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")

@@ -50,9 +50,26 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
+def byte_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often every byte occurs in each row."""
+    out = np.zeros((len(offsets) - 1, 256))
+    if len(out) == 1:
+        for lo in range(0, len(data), 1 << 20):
+            out[0] += np.bincount(data[lo : lo + (1 << 20)], minlength=256)
+        return out
+    size = np.diff(offsets)
+    for lo in range(0, len(out), 512):
+        own = size[lo : lo + 512]
+        cells = np.repeat(np.arange(len(own)), own) * 256 + data[offsets[lo] : offsets[lo + len(own)]]
+        out[lo : lo + len(own)] = np.bincount(cells, minlength=256 * len(own)).reshape(-1, 256)
+    return out
+
+
 def _repeats(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """For each row the share of its items that are equal to another one of the row before them."""
     number = np.diff(first)
+    if len(number) == 1:
+        return np.array([1 - len(np.unique(hashes)) / number[0] if number[0] else 0.0])
     row = np.repeat(np.arange(len(number)), number)
     with np.errstate(over="ignore"):
         distinct = np.unique(hashes ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
@@ -70,13 +87,9 @@ def _features(texts: pa.Array) -> np.ndarray:
     w = words(texts)
     n = np.diff(w.first)
     size = np.maximum(np.diff(offsets), 1)
-    sums = []
-    for k in range(_CLASS.shape[1]):
-        total = np.concatenate(([0], np.cumsum(_CLASS[:, k][data], dtype=np.float64)))
-        sums.append(total[offsets[1:]] - total[offsets[:-1]])
-    upper, digits, symbols, shouts, high, marks = sums
-    bars = np.concatenate(([0], np.cumsum(data == 0x7C)))
-    bars = bars[offsets[1:]] - bars[offsets[:-1]]
+    counts = byte_counts(data, offsets)
+    upper, digits, symbols, shouts, high, marks = (counts @ _CLASS).T
+    bars = counts[:, 0x7C]
     length = np.concatenate(([0], np.cumsum(w.ends - w.starts)))
     length = length[w.first[1:]] - length[w.first[:-1]]
     last = data[w.ends - 1] if len(w.ends) else np.empty(0, np.uint8)
@@ -85,10 +98,10 @@ def _features(texts: pa.Array) -> np.ndarray:
     big = per_row((head >= 65) & (head < 91))
     marked = per_row(np.isin(last, np.frombuffer(b"#*$%&|<>!", np.uint8)))
     # Lines: the words of a line as one hash; a line starts at a word with a line feed between it and the word before.
-    feeds = np.concatenate(([0], np.cumsum(data == 0x0A)))
     if len(w.starts):
+        feeds = np.searchsorted(np.flatnonzero(data == 0x0A), w.starts)
         new = np.ones(len(w.starts), dtype=bool)
-        new[1:] = feeds[w.starts[1:]] != feeds[w.starts[:-1]]
+        new[1:] = feeds[1:] != feeds[:-1]
         new[w.first[:-1][n > 0]] = True
         at = np.flatnonzero(new)
         with np.errstate(over="ignore"):

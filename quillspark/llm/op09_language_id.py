@@ -4,8 +4,9 @@ Two GRUs read windows of bytes in either direction; at every byte a softmax over
 document's probabilities are the means over all its bytes.  The network is trained in numpy by backpropagation through
 time with Adam.  Windows of a batch run in step, feature-major, so that each step is a few operations on wide arrays.
 
-Training uses at most ``MAX_DOCS`` distinct texts per language, those with the smallest hash, and of each an excerpt of at most
-``MAX_CHARS / MAX_DOCS`` characters at a hashed place; prediction reads every byte of every text in windows of ``WINDOW``.
+Training uses the distinct texts with the smallest hashes, at most ``MAX_DOCS`` of every language, and as many excerpts
+of each, spread evenly over the whole text, as let all languages together have ``MAX_CHARS`` characters; each language
+has the same share.  Prediction reads every byte of every text in windows of ``WINDOW``.
 
 Defined results: ``und`` and score 0.0 for null texts and texts without a letter; also where nothing was learned; with
 one learned language it is always that one.
@@ -21,16 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, read, written
+from quillspark.llm.common import BROADCAST_KEYS, fold, read, written
 from quillspark.llm.wordhash import buffers, slices
 
 HIDDEN = 8
 WINDOW = 128
 BATCH = 4096
 MAX_DOCS = 400
-MAX_CHARS = 1_000_000
-#: The most frequent languages are learned, so that what is broadcast has at most MAX_LANGUAGES * MAX_DOCS rows.
-MAX_LANGUAGES = 1000
+MAX_CHARS = 16_000_000
+EXCERPT, MAX_EXCERPTS = 256, 10
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -187,18 +187,23 @@ def fit(texts: list[str], languages: list[str], updates: int = 300, window: int
 
 
 def train(docs: DataFrame, text: str, lang: str, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> ByteGru | None:
-    """Learns from the rows with a language: ``max_docs`` of each at most, and ``max_chars`` characters of each language."""
+    """Learns all languages of the rows, from ``max_docs`` texts of each at most, and ``max_chars`` characters of all together."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("t"), F.col(lang).alias("g"))
     mixed = labelled.withColumn("h", F.xxhash64("t"))
     texts = written(mixed.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")), "language-texts")
-    # Hashes below a bound that leaves eight times the texts wanted, so that ranking sees few texts of large languages.
-    number = texts.groupBy("g").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("texts")).orderBy(F.desc("rows"), "g").limit(MAX_LANGUAGES)
-    few = texts.select("g", "h").join(F.broadcast(number), "g").where(F.col("h") / 2.0**63 + 1 <= 2 * F.least(F.lit(1.0), 8.0 * max_docs / F.col("texts")))
-    smallest = few.select("g", "h").withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("n") <= max_docs)
-    size = max(1, max_chars // max_docs)
-    start = 1 + F.pmod(F.col("h"), F.greatest(F.length("t") - size, F.lit(0)) + 1)
-    chosen = mixed.join(F.broadcast(smallest.select("g", "h")), ["g", "h"]).dropDuplicates(["g", "h"]).orderBy("g", "h").select("g", F.substring("t", start.cast("int"), F.lit(size)).alias("t"))
-    rows = chosen.collect()
+    number = written(texts.groupBy("g").agg(F.count(F.lit(1)).alias("texts")), "languages")
+    share = max_chars // EXCERPT // max(1, number.count())
+    each = max(1, min(max_docs, share))
+    excerpts = max(1, min(MAX_EXCERPTS, share // each))
+    # Hashes below a bound that leaves many times the texts wanted, so that ranking sees few texts of large languages.
+    bound = 2 * F.least(F.lit(1.0), F.lit(8.0 * max(each, 8)) / F.col("texts"))
+    few = texts.select("g", "h").join(number, "g").where(F.col("h") / 2.0**63 + 1 <= bound)
+    smallest = written(few.select("g", "h").withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("n") <= each).select("g", "h"), "smallest")
+    held = F.broadcast(smallest) if smallest.count() <= BROADCAST_KEYS else smallest
+    chosen = mixed.join(held, ["g", "h"]).dropDuplicates(["g", "h"])
+    place = lambda k: F.floor((k + 0.5) * F.length("t") / excerpts - EXCERPT / 2).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(excerpts - 1)), lambda k: F.substring("t", F.greatest(place(k), F.lit(0)) + 1, F.lit(EXCERPT)))
+    rows = chosen.select("g", "h", F.when(F.length("t") <= EXCERPT * excerpts, F.col("t")).otherwise(F.array_join(cut, "\n")).alias("t")).orderBy("g", "h").collect()
     return fit([r["t"] for r in rows], [r["g"] for r in rows]) if rows else None
 
 

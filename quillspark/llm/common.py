@@ -1,13 +1,14 @@
-"""What the operators of this subpackage share: reading tables, folds, the shared folder, bounded broadcasts."""
+"""What the operators of this subpackage share: reading tables, folds, bounded broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.shared import scratch, shared_dir, written
+
+__all__ = ["BROADCAST_KEYS", "SHINGLE_WORDS", "SIMILARITY", "fold", "read", "scratch", "shared_dir", "without", "written"]
+
 #: Words of all operators on shingles.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -22,26 +23,6 @@ def fold(column: str | Column, n: int) -> Column:
     return (F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n).cast("int")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a written table in the shared folder: lineage ends there and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Up to this number, keys to drop are broadcast to the scan (8 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 

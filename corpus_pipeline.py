@@ -1,8 +1,9 @@
 """A corpus pipeline of five stages, each one operator of ``quillspark.llm`` on all that the stage before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs.  All but the last return the columns of ``documents``.  doc_id is the key: rows that share it are one
-document, kept while any of them is kept; rows without one are kept by the stages that decide by key.
+one's docs.  All but the last return the columns of ``documents``.  Rows are judged one by one; only near duplicates need
+a key, for which rows that share a doc_id are one document, kept once while any of them is kept, and a row without one
+goes by the hash of its text, after all that have one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import op06_pii
 from quillspark.llm.common import fold, read, scratch, without, written
 from quillspark.llm.op02_jaccard_join import jaccard_join
-from quillspark.llm.op04_decontamination import contained_items
+from quillspark.llm.op04_decontamination import without_items
 from quillspark.llm.op07_quality_classifier import quality_score, train
 from quillspark.llm.op08_packing import packed, tokenized
 
@@ -29,27 +30,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate class, once."""
-    member, _ = jaccard_join(docs, "doc_id", "text")
-    stays = F.col("doc_id") == F.col("class_id")
-    by_key = written(member.where("doc_id is not null").groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "kept")
-    left = without(docs, "doc_id", by_key.where("not stays").select("doc_id"))
-    repeated = written(by_key.where("stays and n > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return left
-    again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without(left, "doc_id", repeated).unionByName(again.select(left.columns))
+    """Keeps the document with the least key of each near-duplicate class, once."""
+    by_text = F.shiftrightunsigned(F.xxhash64(F.col("text")), 2) + (1 << 62)
+    docs = docs.withColumn("__key", F.coalesce(F.col("doc_id"), by_text))
+    member, _ = jaccard_join(docs, "__key", "text")
+    by_key = written(member.groupBy("__key").agg(F.max(F.col("__key") == F.col("class_id")).alias("stays"), F.count(F.lit(1)).alias("n")), "kept")
+    left = without(docs, "__key", by_key.where("not stays").select("__key"))
+    repeated = written(by_key.where("stays and n > 1").select("__key"), "repeated")
+    if not repeated.isEmpty():
+        again = left.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
+        left = without(left, "__key", repeated).unionByName(again)
+    return left.drop("__key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that contain an item of the benchmark."""
-    found = contained_items(docs, read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
-    return without(docs, "doc_id", written(found.select("doc_id").where("doc_id is not null").distinct(), "leaks"))
+    return without_items(docs, read(spark, sf_dir, "benchmark"), "text", "item_id", "text")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets; n_chars follows the text."""
-    masked = docs.withColumn("__masked", op06_pii.mask(docs, "text", op06_pii.train(op06_pii.training_table())))
+    masked = docs.withColumn("__masked", op06_pii.mask(docs, "text", op06_pii.fitted(docs, "text")))
     length = F.when(F.col("__masked") == F.col("text"), F.col("n_chars")).otherwise(F.length("__masked").cast("long"))
     return masked.withColumns({"n_chars": length, "text": F.col("__masked")}).drop("__masked")
 

@@ -12,6 +12,11 @@ SCHEMAS = {
     "pages": pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]),
     "benchmark": pa.schema([("item_id", pa.int64()), ("text", pa.string())]),
 }
+#: Columns that operators use inside, in tables that they read.
+CLASHING = [("k", pa.string()), ("score", pa.float64()), ("n", pa.int64()), ("label", pa.int32()), ("host", pa.string()), ("t", pa.string()), ("c", pa.int64()), ("good", pa.bool_())]
+for _name in ("labels", "pages", "benchmark"):
+    for _field in CLASHING:
+        SCHEMAS[_name] = SCHEMAS[_name].append(pa.field(*_field))
 
 
 def prose(r, n):

@@ -53,13 +53,12 @@ def seam(text: str, at: int, overlap: int) -> int:
     return found.start() if found else len(text)
 
 
-def spliced(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The tokens of a long text from overlapping chunks.
+def spliced(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[int]]:
+    """The tokens of a long text from overlapping chunks, chunk by chunk.
 
     Chunk k is encoded from ``overlap`` before its first seam to ``overlap`` behind its last one, and gives the tokens
     that begin between the two seams.  If its encoding has no boundary at a seam, the overlap is doubled.
     """
-    out: list[int] = []
     start = 0
     while start < len(text):
         end = seam(text, start + chunk, overlap) if start + chunk < len(text) else len(text)
@@ -73,9 +72,8 @@ def spliced(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> lis
             if (start == 0 or start in begins) and (end == len(text) or end in begins) or (a == 0 and b == len(text)):
                 break
             wide *= 2
-        out += [i for p, i in pieces if start <= p < end]
+        yield [i for p, i in pieces if start <= p < end]
         start = end
-    return out
 
 
 def count_tokens(model, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
@@ -83,7 +81,7 @@ def count_tokens(model, texts: list[str], chunk: int = CHUNK, overlap: int = OVE
     skip = set(long)
     counts = [len(x) for x in model.encode(["" if k in skip else t for k, t in enumerate(texts)], return_type="numpy", num_threads=1)]
     for k in long:
-        counts[k] = len(spliced(model, texts[k], chunk, overlap))
+        counts[k] = sum(map(len, spliced(model, texts[k], chunk, overlap)))
     return counts
 
 

@@ -55,3 +55,24 @@ def rgb(color: Column) -> Column:
 def half_up(x: Column) -> Column:
     """Rounding by floor(x + 0.5), halves towards plus infinity."""
     return F.floor(x + 0.5)
+
+
+def viewer_matrix(x0: Column, y0: Column, x1: Column, y1: Column, rotate: Column) -> Column:
+    """struct<a, b, c, d, e, f, width, height>: from a page as it is seen (origin at the lower left) to the page's own space.
+
+    Quarter turns are rounded from any angle; width and height are those of the page as it is seen.
+    """
+    quarter = F.pmod(half_up(rotate / 90), F.lit(4))
+    by_turn = lambda *values: F.when(quarter == 1, values[1]).when(quarter == 2, values[2]).when(quarter == 3, values[3]).otherwise(values[0])
+    w, h = x1 - x0, y1 - y0
+    one = lambda *v: by_turn(*map(F.lit, map(float, v)))
+    return F.struct(
+        one(1, 0, -1, 0).alias("a"), one(0, 1, 0, -1).alias("b"), one(0, -1, 0, 1).alias("c"), one(1, 0, -1, 0).alias("d"), by_turn(x0, x1, x1, x0).alias("e"), by_turn(y0, y0, y1, y1).alias("f"),
+        by_turn(w, h, w, h).alias("width"), by_turn(h, w, h, w).alias("height"),
+    )
+
+
+def burnt_box(x: Column, y: Column, w: Column, h: Column, page_w: Column, page_h: Column, scale: float = 2.5) -> Column:
+    """struct<x0, y0, x1, y1>: the pixels that a box blackens, rounded outwards and kept on the page."""
+    at = lambda v, most, turn: F.least(F.greatest(turn(v * scale), F.lit(0)), turn(most * scale)).cast("long")
+    return F.struct(at(x, page_w, F.floor).alias("x0"), at(y, page_h, F.floor).alias("y0"), at(x + w, page_w, F.ceil).alias("x1"), at(y + h, page_h, F.ceil).alias("y1"))

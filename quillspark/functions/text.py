@@ -84,3 +84,31 @@ def error_class(message: Column) -> Column:
         F.when(m.rlike("password|encrypt"), "locked").when(m.rlike("not found|no longer|moved or deleted|permission"), "gone")
         .when(m.rlike("memory|allocation|too large"), "memory").when(m.rlike("invalid|corrupt|damaged|xref|parse"), "damaged").otherwise("other")
     )
+
+
+def graphemes(t: Column) -> Column:
+    """The characters that a reader sees; marks stay with their letters."""
+    return F.regexp_extract_all(t, F.lit(r"\X"), F.lit(0))
+
+
+def distinct_characters(t: Column) -> Column:
+    """Every character of a text once, in order of its first place."""
+    return F.array_join(F.array_distinct(F.filter(F.split(t, ""), lambda c: c != "")), "")
+
+
+def ellipsized(t: Column, most: Column, width) -> Column:
+    """The text, or where it is wider than ``most`` as much of it as fits before an ellipsis, one character at least.
+
+    ``width`` gives the width of a character.
+    """
+    chars = F.filter(F.split(collapsed(t), ""), lambda c: c != "")
+    total = lambda cs: F.aggregate(cs, F.lit(0.0), lambda s, c: s + width(c))
+    start = F.struct(width(F.lit("…")).alias("used"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+
+    def step(s: Column, c: Column) -> Column:
+        used = s["used"] + width(c)
+        full = s["full"] | (used > most)
+        return F.struct(used.alias("used"), F.when(full, s["n"]).otherwise(s["n"] + 1).alias("n"), full.alias("full"))
+
+    kept = F.greatest(F.aggregate(chars, start, step)["n"], F.lit(1))
+    return F.when(total(chars) <= most, collapsed(t)).otherwise(F.concat(F.array_join(F.slice(chars, F.lit(1), kept), ""), F.lit("…")))

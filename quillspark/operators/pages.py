@@ -161,3 +161,10 @@ def place_images(images: DataFrame, margin: float = 18.0) -> DataFrame:
     scale = F.least(F.lit(1.0), (pw - 2 * margin) / F.col("w"), (ph - 2 * margin) / F.col("h"))
     dw, dh = F.col("w") * scale, F.col("h") * scale
     return images.withColumns({"page_w": pw, "page_h": ph, "draw_w": dw, "draw_h": dh, "x": (pw - dw) / 2, "y": (ph - dh) / 2})
+
+
+def page_slice(pages: DataFrame, start: Column, count: Column) -> DataFrame:
+    """Width, height and rotation of ``count`` pages from ``start`` on, as many as there are."""
+    first = F.greatest(start, F.lit(0))
+    kept = pages.where((F.col("page_index") >= first) & (F.col("page_index") < first + count))
+    return kept.select("doc_id", "page_index", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"), "rotate")

@@ -9,8 +9,11 @@ MOST_CELLS = 40_000_000
 
 
 def dense_rows(cells: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of a sheet from its cells (key, row, col, text): gaps as '', rows without any value left out."""
-    size = cells.groupBy(*key).agg((F.max("col") + 1).alias("cols"))
+    """Rows of a sheet from its cells (key, row, col, text): gaps as '', rows without any value left out.
+
+    Sheets whose rows and columns span more than MOST_CELLS cells are refused.
+    """
+    size = cells.groupBy(*key).agg((F.max("col") + 1).alias("cols"), (F.max("row") + 1).alias("rows")).where(F.col("rows").cast("long") * F.col("cols") <= MOST_CELLS).drop("rows")
     by_row = cells.where("text <> ''").groupBy(*key, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"))
     filled = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: F.coalesce(F.element_at("m", c), F.lit("")))
     return by_row.join(size, key).select(*key, "row", filled.alias("cells"))

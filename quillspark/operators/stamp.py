@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from quillspark.functions.geometry import MM, anchor, mirrored, roman, turned_box
 
@@ -46,39 +48,52 @@ def signatures(pages: DataFrame, placements: DataFrame) -> DataFrame:
     return joined.withColumn("y", F.col("y1") - F.col("y0") - F.col("y") - F.col("h")).drop("y0", "y1")
 
 
-def wrapped(words: DataFrame, key: list[str], width: int) -> DataFrame:
-    """Adds line: words (key, pos, text) put on lines of ``width`` characters as long as they fit; a long word has its own.
+_LINES = ArrayType(StructType([StructField("line", IntegerType()), StructField("text", StringType()), StructField("n_words", IntegerType())]))
 
-    The place of a word depends on those before it, so the words of a paragraph are folded; the fold keeps the starts
-    of lines only.
-    """
-    rows = words.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("w"))
-    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("starts"))
 
-    def step(s: Column, w: Column) -> Column:
-        n = F.length(w["text"])
-        new, k = (F.size(s["starts"]) == 0) | (s["used"] + 1 + n > width), s["k"] + 1
-        return F.struct(k.alias("k"), F.when(new, n).otherwise(s["used"] + 1 + n).alias("used"), F.when(new, F.concat(s["starts"], F.array(k))).otherwise(s["starts"]).alias("starts"))
+def wrapped(paragraphs: DataFrame, key: list[str], words: str, width: int) -> DataFrame:
+    """(key, line, text, n_words): an array of words put on lines of ``width`` characters as long as they fit; a long word has its own.
+
+    The place of a word depends on those before it, so the words of a paragraph are walked once, many paragraphs in an
+    Arrow batch.
+    """
 
-    folded = rows.withColumn("starts", F.aggregate("w", start, step)["starts"])
-    end = lambda i: F.coalesce(F.get(F.col("starts"), i + 1), F.size("w") + 1)
-    cut = F.transform("starts", lambda s, i: F.struct(i.alias("line"), F.slice("w", s, end(i) - s).alias("own")))
-    return folded.select(*key, F.inline(cut)).select(*key, "line", F.array_join(F.col("own.text"), " ").alias("text"), F.size("own").alias("n_words"))
+    @F.arrow_udf(_LINES)
+    def fill(paragraphs: pa.Array) -> pa.Array:
+        out = []
+        for own in paragraphs.to_pylist():
+            lines: list[list[str]] = []
+            used = 0
+            for w in own:
+                if lines and used + 1 + len(w) <= width:
+                    lines[-1].append(w)
+                    used += 1 + len(w)
+                else:
+                    lines.append([w])
+                    used = len(w)
+            out.append([{"line": k, "text": " ".join(x), "n_words": len(x)} for k, x in enumerate(lines)])
+        return pa.array(out, pa.list_(pa.struct([("line", pa.int32()), ("text", pa.string()), ("n_words", pa.int32())])))
+
+    return paragraphs.select(*key, F.inline(fill(F.coalesce(F.col(words), F.array().cast("array<string>")))))
 
 
 def paged(blocks: DataFrame, key: list[str], order: str, height: float) -> DataFrame:
     """Adds page: blocks (height h) go to the next page when they do not fit the rest of the present one."""
-    rows = blocks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(order, "h"))).alias("b"))
-    start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("starts"))
 
-    def step(s: Column, b: Column) -> Column:
-        new, k = (F.size(s["starts"]) == 0) | ((s["used"] > 0) & (s["used"] + b["h"] > height)), s["k"] + 1
-        return F.struct(k.alias("k"), F.when(new, b["h"]).otherwise(s["used"] + b["h"]).alias("used"), F.when(new, F.concat(s["starts"], F.array(k))).otherwise(s["starts"]).alias("starts"))
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def deal(heights: pa.Array) -> pa.Array:
+        out = []
+        for own in heights.to_pylist():
+            page, used, pages = 0, 0.0, []
+            for h in own:
+                full = used > 0 and used + h > height
+                page, used = (page + 1, h) if full else (page, used + h)
+                pages.append(page)
+            out.append(pages)
+        return pa.array(out, pa.list_(pa.int32()))
 
-    folded = rows.withColumn("starts", F.aggregate("b", start, step)["starts"])
-    end = lambda i: F.coalesce(F.get(F.col("starts"), i + 1), F.size("b") + 1)
-    cut = F.transform("starts", lambda s, i: F.struct(i.alias("page"), F.slice("b", s, end(i) - s).alias("own")))
-    return folded.select(*key, F.inline(cut)).select(*key, "page", F.explode("own").alias("o")).select(*key, "page", "o.*")
+    rows = blocks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(order, "h"))).alias("b"))
+    return rows.select(*key, F.inline(F.arrays_zip(F.col("b"), deal(F.col("b.h")).alias("page")))).select(*key, "page", "b.*")
 
 
 def clipped(items: DataFrame, page_height: float) -> DataFrame:
@@ -86,3 +101,45 @@ def clipped(items: DataFrame, page_height: float) -> DataFrame:
     first, last = F.floor(F.col("top") / page_height).cast("int"), F.floor((F.col("top") + F.greatest(F.col("h") - 1e-9, F.lit(0.0))) / page_height).cast("int")
     spread = items.withColumn("page", F.explode(F.sequence(first, F.greatest(first, last))))
     return spread.withColumn("page_top", F.col("top") - F.col("page") * page_height)
+
+
+MOST_PAGES = 2000
+
+
+def page_breaks(texts: list[tuple[float, float]], forced: list[float], bottom: float, height: float, most: int = MOST_PAGES) -> list[float]:
+    """Where pages of a long column begin and the last one ends: at forced breaks, else a page further, moved above lines of text.
+
+    A break is moved up while a line (top, bottom) crosses it, unless less than 0.3 of a page would be left.
+    """
+    ends, out, start = sorted({b for b in (float(half) for half in (int(f + 0.5) for f in forced)) if b > 1}), [0.0], 0.0
+    while len(out) <= most and (start + height < bottom or any(f > start + 1 for f in ends)):
+        target = start + height
+        ahead = next((f for f in ends if f > start + 1), None)
+        if ahead is not None and ahead <= target:
+            target = ahead
+        else:
+            y = target
+            while (crossing := next((t for t, b in texts if t < y - 0.5 and b > y + 0.5), None)) is not None:
+                y = crossing - 0.5
+            target = y if y > start + 0.3 * height else target
+        out.append(target)
+        start = target
+    return [*out, max(bottom, start + 1)]
+
+
+def paginated(columns: DataFrame, key: list[str], height: float) -> DataFrame:
+    """(key, page, top, bottom) of long columns: texts array<struct<top, bottom>>, forced array<double>, bottom."""
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def cut(texts: pa.Array, forced: pa.Array, bottom: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), forced.to_pylist(), bottom.to_pylist(), strict=True)
+        return pa.array([page_breaks([(s["top"], s["bottom"]) for s in t or []], f or [], b, height) for t, f, b in rows], pa.list_(pa.float64()))
+
+    pages = columns.select(*key, cut("texts", "forced", "bottom").alias("at")).select(*key, "at", F.posexplode(F.slice("at", F.lit(1), F.size("at") - 1)).alias("page", "top"))
+    return pages.select(*key, "page", "top", F.get("at", F.col("page") + 1).alias("bottom"))
+
+
+def drawing_order(items: DataFrame, key: list[str], kind: str, order: str) -> DataFrame:
+    """Adds place: rectangles are drawn first, then pictures, lines and texts, each in the given order."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, ("rect", "image", "line", "text"))), F.col(kind)), F.lit(0))
+    return items.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(rank, order)) - 1)

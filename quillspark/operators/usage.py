@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,3 +91,12 @@ def over_limit(samples: DataFrame, limit: float, hold_ms: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["user_id", "ts", "held_ms"])
 
     return samples.groupBy("user_id").applyInPandasWithState(watch, schema, "since long", "append", "NoTimeout")
+
+
+MOST_FILES = 2000
+
+
+def input_size(files: Column, size, most: int = MOST_FILES) -> tuple[Column, Column]:
+    """Bytes and number of the first ``most`` files of a job's input; ``size`` gives the bytes of one."""
+    counted = F.slice(files, 1, most)
+    return F.aggregate(counted, F.lit(0).cast("long"), lambda s, f: s + F.coalesce(size(f), F.lit(0)).cast("long")), F.size(counted).cast("long")

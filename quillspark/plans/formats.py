@@ -18,11 +18,11 @@ def general_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.general(F.round("l_extendedprice", 2)).alias("price"), N.general(quantity).alias("quantity"))
 
 
-@query("""select l_orderkey, l_linenumber, regexp_replace(format('{:.3e}', l_extendedprice), 'e([+-])0', 'e\\1') as e, regexp_replace(format('{:.0e}', l_quantity * 1000 + 1), 'e([+-])0', 'e\\1') as none, format('{:.2e}', l_tax + 0.001).upper() as code from lineitem""")
+@query("""select l_orderkey, l_linenumber, regexp_replace(format('{:.9e}', l_extendedprice), 'e([+-])0', 'e\\1') as e, regexp_replace(format('{:.0e}', l_quantity * 1000 + 1), 'e([+-])0', 'e\\1') as none, format('{:.2e}', l_tax + 0.001).upper() as code from lineitem""")
 def exponential_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers with exponents, by places and by format."""
     return read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", N.exponential(F.col("l_extendedprice"), 3).alias("e"), N.exponential(F.col("l_quantity") * 1000 + 1, 0).alias("none"), N.formatted(F.col("l_tax") + 0.001, "0.00E+00").alias("code")
+        "l_orderkey", "l_linenumber", N.exponential(F.col("l_extendedprice"), 9).alias("e"), N.exponential(F.col("l_quantity") * 1000 + 1, 0).alias("none"), N.formatted(F.col("l_tax") + 0.001, "0.00E+00").alias("code")
     )
 
 

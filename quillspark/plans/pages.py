@@ -192,3 +192,11 @@ def images_to_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 40.0).alias("w"), F.col("p_retailprice").alias("h"))
     placed = P.place_images(images)
     return placed.select("p_partkey", "page_w", "page_h", *(F.round(c, 2).alias(c) for c in ("draw_w", "draw_h", "x", "y")))
+
+
+@query("""with p as (select conv_id as doc_id, turn as page_index, 612.0::double + turn as w, 792.0::double as h, (turn * 90 % 360)::int as rotate from conversations)
+    select doc_id, page_index, w, h, rotate from p where page_index >= doc_id % 3 and page_index < doc_id % 3 + 2""")
+def page_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and rotation of two pages of every document, from one that its id chooses."""
+    found = P.page_slice(doc_pages(spark, sf_dir), F.col("doc_id") % 3, F.lit(2))
+    return found.select("doc_id", F.col("page_index").cast("long").alias("page_index"), "w", "h", "rotate")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import geometry as G
 from quillspark.operators import stamp as O
 from quillspark.plans.registry import query
 from quillspark.sources.tables import doc_pages, read, sheet_lines
-from quillspark.sources.tables import words as all_words
 
 _PAGES = """with pages as (select conv_id as doc_id, turn as page_index, 612.0::double + turn as w, 792.0::double as h, count(*) over (partition by conv_id) as total from conversations)
 """
@@ -77,7 +76,8 @@ def hex_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.wrapped(all_words(spark, sf_dir), ["doc_id"], 72)
+    found = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+", -1), lambda w: w != "")
+    return O.wrapped(read(spark, sf_dir, "documents").select("doc_id", found.alias("words")), ["doc_id"], "words", 72)
 
 
 @query()
@@ -102,3 +102,46 @@ def clipped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items on all pages that they touch."""
     i = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 400 * 7.5).alias("top"), (F.col("l_quantity") * 3).alias("h"))
     return O.clipped(i, 250.0).select("l_orderkey", "l_linenumber", F.col("page").cast("long").alias("page"), "page_top")
+
+
+@query("""with p as (select conv_id as doc_id, turn as page_index, (turn * 90 % 360)::int as r, 5.0::double as x0, 10.0::double as y0, 612.0::double + turn as x1, 792.0::double as y1 from conversations)
+    select doc_id, page_index, case r when 0 then 1.0 when 180 then -1.0 else 0.0 end::double as a, case r when 90 then 1.0 when 270 then -1.0 else 0.0 end::double as b, case r when 90 then -1.0 when 270 then 1.0 else 0.0 end::double as c,
+    case r when 0 then 1.0 when 180 then -1.0 else 0.0 end::double as d, case when r in (90, 180) then x1 else x0 end as e, case when r in (180, 270) then y1 else y0 end as f, case when r in (90, 270) then y1 - y0 else x1 - x0 end as width, case when r in (90, 270) then x1 - x0 else y1 - y0 end as height from p""")
+def viewer_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices from pages as they are seen to their own space."""
+    p = doc_pages(spark, sf_dir)
+    m = G.viewer_matrix(F.lit(5.0), F.lit(10.0), F.col("x1"), F.col("y1"), F.col("rotate"))
+    return p.select("doc_id", F.col("page_index").cast("long").alias("page_index"), m.alias("m")).select("doc_id", "page_index", "m.*")
+
+
+@query("""select l_orderkey, l_linenumber, least(greatest(floor((l_suppkey % 90 * 9.25 - 40) * 2.5), 0), 1530)::bigint as x0, least(greatest(floor(l_partkey % 80 * 11.75 * 2.5), 0), 1980)::bigint as y0,
+    least(greatest(ceil((l_suppkey % 90 * 9.25 - 40 + l_quantity) * 2.5), 0), 1530)::bigint as x1, least(greatest(ceil((l_partkey % 80 * 11.75 + 13.25) * 2.5), 0), 1980)::bigint as y1 from lineitem""")
+def burnt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels that boxes blacken on pages of 612 by 792 points."""
+    box = G.burnt_box(F.col("l_suppkey") % 90 * 9.25 - 40, F.col("l_partkey") % 80 * 11.75, F.col("l_quantity"), F.lit(13.25), F.lit(612.0), F.lit(792.0))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", "b.*")
+
+
+@query("""with i as (select l_orderkey, l_linenumber, l_partkey, case l_suppkey % 5 when 0 then 'text' when 1 then 'rect' when 2 then 'line' when 3 then 'image' else 'text' end as kind from lineitem)
+    select l_orderkey, l_linenumber, kind, row_number() over (partition by l_orderkey order by case kind when 'rect' then 1 when 'image' then 2 when 'line' then 3 else 4 end, l_linenumber) - 1 as place from i""")
+def drawing_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which items of a page are drawn."""
+    k = F.col("l_suppkey") % 5
+    kind = F.when(k == 1, "rect").when(k == 2, "line").when(k == 3, "image").otherwise("text")
+    i = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"))
+    return O.drawing_order(i, ["l_orderkey"], "kind", "l_linenumber").withColumn("place", F.col("place").cast("long"))
+
+
+@query()
+def paginated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as long columns, their lines wrapped at 80 characters, cut into pages between lines; a line of bars forces a break."""
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+    high = F.transform(lines, lambda x: F.ceil(F.length(x) / 80.0) * 14.0)
+    docs = read(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"), high.alias("high"))
+    placed = docs.select("doc_id", F.posexplode(F.arrays_zip("lines", "high")).alias("k", "l")).select("doc_id", "k", "l.*")
+    below = F.sum("high").over(Window.partitionBy("doc_id").orderBy("k"))
+    spans = placed.withColumn("bottom", below).withColumn("top", F.col("bottom") - F.col("high"))
+    g = spans.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("top", "bottom"))).alias("texts"), F.sort_array(F.collect_list(F.when(F.col("lines").startswith("|"), F.col("top")))).alias("forced"), F.max("bottom").alias("bottom"),
+    )
+    return O.paginated(g, ["doc_id"], 700.0)

@@ -190,3 +190,26 @@ def dehyphenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines cut inside words and joined again."""
     cut = F.regexp_replace("text", r"([A-Za-z0-9_]{3})([A-Za-z0-9_]{3}) ", "$1-\n$2 ")
     return read(spark, sf_dir, "benchmark").select("item_id", F.md5(T.dehyphenated(cut)).alias("digest"))
+
+
+@query("select doc_id, length_grapheme(text) as n_graphemes, length(text) as n_chars from documents")
+def grapheme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters as a reader counts them, and code points."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(T.graphemes(F.col("text"))).cast("long").alias("n_graphemes"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("""with c as (select conv_id, string_agg(role || ' ' || text, ' ' order by turn) as t from conversations group by 1), s as (select conv_id, unnest(string_split(t, '')) as ch, generate_subscripts(string_split(t, ''), 1) as k from c),
+    f as (select conv_id, ch, min(k) as k from s group by 1, 2) select conv_id, string_agg(ch, '' order by k) as characters from f group by 1""")
+def collected_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All characters of a document's texts, for the choice of faces."""
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat("role", F.lit(" "), "text").alias("t")))).alias("s"))
+    return c.select("conv_id", T.distinct_characters(F.array_join(F.col("s.t"), " ")).alias("characters"))
+
+
+@query("""with c as (select page_id, trim(regexp_replace(url, '\\s+', ' ', 'g')) as t from pages), w as (select page_id, t, list_transform(string_split(t, ''), lambda c: case when regexp_matches(c, '[ijl.,:;|!'' ]') then 3.0 when regexp_matches(c, '[mwMW]') then 9.0 else 6.0 end::double) as w from c),
+    k as (select page_id, t, list_sum(w) as total, list_max(list_filter(range(0, len(w) + 1), lambda n: 6.0 + coalesce(list_sum(w[1:n]), 0) <= 150)) as n from w)
+    select page_id, case when total <= 150 then t else t[1:greatest(n, 1)] || '…' end as shown from k""")
+def ellipsized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut to a column's width."""
+    width = lambda c: F.when(c.rlike("[ijl.,:;|!' ]"), 3.0).when(c.rlike("[mwMW]"), 9.0).otherwise(6.0)
+    return read(spark, sf_dir, "pages").select("page_id", T.ellipsized(F.col("url"), F.lit(150.0), width).alias("shown"))

@@ -80,3 +80,11 @@ def usage_stream_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
         events.write.parquet(f"{path}/in/range={k}")
         S.write(U.over_limit(S.read_events(spark, f"{path}/in/range=*", 1000), 20.0, 3_600_000), f"{path}/out", f"{path}/checkpoint")
     return spark.read.schema("user_id long, ts timestamp, held_ms long").parquet(f"{path}/out")
+
+
+@query("select conv_id, sum(strlen(text)) filter (turn < 5)::bigint as bytes, count(*) filter (turn < 5) as files from conversations group by 1 having count(*) filter (turn < 5) > 0")
+def input_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and files of the input of jobs, of which the first five files count."""
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("files"))
+    size, number = U.input_size(F.col("files"), lambda f: F.octet_length(f["text"]), 5)
+    return c.select("conv_id", size.alias("bytes"), number.alias("files"))

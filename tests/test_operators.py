@@ -156,8 +156,8 @@ def test_lines_are_anchored_not_chained(spark):
 def test_wrapped_lines(spark):
     r = random.Random(1)
     words = ["".join(r.choice("abc") for _ in range(r.randint(1, 30))) for _ in range(400)]
-    df = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)], "doc_id int, pos int, text string")
-    got = [x["text"] for x in stamp.wrapped(df, ["doc_id"], 25).orderBy("line").collect()]
+    df = spark.createDataFrame([(1, words), (2, None)], "doc_id int, words array<string>")
+    got = [x["text"] for x in stamp.wrapped(df, ["doc_id"], "words", 25).orderBy("line").collect()]
     assert got == textwrap.wrap(" ".join(words), 25, break_long_words=False, break_on_hyphens=False)
 
 
@@ -363,3 +363,23 @@ def test_quantiles_are_exact(spark, monkeypatch):
     by = lambda keep: [v for t, v in rows if v is not None and keep(t)]
     expected = {(False, t): tuple(np.quantile(by(lambda x, t=t: x == t), [0.5, 0.95, 1.0])) for t in ("a", "b", "c", "one", None)} | {(True, None): tuple(np.quantile(by(lambda _: True), [0.5, 0.95, 1.0]))}
     assert set(got) == set(expected) and all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+def test_page_breaks():
+    breaks = stamp.page_breaks
+    assert breaks([], [], 50.0, 100.0) == [0.0, 50.0] and breaks([], [], 250.0, 100.0) == [0.0, 100.0, 200.0, 250.0]
+    assert breaks([(95.0, 105.0)], [], 150.0, 100.0) == [0.0, 94.5, 150.0]
+    assert breaks([(20.0, 130.0)], [], 150.0, 100.0) == [0.0, 100.0, 150.0]  # too little would be left
+    assert breaks([(90.0, 99.0), (88.0, 103.0)], [], 150.0, 100.0) == [0.0, 87.5, 150.0]
+    assert breaks([], [40.2, 40.4, 0.7, 500.0], 120.0, 100.0) == [0.0, 40.0, 140.0, 240.0, 340.0, 440.0, 500.0, 501.0]
+    assert len(breaks([], [], 1e9, 1.0)) == 2002
+
+
+def test_viewer_matrix_maps_corners(spark):
+    from quillspark.functions.geometry import viewer_matrix
+
+    corners = {0: ((5, 10), (105, 10)), 90: ((105, 10), (105, 210)), 180: ((105, 210), (5, 210)), 270: ((5, 210), (5, 10)), -90: ((5, 210), (5, 10)), 361: ((5, 10), (105, 10))}
+    for turn, (low, right) in corners.items():
+        m = one(spark, viewer_matrix(*map(F.lit, (5.0, 10.0, 105.0, 210.0)), F.lit(turn)).alias("m"))["m"]
+        at = lambda x, y, m=m: (m["a"] * x + m["c"] * y + m["e"], m["b"] * x + m["d"] * y + m["f"])
+        assert at(0, 0) == low and at(m["width"], 0) == right

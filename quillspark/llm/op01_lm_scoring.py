@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, read, scratch, written
+from quillspark.llm.common import fold, read, scratch, small_batches, written
 from quillspark.llm.wordhash import mix, slices, words
 
 SHARD_BYTES = 16 << 20
@@ -318,6 +318,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator[tuple[
 def train(docs: DataFrame, text: str) -> KneserNey:
     """Counts all rows and writes the model's arrays to the shared folder."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     size, n_rows = rows.agg(F.sum(F.octet_length("t")), F.count(F.lit(1))).first()
     shards = max(8, -(-(size or 0) // SHARD_BYTES))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_KEYS, SHINGLE_WORDS, SIMILARITY, read, written
+from quillspark.llm.common import BROADCAST_KEYS, SHINGLE_WORDS, SIMILARITY, read, small_batches, written
 from quillspark.llm.minhash import distinct_per_row, multipliers, row_minima
 from quillspark.llm.wordhash import mix, shingles, slices, words
 
@@ -318,6 +318,7 @@ def jaccard_join(docs: DataFrame, key: str, text: str, least: float = SIMILARITY
     membership has the key, class_id (least key of the component), n_links (verified links of its text to other
     texts) and n_copies (rows with the same shingles).
     """
+    small_batches(docs.sparkSession)
     signed = written(_signed(docs, key, text), "signatures")
     same = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("s").alias("s"))
     classes = written(same.withColumn("c", F.monotonically_increasing_id()), "classes")

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SHINGLE_WORDS, SIMILARITY, read, written
+from quillspark.llm.common import SHINGLE_WORDS, SIMILARITY, read, small_batches, written
 from quillspark.llm.minhash import multipliers, row_minima
 from quillspark.llm.wordhash import shingles, slices, words
 
@@ -145,6 +145,7 @@ def _indexes(items: DataFrame, key: str, text: str, least: float) -> Iterator[tu
 def contained_items(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, least: float = SIMILARITY) -> DataFrame:
     """Pairs (key, item_key) with n_shared, n_shingles and containment of the item in the document."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t is not null")
     parts = []
     for blocks, own in _indexes(items, item_key, item_text, least):
@@ -185,6 +186,7 @@ def _leaks(held: Broadcast, least: float):
 
 def without_items(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, least: float = SIMILARITY) -> DataFrame:
     """The rows that contain none of the items; each row is judged by itself, whatever its key."""
+    small_batches(docs.sparkSession)
     for blocks, (_, index) in _indexes(items, item_key, item_text, least):
         held = docs.sparkSession.sparkContext.broadcast(index)
         docs = docs.where(~_leaks(held, least)(F.col(text)))

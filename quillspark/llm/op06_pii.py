@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read
+from quillspark.llm.common import read, small_batches
 from quillspark.llm.wordhash import slices
 
 #: The kinds of the patterns, and what the field finds besides them.
@@ -455,6 +455,7 @@ def mask(df: DataFrame, text: str, model: ChainModel) -> Column:
 
 def fitted(docs: DataFrame, text: str) -> ChainModel:
     """The field trained on both tables."""
+    small_batches(docs.sparkSession)
     return train([*training_table(), *corpus_table(docs, text)])
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, read
+from quillspark.llm.common import fold, read, small_batches
 from quillspark.llm.wordhash import buffers, mix, slices, words
 
 FEATURES = (
@@ -221,6 +221,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, rounds: int = 80, leaves:
 
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int = MAX_ROWS) -> AdditiveModel:
     """Fits on the labelled rows with the smallest hash of the key, ``max_rows`` at most."""
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("sample"), key), key).limit(max_rows)
     rows = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key)

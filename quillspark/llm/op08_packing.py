@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read, written
+from quillspark.llm.common import read, small_batches, written
 from quillspark.llm.wordhash import slices
 
 WINDOW = 4096
@@ -195,6 +195,7 @@ def tokenized(df: DataFrame, key: str, text: str, path: str, window: int = WINDO
                     rows += [(k, a, len(p := ids[a : a + window]), zlib.crc32(p.tobytes()), len(ids)) for a in range(0, len(ids), window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(cut, PIECES)
 
 

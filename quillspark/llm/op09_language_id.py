@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_KEYS, fold, read, written
+from quillspark.llm.common import BROADCAST_KEYS, fold, read, small_batches, written
 from quillspark.llm.wordhash import buffers, slices
 
 HIDDEN = 8
@@ -188,6 +188,7 @@ def fit(texts: list[str], languages: list[str], updates: int = 300, window: int
 
 def train(docs: DataFrame, text: str, lang: str, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> ByteGru | None:
     """Learns all languages of the rows, from ``max_docs`` texts of each at most, and ``max_chars`` characters of all together."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("t"), F.col(lang).alias("g"))
     mixed = labelled.withColumn("h", F.xxhash64("t"))
     texts = written(mixed.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")), "language-texts")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read
+from quillspark.llm.common import read, small_batches
 from quillspark.llm.wordhash import slices
 
 CHUNK = 32_768
@@ -104,6 +104,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents with the pieces of ``piece_bpe_32k.model``."""
     import public_tokenizers
 
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     counted = docs.withColumn("n_tokens", token_count("text", public_tokenizers.path("piece_bpe_32k.model")))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")

@@ -14,7 +14,7 @@ from itertools import pairwise
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from quillspark.functions.text import BULLET, collapsed, escape_markdown
 
@@ -23,34 +23,40 @@ PAGE = ("doc_id", "page")
 
 def upper_median(values: Column) -> Column:
     """The middle of a sorted array, the upper one of two."""
-    return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+    return F.element_at(F.sort_array(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
+@F.arrow_udf(ArrayType(StructType([StructField("line", IntegerType()), StructField("line_size", DoubleType())])))
 def _anchored(ys: pa.Array, sizes: pa.Array) -> pa.Array:
-    """The line of every run of a page, runs being sorted; a line goes by its first run."""
-    ends, out = ys.offsets.to_pylist(), []
+    """The line of every run of a page, runs being sorted, and the upper median of the line's sizes; a line goes by its first run."""
+    ends, numbers, middles = ys.offsets.to_pylist(), [], []
     y, size = (a.flatten().to_pylist() for a in (ys, sizes))
-    for lo, hi in pairwise(ends):
-        line, first_y, first_size = -1, 0.0, 0.0
-        for own_y, own_size in zip(y[lo - ends[0] : hi - ends[0]], size[lo - ends[0] : hi - ends[0]], strict=True):
-            large, small = (first_size, own_size) if first_size > own_size else (own_size, first_size)
-            if line < 0 or abs(first_y - own_y) >= large * (0.6 if small < large * 0.8 else 0.4):
-                line, first_y, first_size = line + 1, own_y, own_size
-            out.append(line)
-    return pa.ListArray.from_arrays(pa.array([e - ends[0] for e in ends], pa.int32()), pa.array(out, pa.int32()))
+    for lo, hi in pairwise(e - ends[0] for e in ends):
+        line, at, first_y, first_size = -1, lo, 0.0, 0.0
+        for k in range(lo, hi + 1):
+            if k < hi and k > lo:
+                large, small = (first_size, size[k]) if first_size > size[k] else (size[k], first_size)
+                if abs(first_y - y[k]) < large * (0.6 if small < large * 0.8 else 0.4):
+                    continue
+            if k > lo:
+                numbers += [line] * (k - at)
+                middles += [sorted(size[at:k])[(k - at) // 2]] * (k - at)
+            if k < hi:
+                line, at, first_y, first_size = line + 1, k, y[k], size[k]
+    found = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(middles, pa.float64())], ["line", "line_size"])
+    return pa.ListArray.from_arrays(pa.array([e - ends[0] for e in ends], pa.int32()), found)
 
 
 def lines(runs: DataFrame) -> DataFrame:
-    """Adds line: runs within 0.4 sizes of the first run of the line before, 0.6 where one is much smaller.
+    """Adds line and line_size: runs within 0.4 sizes of the first run of the line before, 0.6 where one is much smaller.
 
     The rows of a page, a physical unit of bounded size, are gathered and walked once, many pages in an Arrow batch.
     """
     run = F.struct("y", "x", "run_no", "text", "w", "size", "bold")
     pages = runs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(run)).alias("r"))
-    placed = pages.withColumn("line", _anchored(F.col("r.y"), F.col("r.size")))
-    rows = placed.select(*PAGE, F.inline(F.arrays_zip("r", "line"))).select(*PAGE, "line", "r.*")
-    return rows.select(*PAGE, "line", "run_no", "text", "x", "y", "w", "size", "bold")
+    placed = pages.withColumn("l", _anchored(F.col("r.y"), F.col("r.size")))
+    rows = placed.select(*PAGE, F.inline(F.arrays_zip("r", "l"))).select(*PAGE, "l.*", "r.*")
+    return rows.select(*PAGE, "line", "line_size", "run_no", "text", "x", "y", "w", "size", "bold")
 
 
 def line_boxes(lined: DataFrame) -> DataFrame:
@@ -64,9 +70,8 @@ def segments(lined: DataFrame, gap: float = 1.6) -> DataFrame:
     line = Window.partitionBy(*PAGE, "line")
     order = line.orderBy("x", "run_no")
     behind = F.max(F.col("x") + F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    sized = lined.withColumns({"line_size": upper_median(F.collect_list("size").over(line)), "behind": behind})
     starts = F.coalesce(F.col("x") - F.col("behind") >= F.col("line_size") * gap, F.lit(False)).cast("int")
-    return sized.withColumn("starts", starts).withColumn("segment", F.sum("starts").over(order).cast("int")).drop("starts", "behind", "line_size")
+    return lined.withColumn("behind", behind).withColumn("starts", starts).withColumn("segment", F.sum("starts").over(order).cast("int")).drop("starts", "behind")
 
 
 def segment_text(segmented: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def segment_text(segmented: DataFrame) -> DataFrame:
     piece = F.concat(F.when(F.coalesce(apart, F.lit(False)), " ").otherwise(""), F.col("text"))
     rows = segmented.withColumn("piece", piece)
     g = rows.groupBy(*PAGE, "line", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("x", "run_no", "piece"))).alias("p"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"),
+        F.sort_array(F.collect_list(F.struct("x", "run_no", "piece"))).alias("p"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"),
         upper_median(F.collect_list("y")).alias("y"), upper_median(F.collect_list("size")).alias("size"), F.bool_and("bold").alias("bold"),
     )
     return g.withColumn("text", collapsed(F.array_join(F.col("p.piece"), ""))).drop("p")
@@ -88,7 +93,7 @@ def style_runs(segmented: DataFrame) -> DataFrame:
     order = Window.partitionBy(*PAGE, "line", "segment").orderBy("x", "run_no")
     changed = (F.lag("bold").over(order) != F.col("bold")) | (F.abs(F.lag("size").over(order) - F.col("size")) >= 0.5)
     rows = segmented.withColumn("c", F.coalesce(changed, F.lit(False)).cast("int")).withColumn("style", F.sum("c").over(order).cast("int"))
-    g = rows.groupBy(*PAGE, "line", "segment", "style").agg(F.array_sort(F.collect_list(F.struct("x", "run_no", "text"))).alias("t"), F.first("bold").alias("bold"))
+    g = rows.groupBy(*PAGE, "line", "segment", "style").agg(F.sort_array(F.collect_list(F.struct("x", "run_no", "text"))).alias("t"), F.first("bold").alias("bold"))
     return g.select(*PAGE, "line", "segment", "style", "bold", F.array_join(F.col("t.text"), " ").alias("text"))
 
 
@@ -133,7 +138,7 @@ def cell_columns(cells: DataFrame, columns: DataFrame, key: list[str]) -> DataFr
 
 def table_rows(placed: DataFrame, key: list[str]) -> DataFrame:
     """Cells of the same line and column joined by spaces, in order of segments."""
-    g = placed.groupBy(*key, "line", "column").agg(F.array_sort(F.collect_list(F.struct("segment", "text"))).alias("t"))
+    g = placed.groupBy(*key, "line", "column").agg(F.sort_array(F.collect_list(F.struct("segment", "text"))).alias("t"))
     return g.select(*key, "line", "column", F.array_join(F.col("t.text"), " ").alias("text"))
 
 
@@ -211,7 +216,7 @@ def chained_lines(runs: DataFrame, band: float = 0.6) -> DataFrame:
     order = Window.partitionBy(*PAGE).orderBy("y", "x", "run_no")
     moved = F.abs(F.col("y") - F.lag("y").over(order)) >= F.col("size") * band
     rows = runs.withColumn("m", F.coalesce(moved, F.lit(False)).cast("int")).withColumn("line", F.sum("m").over(order).cast("int"))
-    g = rows.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("x", "run_no", "text"))).alias("t"), F.avg("y").alias("y"), F.max("size").alias("size"), F.min("x").alias("x"))
+    g = rows.groupBy(*PAGE, "line").agg(F.sort_array(F.collect_list(F.struct("x", "run_no", "text"))).alias("t"), F.avg("y").alias("y"), F.max("size").alias("size"), F.min("x").alias("x"))
     return g.withColumn("text", F.array_join(F.col("t.text"), " ")).drop("t")
 
 

@@ -59,7 +59,7 @@ def part_labels(part_pages: DataFrame) -> DataFrame:
 
 def part_overlaps(part_pages: DataFrame) -> DataFrame:
     """Pages that more than one part uses, with the parts."""
-    used = part_pages.groupBy("doc_id", "page").agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    used = part_pages.groupBy("doc_id", "page").agg(F.sort_array(F.collect_set("part")).alias("parts"))
     return used.where(F.size("parts") > 1).select("doc_id", "page", F.array_join("parts", ",").alias("parts"))
 
 

@@ -39,7 +39,7 @@ def fitted(widths: DataFrame, key: list[str], available: float) -> DataFrame:
 
 def column_bands(widths: DataFrame, key: list[str], available: float) -> DataFrame:
     """Adds band: columns filled greedily into bands of the available width.  A fold over the columns of a sheet."""
-    rows = widths.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("col", "width"))).alias("c"))
+    rows = widths.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("col", "width"))).alias("c"))
     start = F.struct(F.lit(0).alias("band"), F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("bands"))
 
     def step(s: Column, c: Column) -> Column:

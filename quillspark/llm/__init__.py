@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "op01_lm_scoring", "op02_jaccard_join", "op03_url_filter", "op04_decontamination", "op05_quality_rules", "op06_pii", "op07_quality_classifier", "op08_packing", "op09_language_id", "op10_token_counts",
+    "op11_centroid_clustering", "op12_merkle_manifest", "op13_simhash_dedup",
 )
 
 

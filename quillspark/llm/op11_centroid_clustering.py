@@ -72,6 +72,19 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([sum((int(a) - int(b)) ** 2 for a, b in zip(p, q, strict=True)) for p, q in zip(x, y, strict=True)], dtype=object)
 
 
+def triangle(gram: np.ndarray) -> np.ndarray:
+    """The lower triangular matrix whose product with its transpose is ``gram``.
+
+    Here and below, sums go without BLAS, whose threads do not always survive the forks of Python workers.
+    """
+    out = np.zeros_like(gram)
+    for i in range(len(gram)):
+        for j in range(i):
+            out[i, j] = (gram[i, j] - (out[i, :j] * out[j, :j]).sum()) / out[j, j]
+        out[i, i] = np.sqrt(gram[i, i] - (out[i, :i] ** 2).sum())
+    return out
+
+
 @dataclass
 class Simplex:
     """The pivots and the triangular coordinates of their simplex, the first one in the origin."""
@@ -84,19 +97,18 @@ class Simplex:
         """Pivots among the points, each the farthest from the space that those before span."""
         chosen, rest = [0], (points - points[0]) / max(1.0, np.abs(points).max())
         far = (rest**2).sum(axis=1).max()
-        axes: list[np.ndarray] = []
         while len(chosen) < n and far > 0:
             away = (rest**2).sum(axis=1)
             k = int(away.argmax())
             if away[k] <= INDEPENDENT**2 * far:
                 break
-            axes.append(rest[k] / np.sqrt(away[k]))
-            rest = rest - np.outer(rest @ axes[-1], axes[-1])
+            axis = rest[k] / np.sqrt(away[k])
+            rest = rest - (rest * axis).sum(axis=1)[:, None] * axis
             chosen.append(k)
         pivots = points[chosen]
         between = ((pivots[:, None] - pivots) ** 2).sum(axis=2)
         gram = (between[0, 1:, None] + between[0, 1:] - between[1:, 1:]) / 2
-        return cls(pivots, np.linalg.cholesky(gram) if len(chosen) > 1 else np.zeros((0, 0)))
+        return cls(pivots, triangle(gram))
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         """Squared distances to the pivots."""
@@ -108,7 +120,9 @@ class Simplex:
         if not len(self.base):
             return np.sqrt(own)
         between = ((self.pivots[1:] - self.pivots[0]) ** 2).sum(axis=1)
-        flat = np.linalg.solve(self.base, ((own + between - distances[:, 1:]) / 2).T).T
+        flat = (own + between - distances[:, 1:]) / 2
+        for i, row in enumerate(self.base):
+            flat[:, i] = (flat[:, i] - np.einsum("ij,j->i", flat[:, :i], row[:i])) / row[i]
         height = np.sqrt(np.maximum(0, own[:, 0] - (flat**2).sum(axis=1)))
         return np.column_stack((flat, height))
 
@@ -117,7 +131,7 @@ def nearest(x: np.ndarray, apexes: np.ndarray, centroids: np.ndarray, simplex: S
     """(cluster, squared distance, exact comparisons) of the vectors, whose apexes are given."""
     over = simplex.apex(simplex.distances(centroids.astype(np.float64)))
     spread = MARGIN * ((apexes**2).sum(axis=1)[:, None] + (over**2).sum(axis=1) + 1)
-    flat = (apexes[:, :-1] ** 2).sum(axis=1)[:, None] + (over[:, :-1] ** 2).sum(axis=1) - 2 * apexes[:, :-1] @ over[:, :-1].T
+    flat = (apexes[:, :-1] ** 2).sum(axis=1)[:, None] + (over[:, :-1] ** 2).sum(axis=1) - 2 * np.einsum("ik,jk->ij", apexes[:, :-1], over[:, :-1])
     lower = flat + (apexes[:, -1:] - over[:, -1]) ** 2 - spread
     upper = (flat + (apexes[:, -1:] + over[:, -1]) ** 2 + spread).min(axis=1)
     row, c = np.nonzero(lower <= upper[:, None])

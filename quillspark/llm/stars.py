@@ -35,7 +35,7 @@ def looked_up(edges: DataFrame, by_v: DataFrame, *others: str) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(v, root): the least id of the component of every linked id; links are (a, b)."""
+    """(v, root): the least id of the component of every linked id that is not itself the least; links are (a, b)."""
     edges, before = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u != v").distinct(), None
     edges = written(edges, "edges")
     while True:

@@ -11,6 +11,7 @@ SCHEMAS = {
     "labels": pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())]),
     "pages": pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]),
     "benchmark": pa.schema([("item_id", pa.int64()), ("text", pa.string())]),
+    "embeddings": pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32()), ("x", pa.float64()), ("cluster", pa.int32()), ("distance", pa.int64()), ("h", pa.string())]),
 }
 #: Columns that operators use inside, in tables that they read.
 CLASHING = [("k", pa.string()), ("score", pa.float64()), ("n", pa.int64()), ("label", pa.int32()), ("host", pa.string()), ("t", pa.string()), ("c", pa.int64()), ("good", pa.bool_())]
@@ -43,7 +44,13 @@ def odd_tables():
     urls += [f"http://h{i % 7}.example.{('net', 'com', 'org')[i % 3]}/{('en', 'de', 'fr')[i % 4 % 3]}/{i}" for i in range(80)]
     pages = [dict(page_id=i, url=u, html="<p>") for i, u in enumerate(urls)] + [dict(page_id=None, url=urls[4], html=None)]
     items = [dict(item_id=0, text=passage), dict(item_id=1, text=None), dict(item_id=2, text=""), dict(item_id=3, text="one two three"), dict(item_id=0, text=passage), dict(item_id=5, text=prose(r, 30))]
-    return {"documents": docs, "labels": labels, "pages": pages, "benchmark": items}
+    point = lambda scale: [r.gauss(0, scale) for _ in range(64)]
+    middles = [point(1) for _ in range(6)]
+    vectors = [dict(vec_id=i, embedding=[m + r.gauss(0, 0.2) for m in middles[i % 6]]) for i in range(150)]
+    vectors += [dict(vec_id=200 + i, embedding=middles[0]) for i in range(20)] + [dict(vec_id=7, embedding=middles[1]), dict(vectors[9]), dict(vec_id=None, embedding=point(1)), dict(vec_id=-5, embedding=[0.0] * 64)]
+    vectors += [dict(vec_id=300, embedding=None), dict(vec_id=301, embedding=[]), dict(vec_id=302, embedding=[0.5] * 63), dict(vec_id=303, embedding=[*[0.5] * 63, None]), dict(vec_id=304, embedding=[*[0.5] * 63, float("nan")]), dict(vec_id=305, embedding=[*[0.5] * 63, float("inf")])]
+    vectors += [dict(vec_id=306, embedding=[1.0] * 65), dict(vec_id=307, embedding=[5e6 * v for v in point(1)])]
+    return {"documents": docs, "labels": labels, "pages": pages, "benchmark": items, "embeddings": vectors}
 
 
 def save(folder, tables):

@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs.  All but the last return the columns of ``documents``.  Rows are judged one by one; only near duplicates need
-a key, for which rows that share a doc_id are one document, kept once while any of them is kept, and a row without one
-goes by the hash of its text, after all that have one.
+a key, for which rows that share a doc_id are one document, kept once while any of them is kept: the row whose text has
+the least hash, then the least text, then the least other columns.  A row without a doc_id goes by the hash of its text,
+after all that have one.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     left = without(docs, "__key", by_key.where("not stays").select("__key"))
     repeated = written(by_key.where("stays and n > 1").select("__key"), "repeated")
     if not repeated.isEmpty():
-        again = left.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
+        rows = left.join(repeated, "__key", "left_semi")
+        order = F.struct(F.xxhash64("text"), "text", F.to_json(F.struct(*docs.columns)))
+        again = rows.groupBy("__key").agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns if c != "__key")), order).alias("__row")).select("__key", "__row.*")
         left = without(left, "__key", repeated).unionByName(again)
     return left.drop("__key")
 

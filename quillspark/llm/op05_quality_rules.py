@@ -106,13 +106,21 @@ def fit(parts: Iterable[DataFrame], text: str, trusted: Column, buckets: int = 1
     return [math.log(a) - math.log(b) + shift for a, b in zip(target, raw, strict=True)]
 
 
+#: Scans of the documents, at most, that take the place of a shuffle.
+MOST_SCANS = 8
+
+
 def marked(docs: DataFrame, good: DataFrame, key: str) -> Iterator[DataFrame]:
     """The documents in parts, with ``good`` where their key is among the given distinct keys, which are written.
 
     A part has the rows and the keys of one hash value, so that about ``BROADCAST_KEYS`` keys are broadcast at a time,
-    every row belongs to exactly one part, and no text is shuffled.
+    every row belongs to exactly one part, and no text is shuffled.  Every part reads the table, so where there would be
+    over ``MOST_SCANS`` of them, keys and texts are joined by shuffle instead, in one part.
     """
     parts = max(1, -(-good.count() // BROADCAST_KEYS))
+    if parts > MOST_SCANS:
+        yield docs.join(good.withColumn("good", F.lit(True)), key, "left")
+        return
     of = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(parts))
     for k in range(parts):
         yield docs.where(of == k).join(F.broadcast(good.where(of == k).withColumn("good", F.lit(True))), key, "left")

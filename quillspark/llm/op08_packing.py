@@ -165,7 +165,7 @@ class PartTokenizer:
         out: list[np.ndarray | None] = [None] * len(texts)
         plain, other = [], []
         for k, t in enumerate(texts):
-            if len(t) > LONG and _CUT.search(t, LONG):
+            if self.by_parts and len(t) > LONG and _CUT.search(t, LONG):
                 out[k] = self._one(t)
             else:
                 (plain if self.by_parts and _PLAIN.fullmatch(t) and "<|" not in t else other).append(k)

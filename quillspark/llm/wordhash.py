@@ -21,6 +21,7 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _POWERS = np.ones(4096, dtype=np.uint64)
 with np.errstate(over="ignore"):
     _POWERS[1:] = np.multiply.accumulate(np.full(4095, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    _NEXT = _POWERS[-1] * _POWERS[1]
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -84,9 +85,11 @@ def _words_of(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.nda
         return np.empty(0, np.uint64), starts, ends
     lengths = ends - starts
     heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    inside = (np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(heads, lengths)) & 4095
+    inside = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(heads, lengths)
     with np.errstate(over="ignore"):
-        value = _BYTE[data[solid]] * _POWERS[inside]
+        value = _BYTE[data[solid]] * _POWERS[inside & 4095]
+        if blocks := int(lengths.max() - 1) >> 12:  # the powers go on in long words
+            value *= np.multiply.accumulate(np.append(np.uint64(1), np.full(blocks, _NEXT)))[inside >> 12]
         return mix(np.add.reduceat(value, heads) + lengths.astype(np.uint64)), starts, ends
 
 

@@ -223,4 +223,62 @@ def test_components_of_crowded_ids(spark, monkeypatch, crowd, broadcast):
     links = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 1050), (7, 7)] + [(2000 + k, 2100 - k) for k in range(100)]
     found = {r.v: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(found.get(v, v) == 0 for v in [*range(400), *range(1000, 1101)])
-    assert all(found[2000 + k] == min(2000 + k, 2100 - k) for k in range(1, 100) if k != 50)
+    assert all(found.get(2000 + k, 2000 + k) == min(2000 + k, 2100 - k) for k in range(1, 100) if k != 50)
+
+
+# -- long words, other tokenizers, ties
+
+
+def test_long_words_differ_when_blocks_change_places(spark):
+    import pyarrow as pa
+
+    from quillspark.llm import op02_jaccard_join, op04_decontamination, wordhash
+
+    r = random.Random(6)
+    a, b = ("".join(r.choice("abcdefgh") for _ in range(4096)) for _ in range(2))
+    h = wordhash.words(pa.array([a + b, b + a, a + b, a + a + b, a + b + a])).hashes
+    assert len(set(h.tolist())) == 4 and h[0] == h[2]
+    docs = spark.createDataFrame([(1, a + b), (2, b + a), (3, a + b)], "doc_id long, text string")
+    member = {x.doc_id: (x.class_id, x.n_copies) for x in op02_jaccard_join.jaccard_join(docs, "doc_id", "text")[0].collect()}
+    assert member == {1: (1, 2), 2: (2, 1), 3: (1, 2)}
+    items = spark.createDataFrame([(9, b + a)], "item_id long, text string")
+    assert [x.doc_id for x in op04_decontamination.without_items(docs, items, "text", "item_id", "text").orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_long_texts_with_another_tokenizer_are_encoded_whole(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillspark.llm import op08_packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, whole = op08_packing.PartTokenizer(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(op08_packing, "LONG", 200)
+    for text in ("Some words,   don't stop: \n" * 60, "x = 1\n    y = 2\n" * 80, "中文 x " * 60):
+        assert t([text])[0].tolist() == [*whole.encode(text, add_special_tokens=False).ids, op08_packing.END_ID]
+
+
+def test_of_rows_that_share_an_id_the_least_stays(spark, odd):
+    import corpus_pipeline
+
+    texts = ["one text of its own kind with words", "another text that has nothing of it", None]
+    rows = [(5, t, "en", s, 1) for t in texts for s in ("b", "a")] + [(6, "x", "en", "s", 1)]
+    least = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("xxhash64(text) as h", "*").where("doc_id = 5").orderBy("h", "text", "source").first()
+    for k in range(3):
+        df = spark.createDataFrame(random.Random(k).sample(rows, len(rows)), "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        kept = {r.doc_id: (r.text, r.source) for r in corpus_pipeline.near_duplicates(spark, df, odd).collect()}
+        assert kept == {5: (least.text, least.source), 6: ("x", "s")}
+
+
+def test_labels_beyond_the_scans_are_joined(spark, sf_dir, monkeypatch):
+    from quillspark.llm import op05_quality_rules as op05
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
+    ratios = []
+    for keys, scans in ((1_000_000, 1), (3, 1)):
+        monkeypatch.setattr(op05, "BROADCAST_KEYS", keys)
+        parts = list(op05.marked(docs, good, "doc_id"))
+        assert len(parts) == scans
+        ratios.append(op05.fit(parts, "text", op05.F.col("good"), 512))
+    assert ratios[0] == ratios[1]

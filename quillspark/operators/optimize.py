@@ -26,20 +26,37 @@ def same_streams(streams: DataFrame, key: str, content: str) -> DataFrame:
     return hashed.join(first, ["h", "n"]).select(key, "canonical", "copies", F.col("n").cast("long").alias("n_bytes"))
 
 
-def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str], most: int = 1000) -> DataFrame:
+def with_shortcuts(edges: DataFrame, key: list[str]) -> DataFrame:
+    """Edges (key, id, b), and from every object with one successor those to the 2nd, 4th, 8th... object after it.
+
+    Pointers double while the objects before them have one successor each, so that a chain of n objects has log n edges
+    more for each of them and is walked in about log n steps.
+    """
+    own = edges.select(*key, F.col("a").alias("id"), "b").distinct().checkpoint()
+    only = own.groupBy(*key, "id").agg(F.max("b").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n").checkpoint()
+    longest = only.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    jumps, out = only, own
+    for _ in range(int(longest).bit_length()):
+        jumps = jumps.join(jumps.select(*key, F.col("id").alias("b"), F.col("b").alias("c")), [*key, "b"]).select(*key, "id", F.col("c").alias("b")).checkpoint()
+        if jumps.isEmpty():
+            break
+        out = out.unionByName(jumps)
+    return out
+
+
+def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str]) -> DataFrame:
     """Nodes (key, id) that edges (key, a, b) lead to from roots (key, id); cycles are fine.
 
-    A frontier goes one edge further each round and drops what was reached before; rounds are as many as the longest
-    shortest path, and each is written to the checkpoint folder to keep plans short.
+    A frontier goes one edge or shortcut further each round, drops what was reached before and ends when nothing is new.
+    Rounds grow with the number of branchings on the way and the logarithm of the chains between them; each is written to
+    the checkpoint folder, which keeps plans short.
     """
-    done = frontier = roots.select(*key, "id").distinct()
-    step = edges.select(*key, F.col("a").alias("id"), "b")
-    for _ in range(most):
+    step = with_shortcuts(edges, key).checkpoint()
+    done = frontier = roots.select(*key, "id").distinct().checkpoint()
+    while not frontier.isEmpty():
         ahead = frontier.join(step, [*key, "id"]).select(*key, F.col("b").alias("id")).distinct()
         frontier = ahead.join(done, [*key, "id"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
-        done = done.unionByName(frontier)
+        done = done.unionByName(frontier).checkpoint()
     return nodes.join(done, [*key, "id"], "left_semi")
 
 

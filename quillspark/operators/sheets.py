@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_CELLS = 40_000_000
+TOO_LARGE = "too many cells"
 
 
 def dense_rows(cells: DataFrame, key: list[str]) -> DataFrame:
     """Rows of a sheet from its cells (key, row, col, text): gaps as '', rows without any value left out.
 
-    Sheets whose rows and columns span more than MOST_CELLS cells are refused.
+    A sheet whose rows and columns span more than MOST_CELLS cells is refused: it gives one row that has an error only.
     """
-    size = cells.groupBy(*key).agg((F.max("col") + 1).alias("cols"), (F.max("row") + 1).alias("rows")).where(F.col("rows").cast("long") * F.col("cols") <= MOST_CELLS).drop("rows")
+    size = cells.groupBy(*key).agg((F.max("col") + 1).alias("cols"), (F.max("row") + 1).alias("rows"))
+    size = size.withColumn("error", F.when(F.col("rows").cast("long") * F.col("cols") > MOST_CELLS, TOO_LARGE))
+    refused = size.where("error is not null").select(*key, F.lit(None).cast("long").alias("row"), F.lit(None).cast("array<string>").alias("cells"), "error")
+    size = size.where("error is null").drop("rows")
     by_row = cells.where("text <> ''").groupBy(*key, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"))
     filled = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: F.coalesce(F.element_at("m", c), F.lit("")))
-    return by_row.join(size, key).select(*key, "row", filled.alias("cells"))
+    return by_row.join(size, key).select(*key, F.col("row").cast("long").alias("row"), filled.alias("cells"), "error").unionByName(refused)
 
 
 def used_columns(cells: DataFrame, key: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from quillspark.functions.text import BULLET, escape_markdown
 from quillspark.operators.layout import classified
 from quillspark.operators.order import ordered
 
+# Fixed value: the characters of cells that hold numbers only.
 _NUMERIC = re.compile(r"[\s$€£¥₹%()+\-.,0-9]+")
 _BULLET = re.compile(BULLET)
 Spans = list[tuple[float, float]]

@@ -80,15 +80,19 @@ def over_limit(samples: DataFrame, limit: float, hold_ms: int) -> DataFrame:
 
     def watch(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         since = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(["ts", "ms"])
-        out = []
-        for ts, ms in zip(rows["ts"], rows["ms"], strict=True):
-            now = int(ts.value // 1_000_000)
-            since = (now if since is None else since) if ms > limit else None
-            if since is not None and now - since >= hold_ms:
-                out.append((key[0], ts, now - since))
+        rows = pd.concat([p[["ts", "ms"]] for p in parts]).dropna(subset=["ts"]).sort_values(["ts", "ms"], ignore_index=True)
+        over = rows["ms"] > limit
+        now = rows["ts"].astype("datetime64[ms]").astype("int64")
+        begins = now.where(over & ~over.shift(fill_value=since is not None))
+        if since is not None and len(rows) and over[0]:
+            begins[0] = since
+        began = begins.ffill().where(over)
+        hit = rows[over & (now - began >= hold_ms)]
+        if len(rows):
+            since = int(began.iloc[-1]) if over.iloc[-1] else None
         state.update((since,)) if since is not None else state.remove() if state.exists else None
-        yield pd.DataFrame(out, columns=["user_id", "ts", "held_ms"])
+        held = (now - began)[hit.index].astype("int64")
+        yield pd.DataFrame({"user_id": key[0], "ts": hit["ts"], "held_ms": held})
 
     return samples.groupBy("user_id").applyInPandasWithState(watch, schema, "since long", "append", "NoTimeout")
 

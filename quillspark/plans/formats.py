@@ -56,8 +56,8 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select o_custkey as book, o_orderkey as row, col::bigint as col, case col when 0 then 'n' when 1 then 'n' else 'inlineStr' end as kind,
-    case col when 0 then o_orderkey::varchar when 1 then regexp_replace(format('{:.2f}', o_totalprice), '\\.?0+$', '') else '<&"> ' || o_orderpriority end as text from orders, (select unnest([0, 1, 27]) as col)""")
+    case col when 0 then o_orderkey::varchar when 1 then regexp_replace(format('{:.2f}', o_totalprice), '\\.?0+$', '') else '<&"> ' || o_orderpriority end as text, null::varchar as error from orders, (select unnest([0, 1, 27]) as col)""")
 def workbook_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' orders written as workbooks and read back."""
     books = workbooks(_cells(spark, sf_dir), ["book"])
-    return workbook_cells(books, ["book"], "content").select("book", "row", "col", "kind", "text")
+    return workbook_cells(books, ["book"], "content").select("book", "row", "col", "kind", "text", "error")

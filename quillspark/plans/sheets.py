@@ -23,10 +23,10 @@ _CELLS = """with cells as (select sheet, row, unnest(range(0, 7)) as col, unnest
 """
 
 
-@query(_CELLS + "select sheet, row::bigint as row, list(text order by col) as cells from cells group by 1, 2")
+@query(_CELLS + "select sheet, row::bigint as row, list(text order by col) as cells, null::varchar as error from cells group by 1, 2")
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense rows of all sheets."""
-    return O.dense_rows(_cells(spark, sf_dir), ["sheet"]).withColumn("row", F.col("row").cast("long"))
+    return O.dense_rows(_cells(spark, sf_dir), ["sheet"])
 
 
 @query(_CELLS + "select sheet, max(col) + 1 as used from cells where trim(text) <> '' group by 1")

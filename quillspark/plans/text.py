@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -129,11 +129,10 @@ def redacted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CELL = """case l_orderkey % 8 when 0 then '(' || l_quantity::int || ')' when 1 then l_quantity::int || '%' when 2 then '$' || l_quantity::int || '.5' when 3 then '00' || l_linenumber
     when 4 then '1,' || (100 + l_quantity::int) || '.25' when 5 then '-' || l_quantity::int when 6 then l_returnflag || l_linenumber else ' ' || l_quantity::int || ' ' end"""
-_LOOKS = r"^\(?-?[$€£]?[0-9]{1,3}(,[0-9]{3})*(\.[0-9]+)?\)?%?$|^\(?-?[$€£]?[0-9]+(\.[0-9]+)?\)?%?$"
 
 
 @query(f"""with c as (select l_orderkey, l_linenumber, {_CELL} as cell from lineitem), t as (select *, trim(cell) as t from c)
-    select l_orderkey, l_linenumber, cell, case when regexp_matches(t, '{_LOOKS}') and not regexp_matches(t, '^0[0-9]') then
+    select l_orderkey, l_linenumber, cell, case when regexp_matches(t, '{T.NUMBER}') and not regexp_matches(t, '{T.CODE}') then
         case when t like '(%' or t like '-%' then -1.0 else 1.0 end::double * try_cast(regexp_replace(t, '[^0-9.]', '', 'g') as double) / case when t like '%\\%' escape '\\' then 100.0 else 1.0 end::double end as value from t""")
 def numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers recovered from the text of cells."""
@@ -202,8 +201,9 @@ def grapheme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f as (select conv_id, ch, min(k) as k from s group by 1, 2) select conv_id, string_agg(ch, '' order by k) as characters from f group by 1""")
 def collected_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All characters of a document's texts, for the choice of faces."""
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat("role", F.lit(" "), "text").alias("t")))).alias("s"))
-    return c.select("conv_id", T.distinct_characters(F.array_join(F.col("s.t"), " ")).alias("characters"))
+    own = T.distinct_characters(F.concat(F.when(F.col("turn") > F.min("turn").over(Window.partitionBy("conv_id")), " ").otherwise(""), F.col("role"), F.lit(" "), F.col("text")))
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", own.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "t"))).alias("s"))
+    return c.select("conv_id", T.distinct_characters(F.array_join(F.col("s.t"), "")).alias("characters"))
 
 
 @query("""with c as (select page_id, trim(regexp_replace(url, '\\s+', ' ', 'g')) as t from pages), w as (select page_id, t, list_transform(string_split(t, ''), lambda c: case when regexp_matches(c, '[ijl.,:;|!'' ]') then 3.0 when regexp_matches(c, '[mwMW]') then 9.0 else 6.0 end::double) as w from c),

@@ -50,13 +50,18 @@ def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """The events in ranges of time, one after the other, of which each is about RANGE_ROWS rows; three at least."""
-    events = read(spark, sf_dir, "events")
+    """The events in ranges of time, one after the other, of which each is about RANGE_ROWS rows; three at least.
+
+    Events without a time belong to no moment of a stream and are in no range.  Bounds are literals of the column's type,
+    so that Parquet reads only the row groups of a range.
+    """
+    events = read(spark, sf_dir, "events").where("ts is not null")
     parts = max(3, -(-events.count() // RANGE_ROWS))
     moment = F.unix_micros(F.col("ts").cast("timestamp"))
     edges = [int(x) for x in events.select(moment.alias("m")).approxQuantile("m", [k / parts for k in range(1, parts)], 0.01)]
+    at = lambda m: F.timestamp_micros(F.lit(m)).cast(events.schema["ts"].dataType)
     lows, highs = [None, *edges], [*edges, None]
-    return [events.where((F.lit(True) if a is None else moment >= a) & (F.lit(True) if b is None else moment < b)) for a, b in zip(lows, highs, strict=True)]
+    return [events.where((F.lit(True) if a is None else F.col("ts") >= at(a)) & (F.lit(True) if b is None else F.col("ts") < at(b))) for a, b in zip(lows, highs, strict=True)]
 
 
 RANGE_ROWS = 50_000_000
@@ -64,17 +69,25 @@ RANGE_ROWS = 50_000_000
 
 @query("select time_bucket(interval '1 hour', ts) as start, event_type as tool, count(*) as jobs from events group by 1, 2")
 def usage_stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs by hour and tool: a stream that is fed range by range, its watermark dropping the state of hours gone by."""
+    """Jobs by hour and tool: a stream that is fed range by range, its watermark dropping the state of hours gone by.
+
+    Jobs without a time, which no watermark can place, are counted beside the stream, under a null hour.
+    """
     path = scratch(spark, "hourly")
     for k, events in enumerate(_ranges(spark, sf_dir)):
         events.write.parquet(f"{path}/in/range={k}")
         S.write_updates(S.hourly(S.read_events(spark, f"{path}/in/range=*", 1000), "2 hours"), f"{path}/out", f"{path}/checkpoint")
-    return S.latest(spark.read.parquet(f"{path}/out"), ["start", "tool"])
+    timed = S.latest(spark.read.parquet(f"{path}/out"), ["start", "tool"])
+    rest = read(spark, sf_dir, "events").where("ts is null").groupBy(F.col("event_type").alias("tool")).agg(F.count(F.lit(1)).alias("jobs"))
+    return timed.unionByName(rest.select(F.lit(None).cast(timed.schema["start"].dataType).alias("start"), "tool", "jobs"))
 
 
 @query()
 def usage_stream_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose value stayed over the limit for an hour, by state that a stream keeps from range to range of time."""
+    """Users whose value stayed over the limit for an hour, by state that a stream keeps from range to range of time.
+
+    A value without a time has no place in this order and takes no part.
+    """
     path = scratch(spark, "over-limit")
     for k, events in enumerate(_ranges(spark, sf_dir)):
         events.write.parquet(f"{path}/in/range={k}")
@@ -82,9 +95,10 @@ def usage_stream_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("user_id long, ts timestamp, held_ms long").parquet(f"{path}/out")
 
 
-@query("select conv_id, sum(strlen(text)) filter (turn < 5)::bigint as bytes, count(*) filter (turn < 5) as files from conversations group by 1 having count(*) filter (turn < 5) > 0")
+@query("select conv_id, coalesce(sum(strlen(text)), 0)::bigint as bytes, count(*) as files from (select * from conversations qualify row_number() over (partition by conv_id order by turn) <= 2000) group by 1")
 def input_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes and files of the input of jobs, of which the first five files count."""
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("files"))
-    size, number = U.input_size(F.col("files"), lambda f: F.octet_length(f["text"]), 5)
+    """Bytes and files of the input of jobs; as in the operator, the first 2,000 files count."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.octet_length("text").alias("bytes")).alias("file"))
+    c = c.groupBy("conv_id").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    size, number = U.input_size(F.col("files"), lambda f: f["bytes"])
     return c.select("conv_id", size.alias("bytes"), number.alias("files"))

@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, St
 from quillspark.functions.formats import BUILT_IN, formatted
 from quillspark.functions.sheets import column_letters, column_number
 from quillspark.functions.text import escape_xml, unescape_xml
-from quillspark.operators.sheets import MOST_CELLS
+from quillspark.operators.sheets import MOST_CELLS, TOO_LARGE
 
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -47,16 +47,22 @@ def _packed(sheets: pa.Array) -> pa.Array:
 
 
 def workbooks(cells: DataFrame, key: list[str]) -> DataFrame:
-    """(key, content): one workbook for the cells (row, col from 0, number or else text) of every key; sheets that are too large are left out."""
+    """(key, content, error): one workbook for the cells (row, col from 0, number or else text) of every key.
+
+    Sheets that are too large have an error and no content; their lines are not gathered.
+    """
     place = F.concat(column_letters(F.col("col")), (F.col("row") + 1).cast("string"))
     number = F.concat(F.lit('<c r="'), place, F.lit('"><v>'), F.col("number").cast("string"), F.lit("</v></c>"))
     text = F.concat(F.lit('<c r="'), place, F.lit('" t="inlineStr"><is><t xml:space="preserve">'), escape_xml(F.col("text")), F.lit("</t></is></c>"))
     xml = cells.select(*key, "row", "col", F.coalesce(number, text).alias("xml")).where("xml is not null")
-    rows = xml.groupBy(*key, "row").agg(F.array_join(F.sort_array(F.collect_list(F.struct("col", "xml")))["xml"], "").alias("xml"), F.max("col").alias("last"))
+    rows = xml.groupBy(*key, "row").agg(F.array_join(F.sort_array(F.collect_list(F.struct("col", "xml")))["xml"], "").alias("xml"))
     line = F.concat(F.lit('<row r="'), (F.col("row") + 1).cast("string"), F.lit('">'), F.col("xml"), F.lit("</row>"))
-    sheets = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("row", line.alias("line")))).alias("lines"), (F.max("last") + 1).alias("wide"), (F.max("row") + 1).alias("high"))
+    size = cells.groupBy(*key).agg(((F.max("row") + 1).cast("long") * (F.max("col") + 1)).alias("n_cells"))
+    size = size.select(*key, F.when(F.col("n_cells") > MOST_CELLS, TOO_LARGE).alias("error"))
+    sheets = rows.join(size.where("error is null"), key, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("row", line.alias("line")))).alias("lines"))
     body = F.concat(F.lit(f"{_HEAD}<worksheet {_MAIN}><sheetData>"), F.array_join(F.col("lines.line"), ""), F.lit("</sheetData></worksheet>"))
-    return sheets.where(F.col("wide") * F.col("high") <= MOST_CELLS).select(*key, _packed(body).alias("content"))
+    written = sheets.select(*key, _packed(body).alias("content"), F.lit(None).cast("string").alias("error"))
+    return written.unionByName(size.where("error is not null").select(*key, F.lit(None).cast("binary").alias("content"), "error"))
 
 
 _TEXT = lambda *names: [StructField(n, StringType()) for n in names]
@@ -92,11 +98,11 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def workbook_cells(files: DataFrame, key: list[str], content: str) -> DataFrame:
-    """(key, sheet, row, col, kind, raw, format_id, text) of all cells that have a value; text is as the sheet shows it.
+    """(key, sheet, row, col, kind, raw, format_id, text, error) of all cells that have a value; text is as the sheet shows it.
 
     kind is the cell's: n, s, str, inlineStr, b or e.  Rich and phonetic strings give their plain text.  Numbers follow
-    the built-in formats; those with a format of the file's own are shown in general form.  Files that are no workbooks
-    give no rows.
+    the built-in formats; those with a format of the file's own are shown in general form.  A file that is no workbook
+    gives one row that has an error only.
     """
     inner = lambda si: F.array_join(F.transform(_all(F.regexp_replace(si, r"(?s)<rPh\b.*?</rPh>", ""), r"(?s)<t(?:\s[^>]*)?>(.*?)</t>", 1), unescape_xml), "")
     opened = files.select(*key, _unpacked(F.col(content)).alias("w"))
@@ -114,7 +120,9 @@ def workbook_cells(files: DataFrame, key: list[str], content: str) -> DataFrame:
     found = cells.select(*key, "sheet", row.alias("row"), column_number(place).cast("long").alias("col"), kind.alias("kind"), raw.alias("raw"), style.alias("format_id"))
     found = found.where("row is not null and raw is not null and raw <> ''")
     number = F.when(F.col("kind") == "n", F.col("raw").try_cast("double"))
-    return found.withColumn("text", F.coalesce(formatted_by_id(number, F.col("format_id")), F.col("raw")))
+    found = found.withColumns({"text": F.coalesce(formatted_by_id(number, F.col("format_id")), F.col("raw")), "error": F.lit(None).cast("string")})
+    broken = files.select(*key, _unpacked(F.col(content))["error"].alias("error")).where("error is not null")
+    return found.unionByName(broken, allowMissingColumns=True)
 
 
 def formatted_by_id(x: Column, number: Column) -> Column:

@@ -302,6 +302,7 @@ def test_workbooks_of_other_writers(spark):
     import io
     import zipfile
 
+    from quillspark.operators.sheets import dense_rows
     from quillspark.sources.workbooks import workbook_cells, workbooks
 
     blob = io.BytesIO()
@@ -314,14 +315,17 @@ def test_workbooks_of_other_writers(spark):
         z.writestr("xl/worksheets/s1.xml", """<worksheet><cols><col min="1"/></cols><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" s="1"><v>0.125</v></c><c r="D1" s="2"><v>45123</v></c></row>
             <row r="10"><c r="AA10" t="b"><v>1</v></c><c r="AB10" t="e"><v>#N/A</v></c><c r="AC10" t="str"><f>A1</f><v>sum</v></c><c r="AD10" t="inlineStr"><is><t>in</t></is></c><c r="AE10"/><c r="AF10"><f>1/3</f><v>2.5</v></c></row></sheetData></worksheet>""")
     files = spark.createDataFrame([(1, bytearray(blob.getvalue())), (2, bytearray(b"PK no zip")), (3, None)], "id int, content binary")
-    got = {(r["id"], r["sheet"], r["row"], r["col"]): (r["kind"], r["text"]) for r in workbook_cells(files, ["id"], "content").collect()}
+    rows = workbook_cells(files, ["id"], "content").collect()
+    assert sorted(r["id"] for r in rows if r["error"]) == [2, 3]
+    got = {(r["id"], r["sheet"], r["row"], r["col"]): (r["kind"], r["text"]) for r in rows if not r["error"]}
     sheet = "B&amp;C"
     assert got == {
         (1, sheet, 0, 0): ("s", "plain & x"), (1, sheet, 0, 1): ("s", "rich "), (1, sheet, 0, 2): ("n", "12.50%"), (1, sheet, 0, 3): ("n", "7/16/23"), (1, sheet, 9, 26): ("b", "TRUE"), (1, sheet, 9, 27): ("e", "#N/A"),
         (1, sheet, 9, 28): ("str", "sum"), (1, sheet, 9, 29): ("inlineStr", "in"), (1, sheet, 9, 31): ("n", "2.5"),
     }
     wide = spark.createDataFrame([(1, 0, 0, "a", None), (1, 3_000_000, 20, "b", None), (2, 0, 0, None, 1.5)], "id int, row int, col int, text string, number double")
-    assert [r["id"] for r in workbooks(wide, ["id"]).collect()] == [2]
+    assert sorted((r["id"], r["error"], r["content"] is None) for r in workbooks(wide, ["id"]).collect()) == [(1, "too many cells", True), (2, None, False)]
+    assert sorted((r["id"], r["row"], r["cells"], r["error"]) for r in dense_rows(wide.fillna("x"), ["id"]).collect()) == [(1, None, None, "too many cells"), (2, 0, ["x"], None)]
 
 
 def test_page_layout_in_reading_order(spark):

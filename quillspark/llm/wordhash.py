@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+#: Bytes that are hashed at a time; the numbers of a byte take some fifty bytes.
+BLOCK = 1 << 17
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -85,12 +87,18 @@ def _words_of(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.nda
         return np.empty(0, np.uint64), starts, ends
     lengths = ends - starts
     heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    inside = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(heads, lengths)
+    letters, total = data[solid], np.zeros(len(heads), np.uint64)
     with np.errstate(over="ignore"):
-        value = _BYTE[data[solid]] * _POWERS[inside & 4095]
-        if blocks := int(lengths.max() - 1) >> 12:  # the powers go on in long words
-            value *= np.multiply.accumulate(np.append(np.uint64(1), np.full(blocks, _NEXT)))[inside >> 12]
-        return mix(np.add.reduceat(value, heads) + lengths.astype(np.uint64)), starts, ends
+        for lo in range(0, len(letters), BLOCK):
+            own = letters[lo : lo + BLOCK]
+            a, b = np.searchsorted(heads, lo, side="right") - 1, np.searchsorted(heads, lo + len(own))
+            first = np.maximum(heads[a:b], lo) - lo
+            inside = np.arange(lo, lo + len(own)) - np.repeat(heads[a:b], np.diff(first, append=len(own)))
+            value = _BYTE[own] * _POWERS[inside & 4095]
+            if blocks := int(inside.max()) >> 12:  # the powers go on in long words
+                value *= np.multiply.accumulate(np.append(np.uint64(1), np.full(blocks, _NEXT)))[inside >> 12]
+            total[a:b] += np.add.reduceat(value, first)
+        return mix(total + lengths.astype(np.uint64)), starts, ends
 
 
 def _space_from(data: np.ndarray, at: int) -> int:

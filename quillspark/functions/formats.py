@@ -164,15 +164,98 @@ def _literal(m: re.Match) -> str:
 _PATTERN = re.compile(r"(?P<whole>[0#?][0#?,]*)?(?:\.(?P<parts>[0#?]*))?(?P<scale>,*)(?P<power>[eE][+-]0+)?")
 
 
+_FRACTION = re.compile(r"(?P<whole>[#0?]+ +)?(?P<top>[#0?]+)(?P<left> ?)/(?P<right> ?)(?:(?P<bottom>[#0?]+)|(?P<fixed>\d+))")
+#: Digits of a denominator that is searched for, at most.
+MOST_DIGITS = 7
+
+
+def best_fraction(x: Column, most: int) -> Column:
+    """(p, q): the fraction nearest to ``x`` with a denominator of ``most`` at the most; of equally near ones that with the smaller one.
+
+    The continued fraction is folded until its next convergent is too large.  The last step of a convergent may be
+    taken in part: as much of it as the bound allows is compared with the convergent before.
+    """
+    long = lambda c: c.cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("p0"), F.lit(1).cast("long").alias("q0"), F.lit(1).cast("long").alias("p1"), F.lit(0).cast("long").alias("q1"), x.cast("double").alias("rest"), F.lit(False).alias("done"))
+
+    let = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  computes the value once
+
+    def convergent(s: Column, a: Column) -> Column:
+        room = F.when(s["q1"] > 0, F.floor((most - s["q0"]) / s["q1"])).otherwise(0).cast("long")
+        return F.struct((a * s["p1"] + s["p0"]).alias("p"), (a * s["q1"] + s["q0"]).alias("q"), (s["rest"] - a).alias("rest"), (room * s["p1"] + s["p0"]).alias("part_p"), (room * s["q1"] + s["q0"]).alias("part_q"))
+
+    def chosen(s: Column, c: Column) -> Column:
+        over = c["q"] > most
+        nearer = (c["part_q"] > 0) & (F.abs(x - c["part_p"] / F.greatest(c["part_q"], F.lit(1))) < F.abs(x - s["p1"] / F.greatest(s["q1"], F.lit(1))) - 1e-12)
+        pick = lambda now, part, before: F.when(~over, now).when(nearer, part).otherwise(before)
+        ends = over | (c["rest"] < 5e-8)
+        return F.struct(s["p1"].alias("p0"), s["q1"].alias("q0"), pick(c["p"], c["part_p"], s["p1"]).alias("p1"), pick(c["q"], c["part_q"], s["q1"]).alias("q1"), F.when(c["rest"] < 5e-8, 0.0).otherwise(1 / F.greatest(c["rest"], F.lit(1e-9))).alias("rest"), ends.alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        return F.when(s["done"], s).otherwise(let(let(long(F.floor(s["rest"])), lambda a: convergent(s, a)), lambda c: chosen(s, c)))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step)
+    return F.struct(found["p1"].alias("p"), found["q1"].alias("q"))
+
+
+def fraction_text(x: Column, m: re.Match) -> Column:
+    """A number that is not negative as a fraction: mixed where the pattern has a whole part, with a fixed or the best denominator."""
+    whole = F.floor(x) if m["whole"] else F.lit(0).cast("long")
+    if m["fixed"]:
+        q = F.lit(int(m["fixed"])).cast("long")
+        all_ = F.floor(x * int(m["fixed"]) + 0.5)
+        whole = F.floor(all_ / q) if m["whole"] else whole
+        p, wide = (all_ - whole * q).cast("long"), len(m["top"])
+        shown_q, wide_q = F.lit(m["fixed"]), len(m["fixed"])
+    else:
+        wide = wide_q = min(max(len(m["top"]), len(m["bottom"])), MOST_DIGITS)
+        best = best_fraction(x - whole, 10**wide - 1)
+        carry = F.lit(bool(m["whole"])) & (best["p"] == best["q"])
+        p, q = F.when(carry, F.lit(0).cast("long")).otherwise(best["p"]), best["q"]
+        whole = whole + F.when(carry, 1).otherwise(0)
+        shown_q = F.rpad(q.cast("string"), wide, " ")
+    fill = F.when(F.length(p.cast("string")) < wide, F.lpad(p.cast("string"), wide, " ")).otherwise(p.cast("string"))
+    part = F.concat(fill, F.lit(m["left"] + "/" + m["right"]), shown_q)
+    if not m["whole"]:
+        return part
+    head = F.when(whole > 0, whole.cast("string")).when(p > 0, "").otherwise("0")
+    return F.concat(head, F.lit(" "), F.when(p > 0, part).otherwise(" " * (wide + wide_q + 1 + len(m["left"] + m["right"]))))
+
+
+#: Letters that stand for calendars other than the usual one.
+_CALENDAR = re.compile(r"(?<![a-z])(?!e[+-])[beg]+\d*(?![a-z])", re.I)
+_ALLOWED = set("$-+/():!^&'~{}<>= %,.?#0*\0")
+
+
+def declined(code: str) -> str | None:
+    """Why a format code is not supported, so that its text is null; ``None`` where it is."""
+    for section in sections(code):
+        bare = _CONDITION.sub("", section)
+        plain = "".join("\0" if m["quoted"] is not None or m["escaped"] or m["space"] or m["clock"] or m["other"] is not None or m["half"] else m[0] for m in _TOKEN.finditer(bare))
+        if re.sub(r"\0", "", plain).lower().startswith("general") or "@" in plain:
+            continue
+        if re.search(r"\[\$-[0-9A-F]{5,8}\]", section, re.I) or _CALENDAR.search(plain):
+            return "another calendar"
+        if is_date(bare):
+            continue
+        found = next((m for m in _PATTERN.finditer(plain) if m["whole"] or m["parts"]), None)
+        if found and found["power"] and len(found["whole"] or "") != 1:
+            return "exponents in steps"
+        rest = plain.replace(found[0], "") if found and found["power"] else plain
+        if not set(rest.lower()) <= _ALLOWED | set("123456789" if _FRACTION.search(plain) else ""):
+            return "unknown letters"
+    return None
+
+
 def number_text(x: Column, section: str) -> Column:
     """A number that is not negative by a section with one number pattern; null for patterns that are not supported."""
     plain = "".join("\0" if not m["any"] and m["field"] is None else m[0] if m["field"] else m["any"] for m in _TOKEN.finditer(section))
     at = next((m for m in _PATTERN.finditer(plain) if m["whole"] or m["parts"]), None)
     pieces: list[Column] = []
-    if "/" in plain and re.search(r"[?#0]\s*/", plain):
-        return F.lit(None).cast("string")
-    number = None
-    if at:
+    number, fraction = None, _FRACTION.search(plain)
+    if fraction:
+        at, number = fraction, fraction_text(x * 10.0 ** (2 * plain.count("%")), fraction)
+    elif at:
         whole, parts = at["whole"] or "", at["parts"] or ""
         grouped = "," in whole.rstrip(",")
         scale = len(whole) - len(whole.rstrip(",")) + len(at["scale"])
@@ -214,7 +297,9 @@ _CONDITION = re.compile(r"\[(=|>=?|<[>=]?)(-?\d+(?:\.\d*)?)\]")
 
 
 def formatted(x: Column, code: str) -> Column:
-    """The text of a number by a format code; null where the code is not supported."""
+    """The text of a number by a format code; null where the code is declined."""
+    if declined(code):
+        return F.when(F.lit(False), "")
     parts = sections(code)
     if "@" in parts[-1]:
         parts = parts[:-1] or ["General"]

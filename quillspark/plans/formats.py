@@ -35,11 +35,14 @@ def date_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(N.formatted(serial, c).alias(n) for n, c in codes.items()))
 
 
-@query("""with o as (select o_orderkey, case when o_orderkey % 3 = 0 then -o_totalprice else o_totalprice end as v, o_orderkey % 7 as k from orders), r as (select *, floor(abs(v) + 0.5) as n, floor(abs(v) * 100 + 0.5) / 100 as n2 from o)
+@query("""with o as (select o_orderkey, case when o_orderkey % 3 = 0 then -o_totalprice else o_totalprice end as v, o_orderkey % 7 as k from orders), r as (select *, floor(abs(v) + 0.5) as n, floor(abs(v) * 100 + 0.5) / 100 as n2 from o),
+    z as (select o_orderkey, v, round(abs(v) * 100)::bigint // 100 as w, round(abs(v) * 100)::bigint % 100 as c, d from o, (select unnest(range(1, 10)) as d) where k = 6),
+    y as (select o_orderkey, any_value(v) as v, any_value(w) as w, arg_min(round(c * d / 100.0::double)::bigint, (abs(c * d - 100 * round(c * d / 100.0::double)::bigint) / d::double, d)) as p, arg_min(d, (abs(c * d - 100 * round(c * d / 100.0::double)::bigint) / d::double, d)) as q from z group by 1),
+    f as (select o_orderkey, case when v < 0 then '-' else '' end || case when p = q then (w + 1) || '    ' when p = 0 then w || '    ' else case when w > 0 then w::varchar else '' end || ' ' || p || '/' || q end as text from y)
     select o_orderkey, case k when 0 then case when v < 0 then '-' else '' end || format('{:.0f}', n) when 1 then case when v < 0 then '-' else '' end || format('{:.2f}', n2) when 2 then case when v < 0 then '-' else '' end || format('{:,.0f}', n)
         when 3 then case when v < 0 then '(' || format('{:,.0f}', n) || ')' else format('{:,.0f}', n) || ' ' end when 4 then case when v < 0 then '(' || format('{:,.2f}', n2) || ')' else format('{:,.2f}', n2) end
-        when 5 then case when v < 0 then '-' else '' end || format('{:.0f}', floor(abs(v) * 100 + 0.5)) || '%' end as by_id,
-      case when v > 100000 then 'large ' || format('{:.1f}', floor(v / 100 + 0.5) / 10) || 'k' when v < 0 then 'debt ' || format('{:.0f}', n) else format('{:.0f}', n) end as by_condition from r""")
+        when 5 then case when v < 0 then '-' else '' end || format('{:.0f}', floor(abs(v) * 100 + 0.5)) || '%' when 6 then f.text end as by_id,
+      case when v > 100000 then 'large ' || format('{:.1f}', floor(v / 100 + 0.5) / 10) || 'k' when v < 0 then 'debt ' || format('{:.0f}', n) else format('{:.0f}', n) end as by_condition from r left join f using (o_orderkey)""")
 def formats_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built-in formats by their numbers, and sections with conditions."""
     v, k = F.when(F.col("o_orderkey") % 3 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")), F.col("o_orderkey") % 7
@@ -47,6 +50,20 @@ def formats_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", formatted_by_id(v, number).alias("by_id"), N.formatted(v, '[>100000]"large "0.0,"k";[<0]"debt "0;0').alias("by_condition"))
 
 
+@query("""with o as (select o_orderkey, round(o_totalprice * 100)::bigint as m from orders), w as (select *, m // 100 as n, m % 100 as r from o),
+    s as (select o_orderkey, n, r, d, round(r * d / 100.0::double)::bigint as p, most from w, (select unnest(range(1, 100)) as d), (select unnest([9, 99]) as most) where d <= most),
+    b as (select o_orderkey, n, r, most, arg_min(p, (abs(r * d - 100 * p) / d::double, d)) as p, arg_min(d, (abs(r * d - 100 * p) / d::double, d)) as q from s group by 1, 2, 3, 4),
+    t as (select o_orderkey, r, most, n + case when p = q then 1 else 0 end as n, case when p = q then 0 else p end as p, q, case most when 9 then 1 else 2 end as k from b),
+    f as (select o_orderkey, most, case when n > 0 then n::varchar when p > 0 then '' else '0' end || ' ' || case when p > 0 then lpad(p::varchar, k, ' ') || '/' || rpad(q::varchar, k, ' ') else repeat(' ', 2 * k + 1) end as x from t),
+    e as (select o_orderkey, n + floor(r * 8 / 100.0::double + 0.5)::bigint // 8 as n, floor(r * 8 / 100.0::double + 0.5)::bigint % 8 as p from w)
+    select f.o_orderkey, max(f.x) filter (where most = 9) as one_digit, max(f.x) filter (where most = 99) as two_digits, any_value(case when e.n > 0 then e.n::varchar when e.p > 0 then '' else '0' end || ' ' || case when e.p > 0 then e.p || '/8' else '   ' end) as eighths
+    from f join e on e.o_orderkey = f.o_orderkey group by 1""")
+def fraction_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as fractions with one and two digits and in eighths."""
+    codes = {"one_digit": "# ?/?", "two_digits": "# ??/??", "eighths": "# ?/8"}
+    return read(spark, sf_dir, "orders").select("o_orderkey", *(N.formatted(F.round("o_totalprice", 2), c).alias(n) for n, c in codes.items()))
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' orders as sheets: key, price and a text with marks that XML reserves; a heading."""
     o = read(spark, sf_dir, "orders")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import editor as E
 from quillspark.operators import layout as L
 from quillspark.operators.tables import page_blocks, page_layout, page_tables
 from quillspark.plans.registry import query
@@ -240,3 +241,36 @@ def layout_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lambda gap: L.segment_text(L.segments(lined, gap)).select("doc_id", "page", "line", "x0", "x1", "y", "size", "text", "bold")
     placed = page_layout(cut(1.6), cut(0.5), L.body_size(r), ["doc_id", "page"])
     return L.markdown(placed, "doc_id", ["page", "place"])
+
+
+def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as glyphs; every ninth line of a page stands upright, and every thirteenth word is printed twice, a little aside."""
+    r = runs(spark, sf_dir)
+    upright = (F.col("y") / 20).cast("int") % 9 == 0
+    own = r.select(
+        "doc_id", "page", (F.col("run_no").cast("long") * 2).alias("n"), "text", F.when(upright, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(upright, F.col("x")).otherwise(F.col("y")).alias("y"), F.when(upright, 0.0).otherwise(1.0).alias("dx"),
+        F.when(upright, 1.0).otherwise(0.0).alias("dy"), "size", F.col("w").alias("width"), F.when(F.col("run_no") % 17 == 0, 3).otherwise(0).alias("mode"), F.when(F.col("bold"), "B").otherwise("R").alias("font"), "bold",
+    )
+    again = own.where("n div 2 % 13 = 0").withColumns({"n": F.col("n") + 1, "x": F.col("x") + 0.4})
+    return own.unionByName(again)
+
+
+@query()
+def editor_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all pages' glyphs, with lines and what is printed twice."""
+    key = ["doc_id", "page"]
+    return E.chunk_lines(E.glyph_chunks(_glyphs(spark, sf_dir), key), key)
+
+
+@query()
+def editor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all pages at any angle."""
+    key = ["doc_id", "page"]
+    return E.editor_lines(E.glyph_chunks(_glyphs(spark, sf_dir), key), key)
+
+
+@query()
+def editor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of lines of all pages."""
+    key = ["doc_id", "page"]
+    return E.editor_blocks(E.editor_lines(E.glyph_chunks(_glyphs(spark, sf_dir), key), key), key)

@@ -29,7 +29,7 @@ MOST_OPERANDS = 64
 #: How far after the stated length of an inline image its end is looked for.
 NEAR_END = 16
 
-_TOKEN = re.compile(rb"(?:[%s]|%%[^\r\n]*)*(?:(?P<name>/[^%s%s]*)|(?P<plain>[^%s%s]+)|(?P<open><<|\[)|(?P<close>>>|\])|(?P<text>\()|(?P<hex><[^>]*>?)|(?P<odd>.))" % (SPACE, SPACE, DELIMITERS, SPACE, DELIMITERS), re.S)
+_TOKEN = re.compile(rb"(?:[%s]|%%[^\r\n]*+)*+(?:(?P<name>/[^%s%s]*)|(?P<plain>[^%s%s]+)|(?P<open><<|\[)|(?P<close>>>|\])|(?P<text>\()|(?P<hex><[^>]*>?)|(?P<odd>.))" % (SPACE, SPACE, DELIMITERS, SPACE, DELIMITERS), re.S)
 _PART = re.compile(rb"[^()\\]+|\\(?:[0-7]{1,3}|\r\n|.|$)|[()]", re.S)
 _END = re.compile(rb"(?<=[%s])EI(?=[%s%s]|$)" % (SPACE, SPACE, DELIMITERS))
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+(?![.\d]))?")

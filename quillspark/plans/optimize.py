@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import optimize as O
+from quillspark.operators import salvage as S
 from quillspark.plans.registry import query
 from quillspark.sources.shared import shared_dir
 from quillspark.sources.tables import doc_lines, read, streams
@@ -120,7 +121,6 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, n as object_no, row_number() over (partition by doc_id order by n) - 1 as page_index, md5(t) as digest from g where good""")
 def salvaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page trees rebuilt from the objects that are sound, in order of their numbers."""
-    from pyspark.sql import Window
 
     sound = doc_lines(spark, sf_dir).where(F.col("text").rlike("^[A-ZÀ-Þ][^|!*%]*[.]$"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
@@ -143,3 +143,21 @@ def form_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = F.when(F.col("kind") == "text", F.left("value", F.col("max_length"))).when(F.col("kind") == "checkbox", F.when(F.col("value") == "true", "on").otherwise("off")).when((F.col("kind") == "dropdown") & listed, F.col("value"))
     failed = (F.col("kind") == "unsupported") | ((F.col("kind") == "dropdown") & ~listed)
     return fields.join(values, "c_custkey").select("c_custkey", "kind", filled.alias("filled"), failed.alias("failed"))
+
+
+@query("""with c as (select conv_id, turn, row_number() over w - 1 as i, count(*) over (partition by conv_id) as n from conversations window w as (partition by conv_id order by turn)),
+    p as (select conv_id, 10 + i as number, i, i % 5 = 4 as lost from c where i % 7 <> 3)
+    select conv_id, (row_number() over (partition by conv_id order by lost, i) - 1)::int as page_index, number::bigint as number, lost as attached from p""")
+def rebuilt_page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of damaged files, one for each conversation: a page for each turn, some cut off, some defined twice, some in no tree, a node without pages."""
+    shared_dir(spark)
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    i, text = F.row_number().over(w) - 1, F.regexp_replace("text", r"[^A-Za-z ]", "")
+    page = lambda end: F.concat(F.lit("\n"), (F.col("i") + 10).cast("string"), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R /T ("), F.col("t"), F.lit(f") >>{end}"))
+    body = F.when(F.col("i") % 7 == 3, page("")).when(F.col("i") % 4 == 0, F.concat(page(" >> \nendobj"), page("\nendobj"), page(" ]\nendobj"))).otherwise(page("\nendobj"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", i.alias("i"), text.alias("t")).select("conv_id", "i", body.alias("body"))
+    kid = F.concat((F.col("i") + 10).cast("string"), F.lit(" 0 R"))
+    files = rows.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("i", "body")))["body"], "").alias("body"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("i") % 5 != 4, F.struct("i", kid.alias("k")))))["k"], " ").alias("kids"))
+    head = F.concat(F.lit("%PDF-1.7\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R "), F.col("kids"), F.lit(" 999 0 R 2 0 R] >> endobj\n3 0 obj << /Type /Pages /Parent 2 0 R /Kids [4 0 R] >> endobj"))
+    content = F.encode(F.concat(head, F.col("body"), F.lit("\n5 0 obj << /Length 9 >> stream\nq 1 0 0 1")), "ISO-8859-1")
+    return S.rebuilt_pages(S.scanned_objects(files.select("conv_id", content.alias("content")), ["conv_id"], "content"), ["conv_id"])

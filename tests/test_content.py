@@ -147,6 +147,7 @@ def test_lexer_agrees_with_a_state_machine():
 
 def test_damaged_streams_and_images():
     assert lexed(b"1 2 m [ 1 2") == [("m", [1, 2], 0, 5)] and lexed(b"(open") == [] and lexed(b"") == []
+    assert lexed(b"q % Tj f") == [("q", [], 0, 1)] and lexed(b"q \n") == [("q", [], 0, 1)]
     assert lexed(b"--5 1.2.3 - 5abc 1e2 w") == [("w", [-5, 1.2, 0, 5, 100], 0, 22)]
     assert lexed(b"<</A 1 /B>> gs") == [("gs", [{"/A": 1}], 0, 14)] and lexed(b"[1 Tj 2] TJ") == [("TJ", [[1, 2]], 0, 11)]
     assert len(lexed(b"1 " * 100 + b"x")[0][1]) == C.MOST_OPERANDS

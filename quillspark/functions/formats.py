@@ -224,7 +224,6 @@ def fraction_text(x: Column, m: re.Match) -> Column:
 
 #: Letters that stand for calendars other than the usual one.
 _CALENDAR = re.compile(r"(?<![a-z])(?!e[+-])[beg]+\d*(?![a-z])", re.I)
-_ALLOWED = set("$-+/():!^&'~{}<>= %,.?#0*\0")
 
 
 def declined(code: str) -> str | None:
@@ -241,9 +240,6 @@ def declined(code: str) -> str | None:
         found = next((m for m in _PATTERN.finditer(plain) if m["whole"] or m["parts"]), None)
         if found and found["power"] and len(found["whole"] or "") != 1:
             return "exponents in steps"
-        rest = plain.replace(found[0], "") if found and found["power"] else plain
-        if not set(rest.lower()) <= _ALLOWED | set("123456789" if _FRACTION.search(plain) else ""):
-            return "unknown letters"
     return None
 
 

@@ -275,7 +275,7 @@ def test_search_words_are_meant_as_they_are(spark):
         ("General", 1234.5, "1234.5"), ("General", 123456789012.5, "1.23457E+11"), ("General", 1e20, "1E+20"), ("General", 0.00012345, "0.00012345"), ("General", 1 / 3, "0.333333333"), ("General", -5.0, "-5"),
         ("General", 12345678901.25, "12345678901"), ("General", 1e-11, "1E-11"), ("0.00", 1.005, "1.00"), ("0.00", 1.015, "1.01"), ("0.00", 2.675, "2.68"), ("0", -0.4, "0"), ("#,##0.00", -1234567.891, "-1,234,567.89"), ("0%", 0.125, "13%"), ("0.0#", 2.5, "2.5"), ("0.0#", 2.25, "2.25"),
         ("00000", 42.0, "00042"), ("#", 0.0, ""), ("#,##0,", 1234567.0, "1,235"), ("0.0,,", 1500000.0, "1.5"), ("0.00E+00", 1234.5, "1.23E+03"), ("0.0E-0", 1234.5, "1.2E3"), ("??0.0?", 1.5, "  1.5 "),
-        ("0;(0);zero", -3.0, "(3)"), ("0;(0);zero", 0.0, "zero"), ('0 "a;b"', 2.0, "2 a;b"), ("\\x0", 2.0, "x2"), ("[>100]0.0;0", 150.0, "150.0"), ("[>100]0.0;0", 50.0, "50"), ("[Red]0", 3.0, "3"), ("# ?/?", 0.5, None),
+        ("0;(0);zero", -3.0, "(3)"), ("0;(0);zero", 0.0, "zero"), ('0 "a;b"', 2.0, "2 a;b"), ("\\x0", 2.0, "x2"), ("[>100]0.0;0", 150.0, "150.0"), ("[>100]0.0;0", 50.0, "50"), ("[Red]0", 3.0, "3"), ("# ?/?", 0.5, " 1/2"),
         ("yyyy-mm-dd", 45123.75, "2023-07-16"), ("d-mmm-yy", 61.0, "1-Mar-00"), ("mmm d", 60.0, "Feb 29"), ("h:mm AM/PM", 0.5, "12:00 PM"), ("h:mm:ss A/P", 0.25, "6:00:00 A"), ("[h]:mm", 1.5, "36:00"), ("[mm]:ss", 0.0625, "90:00"),
         ("mm:ss.00", 0.000012, "00:01.04"), ("dddd", 1.0, "Sunday"), ("ddd", 60.0, "Wed"), ("mmmmm", 45123.0, "J"), ("yyyy", -1.0, None), ("yy", 2958465.0, "99"), ("hh:mm", 45123.9999999999, "00:00"),
     ],

@@ -117,6 +117,15 @@ def is_date(section: str) -> bool:
     return bool(found) and not section.lower().startswith("general")
 
 
+def second_and_parts(serial: Column, second: Column, digits: Column) -> tuple[Column, Column]:
+    """The second of the minute and its decimals, rounded together; what would round to 60 is 0, in the same minute."""
+    scale = F.pow(F.lit(10), digits).cast("long")
+    part = F.when(digits > 0, F.greatest((serial - F.floor(serial)) * 86400 - second, F.lit(0.0))).otherwise(0.0)
+    whole = F.floor((second % 60 + part) * scale + 0.5)
+    whole = F.when(whole >= 60 * scale, 0).otherwise(whole)
+    return F.floor(whole / scale), whole % scale
+
+
 def date_text(serial: Column, section: str) -> Column:
     """A serial number by date fields; ``m`` after hours or before seconds is minutes.  Null outside of 0 to 2958465."""
     tokens = list(_TOKEN.finditer(section))
@@ -132,7 +141,8 @@ def date_text(serial: Column, section: str) -> Column:
     hour = F.floor(second / 3600)
     padded = lambda n, w: F.lpad(n.cast("string"), w, "0") if w > 1 else n.cast("string")
     name = lambda names, k, n=None: F.element_at(F.array(*(F.lit(x[:n]) for x in names)), (k + 1).cast("int"))
-    part = F.greatest((serial - F.floor(serial)) * 86400 - second, F.lit(0.0))
+    digits = max((len(f) - 1 for f in fields if f.startswith(".")), default=0)
+    shown_second, parts = second_and_parts(serial, second, F.lit(digits))
     out = []
     for k, m in enumerate(tokens):
         f = fields[k]
@@ -141,12 +151,12 @@ def date_text(serial: Column, section: str) -> Column:
             text = total.cast("string")
             out.append(F.when(F.length(text) < len(f), F.lpad(text, len(f), "0")).otherwise(text))
         elif f.startswith("."):
-            out.append(F.concat(F.lit("."), F.lpad(F.floor(part * 10 ** (len(f) - 1) + 0.5).cast("string"), len(f) - 1, "0")))
+            out.append(F.concat(F.lit("."), F.left(F.lpad(parts.cast("string"), digits, "0"), F.lit(len(f) - 1))))
         elif k in minutes:
             out.append(padded(F.floor(second / 60) % 60, len(f)))
         elif f:
             out.append({
-                "y": lambda f=f: padded(year % 100, 2) if len(f) < 3 else padded(year, 4), "h": lambda f=f: padded(1 + (hour + 11) % 12 if half else hour, len(f)), "s": lambda f=f: padded(second % 60, len(f)),
+                "y": lambda f=f: padded(year % 100, 2) if len(f) < 3 else padded(year, 4), "h": lambda f=f: padded(1 + (hour + 11) % 12 if half else hour, len(f)), "s": lambda f=f: padded(shown_second, len(f)),
                 "m": lambda f=f: padded(month, len(f)) if len(f) < 3 else name(MONTHS, month - 1, {3: 3, 5: 1}.get(len(f))),
                 "d": lambda f=f: padded(of_month, len(f)) if len(f) < 3 else name(DAYS, F.pmod(day - 1, F.lit(7)), 3 if len(f) == 3 else None),
             }[f[0]]())

@@ -131,20 +131,23 @@ def _padded(text: Column, width: Column | int, fill: str) -> Column:
 
 def _date(serial: Column, section: Column) -> Column:
     """A serial number by the fields of a date section; null outside of 0 to 2958465."""
-    day, second = day_and_second(serial)
+    return F.transform(F.array(F.struct(*(c.alias(n) for c, n in zip((serial, *day_and_second(serial)), ("x", "day", "second"), strict=True)))), lambda k: _fields(k["x"], k["day"], k["second"], section))[0]
+
+
+def _fields(serial: Column, day: Column, second: Column, section: Column) -> Column:
     date = F.date_add(F.when(day > 60, F.lit("1899-12-30")).otherwise("1899-12-31").cast("date"), day)
     year = F.when(day <= 60, 1900).otherwise(F.year(date)).cast("string")
     month = F.when(day == 60, 2).when(day == 0, 1).otherwise(F.month(date))
     of_month = F.when(day == 60, 29).when(day == 0, 0).otherwise(F.dayofmonth(date)).cast("string")
     hour, minute = F.floor(second / 3600), F.floor(second / 60)
     shown_hour = F.when(section["half"], 1 + (hour + 11) % 12).otherwise(hour).cast("string")
-    name = lambda names, k, n=None: F.element_at(F.array(*(F.lit(x[:n]) for x in names)), k.cast("int"))
+    name = lambda names, k: F.split_part(F.lit(" ".join(names)), F.lit(" "), k.cast("int"))
     of_week = F.pmod(day - 1, F.lit(7)) + 1
     digits = F.coalesce(F.array_max(F.transform(F.filter(section["fields"], lambda f: f["kind"] == "."), lambda f: F.length(f["text"]))), F.lit(0))
     shown_second, parts = N.second_and_parts(serial, second, digits)
     one = {"yyyy": year, "m": month.cast("string"), "d": of_month, "h": shown_hour, "n": (minute % 60).cast("string"), "s": shown_second.cast("string")}
     texts = {"yy": F.substring(year, 3, 2), **one, **{2 * k: F.lpad(one[k], 2, "0") for k in "mdhns"}}
-    texts |= {"mmm": name(N.MONTHS, month, 3), "mmmm": name(N.MONTHS, month), "mmmmm": name(N.MONTHS, month, 1), "ddd": name(N.DAYS, of_week, 3), "dddd": name(N.DAYS, of_week)}
+    texts |= {"mmm": F.left(name(N.MONTHS, month), F.lit(3)), "mmmm": name(N.MONTHS, month), "mmmmm": F.left(name(N.MONTHS, month), F.lit(1)), "ddd": F.left(name(N.DAYS, of_week), F.lit(3)), "dddd": name(N.DAYS, of_week)}
 
     def shown(f: Column) -> Column:
         clocks = {"[h]": day * 24 + hour, "[m]": day * 1440 + minute, "[s]": day.cast("long") * 86400 + second}

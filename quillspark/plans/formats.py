@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import formats as N
 from quillspark.plans.registry import query
 from quillspark.sources.tables import read
-from quillspark.sources.workbooks import formatted_by_id, workbook_cells, workbooks
+from quillspark.sources.workbooks import formatted_by_id, workbook_cells, workbook_columns, workbooks
 
 
 @query("""select l_orderkey, l_linenumber, regexp_replace(format('{:.2f}', l_extendedprice), '\\.?0+$', '') as price, case when l_linenumber % 2 = 0 then '-' else '' end || l_quantity::int as quantity from lineitem""")
@@ -78,3 +78,29 @@ def workbook_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' orders written as workbooks and read back."""
     books = workbooks(_cells(spark, sf_dir), ["book"])
     return workbook_cells(books, ["book"], "content").select("book", "row", "col", "kind", "text", "error")
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders as workbooks of a sheet for each status: key, day, share of a million, priority."""
+    o = read(spark, sf_dir, "orders")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date"))
+    cell = lambda col, style, number=None, text=None: F.struct(F.lit(col).alias("col"), F.lit(style).alias("style"), F.lit(number).cast("double").alias("number"), F.lit(text).cast("string").alias("text"))
+    cells = F.array(cell(0, "number", F.col("o_orderkey")), cell(1, "day", day), cell(2, "share", F.round("o_totalprice", 0) / 1e6), cell(3, None, text=F.concat_ws(" & ", "o_orderpriority", "o_orderstatus")))
+    named = o.select(F.col("o_custkey").alias("book"), F.ascii("o_orderstatus").alias("no"), F.concat(F.lit("Status "), "o_orderstatus").alias("name"), F.col("o_orderkey").alias("row"), F.inline(cells))
+    return workbooks(named, ["book"], "no", "name")
+
+
+@query("""select o_custkey as book, 'Status ' || o_orderstatus as sheet, o_orderkey as row, col::bigint as col, case when col = 3 then 0 when col = 2 then 10 when col = 1 then 14 else 0 end::int as format_id,
+    case col when 0 then o_orderkey::varchar when 1 then strftime(o_orderdate::date, '%-m/%-d/%y') when 2 then format('{:.2f}', floor(round(o_totalprice) / 1e6 * 100 * 100 + 0.5) / 100) || '%' else o_orderpriority || ' & ' || o_orderstatus end as text
+    from orders, (select unnest(range(4)) as col)""")
+def workbook_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of workbooks of several sheets, days and shares as their formats show them."""
+    return workbook_cells(_books(spark, sf_dir), ["book"], "content").select("book", "sheet", "row", "col", "format_id", "text")
+
+
+@query("""with c as (select o_custkey as book, 'Status ' || o_orderstatus as sheet, col::bigint as col, length(case col when 0 then o_orderkey::varchar when 1 then date_diff('day', date '1899-12-30', o_orderdate::date)::varchar
+      when 2 then rtrim(rtrim((round(o_totalprice)::decimal(18, 0) * 0.000001::decimal(7, 6))::varchar, '0'), '.') else o_orderpriority || ' & ' || o_orderstatus end) as n from orders, (select unnest(range(4)) as col))
+    select book, sheet, col, least(greatest(max(n) + 2, 8), 60)::double as width from c group by 1, 2, 3""")
+def workbook_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths of the columns of workbooks, by their longest values."""
+    return workbook_columns(_books(spark, sf_dir), ["book"], "content")

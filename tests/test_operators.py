@@ -328,6 +328,46 @@ def test_workbooks_of_other_writers(spark):
     assert sorted((r["id"], r["row"], r["cells"], r["error"]) for r in dense_rows(wide.fillna("x"), ["id"]).collect()) == [(1, None, None, "too many cells"), (2, 0, ["x"], None)]
 
 
+def test_formats_of_a_workbook(spark):
+    import io
+    import zipfile
+
+    from quillspark.sources.workbooks import workbook_cells
+
+    blobs = []
+    for late in ("0", "1"):
+        blob = io.BytesIO()
+        with zipfile.ZipFile(blob, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook><workbookPr date1904="{late}"/><sheets><sheet name="A" r:id="rId1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/s.xml"/></Relationships>')
+            codes = {164: "yyyy-mm-dd", 165: "#,##0.00 &quot;kg&quot;;[Red]-0", 166: "##0.0E+0", 167: "# ?/16"}
+            fmts = "".join(f'<numFmt numFmtId="{k}" formatCode="{c}"/>' for k, c in codes.items())
+            z.writestr("xl/styles.xml", f'<styleSheet><numFmts>{fmts}</numFmts><cellXfs>{"".join(f"<xf numFmtId=\'{k}\'/>" for k in (0, 44, *codes))}</cellXfs></styleSheet>')
+            values = [(1, 1234.5, "n"), (2, 45123, "n"), (3, 1234.5, "n"), (3, -7, "n"), (4, 12345, "n"), (5, 2.3125, "n"), (9, 0.5, "n"), (2, "2023-07-16T00:00:00Z", "d"), (2, "soon", "d")]
+            cells = "".join(f'<c r="{chr(65 + k)}1" s="{s}" t="{t}"><v>{v}</v></c>' for k, (s, v, t) in enumerate(values))
+            z.writestr("xl/worksheets/s.xml", f'<worksheet><sheetData><row r="1">{cells}</row></sheetData></worksheet>')
+        blobs.append((int(late), bytearray(blob.getvalue())))
+    rows = workbook_cells(spark.createDataFrame(blobs, "id int, content binary"), ["id"], "content").orderBy("id", "col").collect()
+    shown = [r["text"] for r in rows if r["id"] == 0]
+    assert shown == [" $1,234.50 ", "2023-07-16", "1,234.50 kg", "-7", "12345", "2 5/16", "0.5", "2023-07-16", "soon"]
+    late = [r["text"] for r in rows if r["id"] == 1]
+    assert late == [*shown[:1], "2027-07-17", *shown[2:]]
+    assert [(r["code"], r["declined"] is None) for r in rows[3:6]] == [("#,##0.00 \"kg\";[Red]-0", True), ("##0.0E+0", False), ("# ?/16", True)]
+
+
+def test_workbooks_of_several_sheets(spark):
+    from quillspark.sources.workbooks import workbook_cells, workbook_columns, workbooks
+
+    cells = [(1, 2, "b & c", 0, 0, "x" * 70, None, None), (1, 2, "b & c", 1, 3, None, 0.125, "share"), (1, 1, "a" * 40, 0, 0, None, 45123.0, "day"), (1, 3, None, 0, 0, None, None, None), (2, 1, "one", 0, 1, "longer text", 1.0, "number")]
+    df = spark.createDataFrame(cells, "id int, no int, name string, row int, col int, text string, number double, style string")
+    books = workbooks(df, ["id"], "no", "name")
+    rows = workbook_cells(books, ["id"], "content").collect()
+    a = "a" * 31
+    assert sorted((r["id"], r["sheet"], r["row"], r["col"], r["text"]) for r in rows) == [(1, a, 0, 0, "7/16/23"), (1, "b &amp; c", 0, 0, "x" * 70), (1, "b &amp; c", 1, 3, "12.50%"), (2, "one", 0, 1, "1")]
+    widths = sorted(tuple(r) for r in workbook_columns(books, ["id"], "content").collect())
+    assert widths == [(1, "Sheet3", 0, 8.0), (1, a, 0, 8.0), (1, "b &amp; c", 0, 60.0), (1, "b &amp; c", 3, 8.0), (2, "one", 1, 13.0)]
+
+
 def test_page_layout_in_reading_order(spark):
     from quillspark.operators.tables import page_layout
 

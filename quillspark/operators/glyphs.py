@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.metrics import measured
+
 
 def characters(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, ch) of every character."""
@@ -49,6 +51,37 @@ def text_widths(chars: DataFrame, key: str, size: float) -> DataFrame:
     return chars.withColumn("w", char_width(F.col("ch"), F.lit(size)) - kern).groupBy(key).agg(F.sum("w").alias("width"))
 
 
+#: Metrics of up to so many rows are sent to all tasks; larger ones are joined by shuffle.
+MOST_METRICS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_METRICS + 1).count() <= MOST_METRICS else df
+
+
+def metric_widths(texts: DataFrame, key: list[str], text: str, face: str, size: str, widths: DataFrame, pairs: DataFrame, missing: int = 556) -> DataFrame:
+    """(key, width, n_missing): texts measured by the glyphs of their faces and by the pairs that are set closer.
+
+    ``widths`` (face, ch, width) and ``pairs`` (face, pair, kern) are in thousandths of ``size``.  A character that the
+    face does not have counts in n_missing and takes ``missing``.  Rows that share a key count as one text each after the
+    other; texts that are empty or null have no width and nothing missing.
+    """
+    chars = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda c: c != "")
+    known = texts.select(*key, F.col(face).alias("face"), F.col(size).cast("double").alias("size"), chars.alias("a"))
+    glyph = F.transform("a", lambda c, k: F.struct(c.alias("ch"), F.concat(c, F.get(F.col("a"), k + 1)).alias("pair")))
+    rows = known.select(*key, "face", "size", F.explode_outer(glyph).alias("g")).select(*key, "face", "size", "g.ch", "g.pair")
+    of = rows.join(_small(widths), ["face", "ch"], "left").join(_small(pairs), ["face", "pair"], "left")
+    width = (F.when(F.col("ch").isNotNull(), F.coalesce("width", F.lit(missing))).otherwise(0) + F.coalesce("kern", F.lit(0))) * F.col("size") / 1000
+    return of.groupBy(*key).agg(F.sum(width).alias("width"), F.count_if(F.col("ch").isNotNull() & F.col("width").isNull()).alias("n_missing"))
+
+
+def measured_line_ends(lines: DataFrame, key: str, most: float, width) -> DataFrame:
+    """Adds hard, as line_ends does, by the widths of glyphs: whether the next line's first word and a space would have fitted."""
+    order = Window.partitionBy(key).orderBy("line_no")
+    own = lines.withColumns({"__own": measured("text", width), "__word": measured(F.regexp_extract("text", r"^\s*(\S*)", 1), width)})
+    return own.withColumn("hard", F.coalesce(F.col("__own") + width(F.lit(" ")) + F.lead("__word").over(order) <= most, F.lit(True))).drop("__own", "__word")
+
+
 def line_ends(lines: DataFrame, key: str, width: int) -> DataFrame:
     """Adds hard: a line ends hard if the next line's first word would have fitted behind it, and at the end."""
     order = Window.partitionBy(key).orderBy("line_no")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import metrics as M
+from quillspark.functions import text as T
 from quillspark.operators import glyphs as O
 from quillspark.operators import pages as P
 from quillspark.plans.registry import query
+from quillspark.sources.metrics import standard_metrics
 from quillspark.sources.tables import doc_lines, doc_pages, read, sheet_lines
 
 _CHARS = "with c as (select item_id, unnest(string_split(text, '')) as ch, generate_subscripts(string_split(text, ''), 1) - 1 as pos from benchmark)\n"
@@ -80,3 +83,39 @@ def table_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = sheet_lines(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")))
     return rows.select("l_orderkey", "row", O.row_style(F.col("row"), F.lit(1), F.col("n"), last_row=True).alias("style"))
+
+
+_QUOTED = lambda t: "'" + t.replace("'", "''") + "'"
+_GLYPHS = ", ".join(f"('{face}', {_QUOTED(ch)}, {w})" for face in M.FACES for ch, w in M.glyphs(face).items())
+_KERNS = ", ".join(f"('{face}', '{pair}', {k})" for face in M.FACES if face != "mono" for pair, k in M.PAIRS.items())
+_METRICS = f"g(face, ch, width) as (values {_GLYPHS}), k(face, pair, kern) as (values {_KERNS})"
+
+
+@query(f"""with {_METRICS}, t as (select doc_id, case doc_id % 3 when 0 then 'sans' when 1 then 'sans_bold' else 'mono' end as face, 9 + doc_id % 4 as size, string_split(text, '') as a from documents where text <> ''),
+    c as (select doc_id, face, size, unnest(a) as ch, unnest(list_zip(a, a[2:])) as z from t), p as (select doc_id, face, size, ch, ch || z[2] as pair from c)
+    select doc_id, round(sum((coalesce(g.width, 556) + coalesce(k.kern, 0)) * size) / 1000.0::double, 4) as width, count(*) filter (where g.width is null) as n_missing from p left join g using (face, ch) left join k using (face, pair) group by 1
+    union all select doc_id, 0.0, 0 from documents where coalesce(text, '') = ''""")
+def metric_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths of texts in three faces and four sizes, and how many characters the faces do not have."""
+    face = F.when(F.col("doc_id") % 3 == 0, "sans").when(F.col("doc_id") % 3 == 1, "sans_bold").otherwise("mono")
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text", face.alias("face"), (9 + F.col("doc_id") % 4).alias("size"))
+    return O.metric_widths(texts, ["doc_id"], "text", "face", "size", *standard_metrics(spark)).withColumn("width", F.round("width", 4))
+
+
+@query(f"""with {_METRICS}, c as (select page_id, trim(regexp_replace(url, '\\s+', ' ', 'g')) as t from pages), e as (select page_id, t, unnest(range(1, len(t) + 1)) as n, unnest(string_split(t, '')) as ch from c),
+    w as (select page_id, t, n, sum(coalesce(width, 556)) over (partition by page_id order by n) as used from e left join g on g.face = 'sans' and g.ch = e.ch),
+    f as (select page_id, any_value(t) as t, max(used) as total, max(n) filter (where used + 1000 <= 16000) as n from w group by 1)
+    select page_id, case when total <= 16000 then t else t[1:greatest(coalesce(n, 1), 1)] || '…' end as shown from f""")
+def metric_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses cut to a column 144 points wide, at 9 points."""
+    return read(spark, sf_dir, "pages").select("page_id", T.ellipsized(F.col("url"), F.lit(144.0 + 1e-9), M.glyph_width("sans", 9.0)).alias("shown"))
+
+
+@query(f"""with {_METRICS}, l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
+    e as (select doc_id, line_no, t, unnest(string_split(t, '')) as ch, unnest(range(1, greatest(len(t), 1) + 1)) as n from l), x as (select e.*, case when e.ch = '' then 0 else coalesce(width, 556) end as width, length(regexp_extract(t, '^\\s*', 0)) as s, length(regexp_extract(t, '^\\s*\\S*', 0)) as z from e left join g on g.face = 'sans_bold' and g.ch = e.ch),
+    w as (select doc_id, line_no, sum(width) as own, coalesce(sum(width) filter (where n > s and n <= z), 0) as word from x group by 1, 2)
+    select doc_id, line_no::bigint as line_no, coalesce(own + 278 + lead(word) over (partition by doc_id order by line_no) <= 40000, true) as hard from w""")
+def measured_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that end hard in a column 400 points wide, at 10 points."""
+    lines = doc_lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text")
+    return O.measured_line_ends(lines, "doc_id", 400.0 + 1e-9, M.glyph_width("sans_bold", 10.0)).select("doc_id", "line_no", "hard")

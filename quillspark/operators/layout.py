@@ -106,15 +106,20 @@ def emphasis(text: Column, bold: Column, italic: Column, mono: Column) -> Column
 
 
 def emphasized(segmented: DataFrame) -> DataFrame:
-    """(doc_id, page, line, segment, text): segments as Markdown, neighbouring runs of one emphasis as one."""
+    """(doc_id, page, line, segment, text): segments as Markdown, neighbouring runs of one emphasis as one.
+
+    Runs are bold, and italic or set in a face of equal widths where they have such columns.
+    """
     key = (*PAGE, "line", "segment")
     order = Window.partitionBy(*key).orderBy("x", "run_no")
     end = F.max(F.col("x") + F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = (F.col("x") - end > F.col("size") * 0.15) & ~F.lag("text").over(order).rlike(r"\s$") & ~F.col("text").rlike(r"^\s")
-    changed = F.lag("bold").over(order) != F.col("bold")
+    styles = {c: F.coalesce(F.col(c), F.lit(False)) if c in segmented.columns else F.lit(False) for c in ("bold", "italic", "mono")}
+    segmented = segmented.withColumns(styles)
+    changed = reduce(Column.__or__, (F.lag(c).over(order) != F.col(c) for c in styles))
     rows = segmented.withColumns({"piece": F.concat(F.when(F.coalesce(apart, F.lit(False)), " ").otherwise(""), F.col("text")), "c": F.coalesce(changed, F.lit(False)).cast("int")}).withColumn("style", F.sum("c").over(order))
-    runs = rows.groupBy(*key, "style").agg(F.array_join(F.sort_array(F.collect_list(F.struct("x", "run_no", "piece")))["piece"], "").alias("text"), F.first("bold").alias("bold"))
-    runs = runs.withColumn("t", emphasis(F.col("text"), F.col("bold"), F.lit(False), F.lit(False)))
+    runs = rows.groupBy(*key, "style").agg(F.array_join(F.sort_array(F.collect_list(F.struct("x", "run_no", "piece")))["piece"], "").alias("text"), *(F.first(c).alias(c) for c in styles))
+    runs = runs.withColumn("t", emphasis(F.col("text"), *map(F.col, styles)))
     joined = runs.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("style", "t")))["t"], "").alias("text"))
     return joined.withColumn("text", collapsed(F.col("text")))
 
@@ -236,16 +241,24 @@ def distinct_boxes(boxes: DataFrame, key: list[str], order: str, least: float =
     return pages.select(*key, F.inline(F.aggregate("all", F.slice("all", 1, 0), step)))
 
 
-def markdown(blocks: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Markdown of classified blocks in order: #-headings, lists, paragraphs, tables as they are; a list ends with an empty line."""
+def markdown(blocks: DataFrame, key: str, order: list[str], page: str | None = None) -> DataFrame:
+    """Markdown of classified blocks in order: #-headings, lists, paragraphs, tables as they are; a list ends with an empty line.
+
+    With ``page``, a column of numbers from 0 that is the first of the order, a comment names every page before its first
+    block, and lists end with their page.
+    """
     w = Window.partitionBy(key).orderBy(*order)
+    same = lambda other: other.eqNullSafe(F.col(page)) if page else F.lit(True)
     in_list = F.when(F.col("kind") == "list", 1).otherwise(0)
-    islands = blocks.withColumn("island", F.sum(F.when((in_list == 1) & (F.lag(in_list, 1, 0).over(w) == 1), 0).otherwise(1)).over(w))
-    numbered = islands.withColumns({"nth": F.row_number().over(Window.partitionBy(key, "island").orderBy(*order)), "goes_on": (F.lead("kind").over(w) == "list") & (F.col("kind") == "list")})
+    islands = blocks.withColumn("island", F.sum(F.when((in_list == 1) & (F.lag(in_list, 1, 0).over(w) == 1) & same(F.lag(page or key).over(w)), 0).otherwise(1)).over(w))
+    numbered = islands.withColumns({"nth": F.row_number().over(Window.partitionBy(key, "island").orderBy(*order)), "goes_on": (F.lead("kind").over(w) == "list") & (F.col("kind") == "list") & same(F.lead(page or key).over(w))})
+    if page:
+        opens = F.coalesce(F.lag(page).over(w) != F.col(page), F.lit(True))
+        numbered = numbered.withColumn("head", F.when(opens, F.concat(F.lit("<!-- Page "), (F.col(page) + 1).cast("string"), F.lit(" -->\n\n"))).otherwise(""))
     text = escape_markdown(F.col("text"))
     mark = F.when(F.col("ordered"), F.concat(F.col("nth").cast("string"), F.lit(". "))).otherwise("- ")
     piece = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(3)).cast("int")), F.lit(" "), text)).when(F.col("kind") == "list", F.concat(mark, text)).when(F.col("kind") == "table", F.col("text")).otherwise(text)
-    ended = F.concat(piece, F.when(F.coalesce("goes_on", F.lit(False)), "\n").otherwise("\n\n"))
+    ended = F.concat(F.col("head") if page else F.lit(""), piece, F.when(F.coalesce("goes_on", F.lit(False)), "\n").otherwise("\n\n"))
     rows = numbered.select(key, F.struct(*order, ended.alias("t")).alias("s")).groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("s"))
     whole = F.concat(F.rtrim(F.regexp_replace(F.array_join(F.col("s.t"), ""), "\n{3,}", "\n\n"), F.lit("\n")), F.lit("\n"))
     return rows.select(key, whole.alias("markdown"))

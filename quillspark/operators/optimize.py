@@ -66,6 +66,28 @@ def ladder() -> list[tuple[float, float]]:
     return [rung for both in zip_longest(COARSE, means) for rung in both if rung]
 
 
+def preset_targets(images: DataFrame, key: str) -> DataFrame:
+    """(key, preset, quality, target_w, target_h) of images (w, h, shown_w, shown_h, graphic) for every preset, in one pass."""
+    presets = F.array(*(F.struct(F.lit(n).alias("preset"), F.lit(dpi).alias("dpi"), F.lit(q).alias("quality")) for n, (dpi, q) in PRESETS.items()))
+    each = images.select("*", F.inline(presets))
+    w, h = target_dims(F.col("w").cast("double"), F.col("h").cast("double"), F.col("shown_w"), F.col("shown_h"), F.col("dpi"), F.col("graphic"))
+    return each.select(key, "preset", "quality", w.cast("long").alias("target_w"), h.cast("long").alias("target_h"))
+
+
+# Start and factor of the 32-bit FNV-1a hash, and the bytes of a sample's window.
+FNV_START, FNV_FACTOR = 0x811C9DC5, 16777619
+HASH_WINDOW = 64 * 1024
+
+
+def sample_hash(content: Column, window: int = HASH_WINDOW) -> Column:
+    """FNV-1a over the start, the middle and the end of a binary column, up to ``window`` bytes each; null for null."""
+    n = F.octet_length(content)
+    at = (F.lit(0), F.greatest(F.floor(n / 2) - window // 2, F.lit(0)), F.greatest(n - window, F.lit(0)))
+    sampled = F.concat(*(F.decode(F.substr(content, (a + 1).cast("int"), F.lit(window)), "ISO-8859-1") for a in at))
+    chars = F.filter(F.split(sampled, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(FNV_START).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * FNV_FACTOR).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def target_dims(w: Column, h: Column, shown_w: Column, shown_h: Column, dpi: Column, graphic: Column) -> tuple[Column, Column]:
     """Pixels of an image for a resolution at its shown size (points), never more than it has, 16 at least.
 

@@ -163,6 +163,29 @@ def place_images(images: DataFrame, margin: float = 18.0) -> DataFrame:
     return images.withColumns({"page_w": pw, "page_h": ph, "draw_w": dw, "draw_h": dh, "x": (pw - dw) / 2, "y": (ph - dh) / 2})
 
 
+#: Sizes of pages, upright.
+PAGE_SIZES = {"a4": (595.28, 841.89), "letter": (612.0, 792.0)}
+
+
+def place_images_by(images: DataFrame, size: Column, orientation: Column, margin: Column) -> DataFrame:
+    """Images (w, h) on pages: a4, letter or fit; upright, landscape or auto (landscape where wider than high); a margin in points.
+
+    Images are scaled down to the page, never up, and centred.  A page that fits is the image, at most as long as A4 is
+    high, and its margins.  Images without an area, and sizes that are not known, give nulls.
+    """
+    ok = (F.col("w") > 0) & (F.col("h") > 0)
+    lie = (orientation == "landscape") | ((orientation == "auto") & (F.col("w") > F.col("h")))
+    side = lambda k: F.coalesce(*(F.when(size == name, box[k]) for name, box in PAGE_SIZES.items()))
+    shrink = F.least(F.lit(1.0), PAGE_SIZES["a4"][1] / F.greatest("w", "h"))
+    own = lambda c, k: F.when(ok, F.when(size == "fit", F.col(c) * shrink + 2 * margin).when(lie, side(1 - k)).otherwise(side(k)))
+    sized = images.withColumns({"page_w": own("w", 0), "page_h": own("h", 1)})
+    scale = F.least((F.col("page_w") - 2 * margin) / F.col("w"), (F.col("page_h") - 2 * margin) / F.col("h"))
+    scale = F.when(size == "fit", scale).otherwise(F.least(scale, F.lit(1.0)))
+    known = ok & F.col("page_w").isNotNull()
+    drawn = sized.withColumns({"draw_w": F.when(known, F.col("w") * scale), "draw_h": F.when(known, F.col("h") * scale)})
+    return drawn.withColumns({"x": (F.col("page_w") - F.col("draw_w")) / 2, "y": (F.col("page_h") - F.col("draw_h")) / 2})
+
+
 def page_slice(pages: DataFrame, start: Column, count: Column) -> DataFrame:
     """Width, height and rotation of ``count`` pages from ``start`` on, as many as there are."""
     first = F.greatest(start, F.lit(0))

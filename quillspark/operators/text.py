@@ -33,6 +33,27 @@ def masked(df: DataFrame, text: str, presets: dict[str, str] = PRESETS, mark: st
     return df.withColumn(text, t)
 
 
+#: Why a document is refused that has nothing marked.
+NOTHING_MARKED = "nothing marked"
+
+
+def redacted(pages: DataFrame, key: str, page: str, text: str, marks: DataFrame, presets: dict[str, str] = PRESETS, mark: str = "█", metadata: tuple[str, ...] = ()) -> DataFrame:
+    """Pages with the matches on marked ones masked; others are as they were.  Adds error.
+
+    ``marks`` (key, page) may name a page more than once and pages that are not there.  A document none of whose pages is
+    marked is refused: its rows have an error and no text.  Columns named as ``metadata`` are emptied in all rows.
+    """
+    of = marks.select(key, page).distinct()
+    some = of.join(pages.select(key, page).distinct(), [key, page], "left_semi").select(key).distinct().withColumn("__some", F.lit(True))
+    known = pages.join(of.withColumn("__marked", F.lit(True)), [key, page], "left").join(some, key, "left")
+    refused = F.col("__some").isNull()
+    changed = masked(known.withColumn("__text", F.col(text)), "__text", presets, mark)
+    out = changed.withColumns({
+        text: F.when(~refused, F.when(F.col("__marked"), F.col("__text")).otherwise(F.col(text))), "error": F.when(refused, NOTHING_MARKED), **{c: F.lit(None).cast(pages.schema[c].dataType) for c in metadata},
+    })
+    return out.select(*pages.columns, "error")
+
+
 def match_spans(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """(key, start, end) of all matches; start counts from 0.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import editor as E
@@ -233,6 +233,20 @@ def emphasized_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.col("segment").cast("long").alias("segment"), F.md5("text").alias("digest"))
 
 
+@query(_RUNS + r""", f as (select *, k % 3 = 1 as italic, k % 7 = 5 as mono from segs), c as (select *, case when lag(bold) over w <> bold or lag(italic) over w <> italic or lag(mono) over w <> mono then 1 else 0 end as c from f window w as (partition by doc_id, page, line, segment order by k)),
+    t as (select *, sum(c) over (partition by doc_id, page, line, segment order by k) as style, case when lag(text) over (partition by doc_id, page, line, segment order by k) is null then '' else ' ' end || text as piece from c),
+    r as (select doc_id, page, line, segment, style, any_value(bold) as bold, any_value(italic) as italic, any_value(mono) as mono, string_agg(piece, '' order by k) as text from t group by 1, 2, 3, 4, 5),
+    m as (select *, case when style > 0 then ' ' else '' end as lead, trim(text) as bare, regexp_replace(trim(text), '([\\`*_\[\]#|<>])', '\\\1', 'g') as core from r),
+    e as (select *, case when mono then '`' || replace(bare, '`', '') || '`' when bold and italic then '***' || core || '***' when bold then '**' || core || '**' when italic then '*' || core || '*' else core end as t from m)
+    select doc_id, page, line, segment::bigint as segment, md5(string_agg(lead || t, '' order by style)) as digest from e group by 1, 2, 3, 4""")
+def styled_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as Markdown with runs that are bold, italic, both, or code."""
+    order = Window.partitionBy("doc_id", "page", "line").orderBy("x")
+    k = F.row_number().over(order) - 1
+    e = L.emphasized(_segments(spark, sf_dir).withColumns({"italic": k % 3 == 1, "mono": k % 7 == 5}))
+    return e.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.col("segment").cast("long").alias("segment"), F.md5("text").alias("digest"))
+
+
 @query()
 def layout_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of all documents by pages: tables with bars, headings, lists and paragraphs in reading order."""

@@ -110,6 +110,23 @@ def permission_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", O.permission_bits(allowed).alias("bits"))
 
 
+@query(_IMAGES + """, p as (select i.*, unnest([{'n': 'low', 'd': 220.0, 'q': 0.85}, {'n': 'recommended', 'd': 150.0, 'q': 0.72}, {'n': 'extreme', 'd': 96.0, 'q': 0.5}]) as p from i where h > 0),
+    d as (select *, case when graphic then greatest(p.d, least(p.d * 1.4, 300.0)) else p.d end::double as dpi from p), s as (select *, least(case when shown_w > 1 and shown_h > 1 then greatest(shown_w / 72 * dpi / w, shown_h / 72 * dpi / h) else 11.7::double * dpi / greatest(w, h) end, 1.0)::double as k from d)
+    select image_id, p.n as preset, p.q::double as quality, greatest(floor(w * k + 0.5), 16)::bigint as target_w, greatest(floor(h * k + 0.5), 16)::bigint as target_h from s""")
+def preset_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels and quality of images by the three presets."""
+    return O.preset_targets(_images(spark, sf_dir).where("h > 0"), "image_id")
+
+
+@query("""with b as (select doc_id, coalesce(text, '') as t, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as x from documents), n as (select *, len(x) as n from b),
+    s as (select doc_id, n, x[1:65536] || x[greatest(n // 2 - 32768, 0) + 1:greatest(n // 2 - 32768, 0) + 65536] || x[greatest(n - 65536, 0) + 1:n] as x from n)
+    select doc_id, n::bigint as n_bytes, list_reduce(list_prepend(2166136261::bigint, list_transform(x, lambda h: ('0x' || h)::bigint)), lambda a, b: (xor(a, b) * 16777619) & 4294967295::bigint) as sample from s""")
+def sample_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the starts, middles and ends of documents, with their sizes: what tells most streams apart."""
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length(content).cast("long").alias("n_bytes"), O.sample_hash(content).alias("sample"))
+
+
 @query("select doc_id, md5(text) as md5, sha256(text) as sha256 from documents")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents."""

@@ -194,6 +194,20 @@ def images_to_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("p_partkey", "page_w", "page_h", *(F.round(c, 2).alias(c) for c in ("draw_w", "draw_h", "x", "y")))
 
 
+@query("""with i as (select p_partkey, p_size * 40.0::double as w, p_retailprice as h, case p_partkey % 3 when 0 then 'a4' when 1 then 'letter' else 'fit' end as s, case p_partkey // 3 % 3 when 0 then 'upright' when 1 then 'landscape' else 'auto' end as o, case p_partkey // 9 % 3 when 0 then 0.0 when 1 then 18.0 else 54.0 end::double as m from part),
+    l as (select *, o = 'landscape' or o = 'auto' and w > h as lie, case s when 'a4' then 595.28 else 612.0 end::double as a, case s when 'a4' then 841.89 else 792.0 end::double as b, least(1.0, 841.89::double / greatest(w, h)) as k from i),
+    g as (select *, case when s = 'fit' then w * k + 2 * m when lie then b else a end as page_w, case when s = 'fit' then h * k + 2 * m when lie then a else b end as page_h from l),
+    z as (select *, least((page_w - 2 * m) / w, (page_h - 2 * m) / h) as f from g), d as (select *, case when s = 'fit' then f else least(f, 1.0) end as r from z)
+    select p_partkey, round(page_w, 2) as page_w, round(page_h, 2) as page_h, round(w * r, 2) as draw_w, round(h * r, 2) as draw_h, round((page_w - w * r) / 2, 2) + 0.0::double as x, round((page_h - h * r) / 2, 2) + 0.0::double as y from d""")
+def image_pages_by_option(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as images on pages of three sizes, three orientations and three margins."""
+    key = F.col("p_partkey")
+    choice = lambda k, *of: F.element_at(F.array(*map(F.lit, of)), (F.floor(k) % len(of) + 1).cast("int"))
+    images = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 40.0).alias("w"), F.col("p_retailprice").alias("h"))
+    placed = P.place_images_by(images, choice(key, "a4", "letter", "fit"), choice(key / 3, "upright", "landscape", "auto"), choice(key / 9, 0.0, 18.0, 54.0))
+    return placed.select("p_partkey", *((F.round(c, 2) + 0.0).alias(c) for c in ("page_w", "page_h", "draw_w", "draw_h", "x", "y")))
+
+
 @query("""with p as (select conv_id as doc_id, turn as page_index, 612.0::double + turn as w, 792.0::double as h, (turn * 90 % 360)::int as rotate from conversations)
     select doc_id, page_index, w, h, rotate from p where page_index >= doc_id % 3 and page_index < doc_id % 3 + 2""")
 def page_infos(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,15 @@ def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("doc_id", "line_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *(F.round(c, 3).alias(c) for c in ("box_x", "box_y", "box_w", "box_h")))
 
 
+@query(f"""with c as (select *, conv_id % 4 <> 1 and (turn + conv_id) % 2 = 0 as marked from conversations), r as (select *, bool_or(marked) over (partition by conv_id) as ok from c)
+    select conv_id, turn, case when ok then md5(case when marked then regexp_replace(regexp_replace(regexp_replace(text, '{_EMAIL}', '█', 'g'), '{_PHONE}', '█', 'g'), '{_NUMBER}', '█', 'g') else text end) end as digest, case when ok then null else 'nothing marked' end as error from r""")
+def redacted_marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with every other turn marked for redaction, a quarter of them without any mark."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    marks = c.where((F.col("conv_id") % 4 != 1) & ((F.col("turn") + F.col("conv_id")) % 2 == 0))
+    return O.redacted(c, "conv_id", "turn", "text", marks).select("conv_id", "turn", F.md5("text").alias("digest"), "error")
+
+
 @query("""select doc_id, a::bigint as with_case, b::bigint as without_case from (select doc_id, (length(text) - length(replace(text, 'The.', ''))) // 4 as a, (length(text) - length(replace(replace(lower(text), chr(775), ''), 'the.', ''))) // 4 as b from documents) where b > 0""")
 def literal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of words that are typed in, marks meant as they are, with and without regard to case."""

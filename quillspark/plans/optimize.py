@@ -111,7 +111,7 @@ def permission_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_IMAGES + """, p as (select i.*, unnest([{'n': 'low', 'd': 220.0, 'q': 0.85}, {'n': 'recommended', 'd': 150.0, 'q': 0.72}, {'n': 'extreme', 'd': 96.0, 'q': 0.5}]) as p from i where h > 0),
-    d as (select *, case when graphic then greatest(p.d, least(p.d * 1.4, 300.0)) else p.d end::double as dpi from p), s as (select *, least(case when shown_w > 1 and shown_h > 1 then greatest(shown_w / 72 * dpi / w, shown_h / 72 * dpi / h) else 11.7::double * dpi / greatest(w, h) end, 1.0)::double as k from d)
+    d as (select *, case when graphic then greatest(p.d::double, least(p.d::double * 1.4::double, 300.0::double)) else p.d::double end as dpi from p), s as (select *, least(case when shown_w > 1 and shown_h > 1 then greatest(shown_w / 72 * dpi / w, shown_h / 72 * dpi / h) else 11.7::double * dpi / greatest(w, h) end, 1.0)::double as k from d)
     select image_id, p.n as preset, p.q::double as quality, greatest(floor(w * k + 0.5), 16)::bigint as target_w, greatest(floor(h * k + 0.5), 16)::bigint as target_h from s""")
 def preset_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels and quality of images by the three presets."""

@@ -35,3 +35,10 @@ def test_null_numbers_and_plans(spark):
     rows = spark.createDataFrame([(1.5, None), (None, "0.0"), (None, None), (float("nan"), "General"), (2.0, "")], "x double, code string")
     got = rows.select(P.shown(F.col("x"), P.plans(F.col("code"))).alias("t")).collect()
     assert [r.t for r in got] == ["1.5", None, None, None, ""]
+
+
+def test_seconds_are_rounded_with_their_decimals(spark):
+    day = 86400.0
+    rows = spark.createDataFrame([(1.25 / day, "ss.0"), (59.96 / day, "mm:ss.0"), (59.94 / day, "mm:ss.0"), (0.05 / day, "s.00"), (7.9996 / day, "ss.000")], "x double, code string")
+    got = [r.t for r in rows.select(P.shown(F.col("x"), P.plans(F.col("code"))).alias("t")).collect()]
+    assert got == ["01.3", "00:00.0", "00:59.9", "0.05", "08.000"]

@@ -204,15 +204,13 @@ def _leaf_rows(arrays: DataFrame, above: DataFrame, key: str, group: str) -> Dat
                 for level in reversed(levels[:-1]):  # all siblings from a node up
                     rest = [b"".join(_sides(level, i)) + rest[i // ARITY] for i in range(len(level))]
                 for i, s in enumerate(r["slots"]):
-                    folded = r["root"]
-                    if s["changed"] is not None:
-                        now, k = bytes(s["changed"]).hex().encode(), i
-                        for level in levels[:-1]:
-                            left, right = _sides(level, k)
-                            now, k = sha256(left + now + right).hexdigest().encode(), k // ARITY
-                        for left, right in up:
-                            now = sha256(left + now + right).hexdigest().encode()
-                        folded = now.decode()
+                    now, k = levels[0][i] if s["changed"] is None else bytes(s["changed"]).hex().encode(), i
+                    for level in levels[:-1]:
+                        left, right = _sides(level, k)
+                        now, k = sha256(left + now + right).hexdigest().encode(), k // ARITY
+                    for left, right in up:
+                        now = sha256(left + now + right).hexdigest().encode()
+                    folded = now.decode()
                     values = (s["id"], r["g"][1:] if r["g"] else None, levels[0][i].decode(), r["subroot"], r["root"], sha256(rest[i]).hexdigest(), folded, folded == r["root"])
                     for n, v in zip(names, values, strict=True):
                         out[n].append(v)

@@ -1,45 +1,46 @@
 """Text of a page as an editor sees it: chunks of glyphs, lines of chunks at any angle, blocks of lines.
 
-Each step depends on what was accepted before it, so rows are folded in order.  They come sorted by page and place, and a
-fold keeps only what later rows can still meet: the open chunk, the open line, or the blocks and lines within two sizes
-above.  No page is gathered in a row or a group; what a fold holds is bounded by a line, or by the lines side by side.
+Each step depends on what was accepted before it, so the sorted rows of a page, a physical unit of bounded size, are
+gathered and folded, many pages in an Arrow batch and a few in Python at a time.  A fold keeps only what later rows can
+still meet: the open chunk, the open line, or the blocks and lines within two sizes above.  Pages are dealt by their key
+after each fold over glyphs or chunks; all grouping between is by the key first and needs no further shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable
+from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from quillspark.operators.layout import dominant
+from quillspark.functions.slices import sliced
 
 #: Modes of glyphs that are not painted.
 UNPAINTED = (3, 7)
 LEAST_SIZE, MOST_SIZE = 0.5, 2000.0
 
 
-def _folded(df: DataFrame, key: list[str], order: list[str], fold, added: str) -> DataFrame:
-    """``df`` with columns that a fold gives: ``fold()`` is made anew for every key and called with each row in order."""
-    columns = df.columns
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), added])
-    names = [part.split()[0] for part in added.split(", ")]
+def _offsets(pages: pa.Array) -> pa.Array:
+    ends = pages.offsets.to_pylist()
+    return pa.array([e - ends[0] for e in ends], pa.int32())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, step = None, None
-        for b in batches:
-            out = []
-            for row in b.to_pylist():
-                own = tuple(row[k] for k in key)
-                if step is None or own != last:
-                    last, step = own, fold()
-                out.append(step(row))
-            more = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.bool_()] if len(names) > 1 else [pa.int64()], strict=True)] if out else [pa.array([], pa.int64()), pa.array([], pa.bool_())][: len(names)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*columns, *names])
 
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+def _fold(pages: pa.Array, fold: Callable, kind: pa.DataType) -> pa.Array:
+    """What ``fold()``, made anew for every page and called with each of its rows in order, gives."""
+    out = []
+    for page in pages.to_pylist():
+        step = fold()
+        out += [step(row) for row in page]
+    return pa.ListArray.from_arrays(_offsets(pages), pa.array(out, kind))
+
+
+def _rows(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """(key, r): the rows of every key in order."""
+    names = [*order, *(c for c in df.columns if c not in key and c not in order)]
+    return df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("r"))
 
 
 def turned(glyphs: DataFrame) -> DataFrame:
@@ -50,86 +51,134 @@ def turned(glyphs: DataFrame) -> DataFrame:
     return rows.withColumns({"along": F.col("x") * c + F.col("y") * s, "across": F.col("y") * c - F.col("x") * s})
 
 
-class _Chunks:
-    def __init__(self):
-        self.n, self.angle = -1, None
-
-    def __call__(self, g: dict) -> tuple[int]:
-        size = max(self.size, g["size"]) if self.angle == g["angle"] else 0.0
-        gap = g["along"] - self.end if size else 0.0
-        if size and abs(g["across"] - self.across) < 0.3 * size and -0.6 * size < gap < size:
-            self.end, self.size = max(self.end, g["along"] + g["width"]), size
-        else:
-            self.n += 1
-            self.angle, self.across, self.end, self.size = g["angle"], g["across"], g["along"] + g["width"], g["size"]
-        return (self.n,)
+@F.arrow_udf(ArrayType(LongType()))
+@sliced
+def _chunked(angles: pa.Array, alongs: pa.Array, acrosses: pa.Array, sizes: pa.Array, widths: pa.Array) -> pa.Array:
+    offsets, out = _offsets(angles), []
+    columns = [c.flatten().to_pylist() for c in (angles, alongs, acrosses, sizes, widths)]
+    for lo, hi in pairwise(offsets.to_pylist()):
+        n, angle, across, end, size = -1, None, 0.0, 0.0, 0.0
+        for its_angle, along, its_across, its_size, width in zip(*(c[lo:hi] for c in columns), strict=True):
+            if angle == its_angle:
+                largest = size if size > its_size else its_size
+                if abs(its_across - across) < 0.3 * largest and -0.6 * largest < along - end < largest:
+                    end, size = max(end, along + width), largest
+                    out.append(n)
+                    continue
+            n += 1
+            angle, across, end, size = its_angle, its_across, along + width, its_size
+            out.append(n)
+    return pa.ListArray.from_arrays(offsets, pa.array(out, pa.int64()))
 
 
 def glyph_chunks(glyphs: DataFrame, key: list[str]) -> DataFrame:
     """Turned glyphs with ``chunk``: one that follows on the same line, without a gap of a size, goes to the chunk before it."""
-    return _folded(turned(glyphs), key, ["n"], _Chunks, "chunk long")
+    rows = turned(glyphs)
+    pages = _rows(rows, key, ["n"])
+    numbered = pages.select(*key, F.col("r"), _chunked(*(F.col(f"r.{c}") for c in ("angle", "along", "across", "size", "width"))).alias("chunk"))
+    # what comes from Python has lost its partitioning: whole pages are dealt once, before they are rows again
+    return numbered.repartition(*key).select(*key, F.inline(F.arrays_zip("r", "chunk"))).select(*(c if c in key else f"r.{c}" for c in rows.columns), "chunk")
 
 
 class _Bands:
     def __init__(self):
         self.n, self.angle = -1, None
 
-    def __call__(self, c: dict) -> tuple[int]:
+    def __call__(self, c: dict) -> int:
         if self.angle != c["angle"] or abs(c["across"] - self.across) >= 0.35 * max(c["size"], self.size):
             self.n += 1
             self.angle, self.across, self.size = c["angle"], c["across"], c["size"]
-        return (self.n,)
+        return self.n
 
 
 class _Lines:
     def __init__(self):
         self.n, self.band = -1, None
 
-    def __call__(self, c: dict) -> tuple[int, bool]:
+    def __call__(self, c: dict) -> dict:
         if self.band == c["band"]:
             size = max(self.size, c["size"])
             if min(self.end, c["x1"]) > max(c["x0"], self.begin) and any(abs(x - c["x0"]) < 0.3 * size and t == c["text"] for x, t in self.own):
-                return self.n, True
+                return {"line": self.n, "repeated": True}
             if c["x0"] - self.end < size:
                 self.own.append((c["x0"], c["text"]))
                 self.end, self.size = max(self.end, c["x1"]), size
-                return self.n, False
+                return {"line": self.n, "repeated": False}
         self.n += 1
         self.band, self.begin, self.end, self.size, self.own = c["band"], c["x0"], c["x1"], c["size"], [(c["x0"], c["text"])]
-        return self.n, False
+        return {"line": self.n, "repeated": False}
 
 
-def chunk_lines(chunked: DataFrame, key: list[str]) -> DataFrame:
-    """Chunks (chunk, angle, x0, x1, across, size, text) with ``line`` and ``repeated``: printed again over one like it."""
-    first = F.min_by("across", "n")
+@F.arrow_udf(ArrayType(LongType()))
+@sliced
+def _banded(pages: pa.Array) -> pa.Array:
+    return _fold(pages, _Bands, pa.int64())
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("line", LongType()), StructField("repeated", BooleanType())])))
+@sliced
+def _lined(pages: pa.Array) -> pa.Array:
+    return _fold(pages, _Lines, pa.struct([("line", pa.int64()), ("repeated", pa.bool_())]))
+
+
+_CHUNK = ("chunk", "angle", "x0", "x1", "across", "size", "text")
+
+
+def _fields(rows: str, names: tuple[str, ...]) -> Column:
+    return F.transform(rows, lambda c: F.struct(*(c[n].alias(n) for n in names)))
+
+
+def _lines_of(chunks: DataFrame, key: list[str]) -> DataFrame:
+    """Chunks, all their columns, with band, line and repeated."""
+    banded = _rows(chunks, key, ["angle", "across", "chunk"]).withColumn("b", _banded(_fields("r", ("angle", "across", "size"))))
+    rest = [c for c in chunks.columns if c not in (*key, "x0", "across", "chunk")]
+    ordered = F.transform(F.arrays_zip("r", "b"), lambda z: F.struct(z["b"].alias("band"), *(z["r"][c].alias(c) for c in ("x0", "across", "chunk", *rest))))
+    lined = banded.select(*key, F.sort_array(ordered).alias("r")).withColumn("l", _lined(_fields("r", ("band", "x0", "x1", "size", "text"))))
+    return lined.repartition(*key).select(*key, F.inline(F.arrays_zip("r", "l"))).select(*key, *(f"r.{c}" for c in chunks.columns if c not in key), "r.band", "l.line", "l.repeated")
+
+
+def _chunks(chunked: DataFrame, key: list[str]) -> DataFrame:
+    """Chunks (chunk, angle, x0, x1, across, size, text) with their glyphs in order."""
+    glyph = F.struct("n", "text", "along", "width", "font", "bold")
     chunks = chunked.groupBy(*key, "chunk").agg(
-        F.first("angle").alias("angle"), F.min("along").alias("x0"), F.max(F.col("along") + F.col("width")).alias("x1"), first.alias("across"), F.max("size").alias("size"),
-        F.array_join(F.sort_array(F.collect_list(F.struct("n", F.coalesce("text", F.lit("")).alias("t"))))["t"], "").alias("text"),
+        F.first("angle").alias("angle"), F.min("along").alias("x0"), F.max(F.col("along") + F.col("width")).alias("x1"), F.min_by("across", "n").alias("across"), F.max("size").alias("size"), F.sort_array(F.collect_list(glyph)).alias("glyphs"),
     )
-    bands = _folded(chunks, key, ["angle", "across", "chunk"], _Bands, "band long")
-    return _folded(bands, key, ["band", "x0", "across", "chunk"], _Lines, "line long, repeated boolean")
+    text = F.array_join(F.transform("glyphs", lambda g: F.coalesce(g["text"], F.lit(""))), "")
+    return chunks.select(*key, *_CHUNK[:-1], text.alias("text"), "glyphs")
+
+
+def chunk_lines(chunked: DataFrame, key: list[str]) -> DataFrame:
+    """Chunks (chunk, angle, x0, x1, across, size, text) with ``line`` and ``repeated``: printed again over one like it."""
+    return _lines_of(_chunks(chunked, key).drop("glyphs"), key)
 
 
 def editor_lines(chunked: DataFrame, key: list[str]) -> DataFrame:
-    """Lines (line, angle, x0, x1, across, size, bold, text) that have more than spaces, with spaces where glyphs leave a gap."""
-    chunks = chunk_lines(chunked, key)
-    lines = chunks.groupBy(*key, "line").agg(
-        F.first("angle").alias("angle"), F.min("x0").alias("x0"), F.max(F.when(~F.col("repeated"), F.col("x1"))).alias("x1"), F.min_by("across", F.struct("x0", "across", "chunk")).alias("across"), F.max(F.when(~F.col("repeated"), F.col("size"))).alias("size"),
-    )
-    rows = chunked.join(chunks.select(*key, "chunk", "line", "repeated", F.col("x0").alias("at"), F.col("across").alias("at_across")), [*key, "chunk"]).join(lines.select(*key, "line", F.col("size").alias("line_size")), [*key, "line"])
-    order = Window.partitionBy(*key, "line").orderBy("at", "at_across", "chunk", "n")
-    rows = rows.withColumn("place", F.row_number().over(order))
-    bold = dominant(rows, [*key, "line"], "font", "place").join(rows.select(*key, "line", "font", "bold").groupBy(*key, "line", "font").agg(F.first("bold").alias("bold")), [*key, "line"]).where("font <=> dominant").select(*key, "line", "bold")
-    painted = rows.where("not repeated")
-    before = Window.partitionBy(*key, "line").orderBy("place")
-    end = F.max(F.col("along") + F.col("width")).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    """Lines (line, angle, x0, x1, across, size, bold, text) that have more than spaces, with spaces where glyphs leave a gap.
+
+    Bold is as the most frequent font of the line, of equally frequent ones that which reached its number first.
+    """
+    of_line = Window.partitionBy(*key, "line")
+    chunks = _lines_of(_chunks(chunked, key), key)
+    unrepeated = lambda c: F.max(F.when(~F.col("repeated"), F.col(c)))
+    chunks = chunks.select(*key, "line", "angle", "chunk", "repeated", F.col("x0").alias("at"), F.col("across").alias("at_across"), F.min("x0").over(of_line).alias("x0"), unrepeated("x1").over(of_line).alias("x1"), unrepeated("size").over(of_line).alias("size"), "glyphs")
+    chunks = chunks.withColumn("g", F.explode("glyphs")).drop("glyphs")
+    rows = chunks.select(*(c for c in chunks.columns if c != "g"), "g.*")
+    order = of_line.orderBy("at", "at_across", "chunk", "n")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    painted = ~F.col("repeated")
     space = lambda c: F.coalesce(c.rlike(r"^\s*$"), F.lit(False))
-    wide = F.col("along") - end > 0.17 * F.col("line_size")
-    apart = F.coalesce(wide & ~space(F.col("text")) & ~space(F.lag("text").over(before)), F.lit(False))
+    rows = rows.withColumns({"place": F.row_number().over(order), "end": F.max(F.when(painted, F.col("along") + F.col("width"))).over(before), "last": F.last(F.when(painted, F.struct("text")), ignorenulls=True).over(before)})
+    apart = F.coalesce((F.col("along") - F.col("end") > 0.17 * F.col("size")) & ~space(F.col("text")) & ~space(F.col("last.text")), F.lit(False))
     piece = F.concat(F.when(apart, " ").otherwise(""), F.coalesce("text", F.lit("�")))
-    texts = painted.withColumn("piece", piece).groupBy(*key, "line").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "piece")))["piece"], "").alias("text"), F.bool_or(~space(F.col("text"))).alias("seen"))
-    shown = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return lines.join(texts.where("seen").select(*key, "line", shown.alias("text")), [*key, "line"]).join(bold, [*key, "line"]).select(*key, "line", "angle", "x0", "x1", "across", "size", "bold", "text")
+    by_font = rows.withColumn("piece", piece).groupBy(*key, "line", "font").agg(
+        *(F.first(c).alias(c) for c in ("angle", "x0", "x1", "size")), F.min_by("at_across", "place").alias("across"), F.min("place").alias("begin"), F.count(F.lit(1)).alias("times"), F.max("place").alias("reached"), F.min_by("bold", "place").alias("bold"),
+        F.collect_list(F.when(painted, F.struct("place", "piece"))).alias("pieces"), F.bool_or(painted & ~space(F.col("text"))).alias("seen"),
+    )
+    lines = by_font.groupBy(*key, "line").agg(
+        *(F.first(c).alias(c) for c in ("angle", "x0", "x1", "size")), F.min_by("across", "begin").alias("across"), F.max_by("bold", F.struct("times", -F.col("reached"))).alias("bold"), F.bool_or("seen").alias("seen"), F.sort_array(F.flatten(F.collect_list("pieces"))).alias("pieces"),
+    )
+    shown = F.trim(F.regexp_replace(F.array_join("pieces.piece", ""), r"\s+", " "))
+    return lines.where("seen").select(*key, "line", "angle", "x0", "x1", "across", "size", "bold", shown.alias("text"))
 
 
 class _Blocks:
@@ -138,7 +187,7 @@ class _Blocks:
     def __init__(self):
         self.n, self.at, self.open, self.recent = -1, -1, [], []
 
-    def __call__(self, line: dict) -> tuple[int]:
+    def __call__(self, line: dict) -> int:
         self.at += 1
         down = lambda b: line["across"] - b["last"]["across"]
         self.open = [b for b in self.open if b["last"]["angle"] == line["angle"] and down(b) <= 2.0 * max(b["last"]["size"], line["size"])]
@@ -155,7 +204,7 @@ class _Blocks:
             self.open.append(block)
         block["last"], block["at"] = line, self.at
         self.recent.append((self.at, line))
-        return (block["n"],)
+        return block["n"]
 
     def _fits(self, block: dict, line: dict, down: float) -> bool:
         last = block["last"]
@@ -176,9 +225,16 @@ class _Blocks:
         )
 
 
+@F.arrow_udf(ArrayType(LongType()))
+@sliced
+def _blocked(pages: pa.Array) -> pa.Array:
+    return _fold(pages, _Blocks, pa.int64())
+
+
 def editor_blocks(lines: DataFrame, key: list[str]) -> DataFrame:
     """Lines with ``block``: a line goes to the nearest open block above it that it fits by distance, size, weight, spacing and edges.
 
     A block is out of reach when a line between lies in the way, and closed two sizes below its last line.
     """
-    return _folded(lines, key, ["angle", "across", "x0", "line"], _Blocks, "block long")
+    pages = _rows(lines, key, ["angle", "across", "x0", "line"]).withColumn("block", _blocked(_fields("r", ("angle", "across", "x0", "x1", "size", "bold"))))
+    return pages.select(*key, F.inline(F.arrays_zip("r", "block"))).select(*(c if c in key else f"r.{c}" for c in lines.columns), "block")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from quillspark.functions.slices import sliced
 from quillspark.functions.text import BULLET, collapsed, escape_markdown
 
 PAGE = ("doc_id", "page")
@@ -27,6 +28,7 @@ def upper_median(values: Column) -> Column:
 
 
 @F.arrow_udf(ArrayType(StructType([StructField("line", IntegerType()), StructField("line_size", DoubleType())])))
+@sliced
 def _anchored(ys: pa.Array, sizes: pa.Array) -> pa.Array:
     """The line of every run of a page, runs being sorted, and the upper median of the line's sizes; a line goes by its first run."""
     ends, numbers, middles = ys.offsets.to_pylist(), [], []
@@ -55,6 +57,7 @@ def lines(runs: DataFrame) -> DataFrame:
     run = F.struct("y", "x", "run_no", "text", "w", "size", "bold")
     pages = runs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(run)).alias("r"))
     placed = pages.withColumn("l", _anchored(F.col("r.y"), F.col("r.size")))
+    placed = placed.repartition(PAGE[0])  # what comes from Python has lost its partitioning
     rows = placed.select(*PAGE, F.inline(F.arrays_zip("r", "l"))).select(*PAGE, "l.*", "r.*")
     return rows.select(*PAGE, "line", "line_size", "run_no", "text", "x", "y", "w", "size", "bold")
 

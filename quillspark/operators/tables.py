@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.slices import sliced
 from quillspark.functions.text import BULLET, escape_markdown
 from quillspark.operators.layout import classified
 from quillspark.operators.order import ordered
@@ -83,24 +84,34 @@ def text_blocks(segments: list[dict]) -> list[list[dict]]:
     other by 30 %.  Bullets join lists only; other lines join a list only if they are indented.
     """
     blocks: list[list[dict]] = []
+    spans: list[tuple[float, float]] = []
+    listed: list[bool] = []
+    open_: list[int] = []  # blocks that segments further down can still reach
+    largest = max((s["size"] for s in segments), default=0.0)
     for s in sorted(segments, key=lambda s: (s["y"], s["x0"])):
         bullet = bool(_BULLET.match(s["text"]))
+        open_ = [k for k in open_ if s["y"] - blocks[k][-1]["y"] <= 1.8 * largest]
 
-        def distance(block: list[dict], s: dict = s, bullet: bool = bullet) -> float | None:
-            last, head = block[-1], block[0]
+        def distance(k: int, s: dict = s, bullet: bool = bullet) -> float | None:
+            last, head = blocks[k][-1], blocks[k][0]
             size, down = max(s["size"], last["size"]), s["y"] - last["y"]
-            a, b = min(x["x0"] for x in block), max(x["x1"] for x in block)
-            near = 0.5 * size <= down <= 1.8 * size and abs(s["size"] - last["size"]) <= 0.18 * size
+            if not 0.5 * size <= down <= 1.8 * size or abs(s["size"] - last["size"]) > 0.18 * size:
+                return None
+            a, b = spans[k]
             under = min(s["x1"], b) - max(s["x0"], a) >= 0.3 * min(s["x1"] - s["x0"], b - a)
-            in_list = bool(_BULLET.match(head["text"]))
-            fits = in_list if bullet else not in_list or s["x0"] >= head["x0"] + 0.5 * s["size"]
-            return down if near and under and fits else None
+            fits = listed[k] if bullet else not listed[k] or s["x0"] >= head["x0"] + 0.5 * s["size"]
+            return down if under and fits else None
 
-        candidates = [(d, k) for k, b in enumerate(blocks) if (d := distance(b)) is not None]
+        candidates = [(d, k) for k in open_ if (d := distance(k)) is not None]
         if candidates:
-            blocks[min(candidates)[1]].append(s)
+            k = min(candidates)[1]
+            blocks[k].append(s)
+            spans[k] = min(spans[k][0], s["x0"]), max(spans[k][1], s["x1"])
         else:
+            open_.append(len(blocks))
             blocks.append([s])
+            spans.append((s["x0"], s["x1"]))
+            listed.append(bullet)
     return blocks
 
 
@@ -115,6 +126,7 @@ def page_tables(segments: DataFrame, key: list[str], strict: bool = False) -> Da
     """(key, table, row, line, column, text): cells of all tables; cells of a column and row are joined by spaces."""
 
     @F.arrow_udf("array<struct<table: int, row: int, line: int, column: int, text: string, x0: double, x1: double, y: double, size: double>>")
+    @sliced
     def find(pages: pa.Array) -> pa.Array:
         out = []
         for own in pages.to_pylist():
@@ -146,6 +158,7 @@ def page_blocks(segments: DataFrame, key: list[str]) -> DataFrame:
     """(key, block, n_segments, text, size, bold, x0, y0, x1, y1): text joined with hyphens at line ends undone."""
 
     @F.arrow_udf("array<struct<block: int, n_segments: int, text: string, size: double, bold: boolean, x0: double, y0: double, x1: double, y1: double>>")
+    @sliced
     def find(pages: pa.Array) -> pa.Array:
         out = []
         for own in pages.to_pylist():

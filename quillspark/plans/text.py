@@ -101,7 +101,7 @@ def redaction_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
     m as (select doc_id, line_no, t, regexp_extract_all(t, '{_EMAIL}') as f, string_split_regex(t, '{_EMAIL}') as r from l),
-    s as (select doc_id, line_no, length(t) as n, k, f, r from m, unnest(range(1, 50)) u(k) where k <= len(f)),
+    s as (select doc_id, line_no, length(t) as n, unnest(range(1, len(f) + 1)) as k, f, r from m),
     e as (select doc_id, line_no, n, list_sum(list_transform(r[1:k], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(f[1:k - 1], lambda x: length(x)))::bigint, 0) as a, length(f[k]) as z from s)
     select doc_id, line_no, a as start, a + z as end, round(5.5 * a - 1, 3) as box_x, round(line_no * 20.0 - 11, 3)::double as box_y, round(5.5 * z + 2, 3)::double as box_w, 13.2::double as box_h from e""")
 def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

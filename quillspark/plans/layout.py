@@ -51,7 +51,7 @@ def styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COLUMNS = _RUNS + """, o as (select *, case when x0 >= max(x1) over (partition by doc_id, page order by x0, x1 rows between unbounded preceding and 1 preceding) then 1 else 0 end as n from seg),
-m as (select *, sum(n) over (partition by doc_id, page order by x0, x1 rows between unbounded preceding and current row) as col from o),
+m as (select *, sum(n) over (partition by doc_id, page order by x0, x1 range between unbounded preceding and current row) as col from o),
 cols as (select doc_id, page, col::bigint as col, min(x0) as c0, max(x1) as c1 from m group by 1, 2, 3)
 """
 

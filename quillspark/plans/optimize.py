@@ -94,7 +94,7 @@ def custom_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.custom_level(i, O.ladder(), "l_orderkey", 60000 + F.col("l_orderkey") % 100 * 20000)
 
 
-@query("""select doc_id, case when n >= 1048576 then format('{:.2f}', n / 1048576) || ' MB' else floor(n / 1024 + 0.5)::bigint || ' KB' end as size from (select doc_id, strlen(text) * 100 as n from documents)""")
+@query("""select doc_id, case when n >= 1048576 then format('{:.2f}', floor(n * 100 / 1048576 + 0.5) / 100) || ' MB' else floor(n / 1024 + 0.5)::bigint || ' KB' end as size from (select doc_id, strlen(text) * 100 as n from documents)""")
 def size_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes as text."""
     return read(spark, sf_dir, "documents").select("doc_id", O.size_text(F.octet_length("text") * 100).alias("size"))

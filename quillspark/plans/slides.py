@@ -55,11 +55,13 @@ def _decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.array(part(_xml("ppt/slides/slide", F.col("n"), ".xml"), F.col("xml")), part(_xml("ppt/slides/_rels/slide", F.col("n"), ".xml.rels"), F.lit(_LINK("slideLayout", "../slideLayouts/./slideLayout1.xml"))))
     ids = F.array_join(F.transform(F.reverse(F.sequence(F.lit(1), F.col("m"))), lambda i: _xml('<p:sldId id="', i + 255, '" r:id="rId', i, '"/>')), "")
     links = F.array_join(F.transform(F.sequence(F.lit(1), F.col("m")), lambda i: _xml('<Relationship Id="rId', i, f'" Type="{_REL}/slide" Target="slides/slide', i, '.xml"/>')), "")
-    deck = rows.groupBy("deck").agg(F.flatten(F.collect_list(own)).alias("slides"), F.max("n").alias("m"))
+    deck = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("deck")).agg(F.count(F.lit(1)).cast("int").alias("m"))
     styles = '<p:defaultTextStyle><a:defPPr algn="r"/><a:lvl1pPr><a:defRPr sz="1500" i="1"/></a:lvl1pPr></p:defaultTextStyle>'
-    whole = F.array(part(F.lit("ppt/presentation.xml"), _xml(f"<p:presentation {_NS}><p:sldIdLst>", ids, f"</p:sldIdLst>{styles}</p:presentation>")), part(F.lit("ppt/_rels/presentation.xml.rels"), _xml("<Relationships>", links, "</Relationships>")))
-    fixed = F.array(*(part(F.lit(name), F.lit(xml)) for name, xml in _FIXED.items()))
-    return deck.select("deck", S.packed(F.concat(whole, fixed, F.col("slides"))).alias("content"))
+    whole = F.array(
+        part(F.lit("ppt/presentation.xml"), _xml(f"<p:presentation {_NS}><p:sldIdLst>", ids, f"</p:sldIdLst>{styles}</p:presentation>")), part(F.lit("ppt/_rels/presentation.xml.rels"), _xml("<Relationships>", links, "</Relationships>")),
+        *(part(F.lit(name), F.lit(xml)) for name, xml in _FIXED.items()),
+    )
+    return S.packages(rows.select("deck", F.inline(own)).unionByName(deck.select("deck", F.inline(whole))), ["deck"])
 
 
 _ACCENTS = ["0A0B0C", "102030", S.THEME["accent3"], S.THEME["accent4"], S.THEME["accent5"], S.THEME["accent6"]]

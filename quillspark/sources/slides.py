@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from quillspark.functions.colors import hexadecimal, rgb, transformed
+from quillspark.functions.slices import SLICE, sliced
 from quillspark.functions.text import unescape_xml
 
 # Units in a point, the usual page, and the text size and theme where a file has none.
@@ -29,25 +32,11 @@ COLOR_NAMES = {"bg1": "lt1", "tx1": "dk1", "bg2": "lt2", "tx2": "dk2"}
 # Placeholders that stand for another kind.
 PLACEHOLDERS = {"ctrTitle": "title", "subTitle": "body", "obj": "body", "tbl": "body", "chart": "body", "dgm": "body", "media": "body", "clipArt": "body", "pic": "body"}
 COLORS = ("srgbClr", "schemeClr", "sysClr")
-
-_PARTS = StructType([StructField("error", StringType()), StructField("parts", ArrayType(StructType([StructField("part", StringType()), StructField("xml", StringType())])))])
-
-
-@F.arrow_udf(_PARTS)
-def _unpacked(files: pa.Array) -> pa.Array:
-    out = []
-    for blob in files.to_pylist():
-        try:
-            with zipfile.ZipFile(io.BytesIO(blob or b"")) as z:
-                parts = [{"part": n, "xml": z.read(n).decode("utf-8", "replace")} for n in z.namelist() if n.startswith("ppt/") and n.endswith((".xml", ".rels"))]
-            missing = not any(p["part"] == "ppt/presentation.xml" for p in parts)
-            out.append({"error": "no presentation in the package" if missing else None, "parts": [] if missing else parts})
-        except Exception as e:  # zip files fail in many ways, damaged streams with the errors of the zlib module
-            out.append({"error": str(e) or type(e).__name__, "parts": []})
-    return pa.array(out, pa.struct([("error", pa.string()), ("parts", pa.list_(pa.struct([("part", pa.string()), ("xml", pa.string())])))]))
-
+#: Parts that are Python objects at once while a package is written.
+ROWS = 500
 
 @F.arrow_udf(BinaryType())
+@sliced
 def packed(parts: pa.Array) -> pa.Array:
     """A package of parts (part, xml)."""
     out = []
@@ -60,10 +49,70 @@ def packed(parts: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def packages(parts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, content): a package of the parts (part, xml) of every key, written part by part as the sorted rows come."""
+    schema = StructType([*(parts.schema[k] for k in key), StructField("content", BinaryType())])
+    kinds = to_arrow_schema(schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, blob, z = None, None, None
+        closed = lambda: pa.RecordBatch.from_arrays([*(pa.array([v], kinds.field(k).type) for k, v in zip(key, last, strict=True)), pa.array([blob.getvalue()], pa.binary())], schema=kinds)
+        for batch in batches:
+            for b in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
+                for row in b.to_pylist():
+                    own = tuple(row[k] for k in key)
+                    if z is None or own != last:
+                        if z is not None:
+                            z.close()
+                            yield closed()
+                        last, blob = own, io.BytesIO()
+                        z = zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED)
+                    z.writestr(zipfile.ZipInfo(row["part"]), row["xml"], zipfile.ZIP_DEFLATED)
+        if z is not None:
+            z.close()
+            yield closed()
+
+    return parts.select(*key, "part", "xml").repartition(*key).sortWithinPartitions(*key, "part").mapInArrow(pack, schema)
+
+
 def slide_parts(files: DataFrame, key: list[str], content: str = "content") -> DataFrame:
-    """(key, error, part, xml): the XML parts of presentations; one row with an error for a file that is none."""
-    opened = files.select(*key, _unpacked(F.col(content)).alias("p"))
-    return opened.select(*key, F.col("p.error").alias("error"), F.explode_outer("p.parts").alias("x")).select(*key, "error", "x.part", "x.xml")
+    """(key, error, part, xml): the XML parts of presentations; one row with an error for a file that is none.
+
+    Parts leave a file a few at a time and are dealt by their names, so that what follows needs no shuffle of their tags.
+    """
+    schema = StructType([*(files.schema[k] for k in key), *(StructField(c, StringType()) for c in ("error", "part", "xml"))])
+    kinds = to_arrow_schema(schema)
+
+    def rows_of(own: tuple, found: list[tuple]) -> pa.RecordBatch:
+        columns = [[*own, *f] for f in found]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*columns, strict=True), kinds, strict=True)], schema=kinds)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in range(b.num_rows):
+                own = tuple(b.column(k)[n].as_py() for k in key)
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(b.column(content)[n].as_py() or b""))
+                    names = [x for x in z.namelist() if x.startswith("ppt/") and x.endswith((".xml", ".rels"))]
+                    for name in names:  # a damaged file gives none of its parts
+                        z.read(name)
+                except Exception as e:  # zip files fail in many ways, damaged streams with the errors of the zlib module
+                    yield rows_of(own, [(str(e) or type(e).__name__, None, None)])
+                    continue
+                if "ppt/presentation.xml" not in names:
+                    yield rows_of(own, [("no presentation in the package", None, None)])
+                    continue
+                out, size = [], 0
+                for name in names:
+                    out.append((None, name, z.read(name).decode("utf-8", "replace")))
+                    size += len(out[-1][2])
+                    if size > SLICE:
+                        yield rows_of(own, out)
+                        out, size = [], 0
+                if out:
+                    yield rows_of(own, out)
+
+    return files.select(*key, content).mapInArrow(unpack, schema).repartition(*key, "part")
 
 
 def _attribute(name: str, column: str = "token") -> Column:

@@ -4,7 +4,7 @@ import pyarrow as pa
 
 from quillspark.functions import slices
 from quillspark.plans import QUERIES
-from quillspark.sources import tables
+from quillspark.sources import slides, tables
 
 
 def _shuffles(df):
@@ -38,3 +38,12 @@ def test_words_are_shuffled_once_after_each_fold(spark, sf_dir):
     """Documents are dealt before they are words, and pages after every step in Python; nothing else is shuffled."""
     for name, most in {"text_lines": 2, "line_segments": 2, "editor_chunks": 3, "editor_lines": 3, "editor_blocks": 3}.items():
         assert _shuffles(QUERIES[name](spark, sf_dir)) <= most, name
+
+
+def test_tags_of_slides_are_not_shuffled(spark):
+    """Parts are dealt before they are tags, and a package of many parts comes out whole."""
+    parts = spark.createDataFrame([(1, "ppt/presentation.xml", "<p:presentation/>"), *((1, f"ppt/slides/slide{k}.xml", f"<p:sld n='{k}'>{'x' * 5000}</p:sld>") for k in range(700))], "deck long, part string, xml string")
+    back = slides.slide_parts(slides.packages(parts, ["deck"]), ["deck"])
+    assert sorted(map(tuple, back.select("deck", "part", "xml").collect())) == sorted(map(tuple, parts.collect()))
+    plan = slides.slide_tokens(back, ["deck"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Exchange hashpartitioning(deck")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from quillspark.functions.slices import sliced
 from quillspark.functions.text import escape_xml, unescape_xml
 
 # Names, types and places of a document's parts.
@@ -90,6 +91,7 @@ def style_xml(name: Column, based: Column, size: Column, bold: Column) -> Column
 
 
 @F.arrow_udf(BinaryType())
+@sliced
 def _packed(documents: pa.Array, styles: pa.Array) -> pa.Array:
     out = []
     for document, style in zip(documents.to_pylist(), styles.to_pylist(), strict=True):
@@ -122,6 +124,7 @@ def word_files(blocks: DataFrame, key: list[str], order: str, width: float = PAG
 
 
 @F.arrow_udf(StructType([StructField(n, StringType()) for n in ("error", "document", "styles", "rels")]))
+@sliced
 def _unpacked(files: pa.Array) -> pa.Array:
     out = []
     for blob in files.to_pylist():

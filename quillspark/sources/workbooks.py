@@ -20,6 +20,7 @@ from pyspark.sql.types import BinaryType
 from quillspark.functions.format_plans import ARROW_PLAN, IMPLICIT, plan, shown
 from quillspark.functions.formats import BUILT_IN, formatted
 from quillspark.functions.sheets import column_letters, column_number
+from quillspark.functions.slices import sliced
 from quillspark.functions.text import escape_xml, unescape_xml
 from quillspark.operators.sheets import MOST_CELLS, TOO_LARGE
 
@@ -41,6 +42,7 @@ MOST_NAME, LEAST_WIDTH, MOST_WIDTH = 31, 8, 60
 
 
 @F.arrow_udf(BinaryType())
+@sliced
 def _packed(books: pa.Array) -> pa.Array:
     """Archives of sheets (name as escaped text, xml) in their order."""
     out = []
@@ -130,6 +132,7 @@ def _styles(xml: str) -> list[dict]:
 
 
 @F.arrow_udf(from_arrow_type(_BOOK))
+@sliced
 def _unpacked(files: pa.Array) -> pa.Array:
     """The XML of the parts that hold cells, sheets by the order of the workbook."""
     out = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import wraps
+from itertools import accumulate, chain, pairwise
 
 import pyarrow as pa
 
@@ -28,3 +29,19 @@ def sliced(f: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
         return pa.concat_arrays([f(*own) for own in _slices(columns, SLICE)])
 
     return run
+
+
+def records(lists: pa.Array) -> list[list[dict]]:
+    """The dicts of lists of structs, made by column: several times faster than one struct after the other."""
+    ends, flat = lists.offsets.to_pylist(), lists.flatten()
+    columns = (a.to_numpy(zero_copy_only=False).tolist() if pa.types.is_floating(a.type) and not a.null_count else a.to_pylist() for a in flat.flatten())
+    names = [f.name for f in flat.type]
+    every = [dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True)]
+    return [every[a - ends[0] : b - ends[0]] for a, b in pairwise(ends)]
+
+
+def lists(rows: list[list[tuple]], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
+    """Lists of structs, given as tuples, as an Arrow array; also made by column."""
+    columns = list(zip(*chain.from_iterable(rows), strict=True)) or [()] * len(fields)
+    found = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), found)

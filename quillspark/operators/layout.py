@@ -49,15 +49,18 @@ def _anchored(ys: pa.Array, sizes: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([e - ends[0] for e in ends], pa.int32()), found)
 
 
-def lines(runs: DataFrame) -> DataFrame:
+def lines(runs: DataFrame, parts: int | None = None) -> DataFrame:
     """Adds line and line_size: runs within 0.4 sizes of the first run of the line before, 0.6 where one is much smaller.
 
     The rows of a page, a physical unit of bounded size, are gathered and walked once, many pages in an Arrow batch.
+    ``parts`` is the number of partitions of runs that were dealt by size; lines are dealt to as many, else to as many as
+    Spark takes.
     """
     run = F.struct("y", "x", "run_no", "text", "w", "size", "bold")
     pages = runs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(run)).alias("r"))
     placed = pages.withColumn("l", _anchored(F.col("r.y"), F.col("r.size")))
-    placed = placed.repartition(PAGE[0])  # what comes from Python has lost its partitioning
+    # what comes from Python has lost its partitioning; a number keeps partitions small, where Spark would join them
+    placed = placed.repartition(parts, PAGE[0]) if parts else placed.repartition(PAGE[0])
     rows = placed.select(*PAGE, F.inline(F.arrays_zip("r", "l"))).select(*PAGE, "l.*", "r.*")
     return rows.select(*PAGE, "line", "line_size", "run_no", "text", "x", "y", "w", "size", "bold")
 

@@ -7,13 +7,15 @@ gathered and many pages are worked on in one Arrow batch.  Segments are (line, x
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.slices import sliced
+from quillspark.functions.slices import lists, records, sliced
 from quillspark.functions.text import BULLET, escape_markdown
 from quillspark.operators.layout import classified
 from quillspark.operators.order import ordered
@@ -22,6 +24,7 @@ from quillspark.operators.order import ordered
 _NUMERIC = re.compile(r"[\s$€£¥₹%()+\-.,0-9]+")
 _BULLET = re.compile(BULLET)
 Spans = list[tuple[float, float]]
+_start, _end = itemgetter(0), itemgetter(1)
 
 
 def _united(spans: Spans) -> Spans:
@@ -35,13 +38,32 @@ def _united(spans: Spans) -> Spans:
 
 
 def _column_of(seg: dict, columns: Spans, tolerance: float) -> int:
-    """The first column that a segment overlaps or shares an edge with; -1 without."""
-    for k, (a, b) in enumerate(columns):
-        if min(seg["x1"], b) > max(seg["x0"], a) or abs(seg["x0"] - a) < tolerance or abs(seg["x1"] - b) < tolerance:
+    """The first column that a segment overlaps or shares an edge with; -1 without.
+
+    Columns are sorted and apart, so that only those within two tolerances of the segment are tried.
+    """
+    x0, x1, n = seg["x0"], seg["x1"], len(columns)
+    k = bisect_right(columns, x0 - 2 * tolerance, key=_end)
+    while k < n and columns[k][0] - x1 < 2 * tolerance:
+        a, b = columns[k]
+        if min(x1, b) > max(x0, a) or abs(x0 - a) < tolerance or abs(x1 - b) < tolerance:
             return k
+        k += 1
     return -1
 
 
+def _best_column(x0: float, x1: float, columns: Spans) -> int:
+    """The column that a cell overlaps most, else the nearest by centre; the first of equals."""
+    lo, hi = bisect_right(columns, x0, key=_end), bisect_left(columns, x1, key=_start)
+    overlap = [(min(x1, b) - max(x0, a), -k) for k, (a, b) in enumerate(columns[lo:hi], lo)]
+    if overlap and max(overlap)[0] > 0:
+        return -max(overlap)[1]
+    beyond = lambda c: -(x0 + x1 - c[0] - c[1]) / 2
+    k = bisect_left(columns, 0.0, key=beyond)
+    near = bisect_left(columns, beyond(columns[k - 1]), key=beyond) if k else k
+    return near if k == len(columns) or (k and -beyond(columns[near]) <= beyond(columns[k])) else k
+
+
 def _is_table(rows: list[list[dict]], columns: Spans, strict: bool) -> bool:
     texts = [s["text"] for r in rows for s in r]
     words = sum(len(t.split(" ")) for t in texts) / max(1, len(texts))
@@ -115,6 +137,34 @@ def text_blocks(segments: list[dict]) -> list[list[dict]]:
     return blocks
 
 
+Block = tuple[int, int, str, float, bool, float, float, float, float]
+
+
+def block_rows(segments: list[dict]) -> list[Block]:
+    """The blocks of a page: block, n_segments, text, size, bold, x0, y0, x1, y1."""
+    rows = []
+    for k, b in enumerate(text_blocks(segments)):
+        text = re.sub(r"([A-Za-z])-\n([a-z])", r"\1\2", "\n".join([s["text"] for s in b])).replace("\n", " ")
+        size, bold = sorted([s["size"] for s in b])[len(b) // 2], all([s.get("bold") for s in b])
+        rows.append((k, len(b), text, size, bold, min([s["x0"] for s in b]), b[0]["y"] - b[0]["size"], max([s["x1"] for s in b]), b[-1]["y"] + b[-1]["size"] * 0.25))
+    return rows
+
+
+Cell = tuple[int, int, int, int, str, float, float, float, float]
+
+
+def table_cells(segments: list[dict], strict: bool) -> list[list[Cell]]:
+    """The cells of every table of a page: table, row, line, column, text, x0, x1, y, size."""
+    out = []
+    for t, (rows, columns) in enumerate(detect_tables(segments, strict)):
+        cells: dict[tuple[int, int, int], list[dict]] = {}
+        for r, row in enumerate(rows):
+            for s in row:
+                cells.setdefault((r, s["line"], _best_column(s["x0"], s["x1"], columns)), []).append(s)
+        out.append([(t, *place, " ".join([s["text"] for s in x]), min([s["x0"] for s in x]), max([s["x1"] for s in x]), x[0]["y"], x[0]["size"]) for place, x in sorted(cells.items())])
+    return out
+
+
 _SEGMENT = ("line", "x0", "x1", "y", "size", "text")
 
 
@@ -128,21 +178,8 @@ def page_tables(segments: DataFrame, key: list[str], strict: bool = False) -> Da
     @F.arrow_udf("array<struct<table: int, row: int, line: int, column: int, text: string, x0: double, x1: double, y: double, size: double>>")
     @sliced
     def find(pages: pa.Array) -> pa.Array:
-        out = []
-        for own in pages.to_pylist():
-            cells: dict[tuple[int, int, int, int], list[dict]] = {}
-            for t, (rows, columns) in enumerate(detect_tables(own, strict)):
-                for r, row in enumerate(rows):
-                    for s in row:
-                        overlap = [min(s["x1"], b) - max(s["x0"], a) for a, b in columns]
-                        score = [o if o > 0 else -abs((s["x0"] + s["x1"] - a - b) / 2) for o, (a, b) in zip(overlap, columns, strict=True)]
-                        cells.setdefault((t, r, s["line"], score.index(max(score))), []).append(s)
-            out.append([
-                {"table": t, "row": r, "line": n, "column": c, "text": " ".join(s["text"] for s in x), "x0": min(s["x0"] for s in x), "x1": max(s["x1"] for s in x), "y": x[0]["y"], "size": x[0]["size"]}
-                for (t, r, n, c), x in sorted(cells.items())
-            ])
-        numbers, reals = (("table", pa.int32()), ("row", pa.int32()), ("line", pa.int32()), ("column", pa.int32())), [(c, pa.float64()) for c in ("x0", "x1", "y", "size")]
-        return pa.array(out, pa.list_(pa.struct([*numbers, ("text", pa.string()), *reals])))
+        numbers, reals = ((c, pa.int32()) for c in ("table", "row", "line", "column")), ((c, pa.float64()) for c in ("x0", "x1", "y", "size"))
+        return lists([[c for t in table_cells(own, strict) for c in t] for own in records(pages)], [*numbers, ("text", pa.string()), *reals])
 
     return _pages(segments, key).select(*key, F.inline(find("s")))
 
@@ -160,16 +197,8 @@ def page_blocks(segments: DataFrame, key: list[str]) -> DataFrame:
     @F.arrow_udf("array<struct<block: int, n_segments: int, text: string, size: double, bold: boolean, x0: double, y0: double, x1: double, y1: double>>")
     @sliced
     def find(pages: pa.Array) -> pa.Array:
-        out = []
-        for own in pages.to_pylist():
-            rows = []
-            for k, b in enumerate(text_blocks(own)):
-                text = re.sub(r"([A-Za-z])-\n([a-z])", r"\1\2", "\n".join(s["text"] for s in b)).replace("\n", " ")
-                size, bold = sorted(s["size"] for s in b)[len(b) // 2], all(s.get("bold") for s in b)
-                rows.append({"block": k, "n_segments": len(b), "text": text, "size": size, "bold": bold, "x0": min(s["x0"] for s in b), "y0": b[0]["y"] - b[0]["size"], "x1": max(s["x1"] for s in b), "y1": b[-1]["y"] + b[-1]["size"] * 0.25})
-            out.append(rows)
-        kind = pa.struct([("block", pa.int32()), ("n_segments", pa.int32()), ("text", pa.string()), ("size", pa.float64()), ("bold", pa.bool_()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))])
-        return pa.array(out, pa.list_(kind))
+        kinds = [("block", pa.int32()), ("n_segments", pa.int32()), ("text", pa.string()), ("size", pa.float64()), ("bold", pa.bool_()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))]
+        return lists([block_rows(own) for own in records(pages)], kinds)
 
     bold = [c for c in ("bold",) if c in segments.columns]
     pages = segments.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*_SEGMENT, *bold))).alias("s"))

@@ -9,7 +9,7 @@ from quillspark.operators import editor as E
 from quillspark.operators import layout as L
 from quillspark.operators.tables import page_blocks, page_layout, page_tables
 from quillspark.plans.registry import query
-from quillspark.sources.tables import doc_lines, read, runs
+from quillspark.sources.tables import doc_lines, partitions, read, runs
 
 _RUNS = r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
 w as (select doc_id, line_no, case when line_no % 7 = 0 then 16.0 else 11.0 end::double as size, list_filter(string_split(t, ' '), lambda x: x <> '') as ws from l where t <> ''),
@@ -23,14 +23,19 @@ seg as (select doc_id, page, line, segment, string_agg(text, ' ' order by k) as
 """
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = partitions(read(spark, sf_dir, "documents"), "text")
+    return L.lines(runs(spark, sf_dir, parts=parts), parts)
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.segments(L.lines(runs(spark, sf_dir)))
+    return L.segments(_lines(spark, sf_dir))
 
 
 @query(_RUNS + "select doc_id, page, line, count(*) as n_runs, round(min(x), 3) as x0, round(max(x + w), 3) as x1, list_sort(list(y))[len(list(y)) // 2 + 1]::double as y, any_value(size) as size from lined group by 1, 2, 3")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines anchored on their first run."""
-    found = L.line_boxes(L.lines(runs(spark, sf_dir)))
+    found = L.line_boxes(_lines(spark, sf_dir))
     return found.select("doc_id", "page", F.col("line").cast("long").alias("line"), "n_runs", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "y", "size")
 
 
@@ -206,7 +211,7 @@ _FINE = _RUNS.replace(">= 1.6 * size", ">= 0.5 * size")
 
 
 def _fine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.segment_text(L.segments(L.lines(runs(spark, sf_dir)), 0.5))
+    return L.segment_text(L.segments(_lines(spark, sf_dir), 0.5))
 
 
 @query(_FINE + "select doc_id, page, line, segment::bigint as segment, text, round(x0, 3) as x0, round(x1, 3) as x1 from seg")

@@ -1,8 +1,11 @@
 """What keeps queries within memory and disk as tables grow: small slices in Python, partitions by size, few shuffles."""
 
+import random
+
 import pyarrow as pa
 
 from quillspark.functions import slices
+from quillspark.operators import tables as found_tables
 from quillspark.plans import QUERIES
 from quillspark.sources import slides, tables
 
@@ -47,3 +50,44 @@ def test_tags_of_slides_are_not_shuffled(spark):
     assert sorted(map(tuple, back.select("deck", "part", "xml").collect())) == sorted(map(tuple, parts.collect()))
     plan = slides.slide_tokens(back, ["deck"])._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate posexplode") < plan.index("Exchange hashpartitioning(deck")
+
+
+def test_columns_are_looked_up_and_not_tried_one_by_one():
+    """The same column as by trying all, and a number of steps that hardly grows with the columns of a line."""
+    rng = random.Random(7)
+    for n in (1, 2, 5, 40):
+        for _ in range(300):
+            edges = sorted(rng.choice((rng.randrange(60), rng.random() * 60)) for _ in range(2 * n))
+            columns = found_tables._united([(float(a), float(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)])
+            x0 = rng.choice((float(rng.randrange(-5, 65)), rng.random() * 60))
+            x1, tolerance = x0 + rng.choice((0.0, 1.0, 2.5, 30.0)), rng.choice((0.4, 1.0, 8.0))
+            tried = (k for k, (a, b) in enumerate(columns) if min(x1, b) > max(x0, a) or abs(x0 - a) < tolerance or abs(x1 - b) < tolerance)
+            assert found_tables._column_of({"x0": x0, "x1": x1}, columns, tolerance) == next(tried, -1)
+            overlap = [min(x1, b) - max(x0, a) for a, b in columns]
+            score = [o if o > 0 else -abs((x0 + x1 - a - b) / 2) for o, (a, b) in zip(overlap, columns, strict=True)]
+            assert found_tables._best_column(x0, x1, columns) == score.index(max(score))
+
+    class Counted(list):
+        steps = 0
+
+        def __getitem__(self, k):
+            Counted.steps += 1
+            return super().__getitem__(k)
+
+        def __iter__(self):
+            for k in range(len(self)):
+                yield self[k]
+
+    wide = Counted((10.0 * k, 10.0 * k + 6) for k in range(100_000))
+    assert found_tables._column_of({"x0": 900_001.0, "x1": 900_004.0}, wide, 0.5) == 90_000
+    assert found_tables._best_column(900_007.0, 900_008.0, wide) == 90_000
+    assert Counted.steps < 500
+
+
+def test_lines_keep_the_partitions_of_words(spark, sf_dir, monkeypatch):
+    """Where partitions of lines are left to Spark, it joins them up to 64 MB of shuffled pages, many times that as rows."""
+    monkeypatch.setattr(tables, "TEXT_BYTES", 10_000)
+    n = tables.partitions(tables.read(spark, sf_dir, "documents"), "text")
+    assert n > 4
+    for name in ("text_lines", "fine_segments", "styled_runs"):
+        assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == n, name

@@ -80,14 +80,17 @@ def segments(lined: DataFrame, gap: float = 1.6) -> DataFrame:
     return lined.withColumn("behind", behind).withColumn("starts", starts).withColumn("segment", F.sum("starts").over(order).cast("int")).drop("starts", "behind")
 
 
-def segment_text(segmented: DataFrame) -> DataFrame:
-    """One row per segment: text with spaces where runs are more than 0.15 sizes apart, extent, size, all bold."""
-    order = Window.partitionBy(*PAGE, "line", "segment").orderBy("x", "run_no")
+def segment_text(segmented: DataFrame, cut: tuple[str, ...] = ()) -> DataFrame:
+    """One row per segment: text with spaces where runs are more than 0.15 sizes apart, extent, size, all bold.
+
+    ``cut`` names columns that tell several ways apart in which the same lines are cut.
+    """
+    order = Window.partitionBy(*PAGE, "line", *cut, "segment").orderBy("x", "run_no")
     end = F.max(F.col("x") + F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = (F.col("x") - end > F.col("size") * 0.15) & ~F.lag("text").over(order).rlike(r"\s$") & ~F.col("text").rlike(r"^\s")
     piece = F.concat(F.when(F.coalesce(apart, F.lit(False)), " ").otherwise(""), F.col("text"))
     rows = segmented.withColumn("piece", piece)
-    g = rows.groupBy(*PAGE, "line", "segment").agg(
+    g = rows.groupBy(*PAGE, "line", *cut, "segment").agg(
         F.sort_array(F.collect_list(F.struct("x", "run_no", "piece"))).alias("p"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"),
         upper_median(F.collect_list("y")).alias("y"), upper_median(F.collect_list("size")).alias("size"), F.bool_and("bold").alias("bold"),
     )

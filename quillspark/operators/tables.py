@@ -12,13 +12,14 @@ from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.slices import lists, records, sliced
 from quillspark.functions.text import BULLET, escape_markdown
 from quillspark.operators.layout import classified
-from quillspark.operators.order import ordered
+from quillspark.operators.order import reading_order
+from quillspark.sources.shared import written
 
 # Fixed value: the characters of cells that hold numbers only.
 _NUMERIC = re.compile(r"[\s$€£¥₹%()+\-.,0-9]+")
@@ -184,13 +185,6 @@ def page_tables(segments: DataFrame, key: list[str], strict: bool = False) -> Da
     return _pages(segments, key).select(*key, F.inline(find("s")))
 
 
-def all_tables(segments: DataFrame, fine: DataFrame, key: list[str]) -> DataFrame:
-    """Cells of the tables of wide gaps, then of those of the lines left over that are set tightly, found in finely cut segments."""
-    wide = page_tables(segments, key).withColumn("pass", F.lit(0))
-    left = fine.join(wide.select(*key, "line").distinct(), [*key, "line"], "left_anti")
-    return wide.unionByName(page_tables(left, key, strict=True).withColumn("pass", F.lit(1)))
-
-
 def page_blocks(segments: DataFrame, key: list[str]) -> DataFrame:
     """(key, block, n_segments, text, size, bold, x0, y0, x1, y1): text joined with hyphens at line ends undone."""
 
@@ -205,20 +199,41 @@ def page_blocks(segments: DataFrame, key: list[str]) -> DataFrame:
     return pages.select(*key, F.inline(find("s")))
 
 
-def table_markdown(cells: DataFrame, key: list[str]) -> DataFrame:
-    """(key, pass, table, text, x0, y0, x1, y1): tables as Markdown with bars, the first row as head, and their boxes."""
-    table = [*key, "pass", "table"]
-    wide = cells.groupBy(*table).agg((F.max("column") + 1).alias("wide"))
-    by_row = cells.groupBy(*table, "row").agg(
-        F.map_from_entries(F.collect_list(F.struct("column", escape_markdown(F.col("text"))))).alias("m"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y"), F.max("size").alias("size"),
-    ).join(wide, table)
-    columns = F.sequence(F.lit(0), F.col("wide") - 1)
-    line = F.concat(F.lit("| "), F.array_join(F.transform(columns, lambda c: F.coalesce(F.try_element_at("m", c), F.lit(""))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("\n| "), F.array_join(F.transform(columns, lambda c: F.lit("---")), " | "), F.lit(" |"))
-    rows = by_row.select(*table, "row", F.concat(line, F.when(F.col("row") == 0, rule).otherwise("")).alias("line"), "x0", "x1", "y", "size")
-    return rows.groupBy(*table).agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("row", "line")))["line"], "\n").alias("text"), F.min("x0").alias("x0"), F.min(F.col("y") - F.col("size")).alias("y0"), F.max("x1").alias("x1"), (F.max("y") + 2).alias("y1"),
-    )
+Item = tuple[int, int | None, str | None, float | None, bool | None, list[list[str]] | None]
+_ITEM = [("place", pa.int32()), ("n_segments", pa.int32()), ("text", pa.string()), ("size", pa.float64()), ("bold", pa.bool_()), ("rows", pa.list_(pa.list_(pa.string())))]
+
+
+def _table_item(cells: list[Cell]) -> tuple[tuple[float, float, float, float], list[list[str]]]:
+    """The box of a table and its rows, empty cells included."""
+    wide, rows = 1 + max(c[3] for c in cells), [list(g) for _, g in groupby(cells, key=lambda c: c[1])]
+    tops, sizes = [min(c[7] for c in r) for r in rows], [max(c[8] for c in r) for r in rows]
+    texts = [{c[3]: c[4] for c in r} for r in rows]
+    box = min(c[5] for c in cells), min(y - z for y, z in zip(tops, sizes, strict=True)), max(c[6] for c in cells), max(tops) + 2
+    return box, [[t.get(k, "") for k in range(wide)] for t in texts]
+
+
+def layout_items(segments: list[dict], fine: list[dict], unit: float) -> list[Item]:
+    """Tables and blocks of a page in reading order.
+
+    Tables of wide gaps come first, then those of the lines left over that are set tightly, found in finely cut segments.
+    Lines that tables use take no part in blocks.
+    """
+    tables = table_cells(segments, False)
+    used = {c[2] for t in tables for c in t}
+    tables += table_cells([s for s in fine if s["line"] not in used], True)
+    used = {c[2] for t in tables for c in t}
+    items = [(box, (None, None, None, None, rows)) for box, rows in map(_table_item, tables)]
+    items += [(b[5:], (*b[1:5], None)) for b in block_rows([s for s in segments if s["line"] not in used]) if b[2] != ""]
+    order = reading_order([(*box, k) for k, (box, _) in enumerate(items)], unit)
+    return [(place, *items[k][1]) for place, k in enumerate(order)]
+
+
+def rows_markdown(rows: Column) -> Column:
+    """A table, rows of as many texts, as Markdown with bars, the first row as head."""
+    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+    head, rule = F.get(rows, F.lit(0)), F.transform(F.get(rows, F.lit(0)), lambda c: F.lit("---"))
+    told = lambda r: line(F.transform(r, escape_markdown))
+    return F.array_join(F.concat(F.array(told(head), line(rule)), F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), told)), "\n")
 
 
 def page_layout(segments: DataFrame, fine: DataFrame, body: DataFrame, key: list[str]) -> DataFrame:
@@ -226,12 +241,25 @@ def page_layout(segments: DataFrame, fine: DataFrame, body: DataFrame, key: list
 
     Lines that tables use take no part in blocks.  Tables come as Markdown.
     """
-    cells = all_tables(segments, fine, key)
-    left = segments.join(cells.select(*key, "line").distinct(), [*key, "line"], "left_anti")
-    blocks = classified(page_blocks(left, key).where("text <> ''"), body)
-    box, told = ("x0", "y0", "x1", "y1"), ("kind", "level", "ordered", "text")
-    items = blocks.select(*key, *box, *told, F.concat(F.lit("1-"), F.format_string("%06d", "block")).alias("item"))
-    tables = table_markdown(cells, key).select(*key, *box, F.lit("table").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("ordered"), "text", F.format_string("0-%d-%06d", "pass", "table").alias("item"))
-    every = items.unionByName(tables).join(body, "doc_id", "left").withColumn("unit", F.coalesce("body", F.lit(11.0)))
-    placed = ordered(every, key, "item", "unit")
-    return placed.join(every.select(*key, "item", *told), [*key, "item"]).drop("item")
+    return cuts_layout(segments.withColumn("cut", F.lit(0)).unionByName(fine.withColumn("cut", F.lit(1)), allowMissingColumns=True), body, key)
+
+
+def cuts_layout(cuts: DataFrame, body: DataFrame, key: list[str]) -> DataFrame:
+    """page_layout of segments whose ``cut`` is 0 for wide gaps and 1 for fine ones; a page is gathered once, with both.
+
+    The items of pages are written, so that what is told of documents does not lay pages out again.
+    """
+
+    @F.arrow_udf("array<struct<place: int, n_segments: int, text: string, size: double, bold: boolean, rows: array<array<string>>>>")
+    @sliced
+    def find(wide: pa.Array, fine: pa.Array, units: pa.Array) -> pa.Array:
+        return lists([layout_items(*own) for own in zip(records(wide), records(fine), units.to_pylist(), strict=True)], _ITEM)
+
+    body = written(body, "body")  # needed for the items and for their kinds
+    segment = F.struct(*_SEGMENT, *(c for c in ("bold",) if c in cuts.columns))
+    of = lambda cut: F.sort_array(F.collect_list(F.when(F.col("cut") == cut, segment)))
+    pages = cuts.groupBy(*key).agg(of(0).alias("s"), of(1).alias("f")).join(body, "doc_id", "left")
+    items = written(pages.select(*key, F.inline(find("s", "f", F.coalesce("body", F.lit(11.0))))), "layout")
+    table = F.col("rows").isNotNull()
+    told = classified(items, body).withColumns({"kind": F.when(table, "table").otherwise(F.col("kind")), "text": F.when(table, rows_markdown(F.col("rows"))).otherwise(F.col("text"))})
+    return told.select(*key, "place", "kind", "level", "ordered", "text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import editor as E
 from quillspark.operators import layout as L
-from quillspark.operators.tables import page_blocks, page_layout, page_tables
+from quillspark.operators.tables import cuts_layout, page_blocks, page_tables
 from quillspark.plans.registry import query
 from quillspark.sources.tables import doc_lines, partitions, read, runs
 
@@ -255,10 +255,11 @@ def styled_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def layout_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of all documents by pages: tables with bars, headings, lists and paragraphs in reading order."""
-    r = runs(spark, sf_dir)
-    lined = L.lines(r)
-    cut = lambda gap: L.segment_text(L.segments(lined, gap)).select("doc_id", "page", "line", "x0", "x1", "y", "size", "text", "bold")
-    placed = page_layout(cut(1.6), cut(0.5), L.body_size(r), ["doc_id", "page"])
+    parts = partitions(read(spark, sf_dir, "documents"), "text")
+    r = runs(spark, sf_dir, parts=parts)
+    wide = L.segments(L.lines(r, parts)).withColumnRenamed("segment", "wide")
+    both = L.segments(wide, 0.5).select(*L.PAGE, "line", "run_no", "text", "x", "y", "w", "size", "bold", F.posexplode(F.array("wide", "segment")).alias("cut", "segment"))
+    placed = cuts_layout(L.segment_text(both, ("cut",)), L.body_size(r), [*L.PAGE])
     return L.markdown(placed, "doc_id", ["page", "place"])
 
 

@@ -91,3 +91,9 @@ def test_lines_keep_the_partitions_of_words(spark, sf_dir, monkeypatch):
     assert n > 4
     for name in ("text_lines", "fine_segments", "styled_runs"):
         assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == n, name
+
+
+def test_pages_are_laid_out_once(spark, sf_dir):
+    """Tables, blocks and their order come from one step in Python whose items are written; what follows does not repeat it."""
+    plan = QUERIES["layout_to_markdown"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Scan parquet" in plan

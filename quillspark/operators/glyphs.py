@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from quillspark.functions.metrics import measured
+from quillspark.functions.slices import lists, sliced
 
 
 def characters(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -59,20 +63,37 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_METRICS + 1).count() <= MOST_METRICS else df
 
 
+_COUNTS = [("ch", pa.string()), ("pair", pa.string()), ("n", pa.int64())]
+#: In place of the character behind the last one; no character has this number.
+_LAST = (1 << 21) - 1
+
+
+@F.arrow_udf(from_arrow_type(pa.list_(pa.struct(_COUNTS))))
+@sliced
+def _glyph_counts(texts: pa.Array) -> pa.Array:
+    """How often every character of a text is followed by every other one; the last one has no pair."""
+    out = []
+    for t in texts.to_pylist():
+        code = np.frombuffer((t or "").encode("utf-32-le"), "<u4").astype(np.uint64)
+        found, n = np.unique(code << np.uint64(21) | np.append(code[1:], np.uint64(_LAST)), return_counts=True) if len(code) else ((), np.array([], int))
+        of = ((chr(int(k) >> 21), int(k) & _LAST) for k in found)
+        out.append([(c, c + chr(after) if after != _LAST else None, m) for (c, after), m in zip(of, n.tolist(), strict=True)])
+    return lists(out, _COUNTS)
+
+
 def metric_widths(texts: DataFrame, key: list[str], text: str, face: str, size: str, widths: DataFrame, pairs: DataFrame, missing: int = 556) -> DataFrame:
     """(key, width, n_missing): texts measured by the glyphs of their faces and by the pairs that are set closer.
 
     ``widths`` (face, ch, width) and ``pairs`` (face, pair, kern) are in thousandths of ``size``.  A character that the
     face does not have counts in n_missing and takes ``missing``.  Rows that share a key count as one text each after the
-    other; texts that are empty or null have no width and nothing missing.
+    other; texts that are empty or null have no width and nothing missing.  Only a text's different pairs become rows, with
+    their numbers.
     """
-    chars = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda c: c != "")
-    known = texts.select(*key, F.col(face).alias("face"), F.col(size).cast("double").alias("size"), chars.alias("a"))
-    glyph = F.transform("a", lambda c, k: F.struct(c.alias("ch"), F.concat(c, F.get(F.col("a"), k + 1)).alias("pair")))
-    rows = known.select(*key, "face", "size", F.explode_outer(glyph).alias("g")).select(*key, "face", "size", "g.ch", "g.pair")
+    known = texts.select(*key, F.col(face).alias("face"), F.col(size).cast("double").alias("size"), _glyph_counts(F.col(text)).alias("a"))
+    rows = known.select(*key, "face", "size", F.explode_outer("a").alias("g")).select(*key, "face", "size", "g.*")
     of = rows.join(_small(widths), ["face", "ch"], "left").join(_small(pairs), ["face", "pair"], "left")
-    width = (F.when(F.col("ch").isNotNull(), F.coalesce("width", F.lit(missing))).otherwise(0) + F.coalesce("kern", F.lit(0))) * F.col("size") / 1000
-    return of.groupBy(*key).agg(F.sum(width).alias("width"), F.count_if(F.col("ch").isNotNull() & F.col("width").isNull()).alias("n_missing"))
+    width = F.when(F.col("ch").isNotNull(), (F.coalesce("width", F.lit(missing)) + F.coalesce("kern", F.lit(0))) * F.col("n")).otherwise(0) * F.col("size") / 1000
+    return of.groupBy(*key).agg(F.sum(width).alias("width"), F.sum(F.when(F.col("ch").isNotNull() & F.col("width").isNull(), F.col("n")).otherwise(0)).alias("n_missing"))
 
 
 def measured_line_ends(lines: DataFrame, key: str, most: float, width) -> DataFrame:

@@ -3,11 +3,14 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillspark.functions import slices
+from quillspark.operators import glyphs
 from quillspark.operators import tables as found_tables
 from quillspark.plans import QUERIES
-from quillspark.sources import slides, tables
+from quillspark.sources import files, slides, tables
+from quillspark.sources.metrics import standard_metrics
 
 
 def _shuffles(df):
@@ -97,3 +100,28 @@ def test_pages_are_laid_out_once(spark, sf_dir):
     """Tables, blocks and their order come from one step in Python whose items are written; what follows does not repeat it."""
     plan = QUERIES["layout_to_markdown"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and "Scan parquet" in plan
+
+
+def test_pairs_of_a_text_are_rows_once(spark):
+    """A text of few different characters is few rows, whatever its length; the last character has no pair."""
+    texts = spark.createDataFrame([(1, "AV" * 50_000 + "\N{GRINNING FACE}", "sans", 10), (2, "", "sans", 10), (3, None, "sans", 10)], "id int, t string, face string, size int")
+    counts = texts.select("id", F.explode(glyphs._glyph_counts(F.col("t"))).alias("g")).select("g.*").collect()
+    assert sorted(tuple(r) for r in counts if r["pair"]) == [("A", "AV", 50_000), ("V", "VA", 49_999), ("V", "V\N{GRINNING FACE}", 1)]
+    assert [tuple(r) for r in counts if not r["pair"]] == [("\N{GRINNING FACE}", None, 1)]
+    found = glyphs.metric_widths(texts, ["id"], "t", "face", "size", *standard_metrics(spark)).orderBy("id").collect()
+    assert [r["n_missing"] for r in found] == [1, 0, 0] and [r["width"] for r in found][1:] == [0.0, 0.0]
+    assert abs(found[0]["width"] - ((667 * 2 - 70) * 50_000 - 80 * 49_999 + 556) / 100) < 1e-3
+
+
+def test_cells_of_workbooks_are_dealt_once(spark, sf_dir):
+    """Cells are shuffled once, by workbook; the other shuffles are of sizes, which refuse workbooks.  There were eleven."""
+    assert _shuffles(QUERIES["workbook_widths"](spark, sf_dir)) <= 6
+
+
+def test_pages_of_html_are_parsed_by_slices(spark):
+    page = "<h1>A</h1><p>b <b>c</b></p>" * 200
+    pages = spark.createDataFrame([(k, page if k % 2 else None) for k in range(200)], "id int, html string")
+    blocks = files.html_blocks(pages, "id", "html")
+    assert "MapInPandas" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert blocks.groupBy("kind", "level", "text").count().orderBy("kind").collect() == [("heading", 1, "A", 20_000), ("paragraph", 0, "b c", 20_000)]
+    assert blocks.agg(F.max("block")).first()[0] == 399

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+
+from quillspark.functions.slices import lists, sliced
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -76,19 +78,24 @@ class _Blocks(HTMLParser):
             self.text.append(data)
 
 
+def _parsed(page: str | None) -> list[tuple[str, int, str]]:
+    parser = _Blocks()
+    parser.feed(page or "")
+    parser.close()
+    parser.flush()
+    return parser.out
+
+
+_BLOCK = [("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())]
+
+
+@F.arrow_udf(from_arrow_type(pa.list_(pa.struct(_BLOCK))))
+@sliced
+def _page_blocks(pages: pa.Array) -> pa.Array:
+    """The blocks of pages; only those of a slice of pages are Python objects at once."""
+    return lists([_parsed(p) for p in pages.to_pylist()], _BLOCK)
+
+
 def html_blocks(df: DataFrame, key: str, html: str) -> DataFrame:
     """(key, block, kind, level, text) of all pages; a null page has no blocks."""
-    kind = dict(df.dtypes)[key]
-
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for k, h in zip(p[key], p[html], strict=True):
-                parser = _Blocks()
-                parser.feed(h or "")
-                parser.close()
-                parser.flush()
-                rows += [(k, i, *b) for i, b in enumerate(parser.out)]
-            yield pd.DataFrame(rows, columns=[key, "block", "kind", "level", "text"])
-
-    return df.select(key, html).mapInPandas(parse, f"{key} {kind}, block int, kind string, level int, text string")
+    return df.select(key, F.posexplode(_page_blocks(F.col(html))).alias("block", "b")).select(key, "block", "b.*")

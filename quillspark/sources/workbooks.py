@@ -12,7 +12,7 @@ import re
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import BinaryType
@@ -41,6 +41,10 @@ STYLES = {"number": 0, "day": 1, "share": 2}
 MOST_NAME, LEAST_WIDTH, MOST_WIDTH = 31, 8, 60
 
 
+#: Cells of workbooks in a partition; as XML they are some 100 bytes each.
+CELLS = 500_000
+
+
 @F.arrow_udf(BinaryType())
 @sliced
 def _packed(books: pa.Array) -> pa.Array:
@@ -83,22 +87,25 @@ def workbooks(cells: DataFrame, key: list[str], sheet: str | None = None, name:
     number = F.concat(F.lit('<c r="'), place, F.lit('"'), ids, F.lit("><v>"), F.col("number").cast("string"), F.lit("</v></c>"))
     text = F.concat(F.lit('<c r="'), place, F.lit('" t="inlineStr"><is><t xml:space="preserve">'), escape_xml(F.col("text")), F.lit("</t></is></c>"))
     plain = F.regexp_replace(F.coalesce(F.col("number").try_cast("decimal(38,10)").cast("string"), F.col("number").cast("string")), r"\.?0+$", "")
-    cells = cells.select(*key, (F.col(sheet) if sheet else F.lit(1)).alias("__sheet"), own.alias("__name"), "row", "col", F.coalesce(number, text).alias("xml"), F.length(F.coalesce("text", F.when(F.col("number").isNotNull(), plain))).alias("chars"))
+    cells = cells.withColumns({"__sheet": F.col(sheet) if sheet else F.lit(1), "__name": own})
     of_sheet = [*key, "__sheet"]
     size = cells.groupBy(*of_sheet).agg(((F.max("row") + 1).cast("long") * (F.max("col") + 1)).alias("n_cells")).groupBy(*key).agg(F.max("n_cells").alias("n_cells"))
     size = size.select(*key, F.when(F.col("n_cells") > MOST_CELLS, TOO_LARGE).alias("error"))
-    kept = cells.join(size.where("error is null").select(*key), key, "left_semi")
-    rows = kept.where("xml is not null").groupBy(*of_sheet, "row").agg(F.array_join(F.sort_array(F.collect_list(F.struct("col", "xml")))["xml"], "").alias("xml"))
+    # cells are dealt by workbook as numbers and texts, once: what is told of rows, columns and sheets is all grouped by it first
+    parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // CELLS))
+    dealt = cells.repartition(parts, *key).join(size.where("error is null").select(*key).repartition(parts, *key), key, "left_semi")
+    width = F.least(F.greatest(F.coalesce(F.max(F.length(F.coalesce("text", F.when(F.col("number").isNotNull(), plain)))).over(Window.partitionBy(*of_sheet, "col")), F.lit(0)) + 2, F.lit(LEAST_WIDTH)), F.lit(MOST_WIDTH))
+    kept = dealt.withColumn("width", width).select(*of_sheet, "__name", "row", "col", "width", F.coalesce(number, text).alias("xml"))
+    rows = kept.groupBy(*of_sheet, "row").agg(
+        F.min("__name").alias("__name"), F.array_sort(F.collect_set(F.struct("col", "width"))).alias("wide"), F.count("xml").alias("n"), F.array_join(F.sort_array(F.collect_list(F.struct("col", "xml")))["xml"], "").alias("xml"),
+    )
     line = F.concat(F.lit('<row r="'), (F.col("row") + 1).cast("string"), F.lit('">'), F.col("xml"), F.lit("</row>"))
-    lines = rows.groupBy(*of_sheet).agg(F.sort_array(F.collect_list(F.struct("row", line.alias("line")))).alias("lines"))
-    width = F.least(F.greatest(F.coalesce(F.max("chars"), F.lit(0)) + 2, F.lit(LEAST_WIDTH)), F.lit(MOST_WIDTH))
-    wide = kept.groupBy(*of_sheet, "col").agg(width.alias("width"), F.min("__name").alias("__name"))
-    column = F.format_string('<col min="%d" max="%d" width="%d" customWidth="1"/>', F.col("col") + 1, F.col("col") + 1, F.col("width"))
-    sheets = wide.groupBy(*of_sheet).agg(F.min("__name").alias("__name"), F.array_join(F.sort_array(F.collect_list(F.struct("col", column.alias("x"))))["x"], "").alias("cols"))
-    joined = sheets.join(lines, of_sheet, "left")
-    body = F.concat(F.lit(f"{_HEAD}<worksheet {_MAIN}><cols>"), F.col("cols"), F.lit("</cols><sheetData>"), F.coalesce(F.array_join(F.col("lines.line"), ""), F.lit("")), F.lit("</sheetData></worksheet>"))
+    lines = F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct("row", line.alias("line")))))["line"]
+    sheets = rows.groupBy(*of_sheet).agg(F.min("__name").alias("__name"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("wide")))).alias("wide"), lines.alias("lines"))
+    column = lambda c: F.format_string('<col min="%d" max="%d" width="%d" customWidth="1"/>', c["col"] + 1, c["col"] + 1, c["width"])
+    body = F.concat(F.lit(f"{_HEAD}<worksheet {_MAIN}><cols>"), F.array_join(F.transform("wide", column), ""), F.lit("</cols><sheetData>"), F.array_join("lines", ""), F.lit("</sheetData></worksheet>"))
     called = escape_xml(F.left(F.coalesce("__name", F.concat(F.lit("Sheet"), F.col("__sheet").cast("string"))), F.lit(MOST_NAME)))
-    books = joined.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__sheet", called.alias("name"), body.alias("xml")))).alias("s"))
+    books = sheets.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__sheet", called.alias("name"), body.alias("xml")))).alias("s"))
     written = books.select(*key, _packed(F.transform("s", lambda s: F.struct(s["name"].alias("name"), s["xml"].alias("xml")))).alias("content"), F.lit(None).cast("string").alias("error"))
     return written.unionByName(size.where("error is not null").select(*key, F.lit(None).cast("binary").alias("content"), "error"))
 

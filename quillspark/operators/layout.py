@@ -1,25 +1,27 @@
 """Operators that recover the structure of pages from text runs.
 
-runs: doc_id, page, run_no, text, x, y, w, size, bold.  Sorts always end with run_no, so results do not depend on the
-order in which rows arrive.  Lines are anchored on their first run, which a lag window cannot express: a walk over the
-sorted runs of a page does it.  All else is windows and aggregates, all by doc_id first, so that runs that come
-partitioned by it are not shuffled again.
+runs: doc_id, page, run_no, text, x, y, w, size, bold.  A page is a row, doc_id, page and the array r of its runs: what
+lines, segments and styles are depends on a page alone, so that words are not shuffled or sorted as rows, and only what is
+found becomes rows.  Sorts always end with run_no, so results do not depend on the order in which runs arrive.  Lines are
+anchored on their first run, which a lag window cannot express.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from quillspark.functions import runs as R
 from quillspark.functions.slices import sliced
 from quillspark.functions.text import BULLET, collapsed, escape_markdown
 
 PAGE = ("doc_id", "page")
+RUN = ("run_no", "text", "x", "y", "w", "size", "bold")
 
 
 def upper_median(values: Column) -> Column:
@@ -27,83 +29,101 @@ def upper_median(values: Column) -> Column:
     return F.element_at(F.sort_array(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
-@F.arrow_udf(ArrayType(StructType([StructField("line", IntegerType()), StructField("line_size", DoubleType())])))
-@sliced
-def _anchored(ys: pa.Array, sizes: pa.Array) -> pa.Array:
-    """The line of every run of a page, runs being sorted, and the upper median of the line's sizes; a line goes by its first run."""
-    ends, numbers, middles = ys.offsets.to_pylist(), [], []
-    y, size = (a.flatten().to_pylist() for a in (ys, sizes))
-    for lo, hi in pairwise(e - ends[0] for e in ends):
-        line, at, first_y, first_size = -1, lo, 0.0, 0.0
-        for k in range(lo, hi + 1):
-            if k < hi and k > lo:
-                large, small = (first_size, size[k]) if first_size > size[k] else (size[k], first_size)
-                if abs(first_y - y[k]) < large * (0.6 if small < large * 0.8 else 0.4):
-                    continue
-            if k > lo:
-                numbers += [line] * (k - at)
-                middles += [sorted(size[at:k])[(k - at) // 2]] * (k - at)
-            if k < hi:
-                line, at, first_y, first_size = line + 1, k, y[k], size[k]
-    found = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(middles, pa.float64())], ["line", "line_size"])
-    return pa.ListArray.from_arrays(pa.array([e - ends[0] for e in ends], pa.int32()), found)
-
-
-def lines(runs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Adds line and line_size: runs within 0.4 sizes of the first run of the line before, 0.6 where one is much smaller.
-
-    The rows of a page, a physical unit of bounded size, are gathered and walked once, many pages in an Arrow batch.
-    ``parts`` is the number of partitions of runs that were dealt by size; lines are dealt to as many, else to as many as
-    Spark takes.
-    """
-    run = F.struct("y", "x", "run_no", "text", "w", "size", "bold")
-    pages = runs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(run)).alias("r"))
-    placed = pages.withColumn("l", _anchored(F.col("r.y"), F.col("r.size")))
-    # what comes from Python has lost its partitioning; a number keeps partitions small, where Spark would join them
-    placed = placed.repartition(parts, PAGE[0]) if parts else placed.repartition(PAGE[0])
-    rows = placed.select(*PAGE, F.inline(F.arrays_zip("r", "l"))).select(*PAGE, "l.*", "r.*")
-    return rows.select(*PAGE, "line", "line_size", "run_no", "text", "x", "y", "w", "size", "bold")
+def pages(runs: DataFrame) -> DataFrame:
+    """(doc_id, page, r): runs gathered by page."""
+    flags = [c for c in ("bold", "italic", "mono") if c in runs.columns]
+    return runs.groupBy(*PAGE).agg(F.collect_list(F.struct(*RUN[:-1], *flags)).alias("r"))
+
+
+def _lined(own: pa.Array) -> dict:
+    """The columns of runs in order of page, line, x, run_no, with page, line, line_size, end and where lines begin."""
+    page, c = R.flat(own)
+    order = np.lexsort((c["run_no"], c["x"], c["y"], page))
+    begins, y, size = R.line_starts(page[order], c["y"][order], c["size"][order]), c["y"][order], c["size"][order]
+    line, starts = np.cumsum(begins) - 1, np.flatnonzero(begins)
+    by_x = np.lexsort((c["run_no"][order], c["x"][order], line))
+    found = R.taken(c, order[by_x]) | {"page": page[order], "begins": begins, "line": R.places(begins, R.changes(page[order])), "line_size": R.upper_median(size, starts)[line]}
+    return found | {"end": found["x"] + found["w"]}
+
+
+def _segmented(own: pa.Array, gap: float) -> dict:
+    """The columns of lined runs, with segment and where segments begin: ``gap`` line sizes or more behind all runs before."""
+    c = _lined(own)
+    cuts = c["begins"] | (c["x"] - R.behind(c["end"], c["begins"]) >= c["line_size"] * gap)
+    return c | {"cuts": cuts, "segment": R.places(cuts, c["begins"])}
+
+
+_INT, _REAL, _FLAG, _TEXT = pa.int32(), pa.float64(), pa.bool_(), pa.string()
+
 
+def lines(runs: DataFrame) -> DataFrame:
+    """Adds line and line_size: runs within 0.4 sizes of the first run of the line before, 0.6 where one is much smaller."""
 
-def line_boxes(lined: DataFrame) -> DataFrame:
+    @F.arrow_udf("array<struct<line: int, line_size: double, run_no: bigint, text: string, x: double, y: double, w: double, size: double, bold: boolean>>")
+    @sliced
+    def place(own: pa.Array) -> pa.Array:
+        c = _lined(own)
+        return R.listed(c["page"], len(own), c, {"line": _INT, "line_size": _REAL, "run_no": pa.int64(), "text": _TEXT, "x": _REAL, "y": _REAL, "w": _REAL, "size": _REAL, "bold": _FLAG})
+
+    return pages(runs).select(*PAGE, F.inline(place("r")))
+
+
+def line_boxes(paged: DataFrame) -> DataFrame:
     """One row per line: number of runs, extent, upper medians of y and size."""
-    g = lined.groupBy(*PAGE, "line")
-    return g.agg(F.count(F.lit(1)).alias("n_runs"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), upper_median(F.collect_list("y")).alias("y"), upper_median(F.collect_list("size")).alias("size"))
 
+    @F.arrow_udf("array<struct<line: int, n_runs: bigint, x0: double, x1: double, y: double, size: double>>")
+    @sliced
+    def find(own: pa.Array) -> pa.Array:
+        c = _lined(own)
+        at = np.flatnonzero(c["begins"])
+        found = {"line": c["line"][at], "n_runs": np.diff(at, append=len(c["x"])), "y": R.upper_median(c["y"], at), "size": c["line_size"][at]}
+        found |= {"x0": np.minimum.reduceat(c["x"], at), "x1": np.maximum.reduceat(c["end"], at)} if len(at) else {"x0": c["x"], "x1": c["x"]}
+        return R.listed(c["page"][at], len(own), found, {"line": _INT, "n_runs": pa.int64(), "x0": _REAL, "x1": _REAL, "y": _REAL, "size": _REAL})
+
+    return paged.select(*PAGE, F.inline(find("r")))
 
-def segments(lined: DataFrame, gap: float = 1.6) -> DataFrame:
-    """Adds segment: a new one where a run starts ``gap`` line sizes or more behind all runs before it."""
-    line = Window.partitionBy(*PAGE, "line")
-    order = line.orderBy("x", "run_no")
-    behind = F.max(F.col("x") + F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.coalesce(F.col("x") - F.col("behind") >= F.col("line_size") * gap, F.lit(False)).cast("int")
-    return lined.withColumn("behind", behind).withColumn("starts", starts).withColumn("segment", F.sum("starts").over(order).cast("int")).drop("starts", "behind")
 
+_SEGMENT = {"line": _INT, "segment": _INT, "x0": _REAL, "x1": _REAL, "y": _REAL, "size": _REAL, "bold": _FLAG, "text": _TEXT}
 
-def segment_text(segmented: DataFrame, cut: tuple[str, ...] = ()) -> DataFrame:
-    """One row per segment: text with spaces where runs are more than 0.15 sizes apart, extent, size, all bold.
 
-    ``cut`` names columns that tell several ways apart in which the same lines are cut.
+def segment_lists(runs: Column, gap: float = 1.6) -> Column:
+    """A page's segments (line, segment, x0, x1, y, size, bold, text), an array: a line is cut ``gap`` sizes behind all runs before.
+
+    Texts have spaces where runs are more than 0.15 sizes apart; a segment is bold where all its runs are.
     """
-    order = Window.partitionBy(*PAGE, "line", *cut, "segment").orderBy("x", "run_no")
-    end = F.max(F.col("x") + F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = (F.col("x") - end > F.col("size") * 0.15) & ~F.lag("text").over(order).rlike(r"\s$") & ~F.col("text").rlike(r"^\s")
-    piece = F.concat(F.when(F.coalesce(apart, F.lit(False)), " ").otherwise(""), F.col("text"))
-    rows = segmented.withColumn("piece", piece)
-    g = rows.groupBy(*PAGE, "line", *cut, "segment").agg(
-        F.sort_array(F.collect_list(F.struct("x", "run_no", "piece"))).alias("p"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"),
-        upper_median(F.collect_list("y")).alias("y"), upper_median(F.collect_list("size")).alias("size"), F.bool_and("bold").alias("bold"),
-    )
-    return g.withColumn("text", collapsed(F.array_join(F.col("p.piece"), ""))).drop("p")
+
+    @F.arrow_udf("array<struct<line: int, segment: int, x0: double, x1: double, y: double, size: double, bold: boolean, text: string>>")
+    @sliced
+    def find(own: pa.Array) -> pa.Array:
+        c = _segmented(own, gap)
+        at = np.flatnonzero(c["cuts"])
+        pieces = R.spaced(c["text"], c["x"], c["end"], c["size"], c["cuts"])
+        found = {"line": c["line"][at], "segment": c["segment"][at], "y": R.upper_median(c["y"], at), "size": R.upper_median(c["size"], at), "text": R.joined(pieces, at, "")}
+        folds = {"x0": (np.minimum, c["x"]), "x1": (np.maximum, c["end"]), "bold": (np.logical_and, c["bold"].astype(bool))}
+        found |= {name: f.reduceat(values, at) if len(at) else values for name, (f, values) in folds.items()}
+        return R.listed(c["page"][at], len(own), found, _SEGMENT)
+
+    return find(runs)
 
 
-def style_runs(segmented: DataFrame) -> DataFrame:
+def segments(paged: DataFrame, gap: float = 1.6) -> DataFrame:
+    """One row per segment (see segment_lists)."""
+    return paged.select(*PAGE, F.inline(segment_lists(F.col("r"), gap))).withColumn("text", collapsed(F.col("text")))
+
+
+def style_runs(paged: DataFrame) -> DataFrame:
     """Neighbouring runs of a segment with the same weight and nearly the same size as one styled run."""
-    order = Window.partitionBy(*PAGE, "line", "segment").orderBy("x", "run_no")
-    changed = (F.lag("bold").over(order) != F.col("bold")) | (F.abs(F.lag("size").over(order) - F.col("size")) >= 0.5)
-    rows = segmented.withColumn("c", F.coalesce(changed, F.lit(False)).cast("int")).withColumn("style", F.sum("c").over(order).cast("int"))
-    g = rows.groupBy(*PAGE, "line", "segment", "style").agg(F.sort_array(F.collect_list(F.struct("x", "run_no", "text"))).alias("t"), F.first("bold").alias("bold"))
-    return g.select(*PAGE, "line", "segment", "style", "bold", F.array_join(F.col("t.text"), " ").alias("text"))
+
+    @F.arrow_udf("array<struct<line: int, segment: int, style: int, bold: boolean, text: string>>")
+    @sliced
+    def find(own: pa.Array) -> pa.Array:
+        c = _segmented(own, 1.6)
+        begins = c["cuts"] | R.changes(c["bold"]) | (np.abs(np.diff(c["size"], prepend=0.0)) >= 0.5)
+        at = np.flatnonzero(begins)
+        found = {"style": R.places(begins, c["cuts"])[at], "text": R.joined(c["text"], at, " ")} | {name: c[name][at] for name in ("line", "segment", "bold")}
+        return R.listed(c["page"][at], len(own), found, {"line": _INT, "segment": _INT, "style": _INT, "bold": _FLAG, "text": _TEXT})
+
+    return paged.select(*PAGE, F.inline(find("r")))
 
 
 def emphasis(text: Column, bold: Column, italic: Column, mono: Column) -> Column:
@@ -114,23 +134,27 @@ def emphasis(text: Column, bold: Column, italic: Column, mono: Column) -> Column
     return F.when(core == "", text).otherwise(F.concat(F.regexp_extract(text, r"^\s*", 0), shown, F.regexp_extract(text, r"\s*$", 0)))
 
 
-def emphasized(segmented: DataFrame) -> DataFrame:
+def emphasized(paged: DataFrame) -> DataFrame:
     """(doc_id, page, line, segment, text): segments as Markdown, neighbouring runs of one emphasis as one.
 
-    Runs are bold, and italic or set in a face of equal widths where they have such columns.
+    Runs are bold, and italic or set in a face of equal widths where they have such fields.
     """
-    key = (*PAGE, "line", "segment")
-    order = Window.partitionBy(*key).orderBy("x", "run_no")
-    end = F.max(F.col("x") + F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = (F.col("x") - end > F.col("size") * 0.15) & ~F.lag("text").over(order).rlike(r"\s$") & ~F.col("text").rlike(r"^\s")
-    styles = {c: F.coalesce(F.col(c), F.lit(False)) if c in segmented.columns else F.lit(False) for c in ("bold", "italic", "mono")}
-    segmented = segmented.withColumns(styles)
-    changed = reduce(Column.__or__, (F.lag(c).over(order) != F.col(c) for c in styles))
-    rows = segmented.withColumns({"piece": F.concat(F.when(F.coalesce(apart, F.lit(False)), " ").otherwise(""), F.col("text")), "c": F.coalesce(changed, F.lit(False)).cast("int")}).withColumn("style", F.sum("c").over(order))
-    runs = rows.groupBy(*key, "style").agg(F.array_join(F.sort_array(F.collect_list(F.struct("x", "run_no", "piece")))["piece"], "").alias("text"), *(F.first(c).alias(c) for c in styles))
-    runs = runs.withColumn("t", emphasis(F.col("text"), *map(F.col, styles)))
-    joined = runs.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("style", "t")))["t"], "").alias("text"))
-    return joined.withColumn("text", collapsed(F.col("text")))
+    styles = ("bold", "italic", "mono")
+
+    @F.arrow_udf("array<struct<line: int, segment: int, t: array<struct<text: string, bold: boolean, italic: boolean, mono: boolean>>>>")
+    @sliced
+    def find(own: pa.Array) -> pa.Array:
+        c = _segmented(own, 1.6)
+        flags = {s: c[s].astype(bool) if s in c else np.zeros(len(c["x"]), bool) for s in styles}
+        begins, segment = c["cuts"] | R.changes(*flags.values()), np.cumsum(c["cuts"]) - 1
+        at, cut = np.flatnonzero(begins), np.flatnonzero(c["cuts"])
+        text = R.joined(R.spaced(c["text"], c["x"], c["end"], c["size"], c["cuts"]), at, "")
+        kinds = {"text": _TEXT} | dict.fromkeys(styles, _FLAG)
+        told = R.listed(segment[at], len(cut), {"text": text} | {s: f[at] for s, f in flags.items()}, kinds)
+        return R.listed(c["page"][cut], len(own), {"line": c["line"][cut], "segment": c["segment"][cut], "t": told}, {"line": _INT, "segment": _INT, "t": told.type})
+
+    shown = F.array_join(F.transform("t", lambda t: emphasis(t["text"], *(t[s] for s in styles))), "")
+    return paged.select(*PAGE, F.inline(find("r"))).select(*PAGE, "line", "segment", collapsed(shown).alias("text"))
 
 
 def merged_spans(spans: DataFrame, key: list[str]) -> DataFrame:
@@ -156,10 +180,25 @@ def table_rows(placed: DataFrame, key: list[str]) -> DataFrame:
     return g.select(*key, "line", "column", F.array_join(F.col("t.text"), " ").alias("text"))
 
 
-def body_size(runs: DataFrame) -> DataFrame:
-    """The size of most text of a document: upper median of sizes to the half point, a run counting for up to 20 characters."""
-    weighted = runs.select("doc_id", (F.floor(F.col("size") * 2 + 0.5) / 2).alias("size"), F.least(F.length("text"), F.lit(20)).alias("weight"))
-    by_size = weighted.groupBy("doc_id", "size").agg(F.sum("weight").alias("weight"))
+def size_weights(paged: DataFrame) -> DataFrame:
+    """(doc_id, size, weight): the sizes of every page to the half point, a run counting for up to 20 characters."""
+
+    @F.arrow_udf("array<struct<size: double, weight: bigint>>")
+    @sliced
+    def weigh(own: pa.Array) -> pa.Array:
+        page, c = R.flat(own)
+        size, weight = np.floor(c["size"] * 2 + 0.5) / 2, np.minimum(pc.fill_null(pc.utf8_length(c["text"]), 0).to_numpy(zero_copy_only=False), 20)
+        order = np.lexsort((size, page))
+        at = np.flatnonzero(R.changes(page[order], size[order]))
+        total = np.add.reduceat(weight[order].astype(np.int64), at) if len(at) else weight
+        return R.listed(page[order][at], len(own), {"size": size[order][at], "weight": total}, {"size": _REAL, "weight": pa.int64()})
+
+    return paged.select("doc_id", F.inline(weigh("r")))
+
+
+def body_size(weights: DataFrame) -> DataFrame:
+    """The size of most text of a document: upper median of the sizes of its characters."""
+    by_size = weights.groupBy("doc_id", "size").agg(F.sum("weight").alias("weight"))
     w = Window.partitionBy("doc_id").orderBy("size")
     total = F.sum("weight").over(Window.partitionBy("doc_id"))
     reached = by_size.withColumns({"before": F.sum("weight").over(w) - F.col("weight"), "upto": F.sum("weight").over(w), "middle": F.floor(total / 2)})
@@ -190,8 +229,10 @@ def heading_levels(blocks: DataFrame, body: DataFrame) -> DataFrame:
 
 def classified(blocks: DataFrame, body: DataFrame) -> DataFrame:
     """Adds kind (heading, list, paragraph), level, marker and ordered to blocks of text, size, bold and n_segments."""
-    joined = blocks.join(heading_sizes(blocks, body), "doc_id", "left")
-    base = F.col("body")
+    joined = blocks.join(body, "doc_id", "left").withColumn("body", F.when(F.col("doc_id").isNotNull(), F.coalesce("body", F.lit(11.0))))
+    base, half = F.col("body"), _half(F.col("size"))
+    sizes = F.collect_set(F.when(half >= base * 1.15, half)).over(Window.partitionBy("doc_id"))  # as heading_sizes, without a second look at the blocks
+    joined = joined.withColumn("sizes", F.sort_array(sizes, asc=False))
     listed = F.col("text").rlike(BULLET)
     large = F.col("size") >= base * 1.15
     short = (F.col("n_segments") <= 3) & (F.length("text") < 160) & ~F.col("text").rlike("[.:;,]$")
@@ -225,13 +266,30 @@ def dominant(df: DataFrame, key: list[str], value: str, order: str) -> DataFrame
     return counted.groupBy(*key).agg(F.max_by(value, F.struct("nth", -F.col(order))).alias("dominant"))
 
 
-def chained_lines(runs: DataFrame, band: float = 0.6) -> DataFrame:
+def chained_pages(paged: DataFrame, band: float = 0.6) -> DataFrame:
     """Lines chained on the run before (by y): a new line where y moves by ``band`` sizes or more.  Mean y, largest size, least x."""
-    order = Window.partitionBy(*PAGE).orderBy("y", "x", "run_no")
-    moved = F.abs(F.col("y") - F.lag("y").over(order)) >= F.col("size") * band
-    rows = runs.withColumn("m", F.coalesce(moved, F.lit(False)).cast("int")).withColumn("line", F.sum("m").over(order).cast("int"))
-    g = rows.groupBy(*PAGE, "line").agg(F.sort_array(F.collect_list(F.struct("x", "run_no", "text"))).alias("t"), F.avg("y").alias("y"), F.max("size").alias("size"), F.min("x").alias("x"))
-    return g.withColumn("text", F.array_join(F.col("t.text"), " ")).drop("t")
+
+    @F.arrow_udf("array<struct<line: int, y: double, size: double, x: double, text: string>>")
+    @sliced
+    def find(own: pa.Array) -> pa.Array:
+        page, c = R.flat(own)
+        order = np.lexsort((c["run_no"], c["x"], c["y"], page))
+        new = R.changes(page[order])
+        begins = new | (np.abs(np.diff(c["y"][order], prepend=0.0)) >= c["size"][order] * band)
+        by_x = np.lexsort((c["run_no"][order], c["x"][order], np.cumsum(begins)))
+        at, c, page = np.flatnonzero(begins), R.taken(c, order[by_x]), page[order]
+        found = {"line": R.places(begins, new)[at], "text": R.joined(c["text"], at, " ")}
+        folds = {"y": np.add, "size": np.maximum, "x": np.minimum}
+        found |= {name: f.reduceat(c[name], at) if len(at) else c[name] for name, f in folds.items()}
+        found["y"] = found["y"] / np.diff(at, append=len(page))
+        return R.listed(page[at], len(own), found, {"line": _INT, "y": _REAL, "size": _REAL, "x": _REAL, "text": _TEXT})
+
+    return paged.select(*PAGE, F.inline(find("r")))
+
+
+def chained_lines(runs: DataFrame, band: float = 0.6) -> DataFrame:
+    """chained_pages of runs that are rows."""
+    return chained_pages(pages(runs), band)
 
 
 def distinct_boxes(boxes: DataFrame, key: list[str], order: str, least: float = 24.0, near: float = 1.0) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.slices import lists, records, sliced
-from quillspark.functions.text import BULLET, escape_markdown
+from quillspark.functions.text import BULLET, collapsed, escape_markdown
 from quillspark.operators.layout import classified
 from quillspark.operators.order import reading_order
 from quillspark.sources.shared import written
@@ -173,19 +173,33 @@ def _pages(segments: DataFrame, key: list[str]) -> DataFrame:
     return segments.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*_SEGMENT))).alias("s"))
 
 
-def page_tables(segments: DataFrame, key: list[str], strict: bool = False) -> DataFrame:
-    """(key, table, row, line, column, text): cells of all tables; cells of a column and row are joined by spaces."""
+def _gathered(segments: Column, bold: bool = True) -> Column:
+    """Segments of pages that are lists, as _pages gathers them."""
+    flag = lambda s: [s["bold"].alias("bold")] if bold else []
+    return F.sort_array(F.transform(segments, lambda s: F.struct(*(s[c].alias(c) for c in _SEGMENT[:-1]), collapsed(s["text"]).alias("text"), *flag(s))))
 
+
+def _cells(segments: Column, strict: bool) -> Column:
     @F.arrow_udf("array<struct<table: int, row: int, line: int, column: int, text: string, x0: double, x1: double, y: double, size: double>>")
     @sliced
     def find(pages: pa.Array) -> pa.Array:
         numbers, reals = ((c, pa.int32()) for c in ("table", "row", "line", "column")), ((c, pa.float64()) for c in ("x0", "x1", "y", "size"))
         return lists([[c for t in table_cells(own, strict) for c in t] for own in records(pages)], [*numbers, ("text", pa.string()), *reals])
 
-    return _pages(segments, key).select(*key, F.inline(find("s")))
+    return F.inline(find(segments))
+
 
+def tables_of(pages: DataFrame, key: list[str], segments: Column, strict: bool = False) -> DataFrame:
+    """page_tables of pages that have their segments as lists."""
+    return pages.select(*key, _cells(_gathered(segments, False), strict))
+
+
+def page_tables(segments: DataFrame, key: list[str], strict: bool = False) -> DataFrame:
+    """(key, table, row, line, column, text): cells of all tables; cells of a column and row are joined by spaces."""
+    return _pages(segments, key).select(*key, _cells(F.col("s"), strict))
 
-def page_blocks(segments: DataFrame, key: list[str]) -> DataFrame:
+
+def blocks_of(pages: DataFrame, key: list[str], segments: Column, bold: bool = True) -> DataFrame:
     """(key, block, n_segments, text, size, bold, x0, y0, x1, y1): text joined with hyphens at line ends undone."""
 
     @F.arrow_udf("array<struct<block: int, n_segments: int, text: string, size: double, bold: boolean, x0: double, y0: double, x1: double, y1: double>>")
@@ -194,9 +208,7 @@ def page_blocks(segments: DataFrame, key: list[str]) -> DataFrame:
         kinds = [("block", pa.int32()), ("n_segments", pa.int32()), ("text", pa.string()), ("size", pa.float64()), ("bold", pa.bool_()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))]
         return lists([block_rows(own) for own in records(pages)], kinds)
 
-    bold = [c for c in ("bold",) if c in segments.columns]
-    pages = segments.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*_SEGMENT, *bold))).alias("s"))
-    return pages.select(*key, F.inline(find("s")))
+    return pages.select(*key, F.inline(find(_gathered(segments, bold))))
 
 
 Item = tuple[int, int | None, str | None, float | None, bool | None, list[list[str]] | None]
@@ -241,14 +253,19 @@ def page_layout(segments: DataFrame, fine: DataFrame, body: DataFrame, key: list
 
     Lines that tables use take no part in blocks.  Tables come as Markdown.
     """
-    return cuts_layout(segments.withColumn("cut", F.lit(0)).unionByName(fine.withColumn("cut", F.lit(1)), allowMissingColumns=True), body, key)
+    cuts = segments.withColumn("cut", F.lit(0)).unionByName(fine.withColumn("cut", F.lit(1)), allowMissingColumns=True)
+    segment = F.struct(*_SEGMENT, *(c for c in ("bold",) if c in cuts.columns))
+    of = lambda cut: F.sort_array(F.collect_list(F.when(F.col("cut") == cut, segment)))
+    return _layout(cuts.groupBy(*key).agg(of(0).alias("s"), of(1).alias("f")), body, key)
 
 
-def cuts_layout(cuts: DataFrame, body: DataFrame, key: list[str]) -> DataFrame:
-    """page_layout of segments whose ``cut`` is 0 for wide gaps and 1 for fine ones; a page is gathered once, with both.
+def pages_layout(pages: DataFrame, wide: Column, fine: Column, body: DataFrame, key: list[str]) -> DataFrame:
+    """page_layout of pages that have their segments, cut at wide and at fine gaps, as lists."""
+    return _layout(pages.select(*key, _gathered(wide).alias("s"), _gathered(fine).alias("f")), body, key)
 
-    The items of pages are written, so that what is told of documents does not lay pages out again.
-    """
+
+def _layout(pages: DataFrame, body: DataFrame, key: list[str]) -> DataFrame:
+    """Items of pages s, f are written, so that what is told of documents does not lay pages out again."""
 
     @F.arrow_udf("array<struct<place: int, n_segments: int, text: string, size: double, bold: boolean, rows: array<array<string>>>>")
     @sliced
@@ -256,10 +273,7 @@ def cuts_layout(cuts: DataFrame, body: DataFrame, key: list[str]) -> DataFrame:
         return lists([layout_items(*own) for own in zip(records(wide), records(fine), units.to_pylist(), strict=True)], _ITEM)
 
     body = written(body, "body")  # needed for the items and for their kinds
-    segment = F.struct(*_SEGMENT, *(c for c in ("bold",) if c in cuts.columns))
-    of = lambda cut: F.sort_array(F.collect_list(F.when(F.col("cut") == cut, segment)))
-    pages = cuts.groupBy(*key).agg(of(0).alias("s"), of(1).alias("f")).join(body, "doc_id", "left")
-    items = written(pages.select(*key, F.inline(find("s", "f", F.coalesce("body", F.lit(11.0))))), "layout")
+    items = written(pages.join(body, "doc_id", "left").select(*key, F.inline(find("s", "f", F.coalesce("body", F.lit(11.0))))), "layout")
     table = F.col("rows").isNotNull()
     told = classified(items, body).withColumns({"kind": F.when(table, "table").otherwise(F.col("kind")), "text": F.when(table, rows_markdown(F.col("rows"))).otherwise(F.col("text"))})
     return told.select(*key, "place", "kind", "level", "ordered", "text")

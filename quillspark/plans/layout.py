@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import editor as E
 from quillspark.operators import layout as L
-from quillspark.operators.tables import cuts_layout, page_blocks, page_tables
+from quillspark.operators.tables import blocks_of, pages_layout, tables_of
 from quillspark.plans.registry import query
-from quillspark.sources.tables import doc_lines, partitions, read, runs
+from quillspark.sources.tables import DEALT_BYTES, doc_lines, page_runs, partitions, read, runs
 
 _RUNS = r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
 w as (select doc_id, line_no, case when line_no % 7 = 0 then 16.0 else 11.0 end::double as size, list_filter(string_split(t, ' '), lambda x: x <> '') as ws from l where t <> ''),
@@ -23,26 +23,26 @@ seg as (select doc_id, page, line, segment, string_agg(text, ' ' order by k) as
 """
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = partitions(read(spark, sf_dir, "documents"), "text")
-    return L.lines(runs(spark, sf_dir, parts=parts), parts)
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_runs(spark, sf_dir, partitions(read(spark, sf_dir, "documents"), "text"))
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.segments(_lines(spark, sf_dir))
+def _dealt(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of pages, dealt by document for what looks at whole documents or pages: fewer partitions, as these are not words."""
+    return rows.repartition(partitions(read(spark, sf_dir, "documents"), "text", DEALT_BYTES), "doc_id")
 
 
 @query(_RUNS + "select doc_id, page, line, count(*) as n_runs, round(min(x), 3) as x0, round(max(x + w), 3) as x1, list_sort(list(y))[len(list(y)) // 2 + 1]::double as y, any_value(size) as size from lined group by 1, 2, 3")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines anchored on their first run."""
-    found = L.line_boxes(_lines(spark, sf_dir))
+    found = L.line_boxes(_pages(spark, sf_dir))
     return found.select("doc_id", "page", F.col("line").cast("long").alias("line"), "n_runs", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "y", "size")
 
 
 @query(_RUNS + "select doc_id, page, line, segment::bigint as segment, text, round(x0, 3) as x0, round(x1, 3) as x1, size, bold from seg")
 def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of lines with their text."""
-    s = L.segment_text(_segments(spark, sf_dir))
+    s = L.segments(_pages(spark, sf_dir))
     return s.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.col("segment").cast("long").alias("segment"), "text", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "size", "bold")
 
 
@@ -51,7 +51,7 @@ def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, page, line, segment::bigint as segment, style::bigint as style, any_value(bold) as bold, string_agg(text, ' ' order by k) as text from t group by 1, 2, 3, 4, 5""")
 def styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one style within segments."""
-    s = L.style_runs(_segments(spark, sf_dir))
+    s = L.style_runs(_pages(spark, sf_dir))
     return s.select("doc_id", "page", *(F.col(c).cast("long").alias(c) for c in ("line", "segment", "style")), "bold", "text")
 
 
@@ -62,7 +62,7 @@ cols as (select doc_id, page, col::bigint as col, min(x0) as c0, max(x1) as c1 f
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.segment_text(_segments(spark, sf_dir))
+    return _dealt(L.segments(_pages(spark, sf_dir)), spark, sf_dir)
 
 
 @query(_COLUMNS + 'select doc_id, page, col as "column", round(c0, 3) as x0, round(c1, 3) as x1 from cols')
@@ -91,7 +91,7 @@ _BODY = """, ws as (select doc_id, size, unnest(range(0, least(length(text), 20)
 @query(_RUNS + _BODY + "select doc_id, body from body")
 def body_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of most text of every document."""
-    return L.body_size(runs(spark, sf_dir))
+    return L.body_size(L.size_weights(_pages(spark, sf_dir)))
 
 
 _ITEM = r"^\s*([•◦▪▫‣⁃●○■□–—\-*·►➢✓✔]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)]|[ivxIVX]{1,4}[.)])\s+"
@@ -107,15 +107,16 @@ blocks as (select doc_id, page, line, segment, kind, case when kind = 'heading'
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as blocks, classified."""
-    segs = L.segment_text(_segments(spark, sf_dir)).withColumn("n_segments", F.lit(1))
-    return L.classified(segs, L.body_size(runs(spark, sf_dir)))
+    pages = _pages(spark, sf_dir)
+    segs = _dealt(L.segments(pages).withColumn("n_segments", F.lit(1)), spark, sf_dir)
+    return L.classified(segs, L.body_size(_dealt(L.size_weights(pages), spark, sf_dir)))
 
 
 @query(_RUNS + _BODY + _SIZES + "select doc_id, s.size, least(3, list_position(list_transform(sizes, lambda x: abs(x - s.size) < 0.6), true))::bigint as level from sizes, unnest(sizes) s(size)")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of the sizes above the body's."""
-    r = runs(spark, sf_dir)
-    return L.heading_levels(r, L.body_size(r)).withColumn("level", F.col("level").cast("long"))
+    sizes = L.size_weights(_pages(spark, sf_dir))
+    return L.heading_levels(sizes, L.body_size(sizes)).withColumn("level", F.col("level").cast("long"))
 
 
 @query(_BLOCKS + "select doc_id, page, line, segment::bigint as segment, kind, level::bigint as level, ordered, md5(text) as digest from blocks")
@@ -143,7 +144,7 @@ def documents_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         when n = 1 then case when abs((x0 + x1) / 2 - 306) < 30.6 and x0 > 122.4 then 'center' when x1 > 520.2 and x0 > 306 then 'right' else 'left' end else 'left' end as align from h""")
 def block_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of lines by the edges of their segments."""
-    segs = L.segment_text(_segments(spark, sf_dir))
+    segs = _dealt(L.segments(_pages(spark, sf_dir)).drop("text", "bold"), spark, sf_dir)
     return L.alignment(segs.withColumn("own", F.col("line")), ["doc_id", "page", "own"], 612.0).select("doc_id", "page", F.col("own").cast("long").alias("line"), "n", "align")
 
 
@@ -159,7 +160,7 @@ def dominant_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, page, ln::bigint as line, md5(string_agg(text, ' ' order by x, line_no * 1000 + k)) as digest, round(avg(y), 3)::double as y, max(size) as size, round(min(x), 3) as x from i group by 1, 2, 3""")
 def chained_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines chained on the run before."""
-    c = L.chained_lines(runs(spark, sf_dir))
+    c = L.chained_pages(_pages(spark, sf_dir))
     return c.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.md5("text").alias("digest"), F.round("y", 3).alias("y"), "size", F.round("x", 3).alias("x"))
 
 
@@ -191,27 +192,23 @@ def page_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "line_no", F.when(F.col("has"), F.col("cells")).otherwise(F.array(F.array_join("cells", "|"))).alias("cells"))
 
 
-def _short_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.segment_text(_segments(spark, sf_dir)).select("doc_id", "page", "line", "x0", "x1", "y", "size", "text")
-
-
 @query()
 def detected_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the tables found on all pages."""
-    return page_tables(_short_segments(spark, sf_dir), ["doc_id", "page"])
+    return tables_of(_pages(spark, sf_dir), ["doc_id", "page"], L.segment_lists(F.col("r")))
 
 
 @query()
 def built_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text blocks of all pages."""
-    return page_blocks(_short_segments(spark, sf_dir), ["doc_id", "page"])
+    return blocks_of(_pages(spark, sf_dir), ["doc_id", "page"], L.segment_lists(F.col("r")), bold=False)
 
 
 _FINE = _RUNS.replace(">= 1.6 * size", ">= 0.5 * size")
 
 
 def _fine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.segment_text(L.segments(_lines(spark, sf_dir), 0.5))
+    return L.segments(_pages(spark, sf_dir), 0.5)
 
 
 @query(_FINE + "select doc_id, page, line, segment::bigint as segment, text, round(x0, 3) as x0, round(x1, 3) as x1 from seg")
@@ -224,7 +221,7 @@ def fine_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tight_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the tables that only finely cut lines show."""
-    return page_tables(_fine(spark, sf_dir).select("doc_id", "page", "line", "x0", "x1", "y", "size", "text"), ["doc_id", "page"], strict=True)
+    return tables_of(_pages(spark, sf_dir), ["doc_id", "page"], L.segment_lists(F.col("r"), 0.5), strict=True)
 
 
 @query(_RUNS + r""", c as (select *, case when lag(bold) over (partition by doc_id, page, line, segment order by k) <> bold then 1 else 0 end as c from segs),
@@ -234,7 +231,7 @@ def tight_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, page, line, segment::bigint as segment, md5(string_agg(lead || case when bold then '**' || core || '**' else core end, '' order by style)) as digest from m group by 1, 2, 3, 4""")
 def emphasized_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as Markdown with bold runs marked."""
-    e = L.emphasized(_segments(spark, sf_dir))
+    e = L.emphasized(_pages(spark, sf_dir).withColumn("r", F.transform("r", lambda q: F.struct(*(q[c].alias(c) for c in L.RUN)))))
     return e.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.col("segment").cast("long").alias("segment"), F.md5("text").alias("digest"))
 
 
@@ -246,20 +243,15 @@ def emphasized_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, page, line, segment::bigint as segment, md5(string_agg(lead || t, '' order by style)) as digest from e group by 1, 2, 3, 4""")
 def styled_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as Markdown with runs that are bold, italic, both, or code."""
-    order = Window.partitionBy("doc_id", "page", "line").orderBy("x")
-    k = F.row_number().over(order) - 1
-    e = L.emphasized(_segments(spark, sf_dir).withColumns({"italic": k % 3 == 1, "mono": k % 7 == 5}))
+    e = L.emphasized(_pages(spark, sf_dir))
     return e.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.col("segment").cast("long").alias("segment"), F.md5("text").alias("digest"))
 
 
 @query()
 def layout_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of all documents by pages: tables with bars, headings, lists and paragraphs in reading order."""
-    parts = partitions(read(spark, sf_dir, "documents"), "text")
-    r = runs(spark, sf_dir, parts=parts)
-    wide = L.segments(L.lines(r, parts)).withColumnRenamed("segment", "wide")
-    both = L.segments(wide, 0.5).select(*L.PAGE, "line", "run_no", "text", "x", "y", "w", "size", "bold", F.posexplode(F.array("wide", "segment")).alias("cut", "segment"))
-    placed = cuts_layout(L.segment_text(both, ("cut",)), L.body_size(r), [*L.PAGE])
+    pages = _pages(spark, sf_dir)
+    placed = pages_layout(pages, L.segment_lists(F.col("r")), L.segment_lists(F.col("r"), 0.5), L.body_size(L.size_weights(pages)), [*L.PAGE])
     return L.markdown(placed, "doc_id", ["page", "place"])
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # White space as Java's \s sees it, and what Java's $ may leave behind it.
+_SPACE = " \t\n\x0b\f\r"
 _OPENS, _CLOSES = r"^[ \t\n\x0B\f\r]", r"[ \t\n\x0B\f\r][\x{85}\x{2028}\x{2029}]?\z"
 
 
@@ -91,6 +92,22 @@ def joined(texts: pa.Array, starts: np.ndarray, by: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(ends, pc.fill_null(texts, "")), by)
 
 
+def collapsed(texts: pa.Array) -> pa.Array:
+    """As functions.text.collapsed."""
+    return pc.utf8_trim(pc.replace_substring_regex(texts, r"[ \t\n\x0B\f\r]+", " "), " ")
+
+
+def emphasis(texts: pa.Array, bold: np.ndarray, italic: np.ndarray, mono: np.ndarray) -> pa.Array:
+    """As operators.layout.emphasis, with white space at the ends of a text as one space: code, or escaped with stars for italic and bold."""
+    core = pc.utf8_trim(pc.replace_substring_regex(texts, r"[ \t\n\x0B\f\r]+([\x{85}\x{2028}\x{2029}])\z", r"\1"), _SPACE)
+    none = pc.equal(core, "")
+    of = np.where(none.to_numpy(zero_copy_only=False), 0, np.where(mono, 4, bold * 2 + italic * 1))
+    mark = pa.array(["", "*", "**", "***", "`"]).take(pa.array(of))
+    inner = pc.if_else(pa.array(mono), pc.replace_substring(core, "`", ""), pc.replace_substring_regex(core, r"([\\`*_\[\]#|<>])", r"\\\1"))
+    lead, tail = (pc.if_else(pc.match_substring_regex(texts, p), " ", "") for p in (_OPENS, _CLOSES))
+    return pc.binary_join_element_wise(lead, mark, inner, mark, tail, "")
+
+
 def listed(groups: np.ndarray, n: int, columns: dict[str, np.ndarray | pa.Array], kinds: dict[str, pa.DataType]) -> pa.Array:
     """Rows, sorted by the number of their group, as lists of structs: one list for each of ``n`` groups."""
     arrays = [columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], kind) for c, kind in kinds.items()]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import runs as R
 from quillspark.functions.slices import sliced
-from quillspark.functions.text import BULLET, collapsed, escape_markdown
+from quillspark.functions.text import BULLET, escape_markdown
 
 PAGE = ("doc_id", "page")
 RUN = ("run_no", "text", "x", "y", "w", "size", "bold")
@@ -98,7 +98,7 @@ def segment_lists(runs: Column, gap: float = 1.6) -> Column:
         c = _segmented(own, gap)
         at = np.flatnonzero(c["cuts"])
         pieces = R.spaced(c["text"], c["x"], c["end"], c["size"], c["cuts"])
-        found = {"line": c["line"][at], "segment": c["segment"][at], "y": R.upper_median(c["y"], at), "size": R.upper_median(c["size"], at), "text": R.joined(pieces, at, "")}
+        found = {"line": c["line"][at], "segment": c["segment"][at], "y": R.upper_median(c["y"], at), "size": R.upper_median(c["size"], at), "text": R.collapsed(R.joined(pieces, at, ""))}
         folds = {"x0": (np.minimum, c["x"]), "x1": (np.maximum, c["end"]), "bold": (np.logical_and, c["bold"].astype(bool))}
         found |= {name: f.reduceat(values, at) if len(at) else values for name, (f, values) in folds.items()}
         return R.listed(c["page"][at], len(own), found, _SEGMENT)
@@ -108,7 +108,7 @@ def segment_lists(runs: Column, gap: float = 1.6) -> Column:
 
 def segments(paged: DataFrame, gap: float = 1.6) -> DataFrame:
     """One row per segment (see segment_lists)."""
-    return paged.select(*PAGE, F.inline(segment_lists(F.col("r"), gap))).withColumn("text", collapsed(F.col("text")))
+    return paged.select(*PAGE, F.inline(segment_lists(F.col("r"), gap)))
 
 
 def style_runs(paged: DataFrame) -> DataFrame:
@@ -134,27 +134,24 @@ def emphasis(text: Column, bold: Column, italic: Column, mono: Column) -> Column
     return F.when(core == "", text).otherwise(F.concat(F.regexp_extract(text, r"^\s*", 0), shown, F.regexp_extract(text, r"\s*$", 0)))
 
 
-def emphasized(paged: DataFrame) -> DataFrame:
+def emphasized(paged: DataFrame, styles: tuple[str, ...] = ("bold", "italic", "mono")) -> DataFrame:
     """(doc_id, page, line, segment, text): segments as Markdown, neighbouring runs of one emphasis as one.
 
-    Runs are bold, and italic or set in a face of equal widths where they have such fields.
+    Runs are bold, italic or set in a face of equal widths where they have such fields; ``styles`` names those that count.
     """
-    styles = ("bold", "italic", "mono")
 
-    @F.arrow_udf("array<struct<line: int, segment: int, t: array<struct<text: string, bold: boolean, italic: boolean, mono: boolean>>>>")
+    @F.arrow_udf("array<struct<line: int, segment: int, text: string>>")
     @sliced
     def find(own: pa.Array) -> pa.Array:
         c = _segmented(own, 1.6)
-        flags = {s: c[s].astype(bool) if s in c else np.zeros(len(c["x"]), bool) for s in styles}
-        begins, segment = c["cuts"] | R.changes(*flags.values()), np.cumsum(c["cuts"]) - 1
+        flags = [c[s].astype(bool) if s in c and s in styles else np.zeros(len(c["x"]), bool) for s in ("bold", "italic", "mono")]
+        begins = c["cuts"] | R.changes(*flags)
         at, cut = np.flatnonzero(begins), np.flatnonzero(c["cuts"])
         text = R.joined(R.spaced(c["text"], c["x"], c["end"], c["size"], c["cuts"]), at, "")
-        kinds = {"text": _TEXT} | dict.fromkeys(styles, _FLAG)
-        told = R.listed(segment[at], len(cut), {"text": text} | {s: f[at] for s, f in flags.items()}, kinds)
-        return R.listed(c["page"][cut], len(own), {"line": c["line"][cut], "segment": c["segment"][cut], "t": told}, {"line": _INT, "segment": _INT, "t": told.type})
+        told = R.joined(R.emphasis(text, *(f[at] for f in flags)), np.flatnonzero(c["cuts"][at]), "")
+        return R.listed(c["page"][cut], len(own), {"line": c["line"][cut], "segment": c["segment"][cut], "text": R.collapsed(told)}, {"line": _INT, "segment": _INT, "text": _TEXT})
 
-    shown = F.array_join(F.transform("t", lambda t: emphasis(t["text"], *(t[s] for s in styles))), "")
-    return paged.select(*PAGE, F.inline(find("r"))).select(*PAGE, "line", "segment", collapsed(shown).alias("text"))
+    return paged.select(*PAGE, F.inline(find("r")))
 
 
 def merged_spans(spans: DataFrame, key: list[str]) -> DataFrame:
@@ -180,8 +177,8 @@ def table_rows(placed: DataFrame, key: list[str]) -> DataFrame:
     return g.select(*key, "line", "column", F.array_join(F.col("t.text"), " ").alias("text"))
 
 
-def size_weights(paged: DataFrame) -> DataFrame:
-    """(doc_id, size, weight): the sizes of every page to the half point, a run counting for up to 20 characters."""
+def weight_lists(runs: Column) -> Column:
+    """The sizes of a page to the half point with their weights, an array of (size, weight): a run counts for up to 20 characters."""
 
     @F.arrow_udf("array<struct<size: double, weight: bigint>>")
     @sliced
@@ -193,7 +190,12 @@ def size_weights(paged: DataFrame) -> DataFrame:
         total = np.add.reduceat(weight[order].astype(np.int64), at) if len(at) else weight
         return R.listed(page[order][at], len(own), {"size": size[order][at], "weight": total}, {"size": _REAL, "weight": pa.int64()})
 
-    return paged.select("doc_id", F.inline(weigh("r")))
+    return weigh(runs)
+
+
+def size_weights(paged: DataFrame) -> DataFrame:
+    """(doc_id, size, weight) of every page (see weight_lists)."""
+    return paged.select("doc_id", F.inline(weight_lists(F.col("r"))))
 
 
 def body_size(weights: DataFrame) -> DataFrame:
@@ -317,8 +319,9 @@ def markdown(blocks: DataFrame, key: str, order: list[str], page: str | None = N
     w = Window.partitionBy(key).orderBy(*order)
     same = lambda other: other.eqNullSafe(F.col(page)) if page else F.lit(True)
     in_list = F.when(F.col("kind") == "list", 1).otherwise(0)
-    islands = blocks.withColumn("island", F.sum(F.when((in_list == 1) & (F.lag(in_list, 1, 0).over(w) == 1) & same(F.lag(page or key).over(w)), 0).otherwise(1)).over(w))
-    numbered = islands.withColumns({"nth": F.row_number().over(Window.partitionBy(key, "island").orderBy(*order)), "goes_on": (F.lead("kind").over(w) == "list") & (F.col("kind") == "list") & same(F.lead(page or key).over(w))})
+    at, opens_list = F.row_number().over(w), ~((in_list == 1) & (F.lag(in_list, 1, 0).over(w) == 1) & same(F.lag(page or key).over(w)))
+    opened = blocks.withColumns({"at": at, "opened": F.when(F.coalesce(opens_list, F.lit(True)), at)})
+    numbered = opened.withColumns({"nth": F.col("at") - F.max("opened").over(w) + 1, "goes_on": (F.lead("kind").over(w) == "list") & (F.col("kind") == "list") & same(F.lead(page or key).over(w))})
     if page:
         opens = F.coalesce(F.lag(page).over(w) != F.col(page), F.lit(True))
         numbered = numbered.withColumn("head", F.when(opens, F.concat(F.lit("<!-- Page "), (F.col(page) + 1).cast("string"), F.lit(" -->\n\n"))).otherwise(""))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.slices import lists, records, sliced
-from quillspark.functions.text import BULLET, collapsed, escape_markdown
+from quillspark.functions.text import BULLET, escape_markdown
 from quillspark.operators.layout import classified
 from quillspark.operators.order import reading_order
 from quillspark.sources.shared import written
@@ -173,12 +173,6 @@ def _pages(segments: DataFrame, key: list[str]) -> DataFrame:
     return segments.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*_SEGMENT))).alias("s"))
 
 
-def _gathered(segments: Column, bold: bool = True) -> Column:
-    """Segments of pages that are lists, as _pages gathers them."""
-    flag = lambda s: [s["bold"].alias("bold")] if bold else []
-    return F.sort_array(F.transform(segments, lambda s: F.struct(*(s[c].alias(c) for c in _SEGMENT[:-1]), collapsed(s["text"]).alias("text"), *flag(s))))
-
-
 def _cells(segments: Column, strict: bool) -> Column:
     @F.arrow_udf("array<struct<table: int, row: int, line: int, column: int, text: string, x0: double, x1: double, y: double, size: double>>")
     @sliced
@@ -190,8 +184,8 @@ def _cells(segments: Column, strict: bool) -> Column:
 
 
 def tables_of(pages: DataFrame, key: list[str], segments: Column, strict: bool = False) -> DataFrame:
-    """page_tables of pages that have their segments as lists."""
-    return pages.select(*key, _cells(_gathered(segments, False), strict))
+    """page_tables of pages that have their segments as lists, sorted by line and place."""
+    return pages.select(*key, _cells(segments, strict))
 
 
 def page_tables(segments: DataFrame, key: list[str], strict: bool = False) -> DataFrame:
@@ -200,15 +194,15 @@ def page_tables(segments: DataFrame, key: list[str], strict: bool = False) -> Da
 
 
 def blocks_of(pages: DataFrame, key: list[str], segments: Column, bold: bool = True) -> DataFrame:
-    """(key, block, n_segments, text, size, bold, x0, y0, x1, y1): text joined with hyphens at line ends undone."""
+    """(key, block, n_segments, text, size, bold, x0, y0, x1, y1): text joined with hyphens at line ends undone; without ``bold`` no block is."""
 
     @F.arrow_udf("array<struct<block: int, n_segments: int, text: string, size: double, bold: boolean, x0: double, y0: double, x1: double, y1: double>>")
     @sliced
     def find(pages: pa.Array) -> pa.Array:
         kinds = [("block", pa.int32()), ("n_segments", pa.int32()), ("text", pa.string()), ("size", pa.float64()), ("bold", pa.bool_()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))]
-        return lists([block_rows(own) for own in records(pages)], kinds)
+        return lists([block_rows(own) if bold else [(*b[:4], False, *b[5:]) for b in block_rows(own)] for own in records(pages)], kinds)
 
-    return pages.select(*key, F.inline(find(_gathered(segments, bold))))
+    return pages.select(*key, F.inline(find(segments)))
 
 
 Item = tuple[int, int | None, str | None, float | None, bool | None, list[list[str]] | None]
@@ -261,7 +255,7 @@ def page_layout(segments: DataFrame, fine: DataFrame, body: DataFrame, key: list
 
 def pages_layout(pages: DataFrame, wide: Column, fine: Column, body: DataFrame, key: list[str]) -> DataFrame:
     """page_layout of pages that have their segments, cut at wide and at fine gaps, as lists."""
-    return _layout(pages.select(*key, _gathered(wide).alias("s"), _gathered(fine).alias("f")), body, key)
+    return _layout(pages.select(*key, wide.alias("s"), fine.alias("f")), body, key)
 
 
 def _layout(pages: DataFrame, body: DataFrame, key: list[str]) -> DataFrame:

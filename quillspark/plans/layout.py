@@ -9,6 +9,7 @@ from quillspark.operators import editor as E
 from quillspark.operators import layout as L
 from quillspark.operators.tables import blocks_of, pages_layout, tables_of
 from quillspark.plans.registry import query
+from quillspark.sources.shared import written
 from quillspark.sources.tables import DEALT_BYTES, doc_lines, page_runs, partitions, read, runs
 
 _RUNS = r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
@@ -107,9 +108,9 @@ blocks as (select doc_id, page, line, segment, kind, case when kind = 'heading'
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as blocks, classified."""
-    pages = _pages(spark, sf_dir)
-    segs = _dealt(L.segments(pages).withColumn("n_segments", F.lit(1)), spark, sf_dir)
-    return L.classified(segs, L.body_size(_dealt(L.size_weights(pages), spark, sf_dir)))
+    pages = written(_pages(spark, sf_dir).select(*L.PAGE, L.segment_lists(F.col("r")).alias("s"), L.weight_lists(F.col("r")).alias("w")), "pages")  # read twice
+    segs = _dealt(pages.select(*L.PAGE, F.inline("s")).withColumn("n_segments", F.lit(1)), spark, sf_dir)
+    return L.classified(segs, L.body_size(_dealt(pages.select("doc_id", F.inline("w")), spark, sf_dir)))
 
 
 @query(_RUNS + _BODY + _SIZES + "select doc_id, s.size, least(3, list_position(list_transform(sizes, lambda x: abs(x - s.size) < 0.6), true))::bigint as level from sizes, unnest(sizes) s(size)")
@@ -231,7 +232,7 @@ def tight_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, page, line, segment::bigint as segment, md5(string_agg(lead || case when bold then '**' || core || '**' else core end, '' order by style)) as digest from m group by 1, 2, 3, 4""")
 def emphasized_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as Markdown with bold runs marked."""
-    e = L.emphasized(_pages(spark, sf_dir).withColumn("r", F.transform("r", lambda q: F.struct(*(q[c].alias(c) for c in L.RUN)))))
+    e = L.emphasized(_pages(spark, sf_dir), ("bold",))
     return e.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.col("segment").cast("long").alias("segment"), F.md5("text").alias("digest"))
 
 

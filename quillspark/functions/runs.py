@@ -22,6 +22,13 @@ def flat(pages: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray | pa.Array]]
     return np.repeat(np.arange(len(pages)), sizes), columns
 
 
+def paged(docs: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The document of every page, the pages' numbers and their runs; documents are lists of (page, runs)."""
+    sizes, pages = pc.fill_null(pc.list_value_length(docs), 0).to_numpy(zero_copy_only=False), docs.flatten()
+    number, runs = pages.flatten()
+    return np.repeat(np.arange(len(docs)), sizes), number.to_numpy(zero_copy_only=False), runs
+
+
 def taken(columns: dict, order: np.ndarray) -> dict:
     return {name: c.take(pa.array(order)) if isinstance(c, pa.Array) else c[order] for name, c in columns.items()}
 

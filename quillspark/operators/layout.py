@@ -86,6 +86,16 @@ def line_boxes(paged: DataFrame) -> DataFrame:
 _SEGMENT = {"line": _INT, "segment": _INT, "x0": _REAL, "x1": _REAL, "y": _REAL, "size": _REAL, "bold": _FLAG, "text": _TEXT}
 
 
+def _found_segments(own: pa.Array, gap: float) -> tuple[np.ndarray, dict]:
+    """The page of every segment, and the columns of _SEGMENT."""
+    c = _segmented(own, gap)
+    at = np.flatnonzero(c["cuts"])
+    pieces = R.spaced(c["text"], c["x"], c["end"], c["size"], c["cuts"])
+    found = {"line": c["line"][at], "segment": c["segment"][at], "y": R.upper_median(c["y"], at), "size": R.upper_median(c["size"], at), "text": R.collapsed(R.joined(pieces, at, ""))}
+    folds = {"x0": (np.minimum, c["x"]), "x1": (np.maximum, c["end"]), "bold": (np.logical_and, c["bold"].astype(bool))}
+    return c["page"][at], found | {name: f.reduceat(values, at) if len(at) else values for name, (f, values) in folds.items()}
+
+
 def segment_lists(runs: Column, gap: float = 1.6) -> Column:
     """A page's segments (line, segment, x0, x1, y, size, bold, text), an array: a line is cut ``gap`` sizes behind all runs before.
 
@@ -95,13 +105,8 @@ def segment_lists(runs: Column, gap: float = 1.6) -> Column:
     @F.arrow_udf("array<struct<line: int, segment: int, x0: double, x1: double, y: double, size: double, bold: boolean, text: string>>")
     @sliced
     def find(own: pa.Array) -> pa.Array:
-        c = _segmented(own, gap)
-        at = np.flatnonzero(c["cuts"])
-        pieces = R.spaced(c["text"], c["x"], c["end"], c["size"], c["cuts"])
-        found = {"line": c["line"][at], "segment": c["segment"][at], "y": R.upper_median(c["y"], at), "size": R.upper_median(c["size"], at), "text": R.collapsed(R.joined(pieces, at, ""))}
-        folds = {"x0": (np.minimum, c["x"]), "x1": (np.maximum, c["end"]), "bold": (np.logical_and, c["bold"].astype(bool))}
-        found |= {name: f.reduceat(values, at) if len(at) else values for name, (f, values) in folds.items()}
-        return R.listed(c["page"][at], len(own), found, _SEGMENT)
+        page, found = _found_segments(own, gap)
+        return R.listed(page, len(own), found, _SEGMENT)
 
     return find(runs)
 
@@ -177,6 +182,15 @@ def table_rows(placed: DataFrame, key: list[str]) -> DataFrame:
     return g.select(*key, "line", "column", F.array_join(F.col("t.text"), " ").alias("text"))
 
 
+def _weighed(group: np.ndarray, n: int, c: dict) -> pa.Array:
+    """The sizes of runs to the half point with their weights, for each of ``n`` groups."""
+    size, weight = np.floor(c["size"] * 2 + 0.5) / 2, np.minimum(pc.fill_null(pc.utf8_length(c["text"]), 0).to_numpy(zero_copy_only=False), 20)
+    order = np.lexsort((size, group))
+    at = np.flatnonzero(R.changes(group[order], size[order]))
+    total = np.add.reduceat(weight[order].astype(np.int64), at) if len(at) else weight
+    return R.listed(group[order][at], n, {"size": size[order][at], "weight": total}, {"size": _REAL, "weight": pa.int64()})
+
+
 def weight_lists(runs: Column) -> Column:
     """The sizes of a page to the half point with their weights, an array of (size, weight): a run counts for up to 20 characters."""
 
@@ -184,11 +198,7 @@ def weight_lists(runs: Column) -> Column:
     @sliced
     def weigh(own: pa.Array) -> pa.Array:
         page, c = R.flat(own)
-        size, weight = np.floor(c["size"] * 2 + 0.5) / 2, np.minimum(pc.fill_null(pc.utf8_length(c["text"]), 0).to_numpy(zero_copy_only=False), 20)
-        order = np.lexsort((size, page))
-        at = np.flatnonzero(R.changes(page[order], size[order]))
-        total = np.add.reduceat(weight[order].astype(np.int64), at) if len(at) else weight
-        return R.listed(page[order][at], len(own), {"size": size[order][at], "weight": total}, {"size": _REAL, "weight": pa.int64()})
+        return _weighed(page, len(own), c)
 
     return weigh(runs)
 
@@ -231,10 +241,46 @@ def heading_levels(blocks: DataFrame, body: DataFrame) -> DataFrame:
 
 def classified(blocks: DataFrame, body: DataFrame) -> DataFrame:
     """Adds kind (heading, list, paragraph), level, marker and ordered to blocks of text, size, bold and n_segments."""
-    joined = blocks.join(body, "doc_id", "left").withColumn("body", F.when(F.col("doc_id").isNotNull(), F.coalesce("body", F.lit(11.0))))
-    base, half = F.col("body"), _half(F.col("size"))
-    sizes = F.collect_set(F.when(half >= base * 1.15, half)).over(Window.partitionBy("doc_id"))  # as heading_sizes, without a second look at the blocks
-    joined = joined.withColumn("sizes", F.sort_array(sizes, asc=False))
+    joined = blocks.join(body, "doc_id", "left").withColumn("body", _known_body())
+    half = _half(F.col("size"))
+    sizes = F.collect_set(F.when(half >= F.col("body") * 1.15, half)).over(Window.partitionBy("doc_id"))  # as heading_sizes, without a second look at the blocks
+    return _kinds(joined.withColumn("sizes", F.sort_array(sizes, asc=False)))
+
+
+def _known_body() -> Column:
+    """Bodies of 11 where unknown; rows without a document have none."""
+    return F.when(F.col("doc_id").isNotNull(), F.coalesce("body", F.lit(11.0)))
+
+
+def classified_segments(docs: DataFrame, gap: float = 1.6) -> DataFrame:
+    """Segments of documents (doc_id, pages: an array of page and its runs r) as classified blocks: as ``classified``, with page, line and segment.
+
+    A document is a row until it is known which size is its body's, so that neither segments nor weights of sizes are shuffled or written.
+    """
+    kinds = ", ".join(f"{c}: {kind}" for c, kind in (("page", "int"), ("line", "int"), ("segment", "int"), ("size", "double"), ("bold", "boolean"), ("text", "string")))
+
+    @F.arrow_udf(f"struct<s: array<struct<{kinds}>>, w: array<struct<size: double, weight: bigint>>>")
+    @sliced
+    def find(own: pa.Array) -> pa.Array:
+        of, number, runs = R.paged(own)
+        page, found = _found_segments(runs, gap)
+        segs = R.listed(of[page], len(own), found | {"page": number[page]}, {"page": _INT} | {c: _SEGMENT[c] for c in ("line", "segment", "size", "bold", "text")})
+        run_page, c = R.flat(runs)
+        return pa.StructArray.from_arrays([segs, _weighed(of[run_page], len(own), c)], ["s", "w"])
+
+    weight = lambda of: F.aggregate("w", F.lit(0).cast("bigint"), lambda total, e: total + of(e))
+    upto = lambda size: weight(lambda e: F.when(e["size"] <= size, e["weight"]).otherwise(0))
+    found = docs.select("doc_id", find("pages").alias("d")).select("doc_id", F.col("d.s").alias("s"), F.col("d.w").alias("w"))
+    middle = F.floor(weight(lambda e: e["weight"]) / 2)
+    sized = found.withColumn("middle", middle).withColumn("body", F.array_min(F.filter("w.size", lambda size: upto(size) > F.col("middle"))))
+    known = sized.select("doc_id", "s", _known_body().alias("body"))
+    large = F.filter(F.transform("s.size", _half), lambda size: size >= F.col("body") * 1.15)
+    rows = known.select("doc_id", "body", F.sort_array(F.array_distinct(large), asc=False).alias("sizes"), "s").select("doc_id", "body", "sizes", F.inline("s"))
+    return _kinds(rows.withColumn("n_segments", F.lit(1)))
+
+
+def _kinds(joined: DataFrame) -> DataFrame:
+    base = F.col("body")
     listed = F.col("text").rlike(BULLET)
     large = F.col("size") >= base * 1.15
     short = (F.col("n_segments") <= 3) & (F.length("text") < 160) & ~F.col("text").rlike("[.:;,]$")

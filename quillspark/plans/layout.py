@@ -9,8 +9,7 @@ from quillspark.operators import editor as E
 from quillspark.operators import layout as L
 from quillspark.operators.tables import blocks_of, pages_layout, tables_of
 from quillspark.plans.registry import query
-from quillspark.sources.shared import written
-from quillspark.sources.tables import DEALT_BYTES, doc_lines, page_runs, partitions, read, runs
+from quillspark.sources.tables import DEALT_BYTES, doc_lines, document_runs, page_runs, partitions, read, runs
 
 _RUNS = r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
 w as (select doc_id, line_no, case when line_no % 7 = 0 then 16.0 else 11.0 end::double as size, list_filter(string_split(t, ' '), lambda x: x <> '') as ws from l where t <> ''),
@@ -108,9 +107,7 @@ blocks as (select doc_id, page, line, segment, kind, case when kind = 'heading'
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as blocks, classified."""
-    pages = written(_pages(spark, sf_dir).select(*L.PAGE, L.segment_lists(F.col("r")).alias("s"), L.weight_lists(F.col("r")).alias("w")), "pages")  # read twice
-    segs = _dealt(pages.select(*L.PAGE, F.inline("s")).withColumn("n_segments", F.lit(1)), spark, sf_dir)
-    return L.classified(segs, L.body_size(_dealt(pages.select("doc_id", F.inline("w")), spark, sf_dir)))
+    return L.classified_segments(document_runs(spark, sf_dir, partitions(read(spark, sf_dir, "documents"), "text")))
 
 
 @query(_RUNS + _BODY + _SIZES + "select doc_id, s.size, least(3, list_position(list_transform(sizes, lambda x: abs(x - s.size) < 0.6), true))::bigint as level from sizes, unnest(sizes) s(size)")
@@ -134,7 +131,7 @@ def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, md5(rtrim(regexp_replace(string_agg(piece, '' order by n), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) || chr(10)) as digest from p group by 1""")
 def documents_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of every document."""
-    md = L.markdown(_blocks(spark, sf_dir), "doc_id", ["page", "line", "segment"])
+    md = L.markdown(_dealt(_blocks(spark, sf_dir), spark, sf_dir), "doc_id", ["page", "line", "segment"])
     return md.select("doc_id", F.md5("markdown").alias("digest"))
 
 

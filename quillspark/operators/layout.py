@@ -35,6 +35,11 @@ def pages(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*PAGE).agg(F.collect_list(F.struct(*RUN[:-1], *flags)).alias("r"))
 
 
+def _rows(paged: DataFrame, found: Column) -> DataFrame:
+    """What an Arrow function finds on pages, as rows.  Under a generator its argument would leave Python, runs and all, and come back."""
+    return paged.select(*PAGE, found.alias("found")).select(*PAGE, F.inline("found"))
+
+
 def _lined(own: pa.Array) -> dict:
     """The columns of runs in order of page, line, x, run_no, with page, line, line_size, end and where lines begin."""
     page, c = R.flat(own)
@@ -332,7 +337,7 @@ def chained_pages(paged: DataFrame, band: float = 0.6) -> DataFrame:
         found["y"] = found["y"] / np.diff(at, append=len(page))
         return R.listed(page[at], len(own), found, {"line": _INT, "y": _REAL, "size": _REAL, "x": _REAL, "text": _TEXT})
 
-    return paged.select(*PAGE, F.inline(find("r")))
+    return _rows(paged, find(F.col("r")))
 
 
 def chained_lines(runs: DataFrame, band: float = 0.6) -> DataFrame:

@@ -85,7 +85,7 @@ def line_boxes(paged: DataFrame) -> DataFrame:
         found |= {"x0": np.minimum.reduceat(c["x"], at), "x1": np.maximum.reduceat(c["end"], at)} if len(at) else {"x0": c["x"], "x1": c["x"]}
         return R.listed(c["page"][at], len(own), found, {"line": _INT, "n_runs": pa.int64(), "x0": _REAL, "x1": _REAL, "y": _REAL, "size": _REAL})
 
-    return paged.select(*PAGE, F.inline(find("r")))
+    return _rows(paged, find(F.col("r")))
 
 
 _SEGMENT = {"line": _INT, "segment": _INT, "x0": _REAL, "x1": _REAL, "y": _REAL, "size": _REAL, "bold": _FLAG, "text": _TEXT}
@@ -118,7 +118,7 @@ def segment_lists(runs: Column, gap: float = 1.6) -> Column:
 
 def segments(paged: DataFrame, gap: float = 1.6) -> DataFrame:
     """One row per segment (see segment_lists)."""
-    return paged.select(*PAGE, F.inline(segment_lists(F.col("r"), gap)))
+    return _rows(paged, segment_lists(F.col("r"), gap))
 
 
 def style_runs(paged: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def style_runs(paged: DataFrame) -> DataFrame:
         found = {"style": R.places(begins, c["cuts"])[at], "text": R.joined(c["text"], at, " ")} | {name: c[name][at] for name in ("line", "segment", "bold")}
         return R.listed(c["page"][at], len(own), found, {"line": _INT, "segment": _INT, "style": _INT, "bold": _FLAG, "text": _TEXT})
 
-    return paged.select(*PAGE, F.inline(find("r")))
+    return _rows(paged, find(F.col("r")))
 
 
 def emphasis(text: Column, bold: Column, italic: Column, mono: Column) -> Column:
@@ -161,7 +161,7 @@ def emphasized(paged: DataFrame, styles: tuple[str, ...] = ("bold", "italic", "m
         told = R.joined(R.emphasis(text, *(f[at] for f in flags)), np.flatnonzero(c["cuts"][at]), "")
         return R.listed(c["page"][cut], len(own), {"line": c["line"][cut], "segment": c["segment"][cut], "text": R.collapsed(told)}, {"line": _INT, "segment": _INT, "text": _TEXT})
 
-    return paged.select(*PAGE, F.inline(find("r")))
+    return _rows(paged, find(F.col("r")))
 
 
 def merged_spans(spans: DataFrame, key: list[str]) -> DataFrame:

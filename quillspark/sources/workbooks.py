@@ -1,7 +1,8 @@
 """Workbooks (.xlsx): written from cells and read back as cells.
 
 Only packing and unpacking of the zip needs Python, in Arrow batches; the XML is built and taken apart by SQL functions.
-A workbook is one file, so that its rows are gathered when it is written; sheets of more than MOST_CELLS cells are refused.
+A workbook is one file, so that its rows are gathered when it is written.  Only cells that are there are written, so that a
+sheet costs what it holds, wherever its cells are.
 """
 
 from __future__ import annotations
@@ -72,13 +73,14 @@ def _packed(books: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def workbooks(cells: DataFrame, key: list[str], sheet: str | None = None, name: str | None = None) -> DataFrame:
+def workbooks(cells: DataFrame, key: list[str], sheet: str | None = None, name: str | None = None, most: int | None = MOST_CELLS) -> DataFrame:
     """(key, content, error): one workbook for the cells (row, col from 0, number or else text, style if there is one) of every key.
 
     ``sheet`` is a column that orders the sheets of a workbook and ``name`` one with their names, the same in all cells of
     a sheet (the least is taken; the sheet's number where it is null); without them there is one sheet, Sheet1.  ``style``
     is one of STYLES.  Columns are as wide as their longest value and two characters more, within limits.  A workbook with
-    a sheet that is too large has an error and no content; its lines are not gathered.
+    a sheet whose rows and columns span more than ``most`` cells has an error and no content, as dense_rows refuses it; with
+    None every workbook is written.
     """
     own = F.col(name).cast("string") if name else F.lit(None).cast("string")
     style = F.col("style") if "style" in cells.columns else F.lit(None).cast("string")
@@ -89,11 +91,13 @@ def workbooks(cells: DataFrame, key: list[str], sheet: str | None = None, name:
     plain = F.regexp_replace(F.coalesce(F.col("number").try_cast("decimal(38,10)").cast("string"), F.col("number").cast("string")), r"\.?0+$", "")
     cells = cells.withColumns({"__sheet": F.col(sheet) if sheet else F.lit(1), "__name": own})
     of_sheet = [*key, "__sheet"]
-    size = cells.groupBy(*of_sheet).agg(((F.max("row") + 1).cast("long") * (F.max("col") + 1)).alias("n_cells")).groupBy(*key).agg(F.max("n_cells").alias("n_cells"))
-    size = size.select(*key, F.when(F.col("n_cells") > MOST_CELLS, TOO_LARGE).alias("error"))
     # cells are dealt by workbook as numbers and texts, once: what is told of rows, columns and sheets is all grouped by it first
     parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // CELLS))
-    dealt = cells.repartition(parts, *key).join(size.where("error is null").select(*key).repartition(parts, *key), key, "left_semi")
+    dealt = cells.repartition(parts, *key)
+    if most is not None:
+        size = cells.groupBy(*of_sheet).agg(((F.max("row") + 1).cast("long") * (F.max("col") + 1)).alias("n_cells")).groupBy(*key).agg(F.max("n_cells").alias("n_cells"))
+        size = size.select(*key, F.when(F.col("n_cells") > most, TOO_LARGE).alias("error"))
+        dealt = dealt.join(size.where("error is null").select(*key).repartition(parts, *key), key, "left_semi")
     width = F.least(F.greatest(F.coalesce(F.max(F.length(F.coalesce("text", F.when(F.col("number").isNotNull(), plain)))).over(Window.partitionBy(*of_sheet, "col")), F.lit(0)) + 2, F.lit(LEAST_WIDTH)), F.lit(MOST_WIDTH))
     kept = dealt.withColumn("width", width).select(*of_sheet, "__name", "row", "col", "width", F.coalesce(number, text).alias("xml"))
     rows = kept.groupBy(*of_sheet, "row").agg(
@@ -107,6 +111,8 @@ def workbooks(cells: DataFrame, key: list[str], sheet: str | None = None, name:
     called = escape_xml(F.left(F.coalesce("__name", F.concat(F.lit("Sheet"), F.col("__sheet").cast("string"))), F.lit(MOST_NAME)))
     books = sheets.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__sheet", called.alias("name"), body.alias("xml")))).alias("s"))
     written = books.select(*key, _packed(F.transform("s", lambda s: F.struct(s["name"].alias("name"), s["xml"].alias("xml")))).alias("content"), F.lit(None).cast("string").alias("error"))
+    if most is None:
+        return written
     return written.unionByName(size.where("error is not null").select(*key, F.lit(None).cast("binary").alias("content"), "error"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from test_sql_rules import _compared
 
 ORDERS = [(1, 10, 5.25, "LOW", "O", "1996-01-02"), (2, 20, 1.0, "HIGH", "F", "1994-02-03"), (30_000_000, 20, 250000.5, "LOW", "F", "1995-03-04"), (30_000_001, 20, 0.0, "HIGH", "P", "1996-01-02")]
-ROWS = {"workbook_formats": 12, "workbook_round_trip": 9}
+ROWS = {"workbook_formats": 12, "workbook_round_trip": 9, "workbook_widths": 8}
 
 
 @pytest.mark.parametrize("name", sorted(ROWS))

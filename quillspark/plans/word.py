@@ -9,17 +9,17 @@ from pyspark.sql.window import Window
 from quillspark.plans.registry import query
 from quillspark.sources import word as W
 from quillspark.sources.shared import shared_dir
-from quillspark.sources.tables import doc_lines, read
+from quillspark.sources.tables import doc_lines, partitions, read
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _blocks(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
     """Lines as blocks: by turns a heading, a paragraph, a bullet, a numbered item, a table of two rows, a paragraph."""
     n, k = F.col("line_no"), F.col("line_no") % 6
     turn = F.floor(n / 6).cast("int")
     first = F.regexp_extract("text", "^[^ ]* ?", 0)
     size = F.when(k == 0, 16.0).otherwise(11.0)
     run = lambda text, bold, italic: F.struct(text.alias("text"), F.lit(bold).alias("bold"), italic.alias("italic"), F.lit(False).alias("mono"), (turn % 2 == 1).alias("serif"), size.alias("size"))
-    return doc_lines(spark, sf_dir).where("text <> ''").select(
+    return doc_lines(spark, sf_dir, parts).where("text <> ''").select(
         "doc_id", "line_no", F.when(k == 0, "heading").when(k.isin(2, 3), "list").when(k == 4, "table").otherwise("paragraph").alias("kind"), (turn % 3 + 1).alias("level"),
         F.element_at(F.array(*map(F.lit, ("left", "right", "center", "justify"))), turn % 4 + 1).alias("align"), (k == 3).alias("ordered"), F.concat((n + 1).cast("string"), F.lit(".")).alias("marker"),
         F.array(run(first, True, F.lit(False)), run(F.expr("substring(text, length(regexp_extract(text, '^[^ ]* ?', 0)) + 1)"), False, n % 2 == 0)).alias("runs"),
@@ -27,6 +27,17 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags and texts of all documents written as Word files and read back.
+
+    Documents are dealt twice, as texts and as XML, by the bytes of their texts: a file is some fifteen times its text and
+    its tags many times that, so that a partition must not hold more of them as the table grows.
+    """
+    parts = partitions(read(spark, sf_dir, "documents"), "text")
+    files = W.word_files(_blocks(spark, sf_dir, parts), ["doc_id"], "line_no")
+    return W.word_tokens(W.word_parts(files, ["doc_id"], parts=parts), ["doc_id"])
+
+
 _LINES = """with s as (select doc_id, string_split(text, chr(10)) as t from documents), every as (select doc_id, unnest(t) as text, unnest(range(0, len(t))) as line_no from s),
     l as (select *, line_no % 6 as k, line_no // 6 as turn, row_number() over w - 1 as n, count(*) filter (line_no % 6 = 4) over (w rows between unbounded preceding and 1 preceding) as nt,
       coalesce(sum(case line_no % 6 when 3 then 3 when 4 then 4 else 2 end) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as nr from every where text <> '' window w as (partition by doc_id order by line_no)),
@@ -39,8 +50,7 @@ _LINES = """with s as (select doc_id, string_split(text, chr(10)) as t from docu
     md5(case when k = 4 then case j when 1 then 'no' when 2 then 'text' when 3 then line_no::varchar when 4 then text else '' end when k = 3 then (line_no + 1) || '.' || chr(9) || text else text end) as digest from p""")
 def word_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs, also those in cells, of all documents written as Word files and read back."""
-    tokens = W.word_tokens(W.word_parts(W.word_files(_blocks(spark, sf_dir), ["doc_id"], "line_no"), ["doc_id"]), ["doc_id"])
-    found = W.word_paragraphs(tokens, ["doc_id"])
+    found = W.word_paragraphs(_tokens(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", "p", "block", "in_table", "row", "cell", "style", "level", "align", "before", "after", F.md5("text").alias("digest"))
 
 
@@ -52,15 +62,13 @@ def word_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, p::bigint as p, run::bigint as run, md5(text) as digest, bold, italic, size::double as size, color from r where text <> ''""")
 def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all documents written as Word files and read back."""
-    tokens = W.word_tokens(W.word_parts(W.word_files(_blocks(spark, sf_dir), ["doc_id"], "line_no"), ["doc_id"]), ["doc_id"])
-    return W.word_runs(tokens, ["doc_id"]).select("doc_id", "p", "run", F.md5("text").alias("digest"), "bold", "italic", "size", "color")
+    return W.word_runs(_tokens(spark, sf_dir), ["doc_id"]).select("doc_id", "p", "run", F.md5("text").alias("digest"), "bold", "italic", "size", "color")
 
 
 @query(_LINES + """select doc_id, (n + nt)::bigint as block, (nt * 2 + (j + 1) // 2)::bigint as row, (nt * 4 + j)::bigint as cell, null::varchar as fill, 'BFBFBF' as border, 0.5::double as border_width from p where k = 4 and j < 5""")
 def word_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the tables of all documents written as Word files and read back."""
-    tokens = W.word_tokens(W.word_parts(W.word_files(_blocks(spark, sf_dir), ["doc_id"], "line_no"), ["doc_id"]), ["doc_id"])
-    return W.word_cells(tokens, ["doc_id"])
+    return W.word_cells(_tokens(spark, sf_dir), ["doc_id"])
 
 
 @query("""with o as (select o_custkey, o_orderkey, case when o_orderkey % 3 = 0 then o_orderkey % 30 + 6.0 + 0.5 * (o_orderkey % 2) end as size, case o_orderkey % 4 when 0 then true when 1 then false end as bold from orders)

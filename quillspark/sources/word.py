@@ -142,9 +142,14 @@ def _unpacked(files: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([(n, pa.string()) for n in ("error", "document", "styles", "rels")]))
 
 
-def word_parts(files: DataFrame, key: list[str], content: str = "content") -> DataFrame:
-    """(key, error, document, styles, rels): the XML of the files' parts; an error for files that are no Word documents."""
-    return files.select(*key, _unpacked(F.col(content)).alias("part")).select(*key, "part.*")
+def word_parts(files: DataFrame, key: list[str], content: str = "content", parts: int | None = None) -> DataFrame:
+    """(key, error, document, styles, rels): the XML of the files' parts; an error for files that are no Word documents.
+
+    Documents are dealt to ``parts`` partitions, where it is given: what comes from Python has lost its partitioning, and
+    else their tags, many times as large, are shuffled.
+    """
+    found = files.select(*key, _unpacked(F.col(content)).alias("part")).select(*key, "part.*")
+    return found.repartition(parts, *key) if parts else found
 
 
 _COUNTED = {"p": "p", "r": "run", "tr": "row", "tc": "cell"}
@@ -191,6 +196,16 @@ def _on(name: str, where: Column) -> Column:
 _HEX = "([0-9A-Fa-f]{6})"
 
 
+def _of_paragraph() -> Column:
+    return F.expr("p > 0 and (in_tbl = 0 or in_tbl > 0 and cell > 0)")
+
+
+def _level() -> Column:
+    """The level of a heading by its ``style``; null for others."""
+    heading = F.nullif(F.regexp_extract("style", r"(?i)^Heading(\d+)$", 1), F.lit("")).try_cast("int")
+    return F.when(heading.isNotNull(), heading).when(F.lower("style").contains("title"), 1)
+
+
 def word_paragraphs(tokens: DataFrame, key: list[str]) -> DataFrame:
     """Paragraphs in order: block, in_table, row, cell, p, style, level (null: no heading), align, space before and after, looks, breaks and text.
 
@@ -199,35 +214,40 @@ def word_paragraphs(tokens: DataFrame, key: list[str]) -> DataFrame:
     ppr = (F.col("in_pPr") > 0) & ~F.col("shut")
     of = lambda n: ppr & (F.col("name") == n)
     text = F.array_join(F.sort_array(F.collect_list(F.when((F.col("in_t") > 0) & (F.col("in_r") > 0) & ~F.col("token").startswith("<"), F.struct("pos", unescape_xml(F.col("token")).alias("t")))))["t"], "")
-    g = tokens.where("p > 0 and (in_tbl = 0 or in_tbl > 0 and cell > 0)").groupBy(*key, "p").agg(
+    g = tokens.where(_of_paragraph()).groupBy(*key, "p").agg(
         F.min("block").alias("block"), F.min_by(F.col("in_tbl") > 0, "pos").alias("in_table"), F.min_by("row", "pos").alias("row"), F.min_by("cell", "pos").alias("cell"),
         F.coalesce(_first(of("pStyle"), _value()), F.lit("")).alias("style"), F.lower(_first(of("jc"), _value())).alias("jc"), _points(of("spacing"), r"w:before").alias("before"), _points(of("spacing"), r"w:after").alias("after"),
         F.upper(_first(of("shd"), _value("w:fill", _HEX))).alias("fill"), F.max(of("pBdr")).alias("bordered"), F.upper(_first((F.col("in_pBdr") > 0) & ppr, _value("w:color", _HEX))).alias("edge"),
         F.coalesce(F.max(of("pageBreakBefore")), F.lit(False)).alias("break_before"), F.coalesce(F.bool_or((F.col("name") == "br") & F.coalesce(_value("w:type") == "page", F.lit(False))), F.lit(False)).alias("page_break"), text.alias("text"),
     )
-    heading = F.nullif(F.regexp_extract("style", r"(?i)^Heading(\d+)$", 1), F.lit("")).try_cast("int")
-    level = F.when(heading.isNotNull(), heading).when(F.lower("style").contains("title"), 1)
     named = F.lower("style").contains("callout")
     align = F.when(F.col("jc").isin("center", "right"), F.col("jc")).when(F.col("jc").isin("both", "justify"), "justify").otherwise("left")
     return g.select(
-        *key, "block", "in_table", F.when(F.col("in_table"), F.col("row")).alias("row"), F.when(F.col("in_table"), F.col("cell")).alias("cell"), "p", "style", level.alias("level"), align.alias("align"),
+        *key, "block", "in_table", F.when(F.col("in_table"), F.col("row")).alias("row"), F.when(F.col("in_table"), F.col("cell")).alias("cell"), "p", "style", _level().alias("level"), align.alias("align"),
         F.coalesce("before", F.lit(0.0)).alias("before"), F.coalesce("after", F.lit(SPACE_AFTER)).alias("after"), (named | F.col("fill").isNotNull() | F.coalesce("bordered", F.lit(False))).alias("callout"),
         F.coalesce("fill", F.when(named, CALLOUT)).alias("background"), F.coalesce("edge", F.when(named, CALLOUT_BORDER)).alias("border"), "break_before", "page_break", "text",
     )
 
 
 def word_runs(tokens: DataFrame, key: list[str]) -> DataFrame:
-    """Runs with text in order: p, run, text, bold, italic, size and color, by the run and the kind of its paragraph."""
-    rpr = (F.col("in_rPr") > 0) & (F.col("in_pPr") == 0)
-    text = F.array_join(F.sort_array(F.collect_list(F.when((F.col("in_t") > 0) & ~F.col("token").startswith("<"), F.struct("pos", unescape_xml(F.col("token")).alias("t")))))["t"], "")
+    """Runs with text in order: p, run, text, bold, italic, size and color, by the run and the kind of its paragraph.
+
+    The style of a paragraph is told by a window over its runs, so that tags are made and sorted once.
+    """
+    own, part = F.col("in_r") > 0, _of_paragraph()
+    rpr = own & (F.col("in_rPr") > 0) & (F.col("in_pPr") == 0)
+    text = F.array_join(F.sort_array(F.collect_list(F.when(own & (F.col("in_t") > 0) & ~F.col("token").startswith("<"), F.struct("pos", unescape_xml(F.col("token")).alias("t")))))["t"], "")
     of = lambda n: rpr & (F.col("name") == n) & ~F.col("shut")
-    runs = tokens.where("in_r > 0").groupBy(*key, "p", "run").agg(
+    style = part & (F.col("in_pPr") > 0) & ~F.col("shut") & (F.col("name") == "pStyle") & _value().isNotNull()
+    pieces = tokens.where("p > 0").groupBy(*key, "p", "run").agg(
         text.alias("text"), _on("b", rpr).alias("bold"), _on("i", rpr).alias("italic"), _points(of("sz"), "w:val", 2.0).alias("size"), F.upper(_first(of("color"), _value("w:val", _HEX))).alias("color"),
-    ).where("text <> ''")
-    level = word_paragraphs(tokens, key).select(*key, "p", "level")
+        F.max(part).alias("part"), F.min(F.when(style, F.struct("pos", _value().alias("style")))).alias("style"),
+    )
+    w = Window.partitionBy(*key, "p")
+    told = pieces.withColumns({"part": F.max("part").over(w), "style": F.coalesce(F.min("style").over(w)["style"], F.lit(""))}).where("part and text <> ''").withColumn("level", _level())
     usual = F.when(F.col("level") == 1, TITLE_SIZE).when(F.col("level").isNotNull(), HEADING_SIZE).otherwise(BODY_SIZE)
     color = F.coalesce("color", F.when(F.col("level").isNotNull(), HEADING_COLOR))
-    return runs.join(level, [*key, "p"]).select(*key, "p", "run", "text", "bold", "italic", F.coalesce("size", usual).alias("size"), color.alias("color"))
+    return told.select(*key, "p", "run", "text", "bold", "italic", F.coalesce("size", usual).alias("size"), color.alias("color"))
 
 
 def word_cells(tokens: DataFrame, key: list[str]) -> DataFrame:

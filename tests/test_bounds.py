@@ -125,3 +125,14 @@ def test_pages_of_html_are_parsed_by_slices(spark):
     assert "MapInPandas" not in blocks._jdf.queryExecution().executedPlan().toString()
     assert blocks.groupBy("kind", "level", "text").count().orderBy("kind").collect() == [("heading", 1, "A", 20_000), ("paragraph", 0, "b c", 20_000)]
     assert blocks.agg(F.max("block")).first()[0] == 399
+
+
+def test_word_files_are_dealt_by_their_texts_and_tags_made_once(spark, sf_dir, monkeypatch):
+    """Text and XML of documents are shuffled, each once and to partitions by the bytes of texts; tags are not, and are made once."""
+    monkeypatch.setattr(tables, "TEXT_BYTES", 10_000)
+    n = tables.partitions(tables.read(spark, sf_dir, "documents"), "text")
+    for name in ("word_paragraphs", "word_runs", "word_cells"):
+        found = QUERIES[name](spark, sf_dir)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert _shuffles(found) == 2 and plan.count("Generate posexplode(regexp_extract_all") == 1, name
+        assert found.rdd.getNumPartitions() == n, name

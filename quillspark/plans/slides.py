@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import colors as K
 from quillspark.plans.registry import query
 from quillspark.sources import slides as S
+from quillspark.sources.shared import written
 from quillspark.sources.tables import read
 
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -34,6 +35,7 @@ def _xml(*pieces: str | Column) -> Column:
 
 
 def _decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of every nation's deck."""
     k = F.col("c_custkey")
     text = lambda c: F.replace(F.col(c), F.lit("&"), F.lit("&amp;"))
     title = _xml(
@@ -50,7 +52,8 @@ def _decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     slide = _xml(f'<p:sld {_NS}><p:cSld><p:spTree><p:nvGrpSpPr><p:cNvPr id="1" name=""/></p:nvGrpSpPr>', title, body, box, "</p:spTree></p:cSld></p:sld>")
     n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("deck"), n.alias("n"), slide.alias("xml"))
+    numbered = read(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name", "c_mktsegment", n.alias("n"))  # numbered before it is XML
+    rows = numbered.select(F.col("c_nationkey").cast("long").alias("deck"), "n", slide.alias("xml"))
     part = lambda name, xml: F.struct(name.alias("part"), xml.alias("xml"))
     own = F.array(part(_xml("ppt/slides/slide", F.col("n"), ".xml"), F.col("xml")), part(_xml("ppt/slides/_rels/slide", F.col("n"), ".xml.rels"), F.lit(_LINK("slideLayout", "../slideLayouts/./slideLayout1.xml"))))
     ids = F.array_join(F.transform(F.reverse(F.sequence(F.lit(1), F.col("m"))), lambda i: _xml('<p:sldId id="', i + 255, '" r:id="rId', i, '"/>')), "")
@@ -61,7 +64,12 @@ def _decks(spark: SparkSession, sf_dir: str) -> DataFrame:
         part(F.lit("ppt/presentation.xml"), _xml(f"<p:presentation {_NS}><p:sldIdLst>", ids, f"</p:sldIdLst>{styles}</p:presentation>")), part(F.lit("ppt/_rels/presentation.xml.rels"), _xml("<Relationships>", links, "</Relationships>")),
         *(part(F.lit(name), F.lit(xml)) for name, xml in _FIXED.items()),
     )
-    return S.packages(rows.select("deck", F.inline(own)).unionByName(deck.select("deck", F.inline(whole))), ["deck"])
+    return rows.select("deck", F.inline(own)).unionByName(deck.select("deck", F.inline(whole)))
+
+
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of all decks, written as packages and read back; kept, as they are looked at several times."""
+    return written(S.written_and_read(_decks(spark, sf_dir), ["deck"]), "parts")
 
 
 _ACCENTS = ["0A0B0C", "102030", S.THEME["accent3"], S.THEME["accent4"], S.THEME["accent5"], S.THEME["accent6"]]
@@ -75,8 +83,8 @@ _SLIDES = "with c as (select *, c_nationkey::bigint as deck, c_custkey as k, row
     union all select deck, slide, 3, 'Box', false, null, k % 7 * 10, 5, 100, 20, k % 4 * 90, k % 2 = 1, '1A2B3C', 0.5, k::varchar from c""")
 def slide_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes of all slides with the place and fill that they have or inherit."""
-    parts = S.slide_parts(_decks(spark, sf_dir), ["deck"])
-    return S.resolved_shapes(parts, S.slide_tokens(parts, ["deck"]), ["deck"]).select("deck", F.col("slide").cast("long").alias("slide"), "shape", "name", "hidden", "ph_type", "x", "y", "w", "h", "rotation", "flip_h", "color", "alpha", "text")
+    parts = _read(spark, sf_dir)
+    return S.resolved_shapes(parts, S.dealt_tokens(parts, ["deck"]), ["deck"]).select("deck", F.col("slide").cast("long").alias("slide"), "shape", "name", "hidden", "ph_type", "x", "y", "w", "h", "rotation", "flip_h", "color", "alpha", "text")
 
 
 @query(_SLIDES + """select deck, slide, 1::bigint as shape, 1::int as level, c_name as text, case when k % 4 = 0 then 30 + k % 5 else 44 end::double as size, true as bold, true as italic, '+mj-lt' as face, 'ctr' as align from c
@@ -84,8 +92,8 @@ def slide_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select deck, slide, 3, 1, k::varchar, 15, false, true, null, 'r' from c""")
 def slide_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all slides with the looks that they have or inherit by level."""
-    parts = S.slide_parts(_decks(spark, sf_dir), ["deck"])
-    found = S.resolved_runs(parts, S.slide_tokens(parts, ["deck"]), ["deck"])
+    parts = _read(spark, sf_dir)
+    found = S.resolved_runs(parts, S.dealt_tokens(parts, ["deck"]), ["deck"])
     return found.select("deck", F.col("slide").cast("long").alias("slide"), "shape", "level", "text", "size", "bold", "italic", "face", "align")
 
 

@@ -9,8 +9,11 @@ placeholder of its layout, then of its master: left joins by the kind of placeho
 from __future__ import annotations
 
 import io
+import tempfile
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +24,8 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from quillspark.functions.colors import hexadecimal, rgb, transformed
 from quillspark.functions.slices import SLICE, sliced
 from quillspark.functions.text import unescape_xml
+from quillspark.sources.shared import written
+from quillspark.sources.tables import partitions
 
 # Units in a point, the usual page, and the text size and theme where a file has none.
 EMU, PAGE, TEXT_SIZE = 12700.0, (960.0, 540.0), 18.0
@@ -34,6 +39,8 @@ PLACEHOLDERS = {"ctrTitle": "title", "subTitle": "body", "obj": "body", "tbl": "
 COLORS = ("srgbClr", "schemeClr", "sysClr")
 #: Parts that are Python objects at once while a package is written.
 ROWS = 500
+#: Bytes of XML in a partition whose tags become rows; these are some ten times as large.
+XML_BYTES = 8 << 20
 
 @F.arrow_udf(BinaryType())
 @sliced
@@ -75,46 +82,76 @@ def packages(parts: DataFrame, key: list[str]) -> DataFrame:
     return parts.select(*key, "part", "xml").repartition(*key).sortWithinPartitions(*key, "part").mapInArrow(pack, schema)
 
 
+def _read_parts(own: tuple, file: BinaryIO, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (key, error, part, xml) of a package in a file, a few parts at a time."""
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = [[*own, *f] for f in found]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*columns, strict=True), kinds, strict=True)], schema=kinds)
+
+    try:
+        z = zipfile.ZipFile(file)
+        names = [x for x in z.namelist() if x.startswith("ppt/") and x.endswith((".xml", ".rels"))]
+        for name in names:  # a damaged file gives none of its parts
+            z.read(name)
+    except Exception as e:  # zip files fail in many ways, damaged streams with the errors of the zlib module
+        yield rows_of([(str(e) or type(e).__name__, None, None)])
+        return
+    if "ppt/presentation.xml" not in z.NameToInfo:
+        yield rows_of([("no presentation in the package", None, None)])
+        return
+    out, size = [], 0
+    for name in names:
+        out.append((None, name, z.read(name).decode("utf-8", "replace")))
+        size += len(out[-1][2])
+        if size > SLICE:
+            yield rows_of(out)
+            out, size = [], 0
+    if out:
+        yield rows_of(out)
+
+
+def _part_schema(df: DataFrame, key: list[str]) -> StructType:
+    return StructType([*(df.schema[k] for k in key), *(StructField(c, StringType()) for c in ("error", "part", "xml"))])
+
+
 def slide_parts(files: DataFrame, key: list[str], content: str = "content") -> DataFrame:
     """(key, error, part, xml): the XML parts of presentations; one row with an error for a file that is none.
 
     Parts leave a file a few at a time and are dealt by their names, so that what follows needs no shuffle of their tags.
     """
-    schema = StructType([*(files.schema[k] for k in key), *(StructField(c, StringType()) for c in ("error", "part", "xml"))])
+    schema = _part_schema(files, key)
     kinds = to_arrow_schema(schema)
 
-    def rows_of(own: tuple, found: list[tuple]) -> pa.RecordBatch:
-        columns = [[*own, *f] for f in found]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*columns, strict=True), kinds, strict=True)], schema=kinds)
-
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for n in range(b.num_rows):
-                own = tuple(b.column(k)[n].as_py() for k in key)
-                try:
-                    z = zipfile.ZipFile(io.BytesIO(b.column(content)[n].as_py() or b""))
-                    names = [x for x in z.namelist() if x.startswith("ppt/") and x.endswith((".xml", ".rels"))]
-                    for name in names:  # a damaged file gives none of its parts
-                        z.read(name)
-                except Exception as e:  # zip files fail in many ways, damaged streams with the errors of the zlib module
-                    yield rows_of(own, [(str(e) or type(e).__name__, None, None)])
-                    continue
-                if "ppt/presentation.xml" not in names:
-                    yield rows_of(own, [("no presentation in the package", None, None)])
-                    continue
-                out, size = [], 0
-                for name in names:
-                    out.append((None, name, z.read(name).decode("utf-8", "replace")))
-                    size += len(out[-1][2])
-                    if size > SLICE:
-                        yield rows_of(own, out)
-                        out, size = [], 0
-                if out:
-                    yield rows_of(own, out)
+                yield from _read_parts(tuple(b.column(k)[n].as_py() for k in key), io.BytesIO(b.column(content)[n].as_py() or b""), kinds)
 
     return files.select(*key, content).mapInArrow(unpack, schema).repartition(*key, "part")
 
 
+def written_and_read(parts: DataFrame, key: list[str]) -> DataFrame:
+    """As slide_parts of packages: every package is written to a file of the task, which goes with it, and read back from there.
+
+    A package grows with its slides, and no value holds one: only the list of its parts is in memory.
+    """
+    schema = _part_schema(parts, key)
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for k in range(0, batch.num_rows, ROWS) for row in batch.slice(k, ROWS).to_pylist())
+        for own, parts_of in groupby(rows, key=lambda row: tuple(row[k] for k in key)):
+            with tempfile.TemporaryFile() as file:
+                with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+                    for row in parts_of:
+                        z.writestr(zipfile.ZipInfo(row["part"]), row["xml"], zipfile.ZIP_DEFLATED)
+                del z
+                yield from _read_parts(own, file, kinds)
+
+    return parts.select(*key, "part", "xml").repartition(*key).sortWithinPartitions(*key, "part").mapInArrow(run, schema)
+
+
 def _attribute(name: str, column: str = "token") -> Column:
     return F.nullif(F.regexp_extract(column, rf'\s{name}="([^"]*)"', 1), F.lit(""))
 
@@ -228,17 +265,22 @@ def text_levels(tokens: DataFrame, key: list[str]) -> DataFrame:
 
 
 def slide_runs(tokens: DataFrame, key: list[str]) -> DataFrame:
-    """Runs with text: part, shape, p, run, level (from 1), text and what the run itself says."""
+    """Runs with text: part, shape, p, run, level (from 1), text and what the run itself says.
+
+    What a paragraph says is told by a window over its runs, so that tags are made and sorted once.
+    """
     own = (F.col("in_rpr") > 0) & ~F.col("shut")
-    head = (F.col("name") == "rPr") & ~F.col("shut")
+    head, para = (F.col("name") == "rPr") & ~F.col("shut"), (F.col("name") == "pPr") & ~F.col("shut")
     color, _ = _color(own & (F.col("in_fill") > 0))
     text = F.array_join(F.sort_array(F.collect_list(F.when((F.col("in_t") > 0) & ~F.col("token").startswith("<"), F.struct("pos", unescape_xml(F.col("token")).alias("t")))))["t"], "")
-    inside = tokens.where("in_tx > 0 and in_list = 0 and p > 0")
-    heads = inside.groupBy(*key, "part", "p").agg(_first((F.col("name") == "pPr") & ~F.col("shut"), _attribute("lvl").try_cast("int")).alias("lvl"), _first((F.col("name") == "pPr") & ~F.col("shut"), _attribute("algn")).alias("align"))
-    runs = inside.groupBy(*key, "part", "shape", "p", "run").agg(
+    of_paragraph = lambda value: F.min(F.when(para & value.isNotNull(), F.struct("pos", value.alias("v"))))
+    pieces = tokens.where("in_tx > 0 and in_list = 0 and p > 0").groupBy(*key, "part", "shape", "p", "run").agg(
         text.alias("text"), _first(head, _number("sz", 100.0)).alias("size"), _first(head, _on(_attribute("b"))).alias("bold"), _first(head, _on(_attribute("i"))).alias("italic"), _first(own & (F.col("name") == "latin"), _attribute("typeface")).alias("face"), color.alias("color"),
-    ).where("text <> ''")
-    return runs.join(heads, [*key, "part", "p"]).withColumn("level", F.coalesce("lvl", F.lit(0)) + 1).drop("lvl")
+        of_paragraph(_attribute("lvl").try_cast("int")).alias("lvl"), of_paragraph(_attribute("algn")).alias("align"),
+    )
+    w = Window.partitionBy(*key, "part", "p")
+    told = pieces.withColumns({"lvl": F.min("lvl").over(w)["v"], "align": F.min("align").over(w)["v"]}).where("text <> ''")
+    return told.withColumn("level", F.coalesce("lvl", F.lit(0)) + 1).drop("lvl")
 
 
 def _kind(ph: str) -> Column:
@@ -280,12 +322,18 @@ def theme_colors(parts: DataFrame, key: list[str]) -> DataFrame:
 _PLACE = ("x", "y", "w", "h", "rotation", "flip_h", "flip_v")
 
 
+def dealt_tokens(parts: DataFrame, key: list[str]) -> DataFrame:
+    """Tags of parts that are written or cheap to make again; parts are dealt by the bytes of their XML, and no tags are shuffled."""
+    return slide_tokens(parts.repartition(partitions(parts, "xml", XML_BYTES), *key, "part"), key)
+
+
 def resolved_shapes(parts: DataFrame, tokens: DataFrame, key: list[str]) -> DataFrame:
     """Shapes of slides in order: slide, shape, kind, name, hidden, ph_type, place, color (six digits, null: none), alpha and text.
 
-    The place is the shape's, else its layout placeholder's, else its master's, as a whole; so is the fill.
+    The place is the shape's, else its layout placeholder's, else its master's, as a whole; so is the fill.  Slides and
+    shapes are looked at several times and written once.
     """
-    slides, shapes = deck_slides(parts, key), slide_shapes(tokens, key)
+    slides, shapes = written(deck_slides(parts, key), "slides"), written(slide_shapes(tokens, key), "shapes")
     placed = shapes.withColumns({"place": F.when(F.col("x").isNotNull() | F.col("w").isNotNull(), F.struct(*_PLACE)), "paint": F.when(F.col("fill").isNotNull(), F.struct("fill", "mods"))})
     under = ("place", "paint")
     rows = slides.drop("hidden").join(placed, [*key, "part"]).join(placeholders(slides, shapes, key).select(*key, "part", "shape", "layout_shape", "master_shape"), [*key, "part", "shape"], "left")
@@ -306,8 +354,11 @@ def resolved_runs(parts: DataFrame, tokens: DataFrame, key: list[str]) -> DataFr
 
     What a run does not say comes from its paragraph's level in the lists of the shape, of its layout and master
     placeholders, of the master's styles for titles, bodies and others, and of the presentation; a level before all levels.
+    Slides, placeholders and levels are written once; only parts that have levels are cut into tags for these.
     """
-    slides, shapes, levels = deck_slides(parts, key), slide_shapes(tokens, key), text_levels(tokens, key)
+    slides = written(deck_slides(parts, key), "slides")
+    shapes = written(slide_shapes(tokens, key).select(*key, "part", "shape", "ph_type", "ph_idx").where("ph_type is not null"), "placeholders")
+    levels = written(text_levels(dealt_tokens(parts.where(F.col("xml").rlike(r"<(?:\w+:)?(lvl\dpPr|defPPr)\b")), key), key), "levels")
     runs = slides.join(slide_runs(tokens, key), [*key, "part"]).join(placeholders(slides, shapes, key).select(*key, "part", "shape", "ph_type", "layout_shape", "master_shape"), [*key, "part", "shape"], "left")
     ph = F.col("ph_type")
     runs = runs.withColumn("style", F.when(ph.isin("title", "ctrTitle"), "titleStyle").when(ph.isin("body", "subTitle", "obj"), "bodyStyle").when(ph.isNotNull(), "otherStyle"))

@@ -136,3 +136,17 @@ def test_word_files_are_dealt_by_their_texts_and_tags_made_once(spark, sf_dir, m
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert _shuffles(found) == 2 and plan.count("Generate posexplode(regexp_extract_all") == 1, name
         assert found.rdd.getNumPartitions() == n, name
+
+
+def test_packages_of_slides_are_no_values_and_tags_are_made_once(spark, sf_dir):
+    """A package of many parts goes through a file of its task; what is looked at several times is written."""
+    parts = spark.createDataFrame([*((k, "ppt/presentation.xml", "<p:presentation/>") for k in (1, 2)), (3, "x.xml", "<a/>"), *((k % 2 + 1, f"ppt/slides/slide{k}.xml", f"<p:sld n='{k}'>{'ä' * 5000}</p:sld>") for k in range(1400))], "deck long, part string, xml string")
+    back = slides.written_and_read(parts, ["deck"])
+    assert "content" not in back._jdf.queryExecution().executedPlan().toString()
+    own = back.unionByName(slides.slide_parts(slides.packages(parts, ["deck"]), ["deck"]).withColumn("deck", -F.col("deck"))).collect()
+    for sign in (1, -1):
+        assert sorted(tuple(r) for r in own if r["deck"] * sign > 0 and not r["error"]) == sorted((sign * d, None, p, x) for d, p, x in parts.where("deck < 3").collect())
+        assert [r["error"] for r in own if r["deck"] == 3 * sign] == ["no presentation in the package"]
+    for name in ("slide_shapes", "slide_runs"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Generate posexplode(regexp_extract_all") <= 1 and "MapInArrow" not in plan, name

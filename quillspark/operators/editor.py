@@ -4,19 +4,26 @@ Each step depends on what was accepted before it, so the sorted rows of a page,
 gathered and folded, many pages in an Arrow batch and a few in Python at a time.  A fold keeps only what later rows can
 still meet: the open chunk, the open line, or the blocks and lines within two sizes above.  Pages are dealt by their key
 after each fold over glyphs or chunks; all grouping between is by the key first and needs no further shuffle.
+
+Pages that have their glyphs as a list take all steps in Python at once (``pages_chunks``, ``pages_lines``,
+``pages_blocks``), so that glyphs and chunks are neither rows nor shuffled.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
-from itertools import pairwise
+from functools import cache
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from quillspark.functions.slices import sliced
+from quillspark.functions.slices import lists, sliced
 
 #: Modes of glyphs that are not painted.
 UNPAINTED = (3, 7)
@@ -238,3 +245,129 @@ def editor_blocks(lines: DataFrame, key: list[str]) -> DataFrame:
     """
     pages = _rows(lines, key, ["angle", "across", "x0", "line"]).withColumn("block", _blocked(_fields("r", ("angle", "across", "x0", "x1", "size", "bold"))))
     return pages.select(*key, F.inline(F.arrays_zip("r", "block"))).select(*(c if c in key else f"r.{c}" for c in lines.columns), "block")
+
+
+# -- pages with their glyphs as lists
+
+#: The fields of a glyph, in the order that glyphs of one ``n`` go by.
+GLYPH = ("n", "text", "x", "y", "dx", "dy", "size", "width", "mode", "font", "bold")
+# A text that is white space as Java's ^\s*$ sees it, and its \s+.
+_BLANK, _WHITE = re.compile("[ \t\n\x0b\f\r]*[\x85\u2028\u2029]?"), re.compile("[ \t\n\x0b\f\r]+")
+
+
+@cache
+def _turn(dx: float, dy: float) -> tuple[int, float, float]:
+    angle = math.floor(math.degrees(math.atan2(dy, dx)) + 0.5)
+    return angle, math.cos(math.radians(angle)), math.sin(math.radians(angle))
+
+
+def _ordered(glyphs: list[tuple]) -> list[tuple]:
+    """Glyphs by n, those of one n by their other fields; nothing comes before all else, as in Spark."""
+    numbers = {g[0] for g in glyphs}
+    if len(numbers) == len(glyphs) and None not in numbers:
+        return sorted(glyphs, key=itemgetter(0))
+    return sorted(glyphs, key=lambda g: [(False, 0) if v is None else (True, v) for v in g])
+
+
+def _page_chunks(glyphs: list[tuple]) -> list[dict]:
+    """The chunks of a page in order, each with its glyphs (n, text, along, width, font, bold)."""
+    out, fold = [], None
+    for n, text, x, y, dx, dy, size, width, mode, font, bold in _ordered(glyphs):
+        if mode is None or mode in UNPAINTED or size is None or not LEAST_SIZE < size < MOST_SIZE:
+            continue
+        angle, c, s = _turn(dx, dy)
+        along, across = x * c + y * s, y * c - x * s
+        if fold is not None and fold["angle"] == angle:
+            largest = max(fold["size"], size)
+            if abs(across - fold["across"]) < 0.3 * largest and -0.6 * largest < along - fold["x1"] < largest:
+                fold["x0"], fold["x1"], fold["size"] = min(fold["x0"], along), max(fold["x1"], along + width), largest
+                fold["glyphs"].append((n, text, along, width, font, bold))
+                continue
+        fold = {"chunk": len(out), "angle": angle, "x0": along, "x1": along + width, "across": across, "size": size, "glyphs": [(n, text, along, width, font, bold)]}
+        out.append(fold)
+    for c in out:
+        c["glyphs"] = _ordered(c["glyphs"])
+        c["text"] = "".join([g[1] or "" for g in c["glyphs"]])
+    return out
+
+
+def _page_lined(glyphs: list[tuple]) -> list[dict]:
+    """Chunks with band, line and repeated, by their lines."""
+    chunks = sorted(_page_chunks(glyphs), key=lambda c: (c["angle"], c["across"], c["chunk"]))
+    band = _Bands()
+    for c in chunks:
+        c["band"] = band(c)
+    chunks.sort(key=lambda c: (c["band"], c["x0"], c["across"], c["chunk"]))
+    line = _Lines()
+    for c in chunks:
+        c |= line(c)
+    return chunks
+
+
+def _page_lines(glyphs: list[tuple]) -> list[dict]:
+    """editor_lines of a page."""
+    out = []
+    blank = lambda t: t is not None and _BLANK.fullmatch(t) is not None
+    for n, own in groupby(_page_lined(glyphs), key=lambda c: c["line"]):
+        own = sorted(own, key=lambda c: (c["x0"], c["across"], c["chunk"]))
+        kept = [c for c in own if not c["repeated"]]
+        size = max([c["size"] for c in kept])
+        pieces, end, last, seen, place = [], None, False, False, 0
+        fonts: dict[str | None, list] = {}
+        for c in own:
+            for _, text, along, width, font, bold in c["glyphs"]:
+                place += 1
+                of = fonts.setdefault(font, [0, 0, bold])
+                of[0], of[1] = of[0] + 1, -place
+                if not c["repeated"]:
+                    void = blank(text)
+                    pieces.append((" " if end is not None and along - end > 0.17 * size and not void and not last else "") + ("�" if text is None else text))
+                    end, last, seen = along + width if end is None else max(end, along + width), void, seen or not void
+        if seen:
+            bold = max(fonts.values(), key=lambda f: f[:2])[2]
+            text = _WHITE.sub(" ", "".join(pieces)).strip(" ")
+            out.append({"line": n, "angle": own[0]["angle"], "x0": min([c["x0"] for c in own]), "x1": max([c["x1"] for c in kept]), "across": own[0]["across"], "size": size, "bold": bold, "text": text})
+    return out
+
+
+def _page_blocks(glyphs: list[tuple]) -> list[dict]:
+    """editor_blocks of a page."""
+    lines, block = sorted(_page_lines(glyphs), key=lambda r: (r["angle"], r["across"], r["x0"], r["line"])), _Blocks()
+    return [r | {"block": block(r)} for r in lines]
+
+
+_KINDS = {"angle": ("int", pa.int32()), "text": ("string", pa.string()), "bold": ("boolean", pa.bool_()), "repeated": ("boolean", pa.bool_())} | {c: ("long", pa.int64()) for c in ("chunk", "band", "line", "block")} | {c: ("double", pa.float64()) for c in ("x0", "x1", "across", "size")}
+
+
+def _of_pages(pages: DataFrame, key: list[str], glyphs: Column, tell: Callable[[list[tuple]], list[dict]], names: tuple[str, ...]) -> DataFrame:
+    @F.arrow_udf("array<struct<" + ", ".join(f"{n}: {_KINDS[n][0]}" for n in names) + ">>")
+    @sliced
+    def told(rows: pa.Array) -> pa.Array:
+        ends, every = _offsets(rows).to_pylist(), list(zip(*(c.to_pylist() for c in rows.flatten().flatten()), strict=True))
+        found = (tell(every[a:b]) for a, b in pairwise(ends))
+        return lists([[tuple([r[n] for n in names]) for r in own] for own in found], [(n, _KINDS[n][1]) for n in names])
+
+    return pages.select(*key, F.inline(told(_fields_of(glyphs))))
+
+
+def _fields_of(glyphs: Column) -> Column:
+    kinds = dict(zip(GLYPH, ("long", "string", *["double"] * 6, "int", "string", "boolean"), strict=True))
+    return F.coalesce(F.transform(glyphs, lambda g: F.struct(*(g[n].cast(kinds[n]).alias(n) for n in GLYPH))), F.array())
+
+
+_LINE = ("line", "angle", "x0", "x1", "across", "size", "bold", "text")
+
+
+def pages_chunks(pages: DataFrame, key: list[str], glyphs: Column) -> DataFrame:
+    """chunk_lines of pages that have their glyphs (GLYPH) as lists."""
+    return _of_pages(pages, key, glyphs, _page_lined, (*_CHUNK, "band", "line", "repeated"))
+
+
+def pages_lines(pages: DataFrame, key: list[str], glyphs: Column) -> DataFrame:
+    """editor_lines of pages that have their glyphs as lists."""
+    return _of_pages(pages, key, glyphs, _page_lines, _LINE)
+
+
+def pages_blocks(pages: DataFrame, key: list[str], glyphs: Column) -> DataFrame:
+    """editor_blocks of editor_lines of pages that have their glyphs as lists."""
+    return _of_pages(pages, key, glyphs, _page_blocks, (*_LINE, "block"))

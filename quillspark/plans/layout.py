@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import editor as E
 from quillspark.operators import layout as L
 from quillspark.operators.tables import blocks_of, pages_layout, tables_of
 from quillspark.plans.registry import query
-from quillspark.sources.tables import DEALT_BYTES, doc_lines, document_runs, page_runs, partitions, read, runs
+from quillspark.sources.tables import DEALT_BYTES, doc_lines, document_runs, page_runs, partitions, read
 
 _RUNS = r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
 w as (select doc_id, line_no, case when line_no % 7 = 0 then 16.0 else 11.0 end::double as size, list_filter(string_split(t, ' '), lambda x: x <> '') as ws from l where t <> ''),
@@ -253,34 +253,34 @@ def layout_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.markdown(placed, "doc_id", ["page", "place"])
 
 
-def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words as glyphs; every ninth line of a page stands upright, and every thirteenth word is printed twice, a little aside."""
-    r = runs(spark, sf_dir)
-    upright = (F.col("y") / 20).cast("int") % 9 == 0
-    own = r.select(
-        "doc_id", "page", (F.col("run_no").cast("long") * 2).alias("n"), "text", F.when(upright, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(upright, F.col("x")).otherwise(F.col("y")).alias("y"), F.when(upright, 0.0).otherwise(1.0).alias("dx"),
-        F.when(upright, 1.0).otherwise(0.0).alias("dy"), "size", F.col("w").alias("width"), F.when(F.col("run_no") % 17 == 0, 3).otherwise(0).alias("mode"), F.when(F.col("bold"), "B").otherwise("R").alias("font"), "bold",
-    )
-    printed = own.select("*", F.explode(F.when(F.expr("n div 2 % 13 = 0"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
-    return printed.withColumns({"n": F.col("n") + F.col("again"), "x": F.col("x") + 0.4 * F.col("again")}).drop("again")
+def _glyphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], Column]:
+    """Pages, their key and their words as glyphs; every ninth line of a page stands upright, and every thirteenth word is printed twice, a little aside."""
+
+    def glyph(r: Column) -> Column:
+        upright = (r["y"] / 20).cast("int") % 9 == 0
+        values = {
+            "n": r["run_no"] * 2, "text": r["text"], "x": F.when(upright, r["y"]).otherwise(r["x"]), "y": F.when(upright, r["x"]).otherwise(r["y"]), "dx": F.when(upright, 0.0).otherwise(1.0), "dy": F.when(upright, 1.0).otherwise(0.0),
+            "size": r["size"], "width": r["w"], "mode": F.when(r["run_no"] % 17 == 0, 3).otherwise(0), "font": F.when(r["bold"], "B").otherwise("R"), "bold": r["bold"],
+        }
+        own = lambda **other: F.struct(*((values | other)[c].alias(c) for c in E.GLYPH))
+        return F.when(r["run_no"] % 13 == 0, F.array(own(), own(n=values["n"] + 1, x=values["x"] + 0.4))).otherwise(F.array(own()))
+
+    return _pages(spark, sf_dir), ["doc_id", "page"], F.flatten(F.transform("r", glyph))
 
 
 @query()
 def editor_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all pages' glyphs, with lines and what is printed twice."""
-    key = ["doc_id", "page"]
-    return E.chunk_lines(E.glyph_chunks(_glyphs(spark, sf_dir), key), key)
+    return E.pages_chunks(*_glyphs(spark, sf_dir))
 
 
 @query()
 def editor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all pages at any angle."""
-    key = ["doc_id", "page"]
-    return E.editor_lines(E.glyph_chunks(_glyphs(spark, sf_dir), key), key)
+    return E.pages_lines(*_glyphs(spark, sf_dir))
 
 
 @query()
 def editor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of lines of all pages."""
-    key = ["doc_id", "page"]
-    return E.editor_blocks(E.editor_lines(E.glyph_chunks(_glyphs(spark, sf_dir), key), key), key)
+    return E.pages_blocks(*_glyphs(spark, sf_dir))

@@ -9,6 +9,7 @@ anchored on their first run, which a lag window cannot express.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,12 @@ def _found_segments(own: pa.Array, gap: float) -> tuple[np.ndarray, dict]:
     return c["page"][at], found | {name: f.reduceat(values, at) if len(at) else values for name, (f, values) in folds.items()}
 
 
+def page_segments(own: pa.Array, gap: float = 1.6) -> pa.Array:
+    """The segments of pages, lists of runs, as lists (see segment_lists)."""
+    page, found = _found_segments(own, gap)
+    return R.listed(page, len(own), found, _SEGMENT)
+
+
 def segment_lists(runs: Column, gap: float = 1.6) -> Column:
     """A page's segments (line, segment, x0, x1, y, size, bold, text), an array: a line is cut ``gap`` sizes behind all runs before.
 
@@ -110,8 +117,7 @@ def segment_lists(runs: Column, gap: float = 1.6) -> Column:
     @F.arrow_udf("array<struct<line: int, segment: int, x0: double, x1: double, y: double, size: double, bold: boolean, text: string>>")
     @sliced
     def find(own: pa.Array) -> pa.Array:
-        page, found = _found_segments(own, gap)
-        return R.listed(page, len(own), found, _SEGMENT)
+        return page_segments(own, gap)
 
     return find(runs)
 
@@ -196,6 +202,16 @@ def _weighed(group: np.ndarray, n: int, c: dict) -> pa.Array:
     return R.listed(group[order][at], n, {"size": size[order][at], "weight": total}, {"size": _REAL, "weight": pa.int64()})
 
 
+def bodies(of: np.ndarray, n: int, runs: pa.Array) -> list[float | None]:
+    """As body_size, for each of ``n`` documents; ``of`` is the document of every page of runs."""
+    page, c = R.flat(runs)
+    out = []
+    for own in _weighed(of[page], n, c).to_pylist():
+        middle, upto = sum(w["weight"] for w in own) // 2, accumulate(w["weight"] for w in own)
+        out.append(next((w["size"] for w, reached in zip(own, upto, strict=True) if reached > middle), None))
+    return out
+
+
 def weight_lists(runs: Column) -> Column:
     """The sizes of a page to the half point with their weights, an array of (size, weight): a run counts for up to 20 characters."""
 
@@ -278,10 +294,19 @@ def classified_segments(docs: DataFrame, gap: float = 1.6) -> DataFrame:
     found = docs.select("doc_id", find("pages").alias("d")).select("doc_id", F.col("d.s").alias("s"), F.col("d.w").alias("w"))
     middle = F.floor(weight(lambda e: e["weight"]) / 2)
     sized = found.withColumn("middle", middle).withColumn("body", F.array_min(F.filter("w.size", lambda size: upto(size) > F.col("middle"))))
-    known = sized.select("doc_id", "s", _known_body().alias("body"))
+    return _kinds(_of_documents(sized).withColumn("n_segments", F.lit(1)))
+
+
+def classified_documents(docs: DataFrame) -> DataFrame:
+    """``classified`` blocks of documents (doc_id, body, s: an array of blocks): no row looks at others for the sizes of its document."""
+    return _kinds(_of_documents(docs))
+
+
+def _of_documents(docs: DataFrame) -> DataFrame:
+    """The blocks s of documents as rows, with body and sizes of headings."""
+    known = docs.select("doc_id", "s", _known_body().alias("body"))
     large = F.filter(F.transform("s.size", _half), lambda size: size >= F.col("body") * 1.15)
-    rows = known.select("doc_id", "body", F.sort_array(F.array_distinct(large), asc=False).alias("sizes"), "s").select("doc_id", "body", "sizes", F.inline("s"))
-    return _kinds(rows.withColumn("n_segments", F.lit(1)))
+    return known.select("doc_id", "body", F.sort_array(F.array_distinct(large), asc=False).alias("sizes"), "s").select("doc_id", "body", "sizes", F.inline("s"))
 
 
 def _kinds(joined: DataFrame) -> DataFrame:

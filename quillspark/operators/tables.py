@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.runs import paged
 from quillspark.functions.slices import lists, records, sliced
 from quillspark.functions.text import BULLET, escape_markdown
-from quillspark.operators.layout import classified
+from quillspark.operators.layout import bodies, classified, classified_documents, page_segments
 from quillspark.operators.order import reading_order
 from quillspark.sources.shared import written
 
@@ -253,9 +254,26 @@ def page_layout(segments: DataFrame, fine: DataFrame, body: DataFrame, key: list
     return _layout(cuts.groupBy(*key).agg(of(0).alias("s"), of(1).alias("f")), body, key)
 
 
-def pages_layout(pages: DataFrame, wide: Column, fine: Column, body: DataFrame, key: list[str]) -> DataFrame:
-    """page_layout of pages that have their segments, cut at wide and at fine gaps, as lists."""
-    return _layout(pages.select(*key, wide.alias("s"), fine.alias("f")), body, key)
+def documents_layout(docs: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, page, place, kind, level, ordered, text) as page_layout, of documents (doc_id, pages: an array of page and its runs r).
+
+    A document is a row until its pages are laid out, as its body's size is one of its own; neither runs nor segments are
+    shuffled or joined.  Items are written, so that nothing lays pages out again, and dealt to ``parts`` partitions once.
+    """
+    items = ", ".join(f"{c}: {kind}" for c, kind in (("page", "int"), ("place", "int"), ("n_segments", "int"), ("text", "string"), ("size", "double"), ("bold", "boolean"), ("rows", "array<array<string>>")))
+
+    @F.arrow_udf(f"struct<body: double, s: array<struct<{items}>>>")
+    @sliced
+    def find(own: pa.Array) -> pa.Array:
+        of, number, runs = paged(own)
+        body = bodies(of, len(own), runs)
+        found: list[list[tuple]] = [[] for _ in body]
+        for doc, page, wide, fine in zip(of.tolist(), number.tolist(), records(page_segments(runs)), records(page_segments(runs, 0.5)), strict=True):
+            found[doc] += [(page, *item) for item in layout_items(wide, fine, 11.0 if body[doc] is None else body[doc])]
+        return pa.StructArray.from_arrays([pa.array(body, pa.float64()), lists(found, [("page", pa.int32()), *_ITEM])], ["body", "s"])
+
+    laid = written(docs.select("doc_id", find("pages").alias("d")).select("doc_id", "d.body", "d.s"), "layout")
+    return _told(classified_documents(laid.repartition(parts, "doc_id"))).select("doc_id", "page", "place", "kind", "level", "ordered", "text")
 
 
 def _layout(pages: DataFrame, body: DataFrame, key: list[str]) -> DataFrame:
@@ -268,6 +286,10 @@ def _layout(pages: DataFrame, body: DataFrame, key: list[str]) -> DataFrame:
 
     body = written(body, "body")  # needed for the items and for their kinds
     items = written(pages.join(body, "doc_id", "left").select(*key, F.inline(find("s", "f", F.coalesce("body", F.lit(11.0))))), "layout")
+    return _told(classified(items, body)).select(*key, "place", "kind", "level", "ordered", "text")
+
+
+def _told(items: DataFrame) -> DataFrame:
+    """Classified items, tables as such and as Markdown."""
     table = F.col("rows").isNotNull()
-    told = classified(items, body).withColumns({"kind": F.when(table, "table").otherwise(F.col("kind")), "text": F.when(table, rows_markdown(F.col("rows"))).otherwise(F.col("text"))})
-    return told.select(*key, "place", "kind", "level", "ordered", "text")
+    return items.withColumns({"kind": F.when(table, "table").otherwise(F.col("kind")), "text": F.when(table, rows_markdown(F.col("rows"))).otherwise(F.col("text"))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import editor as E
 from quillspark.operators import layout as L
-from quillspark.operators.tables import blocks_of, pages_layout, tables_of
+from quillspark.operators.tables import blocks_of, documents_layout, tables_of
 from quillspark.plans.registry import query
 from quillspark.sources.tables import DEALT_BYTES, doc_lines, document_runs, page_runs, partitions, read
 
@@ -248,8 +248,8 @@ def styled_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def layout_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of all documents by pages: tables with bars, headings, lists and paragraphs in reading order."""
-    pages = _pages(spark, sf_dir)
-    placed = pages_layout(pages, L.segment_lists(F.col("r")), L.segment_lists(F.col("r"), 0.5), L.body_size(L.size_weights(pages)), [*L.PAGE])
+    parts = partitions(read(spark, sf_dir, "documents"), "text")
+    placed = documents_layout(document_runs(spark, sf_dir, parts), parts)
     return L.markdown(placed, "doc_id", ["page", "place"])
 
 

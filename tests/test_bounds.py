@@ -150,3 +150,9 @@ def test_packages_of_slides_are_no_values_and_tags_are_made_once(spark, sf_dir):
     for name in ("slide_shapes", "slide_runs"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Generate posexplode(regexp_extract_all") <= 1 and "MapInArrow" not in plan, name
+
+
+def test_items_of_pages_are_dealt_once(spark, sf_dir):
+    """Items are dealt as documents; no join or window deals them again."""
+    found = QUERIES["layout_to_markdown"](spark, sf_dir)
+    assert _shuffles(found) == 1 and "Join" not in found._jdf.queryExecution().executedPlan().toString()

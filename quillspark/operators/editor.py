@@ -343,16 +343,20 @@ def _of_pages(pages: DataFrame, key: list[str], glyphs: Column, tell: Callable[[
     @F.arrow_udf("array<struct<" + ", ".join(f"{n}: {_KINDS[n][0]}" for n in names) + ">>")
     @sliced
     def told(rows: pa.Array) -> pa.Array:
-        ends, every = _offsets(rows).to_pylist(), list(zip(*(c.to_pylist() for c in rows.flatten().flatten()), strict=True))
+        ends, every = _offsets(rows).to_pylist(), list(zip(*map(_listed, rows.flatten().flatten()), strict=True))
         found = (tell(every[a:b]) for a, b in pairwise(ends))
         return lists([[tuple([r[n] for n in names]) for r in own] for own in found], [(n, _KINDS[n][1]) for n in names])
 
-    return pages.select(*key, F.inline(told(_fields_of(glyphs))))
+    kind = "array<struct<" + ",".join(f"{n}:{k}" for n, k in zip(GLYPH, ("bigint", "string", *["double"] * 6, "int", "string", "boolean"), strict=True)) + ">>"
+    if pages.select(glyphs.alias("g")).dtypes[0][1] != kind:
+        glyphs = F.transform(glyphs, lambda g: F.struct(*(g[n] for n in GLYPH))).cast(kind)
+    return pages.select(*key, F.inline(told(F.coalesce(glyphs, F.array().cast(kind)))))
 
 
-def _fields_of(glyphs: Column) -> Column:
-    kinds = dict(zip(GLYPH, ("long", "string", *["double"] * 6, "int", "string", "boolean"), strict=True))
-    return F.coalesce(F.transform(glyphs, lambda g: F.struct(*(g[n].cast(kinds[n]).alias(n) for n in GLYPH))), F.array())
+def _listed(column: pa.Array) -> list:
+    """As to_pylist, several times faster for numbers."""
+    plain = (pa.types.is_floating(column.type) or pa.types.is_integer(column.type)) and not column.null_count
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
 
 
 _LINE = ("line", "angle", "x0", "x1", "across", "size", "bold", "text")
